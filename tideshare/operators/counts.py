@@ -21,19 +21,26 @@ def count_categories(rows: DataFrame, date: Column, variant: Column | str, serie
     Only this aggregate sees raw rows; partial aggregation keeps a hot series, day or category
     from reaching one task. All that follows works on one row per bin and category.
     ``grain`` is ``day``, ``week`` or ``month``; edge bins are clipped to the observed days.
+    Rows without a date, category or series are not counted.
     """
     day = date.cast("date")
-    daily = rows.select(
+    named = rows.select(
         col(series).cast("string").alias("series_id"), day.alias("day"), col(variant).alias("variant")
-    ).groupBy("series_id", "day", "variant").agg(F.count(F.lit(1)).alias("n"))
-    # the daily table is read twice below (bounds and counts): Spark reuses the exchange
-    bounds = daily.groupBy("series_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    ).filter("series_id is not null and day is not null and variant is not null")
+    daily = named.groupBy("series_id", "day", "variant").agg(F.count(F.lit(1)).alias("n"))
+    # No NULL keys and asking for n > 0 keep all uses of the daily counts alike, so that Spark
+    # reuses the exchange and scans the raw rows once.
+    counted = F.when(F.col("n") > 0, F.col("day"))
+    spans = daily.groupBy("series_id").agg(
+        F.min(counted).alias("lo"), F.max(counted).alias("hi"),
+        F.collect_set("variant").alias("variants"),
+    )
     if grain == "day":
         counts = daily.select("series_id", F.col("day").alias("date_from"),
                               F.col("day").alias("date_till"), "variant", "n")
     else:
-        counts = clip_bins(daily, bounds, grain)
-    return dense_fill(counts, bounds, grain) if dense else counts
+        counts = clip_bins(daily, spans, grain)
+    return dense_fill(counts, spans, grain) if dense else counts
 
 
 def bin_edges(day: Column, grain: str) -> tuple[Column, Column]:
@@ -42,12 +49,13 @@ def bin_edges(day: Column, grain: str) -> tuple[Column, Column]:
     return lo, hi
 
 
-def clip_bins(daily: DataFrame, bounds: DataFrame, grain: str) -> DataFrame:
+def clip_bins(daily: DataFrame, spans: DataFrame, grain: str) -> DataFrame:
+    """Daily counts to wider bins, cut at the first and last day of the series."""
     lo, hi = bin_edges(F.col("day"), grain)
     binned = daily.groupBy("series_id", lo.alias("b_lo"), hi.alias("b_hi"), "variant").agg(
         F.sum("n").alias("n")
     )
-    return binned.join(bounds, "series_id").select(
+    return binned.join(spans.select("series_id", "lo", "hi"), "series_id").select(
         "series_id",
         F.greatest("b_lo", "lo").alias("date_from"),
         F.least("b_hi", "hi").alias("date_till"),
@@ -56,18 +64,24 @@ def clip_bins(daily: DataFrame, bounds: DataFrame, grain: str) -> DataFrame:
     )
 
 
-def dense_fill(counts: DataFrame, bounds: DataFrame, grain: str = "day") -> DataFrame:
-    """One row per bin and category of the series; missing counts become 0."""
-    days = bounds.select("series_id", "lo", "hi", F.explode(day_calendar("lo", "hi")).alias("day"))
+def dense_fill(counts: DataFrame, spans: DataFrame, grain: str = "day") -> DataFrame:
+    """One row per bin and category of the series; missing counts become 0.
+
+    ``spans`` is ``(series_id, lo, hi, variants)``; the grid grows out of that one row.
+    """
     if grain == "day":
-        bins = days.select("series_id", F.col("day").alias("date_from"), F.col("day").alias("date_till"))
+        bins = F.transform(day_calendar("lo", "hi"), lambda d: F.struct(d.alias("a"), d.alias("b")))
     else:
-        lo, hi = bin_edges(F.col("day"), grain)
-        bins = days.select(
-            "series_id", F.greatest(lo, "lo").alias("date_from"), F.least(hi, "hi").alias("date_till")
-        ).distinct()
-    variants = counts.groupBy("series_id").agg(F.collect_set("variant").alias("variants"))
-    grid = bins.join(variants, "series_id").select(*BIN, F.explode("variants").alias("variant"))
+        def cut(d: Column) -> Column:
+            a, b = bin_edges(d, grain)
+            return F.struct(F.greatest(a, F.col("lo")).alias("a"), F.least(b, F.col("hi")).alias("b"))
+
+        bins = F.array_distinct(F.transform(day_calendar("lo", "hi"), cut))
+    grid = (
+        spans.select("series_id", "variants", F.explode(bins).alias("bin"))
+        .select("series_id", F.col("bin.a").alias("date_from"), F.col("bin.b").alias("date_till"),
+                F.explode("variants").alias("variant"))
+    )
     return grid.join(counts, [*BIN, "variant"], "left").select(
         *BIN, "variant", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )

@@ -102,7 +102,7 @@ def mean_by_block(params: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def concat_names(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Comma list of the category names per group, in table order."""
-    names = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("variant"))))
+    names = F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), F.col("variant").alias("name"))))
     return df.groupBy(*keys).agg(
-        F.concat_ws(",", F.transform(names, lambda x: x["variant"])).alias("variant")
+        F.concat_ws(",", F.transform(names, lambda x: x["name"])).alias("variant")
     )

@@ -12,11 +12,10 @@ from tideshare.functions.numbers import col
 def stream_counts(rows: DataFrame, ts: str, variant: Column | str, series: Column | str,
                   lateness: str = "2 days") -> DataFrame:
     """Count table of a stream: a day is final once the watermark has passed it."""
-    day = F.window(F.col(ts).cast("timestamp"), "1 day")
     return (
         rows.withColumn(ts, F.col(ts).cast("timestamp"))
         .withWatermark(ts, lateness)
-        .groupBy(day.alias("w"), col(series).cast("string").alias("series_id"), col(variant).alias("variant"))
+        .groupBy(F.window(ts, "1 day").alias("w"), col(series).cast("string").alias("series_id"), col(variant).alias("variant"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select("series_id", F.to_date("w.start").alias("date_from"),
                 F.to_date("w.start").alias("date_till"), "variant", "n")
