@@ -82,10 +82,12 @@ def num_parameters(blocks, subjects, time_scale: bool = False, dirichlet: bool =
 
 def finite_ll(ll: Column | str) -> Column:
     """Replace a NULL, NaN or infinite log-likelihood by the worst finite value."""
-    ll = col(ll)
     inf = F.lit(float("inf"))
-    return (
-        F.when(ll.isNull() | F.isnan(ll) | (ll == inf) | (ll == -inf), F.lit(WORST_LL)).otherwise(ll)
+    return let(
+        col(ll),
+        lambda x: F.when(
+            x.isNull() | F.isnan(x) | (x == inf) | (x == -inf), F.lit(WORST_LL)
+        ).otherwise(x),
     )
 
 

@@ -65,7 +65,8 @@ class Problem:
         extra = self.s * self.time_scale
         bounds = [RATE_BOUNDS] * self.k + [SHARE_BOUNDS] * self.s + [SCALE_BOUNDS] * extra
         bounds += [CONCENTRATION_BOUNDS] * self.dirichlet
-        self.lo, self.hi = np.log(np.array(bounds, dtype=float)).T
+        self.low, self.high = np.array(bounds, dtype=float).T
+        self.lo, self.hi = np.log(self.low), np.log(self.high)
         self.model_size = self.k + self.s + extra
         self.constant = float((_lgamma(self.total + 1.0) - _lgamma(self.n + 1.0).sum(axis=1)).sum())
 
@@ -76,7 +77,7 @@ class Problem:
         return np.clip(raw, self.lo, self.hi)
 
     def unpack(self, par: np.ndarray):
-        v = np.exp(par)
+        v = np.clip(np.exp(par), self.low, self.high)
         rates = np.concatenate([[1.0], v[: self.k]])[self.block]
         c = v[self.k + self.s : self.model_size] if self.time_scale else np.ones(self.s)
         return rates, v[self.k : self.k + self.s], c, v[-1] if self.dirichlet else None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideshare.functions.gamma import chi2_quantile
 from tideshare.functions.numbers import (
     array_sum,
     col,
@@ -16,7 +17,7 @@ from tideshare.functions.numbers import (
 )
 from tideshare.functions.partitions import to_rgs
 from tideshare.operators.partitions import all_coarsenings
-from tideshare.plans.series import spread_count
+from tideshare.plans.series import materialise, spread_count
 from tideshare.plans.trajectory import with_trajectory
 
 
@@ -37,36 +38,41 @@ def bin_probabilities(traj: Column, b: Column) -> Column:
 
 def multinomial_ll(traj: Column | str, bins: Column | str, constant: Column | str | None = None) -> Column:
     """Sum over the bins inside the row: candidates are never blown up to cells."""
-    traj = col(traj)
 
-    def one_bin(acc: Column, b: Column) -> Column:
-        terms = F.zip_with(bin_probabilities(traj, b), b["n"], lambda p, n: multinomial_term(n, p))
-        return acc + array_sum(terms)
+    def over_bins(t: Column) -> Column:
+        def one_bin(acc: Column, b: Column) -> Column:
+            terms = F.zip_with(bin_probabilities(t, b), b["n"], lambda p, n: multinomial_term(n, p))
+            return acc + array_sum(terms)
 
-    ll = F.aggregate(col(bins), F.lit(0.0), one_bin)
+        return F.aggregate(col(bins), F.lit(0.0), one_bin)
+
+    ll = let(col(traj), over_bins)
     return finite_ll(ll if constant is None else ll + col(constant))
 
 
 def dirichlet_ll(traj: Column | str, bins: Column | str, concentration: Column | str) -> Column:
     """Dirichlet-multinomial; categories of zero probability are left out with their counts."""
-    traj, d = col(traj), col(concentration)
+    d = col(concentration)
 
-    def one_bin(acc: Column, b: Column) -> Column:
-        cells = F.filter(
-            F.zip_with(bin_probabilities(traj, b), b["n"],
-                       lambda p, n: F.struct((p * d).alias("a"), n.alias("n"))),
-            lambda x: x["a"] != 0,
-        )
+    def bin_ll(x: Column) -> Column:
+        total = F.aggregate(x, F.lit(0).cast("bigint"), lambda s, y: s + y["n"])
+        alpha = array_sum(F.transform(x, lambda y: y["a"]))
+        terms = array_sum(F.transform(x, lambda y: dirichlet_term(y["n"], y["a"])))
+        head = let(total, lambda n: let(alpha, lambda a: dirichlet_head(n, a)))
+        return F.when(total == 0, F.lit(0.0)).otherwise(head + terms)
 
-        def bin_ll(x: Column) -> Column:
-            total = F.aggregate(x, F.lit(0).cast("bigint"), lambda s, y: s + y["n"])
-            alpha = array_sum(F.transform(x, lambda y: y["a"]))
-            terms = array_sum(F.transform(x, lambda y: dirichlet_term(y["n"], y["a"])))
-            return F.when(total == 0, F.lit(0.0)).otherwise(dirichlet_head(total, alpha) + terms)
+    def over_bins(t: Column) -> Column:
+        def one_bin(acc: Column, b: Column) -> Column:
+            cells = F.filter(
+                F.zip_with(bin_probabilities(t, b), b["n"],
+                           lambda p, n: F.struct((p * d).alias("a"), n.alias("n"))),
+                lambda x: x["a"] != 0,
+            )
+            return acc + let(cells, bin_ll)
 
-        return acc + let(cells, bin_ll)
+        return F.aggregate(col(bins), F.lit(0.0), one_bin)
 
-    return finite_ll(F.aggregate(col(bins), F.lit(0.0), one_bin))
+    return finite_ll(let(col(traj), over_bins))
 
 
 def loglik(df: DataFrame, dirichlet: Column | str | None = None, constant: bool = True) -> DataFrame:
@@ -121,6 +127,16 @@ def grid_scores(series: DataFrame, rates: list[float], alpha: float, theta: floa
     return scored.select(*keep, *(["t_start", "traj"] if keep_traj else []))
 
 
+def likelihood_region(scores: DataFrame, df: int) -> DataFrame:
+    """Points within chi2(df)/2 of the best one of their series.
+
+    The scores are used twice, so they are written to the checkpoint folder first.
+    """
+    scores = materialise(scores)
+    top = scores.groupBy("series_id").agg(F.max("ll").alias("top"))
+    return scores.join(top, "series_id").filter(F.col("ll") >= F.col("top") - chi2_quantile(df) / 2)
+
+
 def best_point(scores: DataFrame) -> DataFrame:
     """Point of highest log-likelihood per series, lowest number on ties."""
     return scores.groupBy("series_id").agg(

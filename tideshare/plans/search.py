@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideshare.functions.numbers import aic, coarsening_bound, num_parameters
@@ -15,6 +14,7 @@ from tideshare.operators.partitions import drop_dominated, merge_once
 from tideshare.operators.ranking import beam, rank_scores
 from tideshare.plans.fit import Options, default_start, fit, scored, warm_start
 from tideshare.plans.likelihood import score_on_grid
+from tideshare.plans.series import materialise
 
 # Fixed value: a bound must beat the best AIC by this much, since fits are not exact.
 PRUNE_MARGIN = 1e-6
@@ -23,23 +23,6 @@ SCORE_COLUMNS = ["series_id", "rgs", "ll", "num_pars", "AIC"]
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; a cluster must name one,
-    because a folder of one machine is lost with that machine.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tideshare-checkpoint-")
-    sc.setCheckpointDir(named)
-
-
 def grid_scorer(patterns: DataFrame, max_blocks: int) -> Scorer:
     """Score by the best grid point that fits the grouping (start shares are fixed)."""
 
@@ -112,41 +95,31 @@ def search_partitions(finest: DataFrame, scorer: Scorer, width: int = 1, max_lev
     distributed job. The levels are cut from the lineage by reliable checkpoints, which survive
     the loss of executors. The lowest AIC counts all earlier levels and the whole current one.
     """
-    spark = finest.sparkSession
-    ensure_checkpoint_dir(spark)
-    finest = finest.select("series_id", "rgs")
 
     def scores_of(candidates: DataFrame) -> DataFrame:
-        return score_candidates(candidates, scorer, stored, config_hash).checkpoint()
-
-    first = scores_of(finest)
-    best = first.select("series_id", F.col("AIC").alias("best_AIC"))
-    flagged = flag(first, best).withColumn("has_chance", F.lit(True)).withColumn(
-        "level", F.lit(1).cast("bigint")).checkpoint()
-    levels, level = [flagged], 1
-    survivors = flagged
-    while max_levels is None or level < max_levels:
-        level += 1
-        children = (
-            merge_once(survivors.select("series_id", "rgs", "best_AIC"))
-            .groupBy("series_id", F.col("child").alias("rgs"))
-            .agg(F.first("best_AIC").alias("best_AIC"))
-        )
-        if level > 2:
+        return materialise(score_candidates(candidates, scorer, stored, config_hash))
+
+    first = scores_of(finest.select("series_id", "rgs"))
+    flagged = flag(first, first.select("series_id", F.col("AIC").alias("best_AIC"))).withColumns(
+        {"has_chance": F.lit(True), "level": F.lit(1).cast("bigint")})
+    levels, survivors = [flagged], flagged
+    while max_levels is None or len(levels) < max_levels:
+        children = merge_once(survivors.select("series_id", "rgs")).select(
+            "series_id", F.col("child").alias("rgs")).distinct()
+        if len(levels) > 1:
             children = drop_dominated(children, union([prune(f) for f in levels]))
-        children = children.checkpoint()
-        if children.isEmpty():
+        scores = scores_of(children)
+        if scores.isEmpty():
             break
-        scores = scores_of(children.select("series_id", "rgs"))
-        before = children.groupBy("series_id").agg(F.first("best_AIC").alias("earlier"))
+        earlier = levels[-1].groupBy("series_id").agg(F.min("best_AIC").alias("earlier"))
         best = (
             scores.groupBy("series_id").agg(F.min("AIC").alias("now"))
-            .join(before, "series_id")
+            .join(earlier, "series_id")
             .select("series_id", F.least("now", "earlier").alias("best_AIC"))
         )
-        flagged = flag(scores, best).withColumn("level", F.lit(level).cast("bigint")).checkpoint()
-        levels.append(flagged)
-        survivors = beam(flagged.filter("has_chance"), width)
+        level = F.lit(len(levels) + 1).cast("bigint")
+        levels.append(materialise(flag(scores, best).withColumn("level", level)))
+        survivors = beam(levels[-1].filter("has_chance"), width)
     columns = ["series_id", "level", *SCORE_COLUMNS[1:], "lb_agg_AIC", "has_chance"]
     return union(levels).select(*columns), union([prune(f) for f in levels])
 

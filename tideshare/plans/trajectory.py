@@ -32,8 +32,8 @@ def close_day(raw: Column) -> Column:
     return let(
         array_sum(raw),
         lambda s: F.when(
-            s > 1, F.array_append(F.transform(raw, lambda x: x / s), F.lit(0.0))
-        ).otherwise(F.array_append(raw, 1.0 - s)),
+            s > 1, F.concat(F.transform(raw, lambda x: x / s), F.array(F.lit(0.0)))
+        ).otherwise(F.concat(raw, F.array(1.0 - s))),
     )
 
 
@@ -73,7 +73,7 @@ def trajectory_column(k: Column | str, qt: Column | str, intro: Column | str, n_
                 state["past"], q,
                 lambda h, x: F.concat(F.array(x), F.slice(h, F.lit(1), F.lit(lags - 1))),
             )
-            read_out = F.array_append(state["out"], q)
+            read_out = F.concat(state["out"], F.array(q))
             if division > 1:
                 read_out = F.when((i - 1) % division == 0, read_out).otherwise(state["out"])
             return F.struct(past.alias("past"), read_out.alias("out"))
@@ -116,10 +116,14 @@ def with_trajectory(df: DataFrame, alpha: float, theta: float, length: int | Non
 
 
 def explode_trajectory(df: DataFrame) -> DataFrame:
-    """Rows with ``traj`` to long ``(series_id[, candidate_id], date, variant, q)``."""
+    """Rows with ``traj`` to long ``(series_id[, candidate_id], date, variant, q)``.
+
+    ``traj`` is never empty; the outer form keeps Spark from adding a filter that would run the
+    fold a second time.
+    """
     ids = [c for c in ID_COLUMNS if c in df.columns]
     names = F.array_append(F.col("subjects"), F.col("baseline"))
-    days = df.select(*ids, "t_start", names.alias("names"), F.posexplode("traj").alias("day", "row"))
+    days = df.select(*ids, "t_start", names.alias("names"), F.posexplode_outer("traj").alias("day", "row"))
     cells = days.select(
         *ids,
         F.date_add("t_start", F.col("day")).alias("date"),
@@ -143,5 +147,7 @@ def scenario_arrays(params: DataFrame, baseline: str, end: Column | None = None)
         (F.datediff("t_end", "t_start") + 1).alias("n_days"),
         F.transform("rows", lambda r: r["variant"]).alias("subjects"),
         F.transform("rows", lambda r: F.datediff(r["date"], F.col("t_start"))).alias("intro"),
-        *[F.transform("rows", lambda r, f=f: r[f]).alias(f) for f in ("c", "k", "qt")],
+        F.transform("rows", lambda r: r["c"]).alias("c"),
+        F.transform("rows", lambda r: r["k"]).alias("k"),
+        F.transform("rows", lambda r: r["qt"]).alias("qt"),
     )

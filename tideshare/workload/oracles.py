@@ -358,8 +358,8 @@ ORACLES = {
     "day_numbers": f"""with {counts('region', 'month')}, s as (select *, round(n / nullif(sum(n) over (
         partition by series_id, date_from), 0), 6) as k, min(date_from) over (partition by series_id) as t0 from counts)
       select series_id, cast(date_from as varchar) as date_from, variant, datediff('day', t0, date_from) + 1 as day,
-        {floor3('k')} as k, printf('%.3f—%.3f', round(0.5 / (n + 1), 6), k) as label, round(2.0 * n + 18.0, 6) as AIC,
-        round(2.0 * n + 18.0 - 8.0, 6) as bound, cast(4 + 5 + 5 + 1 as bigint) as num_pars from s""",
+        {floor3('k')} as k, printf('%.3f—%.3f', {floor3('0.5 / (n + 1)')}, {floor3('k')}) as label, round(cast(2 * n + 18 as double), 6) as AIC,
+        round(cast(2 * n + 10 as double), 6) as bound, cast(4 + 5 + 5 + 1 as bigint) as num_pars from s""",
     "generation_weights": f"""with {RATES_SQL},
       z as (select series_id, variant, m, m / (k * {THETA}) as z from rates, (select unnest(range(0, {len(W) + 1})) as m)),
       f as (select series_id, variant, m, {GAMMA_CDF} as f from z)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideshare.functions import numbers as num
 from tideshare.functions import partitions as part
-from tideshare.functions.gamma import chi2_quantile, gamma_weights, truncation_days, truncation_length
+from tideshare.functions.gamma import gamma_weights, truncation_days, truncation_length
 from tideshare.operators import counts as ct
 from tideshare.operators import partitions as pt
 from tideshare.operators import ranking as rk
@@ -19,7 +19,13 @@ from tideshare.plans import likelihood as lk
 from tideshare.plans import reports as rp
 from tideshare.plans import search as se
 from tideshare.plans import trajectory as tr
-from tideshare.plans.series import attach_series, params_to_arrays, series_arrays
+from tideshare.plans.series import (
+    attach_series,
+    ensure_checkpoint_dir,
+    materialise,
+    params_to_arrays,
+    series_arrays,
+)
 from tideshare.sources import checks as ck
 from tideshare.sources import tables as tb
 from tideshare.workload import bindings as b
@@ -40,7 +46,7 @@ def dated(df: DataFrame, *names: str) -> DataFrame:
 
 def work_path(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder."""
-    se.ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
 
 
@@ -209,7 +215,7 @@ def day_numbers(spark, sf):
         "series_id", "date_from", "variant",
         num.day_offset("date_from", "t_start").cast("bigint").alias("day"),
         num.floor3(k).alias("k"),
-        num.interval_label(F.round(lb, 6), k).alias("label"),
+        num.interval_label(num.floor3(lb), num.floor3(k)).alias("label"),
         r6(num.aic(-F.col("n").cast("double"), F.lit(9))).alias("AIC"),
         r6(num.coarsening_bound(num.aic(-F.col("n").cast("double"), F.lit(9)), F.lit(4))).alias("bound"),
         num.num_parameters(F.lit(4), F.lit(5), True, True).alias("num_pars"),
@@ -492,12 +498,6 @@ def grid_loglik(spark, sf):
     return _grid(spark, sf).select("series_id", "candidate_id", r6("ll", 4).alias("ll"))
 
 
-def _region(grid: DataFrame, df: int) -> DataFrame:
-    """Grid points inside the likelihood region of ``df`` parameters."""
-    top = grid.groupBy("series_id").agg(F.max("ll").alias("top"))
-    return grid.join(top, "series_id").filter(F.col("ll") >= F.col("top") - chi2_quantile(df) / 2)
-
-
 def _grid_params(points: DataFrame) -> DataFrame:
     cells = points.select("series_id", "candidate_id", F.explode(F.arrays_zip("subjects", "k", "qt")).alias("x"))
     return cells.select("series_id", "candidate_id", F.col("x.subjects").alias("variant"),
@@ -506,13 +506,13 @@ def _grid_params(points: DataFrame) -> DataFrame:
 
 def profile_ci_grid(spark, sf):
     """Range of each rate over the grid points inside the likelihood cut."""
-    return sh.param_range(_grid_params(_region(_grid(spark, sf), 1)), "k")
+    return sh.param_range(_grid_params(lk.likelihood_region(_grid(spark, sf), 1)), "k")
 
 
 def region_bands_grid(spark, sf):
     """Bands of shares and mean rate over the joint region, seeded with the best point."""
     grid = lk.grid_scores(b.segment_series(spark, sf), RATES, ALPHA, THETA, keep_traj=True)
-    inside = _region(grid, 2 * 4)
+    inside = lk.likelihood_region(grid, 2 * 4)
     traj = tr.explode_trajectory(inside)
     shares = sh.band(traj)
     means = sh.population_mean(traj, _grid_params(inside))
@@ -564,9 +564,9 @@ def _grid_estimates(spark, sf) -> DataFrame:
     """Estimates report of the grid fit: best point, ranges over the region, baseline row."""
     counts = b.segment_counts(spark, sf)
     first = ct.first_seen(counts).withColumnRenamed("first_date", "date")
-    grid = lk.grid_scores(b.series_with_shares(counts, BASELINE), RATES, ALPHA, THETA)
+    grid = materialise(lk.grid_scores(b.series_with_shares(counts, BASELINE), RATES, ALPHA, THETA))
     params = _grid_params(lk.best_point(grid)).join(first, ["series_id", "variant"])
-    inside = _grid_params(_region(grid, 1)).join(first, ["series_id", "variant"])
+    inside = _grid_params(lk.likelihood_region(grid, 1)).join(first, ["series_id", "variant"])
     return rp.estimates_report(params, ct.date_bounds(counts), BASELINE, inside)
 
 
@@ -603,7 +603,7 @@ def frequency_report(spark, sf):
     keys = best.select("series_id", "candidate_id", "k")
     rows = tr.with_trajectory(attach_series(keys, series.drop("bins")), ALPHA, THETA)
     names = ["click", "error", "purchase", "signup", BASELINE]
-    out = rp.frequency_report(tr.explode_trajectory(rows), _grid_params(best), names)
+    out = rp.frequency_report(tr.explode_trajectory(rows.drop("candidate_id")), _grid_params(best), names)
     return dated(out.withColumns({c: r6(c) for c in [*names, "average_c", "average_k"]}), "date")
 
 
@@ -656,8 +656,7 @@ def best_partition(spark, sf):
 
 
 def _search(spark, sf, width: int = 1) -> tuple[DataFrame, DataFrame]:
-    se.ensure_checkpoint_dir(spark)
-    patterns = _patterns(spark, sf).checkpoint()
+    patterns = materialise(_patterns(spark, sf))
     return se.search_partitions(_finest(spark, sf), se.grid_scorer(patterns, MAX_CATEGORIES), width)
 
 
@@ -749,11 +748,11 @@ def region_bands(spark, sf):
 
 
 def search_fit(spark, sf):
-    """Search with continuous fits over the part types, monthly bins, a series per return flag."""
-    series = series_arrays(b.part_counts(spark, sf), b.TYPE_BASELINE).drop("ln_coef")
-    se.ensure_checkpoint_dir(spark)
-    series = series.checkpoint()
-    scores, _ = se.search_partitions(ft.finest_candidates(series), se.fit_scorer(series, OPTIONS), 1)
+    """Search with continuous fits per segment, each started from the finest fit."""
+    series = materialise(series_arrays(b.segment_counts(spark, sf), BASELINE))
+    finest = ft.finest_candidates(series)
+    best = materialise(ft.fit(ft.default_start(finest, series), OPTIONS))
+    scores, _ = se.search_partitions(finest, se.fit_scorer(series, OPTIONS, best), 1)
     return se.ledger(scores)
 
 
