@@ -57,8 +57,9 @@ def floor3(x: Column | str) -> Column:
 
 
 def interval_label(lb: Column | str, ub: Column | str) -> Column:
-    """``lb—ub`` with three decimals each."""
-    return F.format_string("%.3f—%.3f", col(lb), col(ub))
+    """``lb—ub`` with three decimals each, NULL if an end is missing."""
+    lb, ub = col(lb), col(ub)
+    return F.when(lb.isNotNull() & ub.isNotNull(), F.format_string("%.3f—%.3f", lb, ub))
 
 
 def aic(ll: Column | str, num_pars: Column | str) -> Column:

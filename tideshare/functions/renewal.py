@@ -1,13 +1,14 @@
-"""Numbers for one fit inside a task: model with derivatives, likelihood, scoring steps.
+"""Numbers for the fits inside a task: model with derivatives, likelihood, scoring steps.
 
-Parameters are logarithms, in the order rates per block, start shares, time scales (if free),
-concentration (if any). Spark decides which fit runs where; see ``plans.fit``.
+All functions work on a batch of fits at once (first axis of the parameters), so that NumPy runs
+over thousands of small problems per call. Parameters are logarithms, in the order rates per
+block, start shares, time scales (if free), concentration (if any). Spark decides which fits
+share a task; see ``plans.fit``.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 
@@ -18,7 +19,18 @@ SCALE_BOUNDS = (1e-10, 10.0)
 CONCENTRATION_BOUNDS = (1e-10, 1e5)
 START_RATE, START_SHARE, START_SCALE, START_CONCENTRATION = 1.0, 0.001, 1.0, 10.0
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+MEMORY = 64 * 2**20  # bytes of derivatives that one batch may hold
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    shift = np.zeros_like(x)
+    for _ in range(8):
+        shift += np.log(x)
+        x = x + 1
+    y = 1 / (x * x)
+    tail = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + tail - shift
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -42,254 +54,296 @@ def gamma_cdf(z: np.ndarray, alpha: float) -> np.ndarray:
     return np.where(z <= 0, 0.0, np.where(inside, np.minimum(value, 1.0), 1.0))
 
 
-@dataclass
-class Problem:
-    """One series with one grouping of its categories."""
-
-    block: np.ndarray  # block of each subject, 0 = rate of the baseline
-    intro: np.ndarray
-    days: int
-    d1: np.ndarray
-    d2: np.ndarray
-    n: np.ndarray  # bins x categories, baseline last
-    weights: np.ndarray  # lags
-    alpha: float = 0.0
-    theta: float = 0.0
-    time_scale: bool = False
-    dirichlet: bool = False
-
-    def __post_init__(self) -> None:
-        self.s = len(self.block)
-        self.k = int(self.block.max(initial=0))
-        self.total = self.n.sum(axis=1)
-        extra = self.s * self.time_scale
+class Fits:
+    """Fits with the same number of categories; days and bins are padded to the longest.
+
+    ``block`` [fit, subject] (0 = rate of the baseline), ``intro`` [fit, subject],
+    ``d1``, ``d2`` [bin, fit] and ``n`` [bin, fit, category], baseline last.
+    """
+
+    def __init__(self, block, intro, d1, d2, n, weights, alpha, theta, time_scale, dirichlet):
+        self.block, self.intro, self.d1, self.d2, self.n = block, intro, d1, d2, n
+        self.weights, self.alpha, self.theta = weights, alpha, theta
+        self.time_scale, self.dirichlet = time_scale, dirichlet
+        self.b, self.s = block.shape
+        self.k = int(block.max(initial=0))
+        self.days = int(d2.max(initial=1))
+        extra = self.s * time_scale
+        self.model_size = self.k + self.s + extra
+        self.size = self.model_size + dirichlet
         bounds = [RATE_BOUNDS] * self.k + [SHARE_BOUNDS] * self.s + [SCALE_BOUNDS] * extra
-        bounds += [CONCENTRATION_BOUNDS] * self.dirichlet
+        bounds += [CONCENTRATION_BOUNDS] * dirichlet
         self.low, self.high = np.array(bounds, dtype=float).T
         self.lo, self.hi = np.log(self.low), np.log(self.high)
-        self.model_size = self.k + self.s + extra
-        self.constant = float((_lgamma(self.total + 1.0) - _lgamma(self.n + 1.0).sum(axis=1)).sum())
+        self.used = np.ones((self.b, self.size), dtype=bool)
+        self.used[:, : self.k] = np.arange(self.k) < block.max(axis=1, initial=0)[:, None]
+        self.total = n.sum(axis=2)
+        self.single = bool((d1 == d2).all())
+        self.constant = (log_gamma(self.total + 1) - log_gamma(n + 1).sum(axis=2)).sum(axis=0)
+        units = np.eye(self.model_size)
+        self.unit_k = np.where((block > 0)[..., None], units[np.maximum(block - 1, 0)], 0.0)
+        self.unit_q = units[self.k : self.k + self.s]
+        self.unit_c = units[self.k + self.s :]
+
+    def take(self, rows: np.ndarray) -> Fits:
+        """Some of the fits, with the parameter layout of all."""
+        out = object.__new__(Fits)
+        out.__dict__.update(self.__dict__)
+        out.b = len(rows)
+        for name in ("block", "intro", "used", "constant", "unit_k"):
+            setattr(out, name, getattr(self, name)[rows])
+        for name in ("d1", "d2", "n", "total"):
+            setattr(out, name, getattr(self, name)[:, rows])
+        return out
 
     def pack(self, k, qt, c=None, d=None) -> np.ndarray:
-        rates = [k[np.flatnonzero(self.block == b)[0]] for b in range(1, self.k + 1)]
-        parts = [rates, qt, c if self.time_scale else [], [d] if self.dirichlet else []]
-        raw = np.log(np.maximum(np.concatenate([np.asarray(p, float) for p in parts]), 1e-300))
-        return np.clip(raw, self.lo, self.hi)
+        """Parameters [fit, parameter] from rates, shares and scales per subject."""
+        rates = np.ones((self.b, self.k))
+        for j in range(self.s):
+            rows = np.flatnonzero(self.block[:, j] > 0)
+            rates[rows, self.block[rows, j] - 1] = k[rows, j]
+        parts = [rates, qt]
+        if self.time_scale:
+            parts.append(c)
+        if self.dirichlet:
+            parts.append(np.reshape(d, (-1, 1)))
+        raw = np.concatenate(parts, axis=1)
+        return np.log(np.clip(raw, self.low, self.high))
 
     def unpack(self, par: np.ndarray):
         v = np.clip(np.exp(par), self.low, self.high)
-        rates = np.concatenate([[1.0], v[: self.k]])[self.block]
-        c = v[self.k + self.s : self.model_size] if self.time_scale else np.ones(self.s)
-        return rates, v[self.k : self.k + self.s], c, v[-1] if self.dirichlet else None
+        rates = np.concatenate([np.ones((self.b, 1)), v[:, : self.k]], axis=1)
+        rates = np.take_along_axis(rates, self.block, axis=1)
+        c = v[:, self.k + self.s : self.model_size] if self.time_scale else np.ones((self.b, self.s))
+        return rates, v[:, self.k : self.k + self.s], c, v[:, -1] if self.dirichlet else None
 
     def lag_weights(self, c: np.ndarray) -> np.ndarray:
+        """[lag, fit, category]"""
         if not self.time_scale:
-            return np.repeat(self.weights[:, None], self.s + 1, axis=1)
-        lags = np.arange(len(self.weights) + 1.0)[:, None]
-        cdf = gamma_cdf(lags / (np.append(c, 1.0) * self.theta), self.alpha)
+            return np.broadcast_to(self.weights[:, None, None], (len(self.weights), self.b, self.s + 1))
+        lags = np.arange(len(self.weights) + 1.0)[:, None, None]
+        scale = np.concatenate([c, np.ones((self.b, 1))], axis=1) * self.theta
+        cdf = gamma_cdf(lags / scale, self.alpha)
         return np.diff(cdf, axis=0) / cdf[-1]
 
-    def shares(self, par: np.ndarray, slopes: bool):
-        """Daily shares and, if asked, their derivatives by the model parameters."""
-        s, k, size = self.s, self.k, self.model_size
+    def shares(self, par: np.ndarray):
+        """Daily shares [day, fit, category] and their derivatives by the model parameters."""
+        s = self.s
         rates, qt, c, _ = self.unpack(par)
-        rate = np.append(rates, 1.0)
+        rate = np.concatenate([rates, np.ones((self.b, 1))], axis=1)
         w = self.lag_weights(c)
         lags = len(w)
         a = w * rate
-        if slopes and self.time_scale:
+        if self.time_scale:
             h = 1e-4
-            b = (self.lag_weights(c * math.exp(h)) - self.lag_weights(c * math.exp(-h))) / (2 * h) * rate
-        own = np.arange(s)
-        paid = own[self.block > 0]
-        q = np.zeros((self.days + lags, s + 1))
-        dq = np.zeros((self.days + lags, s + 1, size)) if slopes else None
+            up, down = self.lag_weights(c * math.exp(h)), self.lag_weights(c * math.exp(-h))
+            slope_c = (up - down) / (2 * h) * rate
+        # newest lag last, to match the order of the days
+        a = np.ascontiguousarray(a[::-1])
+        q = np.zeros((self.days + lags, self.b, s + 1))
+        dq = np.zeros((self.days + lags, self.b, s + 1, self.model_size))
+        unit_q = qt[..., None] * self.unit_q
         for t in range(self.days):
             at = t + lags
             if t == 0:
                 here = self.intro <= 0
-                raw, draw = np.zeros(s), np.zeros((s, size))
+                raw, draw = np.zeros((self.b, s)), np.zeros((self.b, s, self.model_size))
             else:
-                past = q[at - lags : at][::-1]
+                past = q[at - lags : at]
                 num = (a * past).sum(axis=0)
-                total = num.sum()
-                raw = num[:s] / total
+                total = num.sum(axis=1, keepdims=True)
+                raw = num[:, :s] / total
                 here = self.intro == t
-                if slopes:
-                    dnum = np.einsum("ls,lsp->sp", a, dq[at - lags : at][::-1])
-                    dnum[paid, self.block[paid] - 1] += num[paid]
-                    if self.time_scale:
-                        dnum[own, k + s + own] += (b * past).sum(axis=0)[:s]
-                    draw = (dnum[:s] - raw[:, None] * dnum.sum(axis=0)) / total
-            raw[here] = qt[here]
-            if slopes:
-                draw[here] = 0.0
-                draw[own[here], k + own[here]] = qt[here]
-            sub = raw.sum()
-            if sub > 1:
-                raw = raw / sub
-                if slopes:
-                    draw = draw / sub - raw[:, None] * draw.sum(axis=0) / sub
-                rest = 0.0
-            else:
-                rest = 1.0 - sub
-            q[at, :s], q[at, s] = raw, rest
-            if slopes:
-                dq[at, :s] = draw
-                dq[at, s] = 0.0 if sub > 1 else -draw.sum(axis=0)
+                dnum = np.einsum("lbs,lbsp->bsp", a, dq[at - lags : at])
+                dnum[:, :s] += num[:, :s, None] * self.unit_k
+                if self.time_scale:
+                    dnum[:, :s] += (slope_c[::-1] * past).sum(axis=0)[:, :s, None] * self.unit_c
+                draw = (dnum[:, :s] - raw[..., None] * dnum.sum(axis=1, keepdims=True)) / total[..., None]
+            if here.any():
+                raw = np.where(here, qt, raw)
+                draw = np.where(here[..., None], unit_q, draw)
+            sub = raw.sum(axis=1)
+            over = sub > 1
+            if over.any():
+                scale = np.where(over, sub, 1.0)[:, None]
+                raw = raw / scale
+                gone = np.where(over[:, None, None], draw.sum(axis=1, keepdims=True), 0.0)
+                draw = (draw - raw[..., None] * gone) / scale[..., None]
+            q[at, :, :s], q[at, :, s] = raw, np.where(over, 0.0, 1.0 - sub)
+            dq[at, :, :s] = draw
+            dq[at, :, s] = np.where(over[:, None], 0.0, -draw.sum(axis=1))
             if t == 0:
-                q[:lags] = q[at]
-                if slopes:
-                    dq[:lags] = dq[at]
-        return q[lags:], dq[lags:] if slopes else None
+                q[:lags], dq[:lags] = q[at], dq[at]
+        return q[lags:], dq[lags:]
 
     def bin_means(self, x: np.ndarray) -> np.ndarray:
-        if (self.d1 == self.d2).all():
-            return x[self.d1 - 1]
+        fits = np.arange(self.b)
+        if self.single:
+            return x[self.d1 - 1, fits]
         run = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
-        width = (self.d2 - self.d1 + 1).reshape(-1, *[1] * (x.ndim - 1))
-        return (run[self.d2] - run[self.d1 - 1]) / width
+        width = (self.d2 - self.d1 + 1).reshape(*self.d1.shape, *[1] * (x.ndim - 2))
+        return (run[self.d2, fits] - run[self.d1 - 1, fits]) / width
 
-    def evaluate(self, par: np.ndarray, slopes: bool = True):
-        """Log-likelihood, gradient and expected information.
+    def evaluate(self, par: np.ndarray):
+        """Log-likelihood, gradient and expected information of every fit.
 
         A point that leaves a counted category without probability is out of reach for a fit,
         with either observation model (up to rounding: start shares that sum to more than 1
         leave about 1e-16 to the baseline).
         """
-        q, dq = self.shares(par, slopes)
+        q, dq = self.shares(par)
         p = np.maximum(self.bin_means(q), 0.0)
+        dp = self.bin_means(dq)
         on = p > 0
         safe = np.where(on, p, 1.0)
-        size = len(par)
-        grad, info = np.zeros(size), np.zeros((size, size))
+        grad = np.zeros((self.b, self.size))
+        info = np.zeros((self.b, self.size, self.size))
         m = slice(0, self.model_size)
-        dp = self.bin_means(dq).reshape(-1, self.model_size) if slopes else None
-        if (self.n[p < 1e-14] > 0).any():
-            return -np.inf, grad, info
-        if not self.dirichlet:
-            ll = self.constant + float((self.n * np.log(safe)).sum())
-            if not slopes:
-                return ll, grad, info
-            score, weight = self.n / safe, self.total[:, None] / safe
-        else:
-            d = math.exp(par[-1])
+        if self.dirichlet:
+            d = np.exp(par[:, -1])[:, None]
             obs, alpha = np.where(on, self.n, 0.0), np.where(on, p * d, 1.0)
-            tot = obs.sum(axis=1)
-            mass = np.where(on, alpha, 0.0).sum(axis=1)
-            ll = float((_lgamma(tot + 1) + _lgamma(mass) - _lgamma(tot + mass)).sum()
-                       + (_lgamma(obs + alpha) - _lgamma(alpha) - _lgamma(obs + 1))[on].sum())
-            if not slopes:
-                return ll, grad, info
-            head = (digamma(mass) - digamma(tot + mass))[:, None]
-            cell = np.where(on, digamma(obs + alpha) - digamma(alpha) + head, 0.0)
-            score, weight = cell * d, (tot * (1 + d) / (tot + d))[:, None] / safe
-            grad[-1] = float((np.where(on, alpha, 0.0) * cell).sum())
-            info[-1, -1] = max(abs(self.concentration_curvature(obs, alpha, on)), 1e-8)
-        grad[m] = np.where(on, score, 0.0).reshape(-1) @ dp
-        root = dp * np.sqrt(np.where(on, weight, 0.0)).reshape(-1, 1)
-        info[m, m] = root.T @ root
+            total = obs.sum(axis=2)
+            mass = np.where(on, alpha, 0.0).sum(axis=2)
+            ll = (log_gamma(total + 1) + log_gamma(mass) - log_gamma(total + mass)).sum(axis=0)
+            cells = log_gamma(obs + alpha) - log_gamma(alpha) - log_gamma(obs + 1)
+            ll = ll + np.where(on, cells, 0.0).sum(axis=(0, 2))
+            cell = self.concentration_slopes(obs, alpha, on)
+            score, weight = cell * d, (total * (1 + d.T) / (total + d.T))[..., None] / safe
+            grad[:, -1] = np.where(on, alpha * cell, 0.0).sum(axis=(0, 2))
+            h = 1e-3
+            up, down = (np.where(on, alpha * f * self.concentration_slopes(obs, np.where(on, alpha * f, 1.0), on), 0.0)
+                        .sum(axis=(0, 2)) for f in (math.exp(h), math.exp(-h)))
+            info[:, -1, -1] = np.maximum(np.abs(up - down) / (2 * h), 1e-8)
+        else:
+            ll = self.constant + (self.n * np.log(safe)).sum(axis=(0, 2))
+            score, weight = self.n / safe, self.total[..., None] / safe
+        ll = np.where((self.n * (p < 1e-14)).sum(axis=(0, 2)) > 0, -np.inf, ll)
+        grad[:, m] = np.einsum("tbs,tbsp->bp", np.where(on, score, 0.0), dp)
+        root = dp * np.sqrt(np.where(on, weight, 0.0))[..., None]
+        root = root.transpose(1, 0, 2, 3).reshape(self.b, -1, self.model_size)
+        info[:, m, m] = root.transpose(0, 2, 1) @ root
         return ll, grad, info
 
-    def concentration_curvature(self, obs, alpha, on, h: float = 1e-3) -> float:
-        def slope(f: float) -> float:
-            a = np.where(on, alpha * f, 1.0)
-            mass = np.where(on, a, 0.0).sum(axis=1)
-            tot = obs.sum(axis=1)
-            head = (digamma(mass) - digamma(tot + mass))[:, None]
-            return float(np.where(on, a * (digamma(obs + a) - digamma(a) + head), 0.0).sum())
-
-        return (slope(math.exp(h)) - slope(math.exp(-h))) / (2 * h)
-
-    def free(self, par: np.ndarray, grad: np.ndarray, fixed: int | None) -> np.ndarray:
-        out = ((par <= self.lo) & (grad < 0)) | ((par >= self.hi) & (grad > 0))
-        if fixed is not None:
-            out[fixed] = True
-        return ~out
-
-    def maximise(self, par: np.ndarray, fixed: int | None = None, rounds: int = 200):
-        """Damped scoring within the bounds; ``fixed`` holds one parameter."""
-        ll, grad, info = self.evaluate(par)
-        if not np.isfinite(ll):
-            return par, ll, False
-        damp = 1e-4
+    @staticmethod
+    def concentration_slopes(obs, alpha, on):
+        mass = np.where(on, alpha, 0.0).sum(axis=2)
+        head = digamma(mass) - digamma(obs.sum(axis=2) + mass)
+        return np.where(on, digamma(obs + alpha) - digamma(alpha) + head[..., None], 0.0)
+
+    def free(self, par: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        stuck = ((par <= self.lo) & (grad < 0)) | ((par >= self.hi) & (grad > 0))
+        return self.used & ~stuck
+
+    @staticmethod
+    def system(info: np.ndarray, free: np.ndarray, damp: np.ndarray) -> np.ndarray:
+        """Damped information of the free parameters, identity for the others."""
+        sub = np.where(free[:, :, None] & free[:, None, :], info, 0.0)
+        diag = np.maximum(np.einsum("bii->bi", info), 1e-10)
+        extra = np.where(free, damp[:, None] * diag + 1e-12, 1.0)
+        return sub + extra[:, :, None] * np.eye(info.shape[1])
+
+    def maximise(self, par: np.ndarray, fixed: np.ndarray | None = None, rounds: int = 200):
+        """Damped scoring within the bounds; ``fixed`` holds one parameter per fit.
+
+        Returns parameters, log-likelihood and whether each fit has settled.
+        """
+        par, out_ll, ok = par.copy(), np.full(self.b, -np.inf), np.zeros(self.b, dtype=bool)
+        rows, work = np.arange(self.b), self
+        x = par.copy()
+        ll, grad, info = work.evaluate(x)
+        damp = np.full(self.b, 1e-4)
+        done = ~np.isfinite(ll)
         for _ in range(rounds):
-            use = np.flatnonzero(self.free(par, grad, fixed))
-            if not len(use):
-                return par, ll, True
-            sub, g = info[np.ix_(use, use)], grad[use]
-            diag = np.maximum(np.diag(sub), 1e-10)
-            step = np.linalg.solve(sub + np.diag(damp * diag + 1e-12), g)
-            if g @ step < 2e-9 and damp <= 1e-3:
-                return par, ll, True
-            trial = par.copy()
-            trial[use] += step * min(1.0, 2.0 / np.abs(step).max())
-            trial = np.clip(trial, self.lo, self.hi)
-            value = self.evaluate(trial, slopes=False)[0]
-            if value > ll:
-                par = trial
-                ll, grad, info = self.evaluate(par)
-                damp = max(damp / 10, 1e-8)
-            elif damp > 1e8:
-                return par, ll, bool(g @ step < 1e-6)
-            else:
-                damp = max(damp * 10, 1e-4)
-        return par, ll, False
+            free = work.free(x, grad)
+            if fixed is not None:
+                free[np.arange(work.b), fixed[rows]] = False
+            g = np.where(free, grad, 0.0)
+            step = np.linalg.solve(work.system(info, free, damp), g[..., None])[..., 0]
+            gain = (g * step).sum(axis=1)
+            settled = np.isfinite(ll) & (((gain < 2e-9) & (damp <= 1e-3)) | ((damp > 1e8) & (gain < 1e-6)))
+            done |= settled | (damp > 1e8)
+            par[rows], out_ll[rows], ok[rows] = x, ll, settled
+            if done.any():
+                keep = np.flatnonzero(~done)
+                rows, work, done = rows[keep], work.take(keep), done[keep]
+                x, ll, grad, info, damp, step = x[keep], ll[keep], grad[keep], info[keep], damp[keep], step[keep]
+            if not len(rows):
+                break
+            reach = np.abs(step).max(axis=1, keepdims=True)
+            trial = np.clip(x + step * np.minimum(1.0, 2.0 / np.maximum(reach, 1e-300)), work.lo, work.hi)
+            value, new_grad, new_info = work.evaluate(trial)
+            better = value > ll
+            x = np.where(better[:, None], trial, x)
+            ll = np.where(better, value, ll)
+            grad = np.where(better[:, None], new_grad, grad)
+            info = np.where(better[:, None, None], new_info, info)
+            damp = np.where(better, np.maximum(damp / 10, 1e-8), np.maximum(damp * 10, 1e-4))
+        return par, out_ll, ok
 
-    def extreme(self, best: np.ndarray, ll_max: float, i: int, side: int, cut: float):
-        """Smallest (side -1) or largest (+1) value of parameter i with ll >= cut.
+    def extreme(self, best: np.ndarray, ll_max: np.ndarray, which: np.ndarray, side: np.ndarray,
+                cut: np.ndarray):
+        """Smallest (side -1) or largest (+1) value of one parameter per fit with ll >= cut.
 
-        Each step solves the quadratic model of the constraint exactly; if that does not settle,
-        the profile is bisected.
+        Each step solves the quadratic model of the constraint exactly. A fit that runs into the
+        bound of its parameter, or does not settle, is finished by bisecting the profile.
         """
-        par = best.copy()
+        out, out_ll = best.copy(), ll_max.copy()
+        rest = []
+        rows, work, x = np.arange(self.b), self, best.copy()
         for _ in range(60):
-            ll, grad, info = self.evaluate(par)
-            if not np.isfinite(ll):
-                break
-            use = np.flatnonzero(self.free(par, grad, None) | (np.arange(len(par)) == i))
-            pos = int(np.flatnonzero(use == i)[0])
-            sub = info[np.ix_(use, use)]
-            sub = sub + np.diag(1e-9 * np.maximum(np.diag(sub), 1e-10))
-            unit = np.zeros(len(use))
-            unit[pos] = 1.0
-            v, u = np.linalg.solve(sub, np.column_stack([unit, grad[use]])).T
-            room = 2 * (ll - cut) + grad[use] @ u
-            step = u + side * math.sqrt(max(room, 0.0) / max(v[pos], 1e-300)) * v
-            new = par.copy()
-            new[use] += step * min(1.0, 1.0 / max(np.abs(step).max(), 1e-300))
-            new = np.clip(new, self.lo, self.hi)
-            move = np.abs(new - par).max()
-            if abs(ll - cut) < 1e-6 and move < 1e-6:
-                return par, ll
-            par = new
-            if (par[i] <= self.lo[i] if side < 0 else par[i] >= self.hi[i]):
-                edge, value, _ = self.maximise(par, fixed=i)
-                if value >= cut:
-                    return edge, value
+            one = np.arange(work.b)
+            i, sgn = which[rows], side[rows]
+            ll, grad, info = work.evaluate(x)
+            free = work.free(x, grad)
+            free[one, i] = True
+            unit = np.zeros_like(x)
+            unit[one, i] = 1.0
+            both = np.stack([unit, np.where(free, grad, 0.0)], axis=2)
+            sub = work.system(info, free, np.full(work.b, 1e-9))
+            v, u = np.moveaxis(np.linalg.solve(sub, both), 2, 0)
+            room = 2 * (ll - cut[rows]) + (both[..., 1] * u).sum(axis=1)
+            pull = sgn * np.sqrt(np.maximum(np.nan_to_num(room), 0.0) / np.maximum(v[one, i], 1e-300))
+            step = u + pull[:, None] * v
+            reach = np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300)
+            new = np.clip(x + step * np.minimum(1.0, 1.0 / reach), work.lo, work.hi)
+            settled = (np.abs(ll - cut[rows]) < 1e-6) & (np.abs(new - x).max(axis=1) < 1e-6)
+            out[rows[settled]], out_ll[rows[settled]] = x[settled], ll[settled]
+            edge = np.where(sgn < 0, new[one, i] <= work.lo[i], new[one, i] >= work.hi[i])
+            lost = ~settled & (edge | ~np.isfinite(ll))
+            rest.append(rows[lost])
+            keep = np.flatnonzero(~settled & ~lost)
+            rows, work, x = rows[keep], work.take(keep), new[keep]
+            if not len(rows):
                 break
-        return self.bisect(best, ll_max, i, side, cut)
-
-    def bisect(self, best: np.ndarray, ll_max: float, i: int, side: int, cut: float):
-        bound = self.lo[i] if side < 0 else self.hi[i]
-        good, good_ll, width = best, ll_max, 0.05
-        bad = None
-        while bad is None:
-            trial = good.copy()
-            trial[i] = max(good[i] - width, bound) if side < 0 else min(good[i] + width, bound)
-            par, ll, _ = self.maximise(trial, fixed=i)
-            if ll < cut:
-                bad = trial[i]
-            elif trial[i] == bound:
-                return par, ll
-            else:
-                good, good_ll, width = par, ll, width * 2
-        while abs(bad - good[i]) > 1e-8:
-            trial = good.copy()
-            trial[i] = (good[i] + bad) / 2
-            par, ll, _ = self.maximise(trial, fixed=i)
-            if ll < cut:
-                bad = trial[i]
-            else:
-                good, good_ll = par, ll
-        return good, good_ll
+        rest = np.concatenate([*rest, rows])
+        if len(rest):
+            part = self.take(rest)
+            out[rest], out_ll[rest] = part.bisect(best[rest], ll_max[rest], which[rest], side[rest], cut[rest])
+        return out, out_ll
+
+    def bisect(self, best, ll_max, which, side, cut):
+        """The same by steps outwards and halving, with the other parameters refitted."""
+        one = np.arange(self.b)
+        bound = np.where(side < 0, self.lo[which], self.hi[which])
+        good, good_ll = best.copy(), ll_max.copy()
+        bad, width = np.full(self.b, np.nan), np.full(self.b, 0.05)
+        end = np.zeros(self.b, dtype=bool)
+        while True:
+            open_ = np.isnan(bad) & ~end
+            near = np.abs(bad - good[one, which]) > 1e-8
+            rows = np.flatnonzero(open_ | (~end & ~np.isnan(bad) & near))
+            if not len(rows):
+                return good, good_ll
+            w, r = which[rows], np.arange(len(rows))
+            trial = good[rows].copy()
+            out = trial[r, w] + side[rows] * width[rows]
+            out = np.where(side[rows] < 0, np.maximum(out, bound[rows]), np.minimum(out, bound[rows]))
+            trial[r, w] = np.where(np.isnan(bad[rows]), out, (trial[r, w] + bad[rows]) / 2)
+            at_bound = np.isnan(bad[rows]) & (trial[r, w] == bound[rows])
+            par, ll, _ = self.take(rows).maximise(trial, fixed=w)
+            inside = ll >= cut[rows]
+            bad[rows] = np.where(inside, bad[rows], trial[r, w])
+            good[rows] = np.where(inside[:, None], par, good[rows])
+            good_ll[rows] = np.where(inside, ll, good_ll[rows])
+            end[rows] |= inside & at_bound
+            width[rows] *= 2

@@ -1,8 +1,9 @@
 """Continuous maximum likelihood, intervals and bands as Spark jobs.
 
 One row is one fit: (series, grouping), or (series, grouping, parameter, side) for an interval
-end. Rows are spread over tasks by these keys; inside a task NumPy runs one small dense problem
-per row (see ``functions.renewal``). Likelihoods can be recomputed in the JVM by ``plans.likelihood``.
+end. Rows are spread over tasks by these keys; inside a task NumPy works on Arrow batches of
+small dense problems (see ``functions.renewal``). Likelihoods can be recomputed in the JVM by
+``plans.likelihood``.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from tideshare.functions.gamma import chi2_quantile, weights_value
 from tideshare.functions.numbers import aic, num_parameters
 from tideshare.functions.partitions import rgs_key
 from tideshare.functions.renewal import (
+    MEMORY,
     START_CONCENTRATION,
     START_RATE,
     START_SCALE,
     START_SHARE,
-    Problem,
+    Fits,
 )
 from tideshare.plans.series import attach_series
 
@@ -78,6 +80,10 @@ def lean(series: DataFrame) -> DataFrame:
     )
 
 
+def stack(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_list())
+
+
 class Options:
     """Run options that every fit of a job shares."""
 
@@ -87,39 +93,51 @@ class Options:
         self.weights = weights_value(alpha, theta, length)
         self.time_scale, self.dirichlet = time_scale, dirichlet
 
-    def problem(self, row) -> Problem:
-        s = len(row.rgs)
-        return Problem(
-            block=np.asarray(row.rgs[1:], dtype=int),
-            intro=np.asarray(row.intro),
-            days=int(row.n_days),
-            d1=np.asarray(row.d1),
-            d2=np.asarray(row.d2),
-            n=np.asarray(row.flat, dtype=float).reshape(-1, s),
-            weights=np.asarray(self.weights),
-            alpha=self.alpha,
-            theta=self.theta,
-            time_scale=self.time_scale,
-            dirichlet=self.dirichlet,
-        )
+    def batches(self, rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Fits]]:
+        """Rows with equally many categories together, sorted by length to save padding, in
+        pieces whose derivatives fit in memory."""
+        lags = len(self.weights)
+        width = rows["rgs"].str.len()
+        for s, same in rows.groupby(width, sort=False):
+            same = same.sort_values("n_days", kind="stable")
+            per_row = 8 * int(same["n_days"].max() + lags) * s * 3 * s
+            step = max(1, MEMORY // per_row)
+            for at in range(0, len(same), step):
+                piece = same.iloc[at : at + step]
+                yield piece, self.fits(piece, s)
+
+    def fits(self, rows: pd.DataFrame, s: int) -> Fits:
+        bins = int(rows["d1"].str.len().max())
+        d1 = np.ones((bins, len(rows)), dtype=int)
+        d2 = np.ones((bins, len(rows)), dtype=int)
+        n = np.zeros((bins, len(rows), s))
+        for i, (a, b, flat) in enumerate(zip(rows["d1"], rows["d2"], rows["flat"])):
+            d1[: len(a), i], d2[: len(b), i] = a, b
+            n[: len(a), i] = np.reshape(flat, (-1, s))
+        return Fits(stack(rows["rgs"])[:, 1:].astype(int), stack(rows["intro"]), d1, d2, n,
+                    np.asarray(self.weights), self.alpha, self.theta, self.time_scale, self.dirichlet)
 
     def num_pars(self):
         return num_parameters(F.array_max("rgs"), F.size("rgs") - 1, self.time_scale, self.dirichlet)
 
 
+def result(keys: pd.DataFrame, f: Fits, par: np.ndarray, ll: np.ndarray) -> pd.DataFrame:
+    k, qt, c, d = f.unpack(par)
+    return keys.assign(ll=ll, k=list(k), qt=list(qt), c=list(c), d=np.full(f.b, np.nan) if d is None else d)
+
+
 def fit(started: DataFrame, options: Options) -> DataFrame:
-    """Fit every row of ``started`` (see ``default_start`` and ``warm_start``)."""
+    """Fit every row of ``started`` (see ``default_start`` and ``warm_start``).
+
+    ``d`` is NaN without a concentration.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                p = options.problem(row)
-                c, d = np.full(p.s, START_SCALE), START_CONCENTRATION
-                par, ll, ok = p.maximise(p.pack(row.k, row.qt, c, d))
-                k, qt, c, d = p.unpack(par)
-                out.append((row.series_id, row.rgs, ll, k, qt, c, d, ok))
-            yield pd.DataFrame(out, columns=["series_id", "rgs", "ll", "k", "qt", "c", "d", "converged"])
+            for rows, f in options.batches(batch):
+                scale, d = np.full((f.b, f.s), START_SCALE), np.full(f.b, START_CONCENTRATION)
+                par, ll, ok = f.maximise(f.pack(stack(rows["k"]), stack(rows["qt"]), scale, d))
+                yield result(rows[["series_id", "rgs"]], f, par, ll).assign(converged=ok)
 
     return started.select("series_id", "rgs", "k", "qt", *ARRAYS).mapInPandas(run, FIT_SCHEMA)
 
@@ -146,18 +164,17 @@ def interval_solutions(fits: DataFrame, series: DataFrame, options: Options,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                p = options.problem(row)
-                df = p.model_size + p.dirichlet if joint else 1
-                best = p.pack(row.k, row.qt, row.c, row.d)
-                par, ll = p.extreme(best, row.ll_max, row.param, row.side,
-                                    row.ll_max - chi2_quantile(df) / 2)
-                k, qt, c, d = p.unpack(par)
-                out.append((row.series_id, row.rgs, row.param, row.side, ll, k, qt, c, d))
-            yield pd.DataFrame(
-                out, columns=["series_id", "rgs", "param", "side", "ll", "k", "qt", "c", "d"]
-            )
+            for rows, f in options.batches(batch):
+                d = rows["d"].to_numpy(dtype=float)
+                best = f.pack(stack(rows["k"]), stack(rows["qt"]), stack(rows["c"]), d)
+                df = f.used.sum(axis=1) if joint else np.ones(f.b, dtype=int)
+                drop = np.array([chi2_quantile(int(x)) / 2 for x in df])
+                which = rows["param"].to_numpy()
+                # a grouping with fewer blocks than the batch leaves rate slots unused
+                which = which + np.where(which < f.block.max(axis=1), 0, f.k - f.block.max(axis=1))
+                top = rows["ll_max"].to_numpy()
+                par, ll = f.extreme(best, top, which, rows["side"].to_numpy(), top - drop)
+                yield result(rows[["series_id", "rgs", "param", "side"]], f, par, ll)
 
     cols = ["series_id", "rgs", "param", "side", "ll_max", "k", "qt", "c", "d", *ARRAYS]
     return joined.select(*cols).mapInPandas(run, SOLUTION_SCHEMA)
