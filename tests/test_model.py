@@ -55,7 +55,7 @@ def expected_counts(k, qt, days=40, total=2000, intro=None):
 def test_fixed_trajectory_value(spark):
     w = [round(x, 6) for x in W]
     row = model_row(spark, [1.05, 0.97, 1.2, 1.0], [0.2, 0.2, 0.1, 0.2], [0] * 4, 30)
-    q = row.select(tr.trajectory_column("k", "qt", "intro", "n_days", tr.same_weights(w, F.lit(5)), 8)[29][2].alias("q"))
+    q = row.select(tr.trajectory_column("k", "qt", "intro", "n_days", w, 8)[29][2].alias("q"))
     assert q.first().q == pytest.approx(0.344944, abs=5e-7)
 
 
@@ -151,7 +151,7 @@ def test_zero_probability(spark):
 
 def fitted(spark, counts, options=OPTIONS, undetected=False):
     series = ss.series_arrays(counts, "base", undetected=undetected)
-    fits = ft.scored(ft.fit(ft.default_start(ft.finest_candidates(series), series), options), options)
+    fits = ft.scored(ft.fit(ft.finest_start(series), options), options)
     return series, fits
 
 

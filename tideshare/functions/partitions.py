@@ -70,6 +70,10 @@ def is_partition(p: Column | str, elements: Column | str) -> Column:
     )
 
 
+def is_subset(a: Column | str, b: Column | str) -> Column:
+    return F.size(F.array_except(col(a), col(b))) == 0
+
+
 def is_coarsening(y: Column | str, x: Column | str) -> Column:
     """Whether every block of ``x`` lies inside one block of ``y``."""
     x, y = col(x), col(y)

@@ -16,23 +16,23 @@ def beam(scores: DataFrame, width: int, keys=("series_id", "level")) -> DataFram
     return scores.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= width).drop("_r")
 
 
-def running_best(scores: DataFrame) -> DataFrame:
+def running_best(scores: DataFrame, prefix: int = 13) -> DataFrame:
     """Lowest AIC among the rows before each row, in the order (level, rgs); NULL for the first.
 
-    Done in two steps so that no task holds a whole series: minimum per level, then the rows of
-    a level by themselves.
+    ``rgs`` is the label string. Rows are cut into runs by level and the first ``prefix``
+    characters of the string, which keeps the order; the minimum per run is aggregated first, and
+    the rows are windowed inside their run only. So no task holds a whole series or level.
     """
-    per_level = scores.groupBy("series_id", "level").agg(F.min("AIC").alias("level_min"))
-    before = W.partitionBy("series_id").orderBy("level").rowsBetween(W.unboundedPreceding, -1)
-    earlier = per_level.select(
-        "series_id", "level", F.min("level_min").over(before).alias("earlier_min")
-    )
-    inside = W.partitionBy("series_id", "level").orderBy("rgs").rowsBetween(W.unboundedPreceding, -1)
+    runs = scores.withColumn("_run", F.substring("rgs", 1, prefix))
+    per_run = runs.groupBy("series_id", "level", "_run").agg(F.min("AIC").alias("_low"))
+    before = W.partitionBy("series_id").orderBy("level", "_run").rowsBetween(W.unboundedPreceding, -1)
+    earlier = per_run.select("series_id", "level", "_run", F.min("_low").over(before).alias("_earlier"))
+    inside = W.partitionBy("series_id", "level", "_run").orderBy("rgs").rowsBetween(W.unboundedPreceding, -1)
     return (
-        scores.withColumn("_in", F.min("AIC").over(inside))
-        .join(earlier, ["series_id", "level"])
-        .withColumn("best_before", F.least("_in", "earlier_min"))
-        .drop("_in", "earlier_min")
+        runs.withColumn("_in", F.min("AIC").over(inside))
+        .join(earlier, ["series_id", "level", "_run"])
+        .withColumn("best_before", F.least("_in", "_earlier"))
+        .drop("_in", "_earlier", "_run")
     )
 
 

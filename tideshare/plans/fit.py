@@ -26,7 +26,7 @@ from tideshare.functions.renewal import (
     START_SHARE,
     Fits,
 )
-from tideshare.plans.series import attach_series
+from tideshare.plans.series import attach_series, spread
 
 FIT_SCHEMA = (
     "series_id string, rgs array<int>, ll double, k array<double>, qt array<double>, "
@@ -44,11 +44,22 @@ def finest_candidates(series: DataFrame) -> DataFrame:
     return series.select("series_id", F.sequence(F.lit(0), F.size("subjects")).alias("rgs"))
 
 
+def finest_start(series: DataFrame) -> DataFrame:
+    """The finest candidate of each series, ready to fit: made from the series row, no join."""
+    rows = lean(series).withColumn("rgs", F.sequence(F.lit(0), F.size("intro")))
+    return spread(with_start(rows))
+
+
 def default_start(candidates: DataFrame, series: DataFrame) -> DataFrame:
-    """Candidates of unknown rates with the fixed start values; done after the series join."""
-    return attach_series(candidates, lean(series)).withColumns({
-        "k": F.array_repeat(F.lit(START_RATE), F.size("rgs") - 1),
-        "qt": F.array_repeat(F.lit(START_SHARE), F.size("rgs") - 1),
+    """Candidates ``(series_id, rgs)`` with the fixed start values."""
+    return with_start(attach_series(candidates, lean(series)))
+
+
+def with_start(rows: DataFrame) -> DataFrame:
+    subjects = F.size("rgs") - 1
+    return rows.withColumns({
+        "k": F.array_repeat(F.lit(START_RATE), subjects),
+        "qt": F.array_repeat(F.lit(START_SHARE), subjects),
     })
 
 

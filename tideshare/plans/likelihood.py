@@ -17,7 +17,7 @@ from tideshare.functions.numbers import (
 )
 from tideshare.functions.partitions import to_rgs
 from tideshare.operators.partitions import all_coarsenings
-from tideshare.plans.series import materialise, spread_count
+from tideshare.plans.series import materialise, spread
 from tideshare.plans.trajectory import with_trajectory
 
 
@@ -82,12 +82,27 @@ def loglik(df: DataFrame, dirichlet: Column | str | None = None, constant: bool
     return df.withColumn("ll", multinomial_ll("traj", "bins", "ln_coef" if constant else None))
 
 
-def loglik_terms(bins_p: DataFrame) -> DataFrame:
-    """Relational form: long ``(.., n, p)`` to summed ``n ln p`` per series and candidate."""
+def loglik_terms(bins_p: DataFrame, dirichlet: Column | None = None) -> DataFrame:
+    """Relational form of ``loglik``: long ``(.., date_from, n, p)`` to ``ll`` per series and candidate.
+
+    The multinomial comes without its constant; a count on a zero probability gives the worst
+    value, while the Dirichlet form leaves such categories out.
+    """
     ids = [c for c in ("series_id", "candidate_id") if c in bins_p.columns]
-    term = multinomial_term("n", "p")
-    sums = bins_p.groupBy(*ids).agg(F.sum(term).alias("ll"), F.count_if(term.isNull()).alias("bad"))
-    return sums.select(*ids, finite_ll(F.when(F.col("bad") == 0, F.col("ll"))).alias("ll"))
+    if dirichlet is None:
+        term = multinomial_term("n", "p")
+        sums = bins_p.groupBy(*ids).agg(F.sum(term).alias("ll"), F.count_if(term.isNull()).alias("bad"))
+        return sums.select(*ids, finite_ll(F.when(F.col("bad") == 0, F.col("ll"))).alias("ll"))
+    cells = positive_prob(bins_p).withColumn("a", F.col("p") * dirichlet)
+    per_bin = cells.groupBy(*ids, "date_from").agg(
+        F.sum("n").alias("total"), F.sum("a").alias("alpha"), F.sum(dirichlet_term("n", "a")).alias("terms"))
+    ll = F.when(F.col("total") > 0, dirichlet_head("total", "alpha") + F.col("terms")).otherwise(F.lit(0.0))
+    return per_bin.groupBy(*ids).agg(finite_ll(F.sum(ll)).alias("ll"))
+
+
+def positive_prob(bins_p: DataFrame) -> DataFrame:
+    """Only categories with a probability."""
+    return bins_p.filter(F.col("p") != 0)
 
 
 def rate_grid(series: DataFrame, rates: list[float], splits: int = 32) -> DataFrame:
@@ -100,9 +115,13 @@ def rate_grid(series: DataFrame, rates: list[float], splits: int = 32) -> DataFr
     base = len(rates)
     size = F.pow(F.lit(base), F.size("subjects")).cast("bigint")
     values = F.array(*[F.lit(float(r)) for r in rates])
-    pieces = series.withColumn("_size", size).withColumn(
-        "_piece", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
-    ).repartition(spread_count(series.sparkSession), "series_id", "_piece")
+    pieces = spread(
+        series.withColumn("_size", size).withColumn(
+            "_piece", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
+        ),
+        "series_id",
+        "_piece",
+    )
     # piece i holds i, i + splits, ..; a piece beyond the last point is empty
     numbers = F.when(
         F.col("_piece") < F.col("_size"),
@@ -163,10 +182,13 @@ def score_on_grid(candidates: DataFrame, patterns: DataFrame, max_blocks: int) -
 
 
 def start_share_arrays(series: DataFrame, shares: DataFrame) -> DataFrame:
-    """Attach start shares ``(series_id, variant, qt)`` as an array in subject order."""
+    """Attach start shares ``(series_id, variant, qt)`` as an array in subject order.
+
+    The result is spread over tasks, ready for the fold.
+    """
     packed = shares.groupBy("series_id").agg(
         F.map_from_entries(F.collect_list(F.struct("variant", "qt"))).alias("m")
     )
-    return series.join(packed, "series_id").withColumn(
+    return spread(series.join(packed, "series_id").withColumn(
         "qt", F.transform("subjects", lambda v: F.element_at(F.col("m"), v))
-    ).drop("m")
+    ).drop("m"))

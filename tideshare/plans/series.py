@@ -116,20 +116,25 @@ def spread_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows to a fixed number of tasks, by ``keys`` if given.
+
+    Model rows are small in bytes but slow to work on. Adaptive execution sizes tasks by bytes
+    and would put them all into one; it leaves an explicit number of partitions alone.
+    """
+    return df.repartition(spread_count(df.sparkSession), *keys)
+
+
 def attach_series(candidates: DataFrame, series: DataFrame, splits: int = 8) -> DataFrame:
     """Join candidates to the arrays of their series.
 
     Candidates of one series go to ``splits`` keys and the one array row of the series is copied
-    to each, so a series with most of the candidates keeps many tasks busy. The explicit
-    partition number also stops adaptive execution from merging these small but slow tasks.
-    Spark broadcasts the arrays instead when their size allows.
+    to each, so a series with most of the candidates keeps many tasks busy. Spark broadcasts the arrays instead when their size allows.
     """
-    spark = candidates.sparkSession
-    n = spread_count(spark)
     salt = F.pmod(F.xxhash64(*candidates.columns), F.lit(splits)).cast("int")
-    left = candidates.withColumn("_salt", salt).repartition(n, "series_id", "_salt")
+    left = spread(candidates.withColumn("_salt", salt), "series_id", "_salt")
     copies = series.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    return left.join(copies.repartition(n, "series_id", "_salt"), ["series_id", "_salt"]).drop("_salt")
+    return left.join(spread(copies, "series_id", "_salt"), ["series_id", "_salt"]).drop("_salt")
 
 
 def params_to_arrays(params: DataFrame, series: DataFrame, splits: int = 8) -> DataFrame:
@@ -137,12 +142,11 @@ def params_to_arrays(params: DataFrame, series: DataFrame, splits: int = 8) -> D
     packed = params.groupBy("series_id", "candidate_id").agg(
         F.map_from_entries(F.collect_list(F.struct("variant", F.struct("c", "k", "qt")))).alias("m")
     )
-    # a map cannot be hashed for the salt, so only its key columns are
-    n = spread_count(params.sparkSession)
+    # a map cannot be hashed for the salt, so only its key is
     salt = F.pmod(F.xxhash64("candidate_id"), F.lit(splits)).cast("int")
     copies = series.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    joined = packed.withColumn("_salt", salt).repartition(n, "series_id", "_salt").join(
-        copies.repartition(n, "series_id", "_salt"), ["series_id", "_salt"]
+    joined = spread(packed.withColumn("_salt", salt), "series_id", "_salt").join(
+        spread(copies, "series_id", "_salt"), ["series_id", "_salt"]
     )
 
     def pick(field: str) -> Column:

@@ -6,20 +6,19 @@ the parallelism is over (series, candidate). The state keeps only the last lags.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideshare.functions.gamma import gamma_weights, weights_value
 from tideshare.functions.numbers import array_sum, col, let
+from tideshare.plans.series import spread
 
 ID_COLUMNS = ["series_id", "candidate_id"]
 
 
-def same_weights(weights: list[float], categories: Column) -> Column:
-    """The same lag weights for every category, as constants of the plan."""
-    return F.array_repeat(F.array(*[F.lit(float(w)) for w in weights]), categories)
-
-
 def scaled_weights(c: Column | str, alpha: float, theta: float, length: int, division: int = 1) -> Column:
     """Lag weights per subject for its time-scale ratio, baseline (ratio 1) last."""
     subject = F.transform(col(c), lambda x: gamma_weights(alpha, theta, x, length, division))
@@ -38,25 +37,30 @@ def close_day(raw: Column) -> Column:
 
 
 def trajectory_column(k: Column | str, qt: Column | str, intro: Column | str, n_days: Column | str,
-                      weights: Column, lags: int, division: int = 1) -> Column:
+                      weights: list[float] | Column, lags: int, division: int = 1) -> Column:
     """``array<array<double>>``: shares per day, subjects in order and the baseline last.
 
-    ``weights`` holds ``lags`` values per category. With ``division`` steps per day the lags and
-    the fold are finer and every ``division``-th step is read out.
+    ``weights`` holds ``lags`` values, or a column with ``lags`` values per category. With
+    ``division`` steps per day the lags and the fold are finer and every ``division``-th step is
+    read out.
     """
     k, qt, intro, n_days = col(k), col(qt), col(intro), col(n_days)
     subjects = F.size(k)
-    rate = F.zip_with(
-        F.array_append(k, F.lit(1.0)), weights, lambda r, g: F.transform(g, lambda x: x * r)
-    )
+    rates = F.concat(k, F.array(F.lit(1.0)))
+    if isinstance(weights, Column):
+        rates = F.zip_with(rates, weights, lambda r, g: F.transform(g, lambda x: x * r))
     first = close_day(F.zip_with(intro, qt, lambda d, q: F.when(d <= 0, q).otherwise(F.lit(0.0))))
     pins = F.zip_with(intro, qt, lambda d, q: F.struct(d.alias("d"), q.alias("q")))
 
+    def lagged(past: Column, rate: Column) -> Column:
+        # the lags are written out: a lambda call per lag would cost more than the product
+        if isinstance(weights, Column):
+            return reduce(add, [past[m] * rate[m] for m in range(lags)])
+        return rate * reduce(add, [past[m] * float(w) for m, w in enumerate(weights)])
+
     def next_day(state: Column, i: Column, rate: Column, pins: Column) -> Column:
         pinned_day = i - 1 if division == 1 else F.floor(i / F.lit(division)).cast("int")
-        new = F.zip_with(
-            state["past"], rate, lambda h, g: array_sum(F.zip_with(h, g, lambda a, b: a * b))
-        )
+        new = F.zip_with(state["past"], rate, lagged)
 
         def shares(num: Column) -> Column:
             return let(
@@ -95,7 +99,7 @@ def trajectory_column(k: Column | str, qt: Column | str, intro: Column | str, n_
             )
         )
 
-    return let(F.struct(first.alias("q1"), rate.alias("g"), pins.alias("p")), run)
+    return let(F.struct(first.alias("q1"), rates.alias("g"), pins.alias("p")), run)
 
 
 def with_trajectory(df: DataFrame, alpha: float, theta: float, length: int | None = None,
@@ -105,10 +109,7 @@ def with_trajectory(df: DataFrame, alpha: float, theta: float, length: int | Non
     ``future`` continues the recursion past the last day.
     """
     g = weights_value(alpha, theta, length, division)
-    if time_scale:
-        weights = scaled_weights("c", alpha, theta, len(g) // division, division)
-    else:
-        weights = same_weights(g, F.size("k") + 1)
+    weights = scaled_weights("c", alpha, theta, len(g) // division, division) if time_scale else g
     days = F.col("n_days") + future
     return df.withColumn(
         "traj", trajectory_column("k", "qt", "intro", days, weights, len(g), division)
@@ -133,14 +134,17 @@ def explode_trajectory(df: DataFrame) -> DataFrame:
 
 
 def scenario_arrays(params: DataFrame, baseline: str, end: Column | None = None) -> DataFrame:
-    """Parameter table ``(series_id, variant, date, c, k, qt)`` to model rows, dates included."""
+    """Parameter table ``(series_id, variant, date, c, k, qt)`` to model rows, dates included.
+
+    The result is spread over tasks, ready for the fold.
+    """
     span = params.groupBy("series_id").agg(
         F.min("date").alias("t_start"),
         (end if end is not None else F.max("date")).alias("t_end"),
         F.sort_array(F.collect_list(F.struct("variant", "date", "c", "k", "qt"))).alias("all_rows"),
     )
     subject = F.filter("all_rows", lambda r: r["variant"] != baseline)
-    return span.withColumn("rows", subject).select(
+    return spread(span.withColumn("rows", subject).select(
         "series_id",
         F.lit(baseline).alias("baseline"),
         "t_start",
@@ -150,4 +154,4 @@ def scenario_arrays(params: DataFrame, baseline: str, end: Column | None = None)
         F.transform("rows", lambda r: r["c"]).alias("c"),
         F.transform("rows", lambda r: r["k"]).alias("k"),
         F.transform("rows", lambda r: r["qt"]).alias("qt"),
-    )
+    ))

@@ -274,9 +274,6 @@ s{i} as (select series_id, a, best from (select *, rank() over (partition by ser
     return ",".join(out) + f", ledger as ({parts}), pruned as (select * from p{levels})"
 
 
-LGAMMA_DIRI = """case when n = 0 then 0.0 else lgamma(n + q * dd) - lgamma(q * dd) - lgamma(n + 1) end"""
-
-
 def dirichlet(rows: str, dd: str) -> str:
     """Log-likelihood per series of (series_id, day, n, q) with categories of share 0 left out."""
     return f"""select series_id, sum(case when tot = 0 then 0.0 else lgamma(tot + 1) + lgamma(aa) - lgamma(tot + aa) + t end) as ll
@@ -366,6 +363,8 @@ ORACLES = {
       select b.series_id, b.variant, cast(b.m as bigint) as lag, round((b.f - a.f) / l.f, 6) as weight
       from f b join f a on a.series_id = b.series_id and a.variant = b.variant and a.m = b.m - 1
       join f l on l.series_id = b.series_id and l.variant = b.variant and l.m = {len(W)}""",
+    "normalised_shares": f"""with {RATES_SQL} select series_id, variant,
+      round(k / sum(k) over (partition by series_id), 6) as share from rates""",
     "truncation": f"""with {RATES_SQL},
       z as (select series_id, variant, m, m / (k * {THETA}) as z from rates, (select unnest(range(1, 41)) as m))
       select series_id, variant, cast(min(m) as bigint) as days from z where {GAMMA_CDF} >= 0.99 group by all""",
@@ -377,7 +376,8 @@ ORACLES = {
     "partition_predicates": f"""{PARTS} select series_id, true as both_is_rgs, false as flipped_is_rgs,
       true as orders_coarser, {coarser('by_orders', 'by_status')} as orders_coarser_than_status,
       {coarser('by_orders', 'by_status')} as status_finer_than_orders, true as status_is_partition,
-      len(by_status) = 5 as covers_five from part_of""",
+      len(by_status) = 5 as covers_five,
+      list_max(by_status) <= list_max(by_orders) as labels_subset from part_of""",
     "partition_blocks": f"""{PARTS} select series_id, {blocks_text('by_both')} as blocks, {blocks_text('by_both')} as sorted_blocks,
       {key('range(1, len(by_both) + 1)')} as elements, {key('by_both')} as rgs, {key('by_both')} as parsed from part_of""",
     "merge_once": f"""{PARTS}, x as (select series_id, by_both as rgs from part_of)
@@ -458,6 +458,10 @@ ORACLES = {
     "loglik_dirichlet": f"""with recursive {counts('segment', 'day')}, {shares(BASELINE)}, {length_rate(1000)}, {model(BASELINE)}
       select series_id, cast(10 as double) as D, round(ll, 4) as ll from ({dirichlet(DAILY_CELLS, '10.0')}) union all
       select series_id, cast(200 as double), round(ll, 4) from ({dirichlet(DAILY_CELLS, '200.0')})""",
+    "loglik_dirichlet_terms": f"""with recursive {counts('segment', 'week')}, {shares(BASELINE)}, {length_rate(1000)}, {model(BASELINE)},
+      p as (select c.series_id, c.date_from as day, c.variant, c.n, greatest(0, avg(q)) as q from counts c join long l
+        on c.series_id = l.series_id and c.variant = l.variant and l.date between date_from and date_till group by all)
+      select series_id, round(ll, 4) as ll, round(ll, 4) as ll_terms from ({dirichlet('select * from p', '50.0')})""",
     "loglik_zero_probability": f"""with recursive {counts('user', 'day')}, {shares(BASELINE)},
       src as (select series_id, 0 as candidate_id, n_days, t_start, subjects,
         list_transform(subjects, lambda v: 0) as intro, list_transform(subjects, lambda v: cast(1 as double)) as k,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideshare.functions import numbers as num
 from tideshare.functions import partitions as part
-from tideshare.functions.gamma import gamma_weights, truncation_days, truncation_length
+from tideshare.functions.gamma import gamma_weights, normalised, truncation_days, truncation_length
 from tideshare.operators import counts as ct
 from tideshare.operators import partitions as pt
 from tideshare.operators import ranking as rk
@@ -230,6 +230,15 @@ def generation_weights(spark, sf):
         "series_id", "variant", (F.col("lag") + 1).cast("bigint").alias("lag"), r6("weight").alias("weight"))
 
 
+def normalised_shares(spark, sf):
+    """Mean values of a segment's event types as shares that sum to 1."""
+    items = F.array_sort(F.collect_list(F.struct("variant", "k")))
+    rates = b.segment_rates(spark, sf).groupBy("series_id").agg(items.alias("items"))
+    shares = normalised(F.transform("items", lambda x: x["k"]))
+    cells = rates.select("series_id", F.explode(F.arrays_zip("items", shares.alias("share"))).alias("x"))
+    return cells.select("series_id", F.col("x.items.variant").alias("variant"), r6("x.share").alias("share"))
+
+
 def truncation(spark, sf):
     """Days that hold 99 % of the generation time for those time scales."""
     rates = b.segment_rates(spark, sf)
@@ -263,6 +272,7 @@ def partition_predicates(spark, sf):
         part.is_refinement("by_status", "by_orders").alias("status_finer_than_orders"),
         part.is_partition(part.rgs_to_blocks("by_status"), places).alias("status_is_partition"),
         part.is_partition(part.rgs_to_blocks("by_status"), F.sequence(F.lit(1), F.lit(5))).alias("covers_five"),
+        part.is_subset("by_status", "by_orders").alias("labels_subset"),
     )
 
 
@@ -461,6 +471,17 @@ def loglik_dirichlet(spark, sf):
     ])
 
 
+def loglik_dirichlet_terms(spark, sf):
+    """Relational form on weekly bins."""
+    series = b.segment_series(spark, sf, "week")
+    rows = tr.with_trajectory(
+        series.withColumn("k", F.transform("subjects", lambda v: 1.0 + F.length(v) / 1000)), ALPHA, THETA)
+    cells = sh.bin_share(b.segment_counts(spark, sf, "week"), tr.explode_trajectory(rows))
+    inside = lk.loglik(rows, F.lit(50.0)).select("series_id", r6("ll", 4).alias("ll"))
+    terms = lk.loglik_terms(cells, F.lit(50.0)).select("series_id", r6("ll", 4).alias("ll_terms"))
+    return inside.join(terms, "series_id")
+
+
 def loglik_zero_probability(spark, sf):
     """Users as if every type were there from the start with the last type at share 0.
 
@@ -644,12 +665,12 @@ def beam(spark, sf):
 
 def running_best(spark, sf):
     """Lowest AIC among the groupings before each one."""
-    text = rgs_text(_every_grouping(spark, sf), "rgs")
+    text = materialise(rgs_text(_every_grouping(spark, sf), "rgs"))
     return _rounded(rk.running_best(text)).select("series_id", "level", "rgs", "AIC", "best_before")
 
 
 def best_partition(spark, sf):
-    text = rgs_text(_every_grouping(spark, sf), "rgs")
+    text = materialise(rgs_text(_every_grouping(spark, sf), "rgs"))
     best = rk.best_partition(text)
     low = rk.best_so_far(text)
     return _rounded(best.join(low, "series_id"))
@@ -692,7 +713,7 @@ OPTIONS = ft.Options(ALPHA, THETA)
 
 def _fits(spark, sf, options=OPTIONS, grain="day") -> tuple[DataFrame, DataFrame]:
     series = series_arrays(b.segment_counts(spark, sf, grain), BASELINE)
-    started = ft.default_start(ft.finest_candidates(series), series)
+    started = ft.finest_start(series)
     return series, ft.scored(ft.fit(started, options), options)
 
 
@@ -705,10 +726,16 @@ def fit(spark, sf):
 def fit_users(spark, sf):
     """One small fit per user: many series at once."""
     series = series_arrays(b.user_counts(spark, sf), BASELINE)
-    started = ft.default_start(ft.finest_candidates(series), series)
+    started = ft.finest_start(series)
     return ft.fit_summary(ft.fit(started, OPTIONS), OPTIONS)
 
 
+def fit_parts(spark, sf):
+    """Shipped part types per return flag: monthly bins over seven years of days."""
+    series = series_arrays(b.part_counts(spark, sf), b.TYPE_BASELINE)
+    return ft.fit_summary(ft.fit(ft.finest_start(series), OPTIONS), OPTIONS)
+
+
 def fit_shared(spark, sf):
     """Refit with the blocks of equal grid rate, started from the finest fit."""
     series, fits = _fits(spark, sf)
@@ -751,7 +778,7 @@ def search_fit(spark, sf):
     """Search with continuous fits per segment, each started from the finest fit."""
     series = materialise(series_arrays(b.segment_counts(spark, sf), BASELINE))
     finest = ft.finest_candidates(series)
-    best = materialise(ft.fit(ft.default_start(finest, series), OPTIONS))
+    best = materialise(ft.fit(ft.finest_start(series), OPTIONS))
     scores, _ = se.search_partitions(finest, se.fit_scorer(series, OPTIONS, best), 1)
     return se.ledger(scores)
 
@@ -761,15 +788,15 @@ NAMES = [
     read_write_reports, variant_violations, window_violations, bin_width_violations, block_violations,
     keep_subjects, clip_window, variant_index, baseline_first_index, date_bounds, first_seen, bin_totals,
     observed_share, start_share, first_appearance, log_gamma_values, day_numbers, generation_weights,
-    truncation, labels_to_partition, labels_to_long, partition_predicates, partition_blocks, merge_once,
+    normalised_shares, truncation, labels_to_partition, labels_to_long, partition_predicates, partition_blocks, merge_once,
     all_coarsenings, common_children, finest_common, enumerate_all, enumerate_at_most,
     enumerate_exactly, enumerate_reverse, drop_dominated, trajectory, trajectory_late,
     trajectory_substep, trajectory_time_scale, forecast, scenario_trajectory, bin_share, lag_sum,
-    chart_table, loglik_multinomial, loglik_dirichlet, loglik_zero_probability, fit_grid, grid_loglik,
+    chart_table, loglik_multinomial, loglik_dirichlet, loglik_dirichlet_terms, loglik_zero_probability, fit_grid, grid_loglik,
     profile_ci_grid, region_bands_grid, baseline_range_grid, blocks_report, warm_start, shared_rates,
     estimates_report, group_report, rate_report, order_by_rate, score_report, frequency_report,
     partition_scores, beam, running_best, best_partition, search_grid, pruned_grid, level_summary,
-    pending_candidates, fit, fit_users, fit_shared, fit_time_scale, fit_dirichlet, profile_ci,
+    pending_candidates, fit, fit_users, fit_parts, fit_shared, fit_time_scale, fit_dirichlet, profile_ci,
     region_bands, search_fit,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
