@@ -93,8 +93,10 @@ def test_scenarios_from_a_table(spark):
     rows = tr.with_trajectory(tr.scenario_arrays(params, "v0", F.lit(START + dt.timedelta(9))), ALPHA, THETA)
     want = brute.shares([1.2, 0.9], [0.15, 0.05], [0, 3], 10, [W] * 3)
     assert np.array(rows.first().traj) == pytest.approx(np.array(want), abs=1e-12)
-    long = tr.explode_trajectory(rows)
+    long = tr.explode_trajectory(rows, means=True)
     means = population_mean(long, params).orderBy("date").collect()
+    inside = long.groupBy("date").agg(F.max("average_k").alias("k")).orderBy("date").collect()
+    assert [r.k for r in inside] == pytest.approx([r.average_k for r in means])
     assert means[9].average_k == pytest.approx(want[9][0] * 1.2 + want[9][1] * 0.9 + want[9][2])
     point = long.groupBy("date").agg(F.sum("q").alias("n"))
     assert day_bins(point).filter("date_from = date_till").count() == 10
@@ -211,7 +213,7 @@ def test_shared_rates_and_one_block(spark):
     c = counts_of(spark, expected_counts([1.1, 1.1, 0.9], [0.2, 0.1, 0.1], total=5000))
     series, fits = fitted(spark, c)
     cand = spark.createDataFrame([("s", [0, 1, 1, 2]), ("s", [0, 0, 0, 0])], "series_id string, rgs array<int>")
-    out = {tuple(r.rgs): r for r in ft.scored(ft.fit(ft.warm_start(cand, series, fits), OPTIONS), OPTIONS).collect()}
+    out = {tuple(r.rgs): r for r in ft.scored(ft.fit(ft.warm_start(cand, ft.named_start(series, ft.array_params(fits, series))), OPTIONS), OPTIONS).collect()}
     two, none = out[0, 1, 1, 2], out[0, 0, 0, 0]
     assert two.k[0] == two.k[1] and two.num_pars == 5 and none.num_pars == 3
     assert list(none.k) == [1.0, 1.0, 1.0]
@@ -300,11 +302,11 @@ def test_reports(spark):
         assert r.k_lb <= r.k <= r.k_ub and r.qt_lb <= r.qt <= r.qt_ub and r.c_lb == r.c_ub == 1.0
     traj_ = rp.fitted_trajectory(fits, series, OPTIONS, 5)
     bands = rp.region_bands(fits, ft.interval_solutions(fits, series, OPTIONS, True), series, OPTIONS, 5)
-    wide = rp.frequency_report(traj_, ft.array_params(fits, series), ["a", "b", "c", "base"], bands)
+    wide = rp.frequency_report(traj_, ["a", "b", "c", "base"], bands)
     out = wide.orderBy("date").collect()
     assert len(out) == 45
     for r in out:
-        assert r.a_q_lb <= r.a + 1e-12 and r.a <= r.a_q_ub + 1e-12
+        assert r.a_lb <= r.a + 1e-12 and r.a <= r.a_ub + 1e-12
         assert r.average_k_lb <= r.average_k + 1e-12 <= r.average_k_ub + 2e-12
     blocks = {r.variant: r.block for r in rp.blocks_report(ft.array_params(fits, series), "base").collect()}
     assert blocks == {"base": 0, "a": 1, "b": 2, "c": 3}

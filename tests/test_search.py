@@ -29,7 +29,7 @@ def finest(series):
 
 def test_search_finds_the_planted_grouping(spark, planted):
     one = planted.filter("series_id = 's'")
-    start = ft.fit(ft.finest_start(one), OPTIONS)
+    start = ft.array_params(ft.fit(ft.finest_start(one), OPTIONS), one)
     scores, pruned = se.search_partitions(finest(one), se.fit_scorer(one, OPTIONS, start), 1)
     best = se.ledger(scores).first()
     assert best.rgs == "0-1-0-1-0"

@@ -55,7 +55,7 @@ def test_wide_and_long(spark):
     K.check_counts(wide)
     long = C.to_long(wide)
     assert {(r.variant, r.n) for r in long.collect()} == {("A.1", 1), ("A.1.2", 2)}
-    back = C.to_wide(long, ["date_from", "date_till"], ["n"], ["A.1", "A.1.2"])
+    back = C.to_wide(long, ["date_from", "date_till"], {"n": ""}, ["A.1", "A.1.2"])
     assert back.columns[2:] == ["A.1", "A.1.2"] and back.first()[2:] == (1, 2)
 
 

@@ -15,19 +15,22 @@ BIN = ["series_id", "date_from", "date_till"]
 
 
 def count_categories(rows: DataFrame, date: Column, variant: Column | str, series: Column | str,
-                     grain: str = "day", dense: bool = True) -> DataFrame:
-    """Count rows per series, time bin and category.
+                     grain: str = "day", dense: bool = True, weight: Column | str | None = None) -> DataFrame:
+    """Count rows (or add up ``weight``) per series, time bin and category.
 
     Only this aggregate sees raw rows; partial aggregation keeps a hot series, day or category
-    from reaching one task. All that follows works on one row per bin and category.
+    from reaching one task. All that follows works on one row per bin and category. Where the
+    series comes from a join, count by the join key first and give the counts as ``weight``.
     ``grain`` is ``day``, ``week`` or ``month``; edge bins are clipped to the observed days.
     Rows without a date, category or series are not counted.
     """
     day = date.cast("date")
     named = rows.select(
-        col(series).cast("string").alias("series_id"), day.alias("day"), col(variant).alias("variant")
+        col(series).cast("string").alias("series_id"), day.alias("day"), col(variant).alias("variant"),
+        *([] if weight is None else [col(weight).cast("bigint").alias("weight")]),
     ).filter("series_id is not null and day is not null and variant is not null")
-    daily = named.groupBy("series_id", "day", "variant").agg(F.count(F.lit(1)).alias("n"))
+    number = F.count(F.lit(1)) if weight is None else F.sum("weight")
+    daily = named.groupBy("series_id", "day", "variant").agg(number.alias("n"))
     # No NULL keys and asking for n > 0 keep all uses of the daily counts alike, so that Spark
     # reuses the exchange and scans the raw rows once.
     counted = F.when(F.col("n") > 0, F.col("day"))
@@ -99,13 +102,17 @@ def to_long(wide: DataFrame, series_col: str | None = None) -> DataFrame:
     return wide.select(*BIN, *quoted).unpivot(BIN, [F.col(f"`{c}`") for c in names], "variant", "n")
 
 
-def to_wide(df: DataFrame, keys: list[str], values: list[str], variants: list[str]) -> DataFrame:
-    """One column per listed category and value; the names are given, so no extra job runs.
+def to_wide(df: DataFrame, keys: list[str], values: dict[str, str], variants: list[str]) -> DataFrame:
+    """One column per listed category and value, in one aggregate.
 
-    A single value column gives columns named like the categories; more give ``<category>_<value>``.
+    ``values`` maps value columns to suffixes: ``{"q": "", "q_lb": "_lb"}`` gives ``x`` and ``x_lb``.
     """
-    aggs = [F.first(v, ignorenulls=True).alias(v) for v in values]
-    return df.groupBy(*keys).pivot("variant", variants).agg(*aggs)
+    cells = [
+        F.first(F.when(F.col("variant") == v, F.col(c)), ignorenulls=True).alias(v + suffix)
+        for c, suffix in values.items()
+        for v in variants
+    ]
+    return df.groupBy(*keys).agg(*cells)
 
 
 def day_bins(df: DataFrame, date: str = "date") -> DataFrame:

@@ -63,14 +63,20 @@ def with_start(rows: DataFrame) -> DataFrame:
     })
 
 
-def warm_start(candidates: DataFrame, series: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Start from an earlier fit ``(series_id, k, qt)``: mean rate per block, share per category.
-
-    Arrays of one series share the order of its subjects, so positions are names here.
-    """
-    joined = attach_series(
-        candidates, lean(series).join(estimates.select("series_id", "k", "qt"), "series_id")
+def named_start(series: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Lean series rows with the earlier ``(series_id, variant, k, qt)``, matched by name."""
+    packed = estimates.groupBy("series_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("variant", F.struct("k", "qt")))).alias("m")
     )
+    rows = lean(series, "subjects").join(packed, "series_id")
+    found = {f: F.transform("subjects", lambda v: F.element_at("m", v)["k" if f == "k" else "qt"])
+             for f in ("k", "qt")}
+    return rows.withColumns(found).drop("m", "subjects")
+
+
+def warm_start(candidates: DataFrame, started: DataFrame) -> DataFrame:
+    """Candidates with earlier values from ``named_start``: mean rate per block, share per category."""
+    joined = attach_series(candidates, started)
     block = F.slice("rgs", F.lit(2), F.size("rgs") - 1)
     pairs = F.arrays_zip(block.alias("b"), F.col("k").alias("k"))
 
@@ -81,10 +87,10 @@ def warm_start(candidates: DataFrame, series: DataFrame, estimates: DataFrame) -
     return joined.withColumn("k", F.transform(block, mean_rate))
 
 
-def lean(series: DataFrame) -> DataFrame:
+def lean(series: DataFrame, *more: str) -> DataFrame:
     """Only what a fit reads, with flat arrays."""
     return series.select(
-        "series_id", "intro", "n_days",
+        "series_id", "intro", "n_days", *more,
         F.transform("bins", lambda b: b["d1"]).alias("d1"),
         F.transform("bins", lambda b: b["d2"]).alias("d2"),
         F.flatten(F.transform("bins", lambda b: b["n"])).alias("flat"),

@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from tideshare.functions.numbers import floor3, interval_label
 from tideshare.operators.counts import observed_share, to_wide
 from tideshare.operators.shares import (
-    band,
     baseline_range,
     baseline_share,
     concat_names,
     observed_vs_fitted,
-    population_mean,
 )
-from tideshare.plans.fit import array_params, solution_ids
+from tideshare.plans.fit import solution_ids
 from tideshare.plans.series import attach_series
 from tideshare.plans.trajectory import explode_trajectory, with_trajectory
 
@@ -72,38 +70,40 @@ def model_rows(fits: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def fitted_trajectory(fits: DataFrame, series: DataFrame, options, future: int = 0) -> DataFrame:
-    """Long daily shares of fitted parameters, ``future`` days past the end."""
+    """Long daily shares and means of fitted parameters, ``future`` days past the end."""
     rows = with_trajectory(model_rows(fits, series), options.alpha, options.theta, len(options.weights),
                            future=future, time_scale=options.time_scale)
-    return explode_trajectory(rows)
+    return explode_trajectory(rows, means=True)
+
+
+def bands(traj: DataFrame) -> DataFrame:
+    """Range of the shares and means per day and category over all candidates, in one aggregate."""
+    values = ("q", "average_c", "average_k")
+    ends = [f(v).alias(f"{v}_{e}") for v in values for f, e in ((F.min, "lb"), (F.max, "ub"))]
+    return traj.groupBy("series_id", "date", "variant").agg(*ends)
 
 
 def region_bands(fits: DataFrame, solutions: DataFrame, series: DataFrame, options,
-                 future: int = 0) -> tuple[DataFrame, DataFrame]:
+                 future: int = 0) -> DataFrame:
     """Bands of the daily shares and of the mean rate and time scale.
 
-    The best fit and every extreme solution run through the same fold; the bands are partial
-    aggregates over the long trajectories.
+    The best fit and every extreme solution run through the same fold once; the bands are one
+    partial aggregate over their days.
     """
     ids = ["series_id", "candidate_id", "rgs", "c", "k", "qt"]
     best = fits.withColumn("candidate_id", F.lit(-1).cast("bigint")).select(*ids)
     every = best.unionByName(solution_ids(solutions).select(*ids))
-    traj = fitted_trajectory(every, series, options, future)
-    params = array_params(every, series)
-    means = population_mean(traj, params)
-    keys = ("series_id", "date")
-    return band(traj), band(means, "average_c", keys).join(band(means, "average_k", keys), list(keys))
+    return bands(fitted_trajectory(every, series, options, future))
 
 
-def frequency_report(traj: DataFrame, params: DataFrame, variants: list[str],
-                     bands: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def frequency_report(traj: DataFrame, variants: list[str], ranges: DataFrame | None = None) -> DataFrame:
     """One row per day: share per category, population means and, if given, the bands."""
-    keys = ["series_id", "date"]
-    out = to_wide(traj, keys, ["q"], variants).join(population_mean(traj, params), keys)
-    if bands is None:
-        return out
-    shares, means = bands
-    return out.join(to_wide(shares, keys, ["q_lb", "q_ub"], variants), keys).join(means, keys)
+    keys = ["series_id", "date", "average_c", "average_k"]
+    if ranges is None:
+        return to_wide(traj, keys, {"q": ""}, variants)
+    both = traj.join(ranges, ["series_id", "date", "variant"])
+    keys += [f"average_{v}_{e}" for v in ("c", "k") for e in ("lb", "ub")]
+    return to_wide(both, keys, {"q": "", "q_lb": "_lb", "q_ub": "_ub"}, variants)
 
 
 def group_report(estimates: DataFrame) -> DataFrame:

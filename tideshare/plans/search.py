@@ -12,7 +12,7 @@ from tideshare.functions.numbers import aic, coarsening_bound, num_parameters
 from tideshare.functions.partitions import block_count, rgs_digest, rgs_key
 from tideshare.operators.partitions import drop_dominated, merge_once
 from tideshare.operators.ranking import beam, rank_scores
-from tideshare.plans.fit import Options, default_start, fit, scored, warm_start
+from tideshare.plans.fit import Options, default_start, fit, named_start, scored, warm_start
 from tideshare.plans.likelihood import score_on_grid
 from tideshare.plans.series import materialise
 
@@ -33,14 +33,15 @@ def grid_scorer(patterns: DataFrame, max_blocks: int) -> Scorer:
 
 
 def fit_scorer(series: DataFrame, options: Options, estimates: DataFrame | None = None) -> Scorer:
-    """Score by a continuous fit, one row and hence one spread task unit per candidate."""
+    """Score by a continuous fit, one row per candidate.
+
+    ``estimates`` ``(series_id, variant, k, qt)`` of an earlier fit give the start values.
+    """
+    started = None if estimates is None else materialise(named_start(series, estimates))
 
     def score(candidates: DataFrame) -> DataFrame:
-        started = (
-            default_start(candidates, series) if estimates is None
-            else warm_start(candidates, series, estimates)
-        )
-        return scored(fit(started, options), options).select(*SCORE_COLUMNS)
+        rows = default_start(candidates, series) if started is None else warm_start(candidates, started)
+        return scored(fit(rows, options), options).select(*SCORE_COLUMNS)
 
     return score
 

@@ -116,21 +116,30 @@ def with_trajectory(df: DataFrame, alpha: float, theta: float, length: int | Non
     )
 
 
-def explode_trajectory(df: DataFrame) -> DataFrame:
+def explode_trajectory(df: DataFrame, means: bool = False) -> DataFrame:
     """Rows with ``traj`` to long ``(series_id[, candidate_id], date, variant, q)``.
 
-    ``traj`` is never empty; the outer form keeps Spark from adding a filter that would run the
-    fold a second time.
+    ``means`` adds the share-weighted mean time scale and rate of the day, taken from the arrays
+    of the row before it is exploded. ``traj`` is never empty; the outer form keeps Spark from
+    adding a filter that would run the fold a second time.
     """
     ids = [c for c in ID_COLUMNS if c in df.columns]
+    extra = ["average_c", "average_k"] if means else []
     names = F.array_append(F.col("subjects"), F.col("baseline"))
-    days = df.select(*ids, "t_start", names.alias("names"), F.posexplode_outer("traj").alias("day", "row"))
+    arrays = [F.concat(c, F.array(F.lit(1.0))).alias(f"{c}s") for c in ("c", "k")] if means else []
+    days = df.select(*ids, "t_start", names.alias("names"), *arrays,
+                     F.posexplode_outer("traj").alias("day", "row"))
+    if means:
+        days = days.withColumns({
+            f"average_{c}": array_sum(F.zip_with("row", f"{c}s", lambda q, x: q * x)) for c in ("c", "k")
+        })
     cells = days.select(
         *ids,
         F.date_add("t_start", F.col("day")).alias("date"),
+        *extra,
         F.explode(F.arrays_zip(F.col("names"), F.col("row"))).alias("x"),
     )
-    return cells.select(*ids, "date", F.col("x.names").alias("variant"), F.col("x.row").alias("q"))
+    return cells.select(*ids, "date", F.col("x.names").alias("variant"), F.col("x.row").alias("q"), *extra)
 
 
 def scenario_arrays(params: DataFrame, baseline: str, end: Column | None = None) -> DataFrame:

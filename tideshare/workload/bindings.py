@@ -22,15 +22,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def events_by_segment(spark: SparkSession, sf: str) -> DataFrame:
-    """Event rows with the market segment of their user."""
+def by_segment(spark: SparkSession, sf: str, per_user: DataFrame) -> DataFrame:
+    """Rows per user with the market segment of the user."""
     customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    events = table(spark, sf, "events").select("ts", "user_id", "event_type", "value")
-    return events.join(customer, events.user_id == customer.c_custkey)
+    return per_user.join(customer, per_user.user_id == customer.c_custkey)
 
 
 def segment_counts(spark: SparkSession, sf: str, grain: str = "day") -> DataFrame:
-    return count_categories(events_by_segment(spark, sf), F.col("ts"), "event_type", "c_mktsegment", grain)
+    """Events are counted per user and day before they meet the segments."""
+    daily = table(spark, sf, "events").groupBy(
+        "user_id", F.col("ts").cast("date").alias("day"), "event_type"
+    ).agg(F.count(F.lit(1)).alias("events"))
+    return count_categories(by_segment(spark, sf, daily), F.col("day"), "event_type", "c_mktsegment",
+                            grain, weight="events")
 
 
 def user_counts(spark: SparkSession, sf: str, grain: str = "day") -> DataFrame:
@@ -44,26 +48,32 @@ def all_counts(spark: SparkSession, sf: str, grain: str = "day") -> DataFrame:
 
 
 def region_counts(spark: SparkSession, sf: str, grain: str = "month") -> DataFrame:
-    """Orders by priority in each region."""
-    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderpriority")
+    """Orders by priority in each region, counted per customer and day before the joins."""
+    daily = table(spark, sf, "orders").groupBy(
+        "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority"
+    ).agg(F.count(F.lit(1)).alias("orders"))
     rows = (
-        orders.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"),
-                    F.col("o_custkey") == F.col("c_custkey"))
+        daily.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"),
+                   F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return count_categories(rows, F.col("o_orderdate"), "o_orderpriority", "r_name", grain)
+    return count_categories(rows, F.col("day"), "o_orderpriority", "r_name", grain, weight="orders")
 
 
 def part_rows(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", "l_returnflag")
+    """Shipped lines per part, day and flag with type and brand of the part."""
+    daily = table(spark, sf, "lineitem").groupBy(
+        "l_partkey", F.col("l_shipdate").cast("date").alias("day"), "l_returnflag"
+    ).agg(F.count(F.lit(1)).alias("lines"))
     parts = table(spark, sf, "part").select("p_partkey", "p_type", "p_brand")
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return daily.join(parts, F.col("l_partkey") == F.col("p_partkey"))
 
 
 def part_counts(spark: SparkSession, sf: str, variant: str = "p_type", grain: str = "month") -> DataFrame:
     """Shipped lines by part type (or brand), one series per return flag."""
-    return count_categories(part_rows(spark, sf), F.col("l_shipdate"), variant, "l_returnflag", grain)
+    return count_categories(part_rows(spark, sf), F.col("day"), variant, "l_returnflag", grain,
+                            weight="lines")
 
 
 def segment_series(spark: SparkSession, sf: str, grain: str = "day") -> DataFrame:
@@ -77,9 +87,11 @@ def series_with_shares(counts: DataFrame, baseline: str) -> DataFrame:
 
 def segment_rates(spark: SparkSession, sf: str) -> DataFrame:
     """A rate per segment and event type: its mean value relative to that of the baseline."""
-    means = events_by_segment(spark, sf).groupBy(
+    sums = table(spark, sf, "events").groupBy("user_id", "event_type").agg(
+        F.sum("value").alias("total"), F.count("value").alias("events"))
+    means = by_segment(spark, sf, sums).groupBy(
         F.col("c_mktsegment").alias("series_id"), F.col("event_type").alias("variant")
-    ).agg(F.avg("value").alias("m"))
+    ).agg((F.sum("total") / F.sum("events")).alias("m"))
     base = means.filter(F.col("variant") == BASELINE).select("series_id", F.col("m").alias("base"))
     return means.join(base, "series_id").select("series_id", "variant", (F.col("m") / F.col("base")).alias("k"))
 

@@ -423,7 +423,12 @@ ORACLES = {
         from cdf group by 1),
       src as (select src0.*, w from src0 join ww on src0.series_id = ww.series_id),
       {model(BASELINE, per_variant=True)} {LONG_OUT}""",
-    "forecast": f"""with recursive {counts('segment', 'day')}, {shares(BASELINE)}, {RATES_SQL}, {SEGMENT_SRC}, {model(BASELINE, future=14)}
+    "forecast": f"""with recursive {counts('segment', 'day')}, {shares(BASELINE)}, {RATES_SQL}, {SEGMENT_SRC}, {model(BASELINE, future=14)},
+      m as (select l.series_id, date, sum(q) as c, sum(q * case when l.variant = '{BASELINE}' then 1 else r.k end) as k
+        from long l join rates r on l.series_id = r.series_id and l.variant = r.variant group by all)
+      select l.series_id, cast(l.date as varchar) as date, variant, round(q, 6) as q, round(c, 6) as average_c,
+        round(k, 6) as average_k from long l join m on l.series_id = m.series_id and l.date = m.date""",
+    "population_mean": f"""with recursive {counts('segment', 'day')}, {shares(BASELINE)}, {RATES_SQL}, {SEGMENT_SRC}, {model(BASELINE)}
       select l.series_id, cast(date as varchar) as date, round(sum(q), 6) as average_c,
         round(sum(q * case when l.variant = '{BASELINE}' then 1 else r.k end), 6) as average_k
       from long l join rates r on l.series_id = r.series_id and l.variant = r.variant group by all""",

@@ -77,13 +77,13 @@ def day_bins(spark, sf):
 
 def wide_counts(spark, sf):
     names = ["click", "error", "purchase", "signup", "view"]
-    return dated(ct.to_wide(b.segment_counts(spark, sf), ct.BIN, ["n"], names), "date_from", "date_till")
+    return dated(ct.to_wide(b.segment_counts(spark, sf), ct.BIN, {"n": ""}, names), "date_from", "date_till")
 
 
 def read_write_counts(spark, sf):
     """Wide table to CSV and Parquet and back to long counts, one series per format."""
     names = ["click", "error", "purchase", "signup", "view"]
-    wide = ct.to_wide(b.all_counts(spark, sf), ["date_from", "date_till"], ["n"], names)
+    wide = ct.to_wide(b.all_counts(spark, sf), ["date_from", "date_till"], {"n": ""}, names)
     path, out = work_path(spark), []
     for fmt in ("csv", "parquet"):
         target = tb.write_table(wide, path, f"counts_{fmt}", fmt)
@@ -114,8 +114,7 @@ def read_write_reports(spark, sf):
 
 def variant_violations(spark, sf):
     """Part brands of each return flag, asked of the counts by part type."""
-    rows = b.part_rows(spark, sf)
-    wanted = rows.select(F.col("l_returnflag").alias("series_id"), F.col("p_brand").alias("variant")).distinct()
+    wanted = b.part_rows(spark, sf).select(F.col("l_returnflag").alias("series_id"), F.col("p_brand").alias("variant")).distinct()
     return ck.variant_violations(b.part_counts(spark, sf), wanted)
 
 
@@ -374,8 +373,9 @@ def _segment_rows(spark, sf, time_scale: bool = False) -> DataFrame:
     return params_to_arrays(params, series_arrays(counts, BASELINE))
 
 
-def _long(df: DataFrame) -> DataFrame:
-    return dated(tr.explode_trajectory(df).withColumn("q", r6("q")), "date").drop("candidate_id")
+def _long(df: DataFrame, *means: str) -> DataFrame:
+    long = tr.explode_trajectory(df, bool(means))
+    return dated(long.withColumns({c: r6(c) for c in ("q", *means)}), "date").drop("candidate_id")
 
 
 def trajectory(spark, sf):
@@ -404,8 +404,14 @@ def trajectory_time_scale(spark, sf):
 def forecast(spark, sf):
     """Shares of the segments 14 days past the end, and the population means."""
     rows = tr.with_trajectory(_segment_rows(spark, sf), ALPHA, THETA, future=14)
-    params = b.segment_params(spark, sf, b.segment_counts(spark, sf))
-    means = sh.population_mean(tr.explode_trajectory(rows), params)
+    return _long(rows, "average_c", "average_k")
+
+
+def population_mean(spark, sf):
+    """Mean rate per day by a join of trajectory and parameters."""
+    counts = b.segment_counts(spark, sf)
+    long = tr.explode_trajectory(tr.with_trajectory(_segment_rows(spark, sf), ALPHA, THETA))
+    means = sh.population_mean(long, b.segment_params(spark, sf, counts))
     return dated(means.select("series_id", "date", r6("average_c").alias("average_c"),
                               r6("average_k").alias("average_k")), "date")
 
@@ -531,16 +537,13 @@ def profile_ci_grid(spark, sf):
 
 
 def region_bands_grid(spark, sf):
-    """Bands of shares and mean rate over the joint region, seeded with the best point."""
+    """Bands of shares and mean rate over the joint region of the grid."""
     grid = lk.grid_scores(b.segment_series(spark, sf), RATES, ALPHA, THETA, keep_traj=True)
     inside = lk.likelihood_region(grid, 2 * 4)
-    traj = tr.explode_trajectory(inside)
-    shares = sh.band(traj)
-    means = sh.population_mean(traj, _grid_params(inside))
-    k = sh.band(means, "average_k", ("series_id", "date"))
-    out = shares.join(k, ["series_id", "date"])
+    ones = F.transform("k", lambda x: F.lit(1.0))
+    out = rp.bands(tr.explode_trajectory(inside.withColumn("c", ones), means=True))
     cols = ["q_lb", "q_ub", "average_k_lb", "average_k_ub"]
-    return dated(out.withColumns({c: r6(c) for c in cols}), "date")
+    return dated(out.withColumns({c: r6(c) for c in cols}).drop("average_c_lb", "average_c_ub"), "date")
 
 
 def baseline_range_grid(spark, sf):
@@ -621,10 +624,10 @@ def frequency_report(spark, sf):
     """Wide daily shares with population means, best grid point."""
     series = b.segment_series(spark, sf)
     best = lk.best_point(lk.grid_scores(series, RATES, ALPHA, THETA))
-    keys = best.select("series_id", "candidate_id", "k")
-    rows = tr.with_trajectory(attach_series(keys, series.drop("bins")), ALPHA, THETA)
+    rows = attach_series(best.select("series_id", "k"), series.drop("bins"))
+    rows = rows.withColumn("c", F.transform("k", lambda x: F.lit(1.0)))
     names = ["click", "error", "purchase", "signup", BASELINE]
-    out = rp.frequency_report(tr.explode_trajectory(rows.drop("candidate_id")), _grid_params(best), names)
+    out = rp.frequency_report(tr.explode_trajectory(tr.with_trajectory(rows, ALPHA, THETA), means=True), names)
     return dated(out.withColumns({c: r6(c) for c in [*names, "average_c", "average_k"]}), "date")
 
 
@@ -741,7 +744,8 @@ def fit_shared(spark, sf):
     series, fits = _fits(spark, sf)
     rgs = part.to_rgs(F.concat(F.array(F.lit(1.0)), F.col("k")))
     blocks = _best(spark, sf).select("series_id", rgs.alias("rgs"))
-    return ft.fit_summary(ft.fit(ft.warm_start(blocks, series, fits), OPTIONS), OPTIONS)
+    started = ft.named_start(series, ft.array_params(fits, series))
+    return ft.fit_summary(ft.fit(ft.warm_start(blocks, started), OPTIONS), OPTIONS)
 
 
 def fit_time_scale(spark, sf):
@@ -770,15 +774,14 @@ def region_bands(spark, sf):
     """Joint-region bands of the shares and means, 7 days ahead."""
     series, fits = _fits(spark, sf)
     solutions = ft.interval_solutions(fits, series, OPTIONS, joint=True)
-    shares, means = rp.region_bands(fits, solutions, series, OPTIONS, future=7)
-    return shares.join(means, ["series_id", "date"])
+    return rp.region_bands(fits, solutions, series, OPTIONS, future=7)
 
 
 def search_fit(spark, sf):
     """Search with continuous fits per segment, each started from the finest fit."""
     series = materialise(series_arrays(b.segment_counts(spark, sf), BASELINE))
     finest = ft.finest_candidates(series)
-    best = materialise(ft.fit(ft.finest_start(series), OPTIONS))
+    best = ft.array_params(ft.fit(ft.finest_start(series), OPTIONS), series)
     scores, _ = se.search_partitions(finest, se.fit_scorer(series, OPTIONS, best), 1)
     return se.ledger(scores)
 
@@ -791,7 +794,7 @@ NAMES = [
     normalised_shares, truncation, labels_to_partition, labels_to_long, partition_predicates, partition_blocks, merge_once,
     all_coarsenings, common_children, finest_common, enumerate_all, enumerate_at_most,
     enumerate_exactly, enumerate_reverse, drop_dominated, trajectory, trajectory_late,
-    trajectory_substep, trajectory_time_scale, forecast, scenario_trajectory, bin_share, lag_sum,
+    trajectory_substep, trajectory_time_scale, forecast, population_mean, scenario_trajectory, bin_share, lag_sum,
     chart_table, loglik_multinomial, loglik_dirichlet, loglik_dirichlet_terms, loglik_zero_probability, fit_grid, grid_loglik,
     profile_ci_grid, region_bands_grid, baseline_range_grid, blocks_report, warm_start, shared_rates,
     estimates_report, group_report, rate_report, order_by_rate, score_report, frequency_report,
