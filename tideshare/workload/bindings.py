@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideshare.functions.partitions import to_rgs
@@ -92,8 +93,8 @@ def segment_rates(spark: SparkSession, sf: str) -> DataFrame:
     means = by_segment(spark, sf, sums).groupBy(
         F.col("c_mktsegment").alias("series_id"), F.col("event_type").alias("variant")
     ).agg((F.sum("total") / F.sum("events")).alias("m"))
-    base = means.filter(F.col("variant") == BASELINE).select("series_id", F.col("m").alias("base"))
-    return means.join(base, "series_id").select("series_id", "variant", (F.col("m") / F.col("base")).alias("k"))
+    base = F.max(F.when(F.col("variant") == BASELINE, F.col("m"))).over(W.partitionBy("series_id"))
+    return means.select("series_id", "variant", (F.col("m") / base).alias("k"))
 
 
 def segment_params(spark: SparkSession, sf: str, counts: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def window_violations(spark, sf):
 
 def bin_width_violations(spark, sf):
     counts = b.segment_counts(spark, sf, "week").unionByName(b.region_counts(spark, sf))
-    return ck.bin_width_violations(counts).withColumn("max_width", F.col("max_width").cast("bigint"))
+    return ck.bin_width_violations(materialise(counts)).withColumn("max_width", F.col("max_width").cast("bigint"))
 
 
 def block_violations(spark, sf):
@@ -138,7 +138,7 @@ def block_violations(spark, sf):
 
 
 def keep_subjects(spark, sf):
-    kept = ct.keep_subjects(b.segment_counts(spark, sf), ["click", "purchase"], BASELINE)
+    kept = ct.keep_subjects(materialise(b.segment_counts(spark, sf)), ["click", "purchase"], BASELINE)
     return dated(ct.drop_baseline(kept, BASELINE), "date_from", "date_till")
 
 
@@ -355,7 +355,7 @@ def enumerate_reverse(spark, sf):
 
 def drop_dominated(spark, sf):
     """One-step coarsenings of ``by_both`` that do not coarsen ``by_orders``."""
-    p = b.customer_partitions(spark, sf)
+    p = materialise(b.customer_partitions(spark, sf))
     children = pt.merge_once(p.select("series_id", F.col("by_both").alias("rgs"))).select(
         "series_id", F.col("child").alias("rgs"))
     pruned = p.select("series_id", F.col("by_orders").alias("rgs"))
@@ -702,7 +702,7 @@ def level_summary(spark, sf):
 
 def pending_candidates(spark, sf):
     """Customer groupings by orders whose digest is not among those by status of the customer."""
-    p = b.customer_partitions(spark, sf)
+    p = materialise(b.customer_partitions(spark, sf))
     keyed = p.select("series_id", F.lit("run").alias("config_hash"),
                      part.rgs_digest("by_orders").alias("sha1"), F.col("by_orders").alias("rgs"))
     stored = p.select("series_id", F.lit("run").alias("config_hash"), part.rgs_digest("by_status").alias("sha1"))
