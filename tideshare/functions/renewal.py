@@ -260,7 +260,7 @@ class Fits:
             g = np.where(free, grad, 0.0)
             step = np.linalg.solve(work.system(info, free, damp), g[..., None])[..., 0]
             gain = (g * step).sum(axis=1)
-            settled = np.isfinite(ll) & (((gain < 2e-9) & (damp <= 1e-3)) | ((damp > 1e8) & (gain < 1e-6)))
+            settled = np.isfinite(ll) & (((gain < 1e-11) & (damp <= 1e-3)) | ((damp > 1e8) & (gain < 1e-6)))
             done |= settled | (damp > 1e8)
             par[rows], out_ll[rows], ok[rows] = x, ll, settled
             if done.any():

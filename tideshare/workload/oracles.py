@@ -294,6 +294,32 @@ COLS_LEDGER = ("series_id, level, array_to_string(a, '-') as rgs, sha1(array_to_
 COLS_SCORE = ("series_id, array_to_string(a, '-') as rgs, round(ll, 4) as ll, "
               "cast(num_pars as bigint) as num_pars, round(AIC, 4) as AIC, cast(level as bigint) as level")
 
+# shares that stay constant: pooled counts, log-likelihood at the pooled shares
+CONSTANT = f"""with recursive {counts('segment', 'day')},
+p as (select *, sum(n) over (partition by series_id) as total
+  from (select series_id, variant, cast(sum(n) as double) as n from counts group by all)),
+lls as (select a.series_id, a.ll + b.f - c.f as ll from
+  (select series_id, sum(n * ln(n / total)) as ll from p group by 1) a
+  join (select series_id, sum(lgamma(t + 1)) as f from (select series_id, date_from, sum(n) as t from counts group by all) group by 1) b
+    on a.series_id = b.series_id
+  join (select series_id, sum(lgamma(n + 1)) as f from counts group by 1) c on a.series_id = c.series_id)"""
+
+
+def constant_ends(df: int) -> str:
+    """Both ends of the profile interval of each pooled share by bisection, baseline at those points."""
+    return f"""
+side as (select series_id, variant, n, total, n / total as q, unnest([-1, 1]) as s from p where variant <> '{BASELINE}'),
+step as (select *, 0 as i, case when s < 0 then 1e-12 else q end as lo, case when s < 0 then q else 1 - 1e-12 end as hi from side
+  union all select series_id, variant, n, total, q, s, i + 1,
+    case when (g >= 0) = (s > 0) then mid else lo end, case when (g >= 0) = (s > 0) then hi else mid end
+  from (select *, n * ln(mid / q) + (total - n) * ln((1 - mid) / (1 - q)) + {chi2_quantile(df) / 2!r} as g
+    from (select *, (lo + hi) / 2 as mid from step where i < 70))),
+e as (select *, (lo + hi) / 2 as x from step where i = 70),
+both_ends as (select series_id, variant, q, x from e union all
+  select e.series_id, b.variant, b.n / b.total, (1 - x) * b.n / (e.total - e.n) from e
+  join p b on e.series_id = b.series_id and b.variant = '{BASELINE}')"""
+
+
 ORACLES = {
     "daily_counts": f"with {counts('segment', 'day')} select {TEXT_BIN}, variant, n from counts",
     "weekly_counts": f"with {counts('user', 'week')} select {TEXT_BIN}, variant, n from counts",
@@ -530,4 +556,19 @@ ORACLES = {
                      "from ledger group by all",
     "pending_candidates": f"""{PARTS} select series_id, 'run' as config_hash, sha1({key('by_orders')}) as sha1, {key('by_orders')} as rgs
       from part_of where {key('by_orders')} <> {key('by_status')}""",
+    "fit_constant": f"""{CONSTANT}
+      select p.series_id, variant, cast(1 as double) as k, round(n / total, 4) as qt, round(ll, 4) as maxll,
+        (select count(*) - 1 from p x where x.series_id = p.series_id) as num_pars,
+        round(-2 * ll + 2 * (select count(*) - 1 from p x where x.series_id = p.series_id), 4) as AIC
+      from p join lls on p.series_id = lls.series_id where variant <> '{BASELINE}'""",
+    "profile_ci_constant": f"""{CONSTANT}, {constant_ends(1)}
+      select series_id, variant, round(any_value(q), 4) as qt, round(min(x), 4) as qt_lb, round(max(x), 4) as qt_ub
+      from both_ends group by all""",
+    "region_bands_constant": f"""{CONSTANT}, {constant_ends(4)},
+      r as (select series_id, variant, min(x) as lo, max(x) as hi from both_ends group by all),
+      cal as (select series_id, cast(unnest(generate_series(cast(min(date_from) as timestamp),
+        cast(max(date_till) as timestamp) + interval 3 day, interval 1 day)) as date) as d from counts group by 1)
+      select cal.series_id, cast(d as varchar) as date, variant, round(lo, 4) as q_lb, round(hi, 4) as q_ub,
+        cast(1 as double) as average_k_lb, cast(1 as double) as average_k_ub
+      from cal join r on cal.series_id = r.series_id""",
 }

@@ -716,8 +716,7 @@ OPTIONS = ft.Options(ALPHA, THETA)
 
 def _fits(spark, sf, options=OPTIONS, grain="day") -> tuple[DataFrame, DataFrame]:
     series = series_arrays(b.segment_counts(spark, sf, grain), BASELINE)
-    started = ft.finest_start(series)
-    return series, ft.scored(ft.fit(started, options), options)
+    return series, materialise(ft.scored(ft.fit(ft.finest_start(series), options), options))
 
 
 def fit(spark, sf):
@@ -748,6 +747,39 @@ def fit_shared(spark, sf):
     return ft.fit_summary(ft.fit(ft.warm_start(blocks, started), OPTIONS), OPTIONS)
 
 
+def _constant_fits(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """All rates tied to the baseline: shares stay constant, so the optimum is the pooled share."""
+    series = series_arrays(b.segment_counts(spark, sf), BASELINE, undetected=True)
+    tied = series.select("series_id", F.transform(F.sequence(F.lit(0), F.size("subjects")), lambda i: F.lit(0)).alias("rgs"))
+    return series, ft.scored(ft.fit(ft.default_start(tied, series), OPTIONS), OPTIONS)
+
+
+def fit_constant(spark, sf):
+    """Continuous fit of the coarsest grouping, for which SQL knows the optimum."""
+    series, fits = _constant_fits(spark, sf)
+    params = ft.array_params(fits, series).select("series_id", "variant", r6("k").alias("k"), r6("qt", 4).alias("qt"))
+    return params.join(rp.score_report(fits).select("series_id", r6("maxll", 4).alias("maxll"), "num_pars",
+                                                    r6("AIC", 4).alias("AIC")), "series_id")
+
+
+def profile_ci_constant(spark, sf):
+    """Profile intervals of the start shares of the coarsest grouping, baseline included."""
+    series, fits = _constant_fits(spark, sf)
+    fits = materialise(fits)
+    solutions = ft.array_params(ft.solution_ids(ft.interval_solutions(fits, series, OPTIONS)), series)
+    out = rp.estimates_report(ft.array_params(fits, series), series.select("series_id", "t_start"), BASELINE, solutions)
+    return out.select("series_id", "variant", *[r6(c, 4).alias(c) for c in ("qt", "qt_lb", "qt_ub")])
+
+
+def region_bands_constant(spark, sf):
+    """Joint-region bands of the coarsest grouping, three days ahead."""
+    series, fits = _constant_fits(spark, sf)
+    fits = materialise(fits)
+    out = rp.region_bands(fits, ft.interval_solutions(fits, series, OPTIONS, joint=True), series, OPTIONS, future=3)
+    cols = ["q_lb", "q_ub", "average_k_lb", "average_k_ub"]
+    return dated(out.select("series_id", "date", "variant", *[r6(c, 4).alias(c) for c in cols]), "date")
+
+
 def fit_time_scale(spark, sf):
     options = ft.Options(ALPHA, THETA, time_scale=True)
     series, fits = _fits(spark, sf, options)
@@ -799,7 +831,7 @@ NAMES = [
     profile_ci_grid, region_bands_grid, baseline_range_grid, blocks_report, warm_start, shared_rates,
     estimates_report, group_report, rate_report, order_by_rate, score_report, frequency_report,
     partition_scores, beam, running_best, best_partition, search_grid, pruned_grid, level_summary,
-    pending_candidates, fit, fit_users, fit_parts, fit_shared, fit_time_scale, fit_dirichlet, profile_ci,
+    pending_candidates, fit_constant, profile_ci_constant, region_bands_constant, fit, fit_users, fit_parts, fit_shared, fit_time_scale, fit_dirichlet, profile_ci,
     region_bands, search_fit,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
