@@ -57,6 +57,20 @@ def test_drop_dominated_against_brute_force(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_surviving_children_equal_the_general_form(spark):
+    every = partitions(5)
+    schema = "series_id string, rgs array<int>"
+    pruned = [every[9], every[20], every[33]]
+    parents = [x for x in every if 1 <= max(x) and not any(coarser(x, p) for p in pruned)]
+    bad = spark.createDataFrame([("s", list(x)) for x in pruned], schema)
+    up = spark.createDataFrame([("s", list(x)) for x in parents], schema)
+    children = P.merge_once(up).select("series_id", F.col("child").alias("rgs")).distinct()
+    want = {tuple(r.rgs) for r in P.drop_dominated(children, bad).collect()}
+    got = [tuple(r.rgs) for r in P.surviving_children(up, bad).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < children.count()
+    assert P.surviving_children(up, bad.limit(0)).count() == children.count()
+
+
 def test_labels(spark):
     data = [("s", 1, 1.0), ("s", 2, 1.2), ("s", 3, 1.0), ("s", 4, 0.9)]
     df = spark.createDataFrame(data, "series_id string, pos int, k double")

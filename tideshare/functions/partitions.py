@@ -167,6 +167,29 @@ def together_pairs(a: Column | str) -> Column:
     )
 
 
+def star_pairs(a: Column | str) -> Column:
+    """Each position paired with the first one of its block."""
+    a = col(a)
+    first = lambda j: F.array_position(a, F.element_at(a, j)).cast("int")
+    later = F.filter(F.sequence(F.lit(1), F.size(a)), lambda j: first(j) < j)
+    return F.transform(later, lambda j: F.struct(first(j).alias("i"), j.alias("j")))
+
+
+def cross_pairs(a: Column | str, s: Column | str, t: Column | str) -> Column:
+    """All position pairs i < j with one in block s and the other in block t."""
+    a, s, t = col(a), col(s), col(t)
+    places = F.sequence(F.lit(1), F.size(a))
+    return F.flatten(
+        F.transform(
+            F.filter(places, lambda i: F.element_at(a, i) == s),
+            lambda i: F.transform(
+                F.filter(places, lambda j: F.element_at(a, j) == t),
+                lambda j: F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j")),
+            ),
+        )
+    )
+
+
 def rgs_key(a: Column | str) -> Column:
     return F.array_join(col(a), "-")
 

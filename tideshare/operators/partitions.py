@@ -9,10 +9,12 @@ from tideshare.functions.numbers import col
 from tideshare.functions.partitions import (
     block_count,
     compose,
+    cross_pairs,
     is_coarsening,
     label_pairs,
     merge_labels,
     rgs_key,
+    star_pairs,
     to_rgs,
     together_pairs,
 )
@@ -116,6 +118,11 @@ def drop_dominated(candidates: DataFrame, pruned: DataFrame, keys=("series_id",)
         .withColumn("pairs", together_pairs("finer"))
         .select(*keys, "finer", F.when(F.size(pairs) == 0, whole).otherwise(any_pair).alias("p"))
     )
+    return without_hits(candidates, cand, bad, keys)
+
+
+def without_hits(candidates: DataFrame, cand: DataFrame, bad: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates minus those that share a pair with a pruned partition and coarsen it."""
     hit = (
         cand.join(bad, [*keys, "p"])
         .filter(is_coarsening("rgs", "finer"))
@@ -125,6 +132,25 @@ def drop_dominated(candidates: DataFrame, pruned: DataFrame, keys=("series_id",)
     return candidates.join(hit, [*keys, "rgs"], "left_anti")
 
 
+def surviving_children(parents: DataFrame, pruned: DataFrame, keys=("series_id",)) -> DataFrame:
+    """Distinct one-step coarsenings of ``parents`` that coarsen no pruned partition.
+
+    Holds for parents that are not pruned and coarsen nothing pruned, as in the search. Then only
+    the last merge can complete a pruned partition, so some pair of it crosses the two merged
+    blocks: children go to their crossing pairs only, and pruned partitions to the pairs with the
+    first element of each block. Both are far fewer than all pairs of a child. Several parents may
+    give one child; any of them will do.
+    """
+    keys = list(keys)
+    merges = merge_once(parents.select(*keys, "rgs")).groupBy(
+        *keys, F.col("child").alias("_child")
+    ).agg(F.min(F.struct("rgs", "s", "t")).alias("m"))
+    children = merges.select(*keys, F.col("_child").alias("rgs"), "m")
+    cand = children.select(*keys, "rgs", F.explode(cross_pairs("m.rgs", "m.s", "m.t")).alias("p"))
+    bad = pruned.select(*keys, F.col("rgs").alias("finer"), F.explode(star_pairs("rgs")).alias("p"))
+    return without_hits(children.select(*keys, "rgs"), cand, bad, keys)
+
+
 def with_level(df: DataFrame, rgs: str = "rgs") -> DataFrame:
     """Level 1 is the finest partition; every merge goes one level up."""
     return df.withColumn("level", (F.size(rgs) - block_count(rgs)).cast("bigint"))

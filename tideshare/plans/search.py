@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideshare.functions.numbers import aic, coarsening_bound, num_parameters
 from tideshare.functions.partitions import block_count, rgs_digest, rgs_key
-from tideshare.operators.partitions import drop_dominated, merge_once
+from tideshare.operators.partitions import surviving_children
 from tideshare.operators.ranking import beam, rank_scores
 from tideshare.plans.fit import Options, default_start, fit, named_start, scored, warm_start
 from tideshare.plans.likelihood import score_on_grid
@@ -105,11 +105,7 @@ def search_partitions(finest: DataFrame, scorer: Scorer, width: int = 1, max_lev
         {"has_chance": F.lit(True), "level": F.lit(1).cast("bigint")})
     levels, survivors = [flagged], flagged
     while max_levels is None or len(levels) < max_levels:
-        children = merge_once(survivors.select("series_id", "rgs")).select(
-            "series_id", F.col("child").alias("rgs")).distinct()
-        if len(levels) > 1:
-            children = drop_dominated(children, union([prune(f) for f in levels]))
-        scores = scores_of(children)
+        scores = scores_of(surviving_children(survivors, union([prune(f) for f in levels])))
         if scores.isEmpty():
             break
         earlier = levels[-1].groupBy("series_id").agg(F.min("best_AIC").alias("earlier"))
