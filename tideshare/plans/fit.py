@@ -46,20 +46,33 @@ def finest_candidates(series: DataFrame) -> DataFrame:
 
 def finest_start(series: DataFrame) -> DataFrame:
     """The finest candidate of each series, ready to fit: made from the series row, no join."""
-    rows = lean(series).withColumn("rgs", F.sequence(F.lit(0), F.size("intro")))
-    return spread(with_start(rows))
+    rows = fixed_start(series)
+    return spread(rows.withColumn("rgs", F.sequence(F.lit(0), F.size("intro"))))
 
 
 def default_start(candidates: DataFrame, series: DataFrame) -> DataFrame:
     """Candidates ``(series_id, rgs)`` with the fixed start values."""
-    return with_start(attach_series(candidates, lean(series)))
+    return attach_series(candidates, fixed_start(series))
 
 
-def with_start(rows: DataFrame) -> DataFrame:
-    subjects = F.size("rgs") - 1
+def block_rates(rows: DataFrame) -> DataFrame:
+    """Start rate of each subject: the mean earlier rate of its block."""
+    block = F.slice("rgs", F.lit(2), F.size("rgs") - 1)
+    pairs = F.arrays_zip(block.alias("b"), F.col("k").alias("k"))
+
+    def mean_rate(b):
+        same = F.transform(F.filter(pairs, lambda x: x["b"] == b), lambda x: x["k"])
+        return F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x) / F.size(same)
+
+    return rows.withColumn("k", F.transform(block, mean_rate))
+
+
+def fixed_start(series: DataFrame) -> DataFrame:
+    """Lean series rows with the fixed start values."""
+    rows = lean(series)
     return rows.withColumns({
-        "k": F.array_repeat(F.lit(START_RATE), subjects),
-        "qt": F.array_repeat(F.lit(START_SHARE), subjects),
+        "k": F.transform("intro", lambda x: F.lit(START_RATE)),
+        "qt": F.transform("intro", lambda x: F.lit(START_SHARE)),
     })
 
 
@@ -74,17 +87,9 @@ def named_start(series: DataFrame, estimates: DataFrame) -> DataFrame:
     return rows.withColumns(found).drop("m", "subjects")
 
 
-def warm_start(candidates: DataFrame, started: DataFrame) -> DataFrame:
+def warm_start(candidates: DataFrame, started: DataFrame, small: bool = False) -> DataFrame:
     """Candidates with earlier values from ``named_start``: mean rate per block, share per category."""
-    joined = attach_series(candidates, started)
-    block = F.slice("rgs", F.lit(2), F.size("rgs") - 1)
-    pairs = F.arrays_zip(block.alias("b"), F.col("k").alias("k"))
-
-    def mean_rate(b):
-        same = F.transform(F.filter(pairs, lambda x: x["b"] == b), lambda x: x["k"])
-        return F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x) / F.size(same)
-
-    return joined.withColumn("k", F.transform(block, mean_rate))
+    return block_rates(attach_series(candidates, started, small=small))
 
 
 def lean(series: DataFrame, *more: str) -> DataFrame:

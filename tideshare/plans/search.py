@@ -12,9 +12,9 @@ from tideshare.functions.numbers import aic, coarsening_bound, num_parameters
 from tideshare.functions.partitions import block_count, rgs_digest, rgs_key
 from tideshare.operators.partitions import surviving_children
 from tideshare.operators.ranking import beam, rank_scores
-from tideshare.plans.fit import Options, default_start, fit, named_start, scored, warm_start
+from tideshare.plans.fit import Options, fit, fixed_start, named_start, scored, warm_start
 from tideshare.plans.likelihood import score_on_grid
-from tideshare.plans.series import materialise
+from tideshare.plans.series import is_small, materialise
 
 # Fixed value: a bound must beat the best AIC by this much, since fits are not exact.
 PRUNE_MARGIN = 1e-6
@@ -37,10 +37,11 @@ def fit_scorer(series: DataFrame, options: Options, estimates: DataFrame | None
 
     ``estimates`` ``(series_id, variant, k, qt)`` of an earlier fit give the start values.
     """
-    started = None if estimates is None else materialise(named_start(series, estimates))
+    started = materialise(fixed_start(series) if estimates is None else named_start(series, estimates))
+    small = is_small(started)
 
     def score(candidates: DataFrame) -> DataFrame:
-        rows = default_start(candidates, series) if started is None else warm_start(candidates, started)
+        rows = warm_start(candidates, started, small)
         return scored(fit(rows, options), options).select(*SCORE_COLUMNS)
 
     return score

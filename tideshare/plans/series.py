@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tideshare.functions.numbers import array_sum, let, log_factorial
 from tideshare.operators.counts import clip_window
 
+BROADCAST_CELLS = 1_000_000  # eight bytes each
+
 
 def series_arrays(counts: DataFrame, baseline: str, start: Column | None = None,
                   end: Column | None = None, undetected: bool = False) -> DataFrame:
@@ -125,12 +127,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(spread_count(df.sparkSession), *keys)
 
 
-def attach_series(candidates: DataFrame, series: DataFrame, splits: int = 8) -> DataFrame:
+def is_small(rows: DataFrame) -> bool:
+    """Whether the count arrays of materialised rows are small enough to broadcast: one sum."""
+    cells = rows.agg(F.coalesce(F.sum(F.size("flat")), F.lit(0))).first()[0]
+    return cells <= BROADCAST_CELLS
+
+
+def attach_series(candidates: DataFrame, series: DataFrame, splits: int = 8, small: bool = False) -> DataFrame:
     """Join candidates to the arrays of their series.
 
-    Candidates of one series go to ``splits`` keys and the one array row of the series is copied
-    to each, so a series with most of the candidates keeps many tasks busy. Spark broadcasts the arrays instead when their size allows.
+    With ``small`` (see ``is_small``) the arrays are broadcast and the candidates dealt out evenly.
+    Otherwise candidates of one series go to ``splits`` keys and the one array row of the series
+    is copied to each, so a series with most of the candidates keeps many tasks busy.
     """
+    if small:
+        return spread(candidates).join(F.broadcast(series), "series_id")
     salt = F.pmod(F.xxhash64(*candidates.columns), F.lit(splits)).cast("int")
     left = spread(candidates.withColumn("_salt", salt), "series_id", "_salt")
     copies = series.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
