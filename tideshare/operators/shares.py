@@ -74,11 +74,6 @@ def baseline_range(replicates: DataFrame, bounds: DataFrame) -> DataFrame:
     return per.groupBy("series_id").agg(F.min("qt").alias("qt_lb"), F.max("qt").alias("qt_ub"))
 
 
-def band(trajs: DataFrame, value: str = "q", keys=("series_id", "date", "variant")) -> DataFrame:
-    """Element-wise range over best fit and interval solutions."""
-    return param_range(trajs, value, keys)
-
-
 def population_mean(traj: DataFrame, params: DataFrame) -> DataFrame:
     """Share-weighted mean rate and time scale per day; categories without parameters count as 1."""
     on = [c for c in ("series_id", "candidate_id", "variant") if c in params.columns and c in traj.columns]

@@ -820,18 +820,20 @@ def search_fit(spark, sf):
 
 NAMES = [
     daily_counts, weekly_counts, monthly_counts, day_bins, wide_counts, read_write_counts,
-    read_write_reports, variant_violations, window_violations, bin_width_violations, block_violations,
-    keep_subjects, clip_window, variant_index, baseline_first_index, date_bounds, first_seen, bin_totals,
-    observed_share, start_share, first_appearance, log_gamma_values, day_numbers, generation_weights,
-    normalised_shares, truncation, labels_to_partition, labels_to_long, partition_predicates, partition_blocks, merge_once,
-    all_coarsenings, common_children, finest_common, enumerate_all, enumerate_at_most,
-    enumerate_exactly, enumerate_reverse, drop_dominated, trajectory, trajectory_late,
-    trajectory_substep, trajectory_time_scale, forecast, population_mean, scenario_trajectory, bin_share, lag_sum,
-    chart_table, loglik_multinomial, loglik_dirichlet, loglik_dirichlet_terms, loglik_zero_probability, fit_grid, grid_loglik,
-    profile_ci_grid, region_bands_grid, baseline_range_grid, blocks_report, warm_start, shared_rates,
-    estimates_report, group_report, rate_report, order_by_rate, score_report, frequency_report,
-    partition_scores, beam, running_best, best_partition, search_grid, pruned_grid, level_summary,
-    pending_candidates, fit_constant, profile_ci_constant, region_bands_constant, fit, fit_users, fit_parts, fit_shared, fit_time_scale, fit_dirichlet, profile_ci,
-    region_bands, search_fit,
+    read_write_reports, variant_violations, window_violations, bin_width_violations,
+    block_violations, keep_subjects, clip_window, variant_index, baseline_first_index, date_bounds,
+    first_seen, bin_totals, observed_share, start_share, first_appearance, log_gamma_values,
+    day_numbers, generation_weights, normalised_shares, truncation, labels_to_partition,
+    labels_to_long, partition_predicates, partition_blocks, merge_once, all_coarsenings,
+    common_children, finest_common, enumerate_all, enumerate_at_most, enumerate_exactly,
+    enumerate_reverse, drop_dominated, trajectory, trajectory_late, trajectory_substep,
+    trajectory_time_scale, forecast, population_mean, scenario_trajectory, bin_share, lag_sum,
+    chart_table, loglik_multinomial, loglik_dirichlet, loglik_dirichlet_terms,
+    loglik_zero_probability, fit_grid, grid_loglik, profile_ci_grid, region_bands_grid,
+    baseline_range_grid, blocks_report, warm_start, shared_rates, estimates_report, group_report,
+    rate_report, order_by_rate, score_report, frequency_report, partition_scores, beam,
+    running_best, best_partition, search_grid, pruned_grid, level_summary, pending_candidates,
+    fit_constant, profile_ci_constant, region_bands_constant, fit, fit_users, fit_parts, fit_shared,
+    fit_time_scale, fit_dirichlet, profile_ci, region_bands, search_fit,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
