@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideshare.llm.bpe import round_trip
 from tideshare.llm.common import table
+from tideshare.llm.decontamination import contamination
 from tideshare.llm.exact_dedup import exact_dedup
 from tideshare.llm.token_counts import token_counts
 from tideshare.llm.toxicity import toxicity
@@ -21,6 +22,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -37,7 +42,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op6_toxicity, op7_exact_dedup, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op9_url_filter, op10_token_counts)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
