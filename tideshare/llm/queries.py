@@ -9,6 +9,7 @@ from tideshare.llm.bpe import round_trip
 from tideshare.llm.common import table
 from tideshare.llm.decontamination import contamination
 from tideshare.llm.exact_dedup import exact_dedup
+from tideshare.llm.simhash import near_duplicates
 from tideshare.llm.token_counts import token_counts
 from tideshare.llm.toxicity import toxicity
 from tideshare.llm.url_filter import url_filter
@@ -18,6 +19,10 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), shingle=3, distance=3)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -42,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op9_url_filter, op10_token_counts)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
