@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideshare.llm.bpe import round_trip
 from tideshare.llm.common import table
 from tideshare.llm.decontamination import contamination
 from tideshare.llm.exact_dedup import exact_dedup
 from tideshare.llm.simhash import near_duplicates
+from tideshare.llm.substring_dedup import substring_dedup
 from tideshare.llm.token_counts import token_counts
 from tideshare.llm.toxicity import toxicity
 from tideshare.llm.url_filter import url_filter
@@ -23,6 +25,11 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), shingle=3, distance=3)
 
 
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = substring_dedup(table(spark, sf, "documents"), size=20)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_substring_dedup, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op9_url_filter, op10_token_counts)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
