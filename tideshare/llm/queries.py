@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tideshare.llm.bpe import round_trip
 from tideshare.llm.common import table
+from tideshare.llm.ctw import score_texts
 from tideshare.llm.decontamination import contamination
 from tideshare.llm.exact_dedup import exact_dedup
 from tideshare.llm.simhash import near_duplicates
@@ -46,6 +47,10 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter(table(spark, sf, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -54,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_substring_dedup, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_substring_dedup, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op8_lm_score, op9_url_filter, op10_token_counts)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
