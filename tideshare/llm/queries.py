@@ -13,6 +13,7 @@ from tideshare.llm.decontamination import contamination
 from tideshare.llm.exact_dedup import exact_dedup
 from tideshare.llm.simhash import near_duplicates
 from tideshare.llm.substring_dedup import substring_dedup
+from tideshare.llm.suffix_dedup import suffix_dedup
 from tideshare.llm.token_counts import token_counts
 from tideshare.llm.toxicity import toxicity
 from tideshare.llm.url_filter import url_filter
@@ -22,6 +23,11 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = suffix_dedup(table(spark, sf, "documents"), length=100)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), shingle=3, distance=3)
 
@@ -59,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_substring_dedup, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op8_lm_score, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_substring_dedup, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op8_lm_score, op9_url_filter, op10_token_counts)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
