@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,11 @@ from tideshare.llm.common import NO_ID, tasks
 SPACE = " \t\n\x0b\x0c\r"
 
 
+def normalised(text_column: str = "text") -> Column:
+    """The text without white space; a null text counts as empty."""
+    return F.translate(F.coalesce(F.col(text_column), F.lit("")), SPACE, "")
+
+
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, keep_id, group_size, kept, text_sha256)``, one row per row of ``docs``.
 
@@ -29,7 +34,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
-        F.translate(text, SPACE, "").alias("norm"),
+        normalised(text_column).alias("norm"),
         F.char_length(text).alias("length"),
     ).withColumn("did", F.coalesce("doc_id", F.lit(NO_ID)))
     salt = F.pmod(F.xxhash64("did", "length"), F.lit(1 << 20))

@@ -162,23 +162,34 @@ def train(own: list[np.ndarray], swap: list[np.ndarray | None], label: np.ndarra
     return w[:size], w[bias]
 
 
+def learnable(labels: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Labels that may be learned: those whose crc32 of the identifier as text, mod 5, is not 0."""
+    return labels.filter(F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(5)) != 0)
+
+
+def with_scores(docs: DataFrame, model: Model, name: str = "score", text_column: str = "text") -> DataFrame:
+    """All columns of ``docs`` and the score of each row; a null text is scored as empty. No shuffle."""
+    schema = docs.withColumn(name, F.lit(0.0)).schema
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(text_column).cast(pa.large_binary())
+            scores = [model.scores([texts[i].as_py() or b""])[0] for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(judge, schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id",
              label_column: str = "toxic") -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per row of ``docs``.
 
-    Labels are learned only where crc32 of the identifier as text, mod 5, is not 0; the others are
-    held out. A null text is scored as empty; a null identifier is not held out and not learned
-    from; an empty table gives no rows. Columns other than identifier and text are not read.
+    Only ``learnable`` labels are learned; the others are held out. A null text is scored as empty; a
+    null identifier is not held out and not learned from; an empty table gives no rows. Columns other
+    than identifier and text are not read.
     """
-    learnable = labels.filter(F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(5)) != 0)
-    model = fit(docs, learnable, settings, id_column, label_column)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-        for b in steps(batches):
-            yield batch(schema, b.column("doc_id"), model.scores([t.encode() for t in b.column("text").to_pylist()]))
-
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    model = fit(docs, learnable(labels, id_column), settings, id_column, label_column)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    return rows.mapInArrow(judge, "doc_id long, score double").select(
+    return with_scores(rows, model).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
