@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideshare.llm.common import bucketed, packed, stored, tasks, text_bytes, unpacked
+from tideshare.llm.common import bucketed, packed, planes, stored, tasks, text_bytes, unpacked, unplaned
 
 #: Bytes of context of the deepest nodes.
 DEPTH = 4
@@ -76,15 +76,6 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, rank, doc
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight together, which compress better that way."""
-    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unplaned(blob: memoryview) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
-
-
 def gram_slices(codes: np.ndarray, slices: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of the codes by slice, and (slice, first, last) of each run.
 

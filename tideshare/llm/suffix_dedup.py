@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideshare.llm.common import batch, bucketed, keyed, packed, steps, tasks, unpacked
-from tideshare.llm.substring_dedup import ordered, rolled, texts_of
+from tideshare.llm.common import NO_ID, batch, keyed, packed, planes, steps, tasks, unpacked, unplaned
+from tideshare.llm.substring_dedup import mixed, powers, texts_of
 
 #: Bytes of the hashed grams.
-GRAM = 24
+GRAM = 20
 #: Odd base of their rolling hash.
 BASE = 0x5851F42D4C957F2D
 #: Text of one bucket of documents, and of one range of the sort.
@@ -37,6 +37,20 @@ GROUP = 50_000
 WAITING = 200_000
 
 
+def rolling(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` neighbours, from one running sum."""
+    up, down = powers(BASE, len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    total[1:] = values
+    total[1:] += np.uint64(1)
+    total[1:] *= up[:-1]
+    np.cumsum(total, out=total)
+    sums = total[width:] - total[:-width]
+    del total
+    sums *= down[:len(sums)]
+    return mixed(sums)
+
+
 class Suffixes:
     """The anchored suffixes of some texts, as rows of bytes; all bytes are one higher, 0 is none."""
 
@@ -50,23 +64,23 @@ class Suffixes:
         np.add.at(inside, offsets, 1)
         np.add.at(inside, offsets + sizes, -1)
         data = np.where(np.cumsum(inside[:-1]) > 0, data + 1, 0).astype(np.uint8)
-        starts = np.arange(len(data) - GRAM + 1)
         mask = np.uint64((1 << 24) - 1)
-        least = rolled(data, starts, starts + GRAM, BASE) & ~mask | starts.astype(np.uint64) & mask
+        least = rolling(data, GRAM)
+        least &= ~mask
+        least |= np.arange(len(least), dtype=np.uint64) & mask
         places, width = length - GRAM + 1, 1
         while 2 * width <= places:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if places > width:
             least = np.minimum(least[:len(least) - (places - width)], least[places - width:])
-        at = np.arange(len(least))
-        anchor = at + ((least & mask).astype(np.int64) - at & (1 << 24) - 1)
         change = np.zeros(len(least) + 1, np.int32)
         long = sizes >= length
         np.add.at(change, offsets[long], 1)
         np.add.at(change, (offsets + sizes - length + 1)[long], -1)
         valid = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-        anchor = anchor[valid]
+        anchor = valid + ((least[valid] & mask).astype(np.int64) - valid & (1 << 24) - 1)
+        del least
         new = np.append(True, (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1] + 1))[:len(valid)]
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(valid))[:len(first)] - 1
@@ -123,11 +137,10 @@ def compared(a: bytes, b: bytes, known: int) -> tuple[int, bool]:
 
 def decoded(blob: bytes) -> Iterator[tuple[int, bytes, tuple]]:
     """Shared bytes, key and place of each suffix of a run, in order."""
-    shared, sizes, rest, doc, at, did, mark, bucket = unpacked(blob)
-    did, mark, bucket = (np.frombuffer(x, np.int64).tolist() for x in (did, mark, bucket))
-    docs = list(zip(did, mark, bucket, strict=True))
+    shared, sizes, rest, doc, at, did, mark = unpacked(blob)
+    docs = list(zip(unplaned(did).tolist(), np.frombuffer(mark, np.uint32).tolist(), strict=True))
     rest, place, key = bytes(rest), 0, b""
-    for n, size, d, a in zip(bytes(shared), bytes(sizes), np.frombuffer(doc, np.int32).tolist(), np.frombuffer(at, np.int64).tolist(), strict=True):
+    for n, size, d, a in zip(bytes(shared), bytes(sizes), unplaned(doc).tolist(), unplaned(at).tolist(), strict=True):
         key = key[:n].ljust(n, b"\0") + rest[place:place + size]
         place += size
         yield n, key, (docs[d][0], a, docs[d])
@@ -192,12 +205,11 @@ class Repeats:
 
     def __init__(self, length: int):
         self.length = length
-        self.gone: dict[int, list] = {}
+        self.gone: list[tuple[int, int, int, int]] = []
         self.open: dict[bytes, tuple] = {}
 
     def remove(self, place: tuple, start: int, end: int) -> None:
-        did, mark, bucket = place[2]
-        self.gone.setdefault(bucket, []).append((did, mark, start, end))
+        self.gone.append((*place[2], start, end))
 
     def wait(self, content: bytes, place: tuple, start: int) -> None:
         """One entry per content and earliest place; the others are repeats already."""
@@ -285,7 +297,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     width, spark = 2 * length - GRAM, docs.sparkSession
     total, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(tasks(spark), -(-total // BUCKET_BYTES))
-    rows = keyed(docs).withColumn("bucket", F.pmod(F.xxhash64("did", "mark"), F.lit(buckets)).cast("long"))
+    # half a mark is enough to tell the texts of one identifier apart
+    rows = keyed(docs).withColumn("mark", F.col("mark").bitwiseAND((1 << 32) - 1))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.binary())])
@@ -299,17 +312,25 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     keys = sorted({bytes(r["key"]) for r in looked.toArrow().to_pylist()})
     splitters = sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
 
+    def by_home(did: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Spans by the bucket of their document."""
+        home = (did ^ mark) % buckets
+        order = np.lexsort((start, did, home))
+        cuts = np.flatnonzero(np.diff(home[order])) + 1
+        for own in np.split(order, cuts) if len(order) else []:
+            yield int(home[own[0]]), packed(*(planes(x[own]) for x in (did, mark, start, end)))
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("range", pa.int32()), ("bucket", pa.int32()), ("run", pa.binary()), ("gone", pa.binary())])
         for b in steps(batches, RUN_BYTES):
             parts, whose, shift = parts_of(texts_of(b), length)
             whose, shift = np.array(whose), np.array(shift)
-            did, mark, bucket = (b.column(n).to_numpy() for n in ("did", "mark", "bucket"))
+            did, mark = (b.column(n).to_numpy() for n in ("did", "mark"))
             for s in range(0, len(parts), 1 if b.num_rows == 1 else len(parts)):
                 e = len(parts) if b.num_rows > 1 else s + 1
-                yield batch(schema, *run(Suffixes(parts[s:e], length), whose[s:e], shift[s:e], did, mark, bucket))
+                yield batch(schema, *run(Suffixes(parts[s:e], length), whose[s:e], shift[s:e], did, mark))
 
-    def run(found: Suffixes, whose: np.ndarray, shift: np.ndarray, did: np.ndarray, mark: np.ndarray, bucket: np.ndarray) -> list[list]:
+    def run(found: Suffixes, whose: np.ndarray, shift: np.ndarray, did: np.ndarray, mark: np.ndarray) -> list[list]:
         doc, at = whose[found.doc], found.at + shift[found.doc]
         order = np.lexsort((at, did[doc]))
         order = order[np.argsort(found.keys(found.rows)[order], kind="stable")]
@@ -324,16 +345,14 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
         if len(g):  # overlapping spans of a document make one
             cut = np.flatnonzero(np.append(True, (gd[1:] != gd[:-1]) | (gs[1:] > ge[:-1])))
             gd, gs, ge = gd[cut], gs[cut], np.maximum.reduceat(ge, cut)
-            for home in np.unique(bucket[gd]).tolist():
-                own = bucket[gd] == home
-                out.append((home % buckets, home, None, packed(did[gd[own]], mark[gd[own]], gs[own], ge[own])))
+            out += [(home, home, None, blob) for home, blob in by_home(did[gd], mark[gd], gs, ge)]
         table, doc, at, sizes = table[~later], doc[~later], at[~later], np.where(before > 0, length + before, after)[~later]
         cuts = [0, *np.searchsorted(found.keys(table), np.array(splitters, f"S{width}"), side="right").tolist(), len(table)]
         for r, (s, e) in enumerate(zip(cuts, cuts[1:])):
             if s < e:
                 docs, which = np.unique(doc[s:e], return_inverse=True)
-                out.append((r, -1, packed(*front_coded(table[s:e], sizes[s:e]), which.astype(np.int32), at[s:e],
-                                          did[docs], mark[docs], bucket[docs]), None))
+                out.append((r, -1, packed(*front_coded(table[s:e], sizes[s:e]), planes(which), planes(at[s:e]),
+                                          planes(did[docs]), mark[docs].astype(np.uint32)), None))
         return list(map(list, zip(*out, strict=True))) if out else [[], [], [], []]
 
     step_schema = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("strings", pa.binary()), ("gone", pa.binary())])
@@ -341,8 +360,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     def merge(table: pa.Table) -> pa.Table:
         r = table.column("range")[0].as_py()
         low, high = (splitters[r - 1] if r else b""), (splitters[r] if r < len(splitters) else b"")
-        found, out = Repeats(length), []
-        passed = [(home % buckets, home, None, blob) for home, blob in zip(table.column("bucket").to_pylist(), table.column("gone").to_pylist(), strict=True) if blob]
+        found = Repeats(length)
+        out = [(home, home, None, blob) for home, blob in zip(table.column("bucket").to_pylist(), table.column("gone").to_pylist(), strict=True) if blob]
 
         def flush() -> None:
             parts: dict[int, list] = {}
@@ -350,8 +369,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
                 parts.setdefault(zlib.crc32(content) % buckets, []).extend((content, *h[2][2], h[1]) for h in held)
             found.open = {}
             for part, own in parts.items():
-                contents, did, mark, home, start = zip(*own, strict=True)
-                out.append((part, -1, packed(b"".join(contents), *(np.array(x, np.int64) for x in (did, mark, home, start))), None))
+                contents, did, mark, start = zip(*own, strict=True)
+                out.append((part, -1, packed(b"".join(contents), *(planes(np.array(x, np.int64)) for x in (did, mark, start))), None))
 
         members: list[tuple[int, bytes, tuple]] = []
         nearby: list[int] = []
@@ -387,10 +406,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
             nearby.append(max(with_low, compared(high, key, 0)[0] if key[:GRAM] == high[:GRAM] else 0))
         close(0)
         flush()
-        for home, spans in found.gone.items():
-            did, mark, start, end = zip(*spans, strict=True)
-            passed.append((home % buckets, home, None, packed(*(np.array(x, np.int64) for x in (did, mark, start, end)))))
-        out += passed
+        if found.gone:
+            out += [(home, home, None, blob) for home, blob in by_home(*np.array(found.gone, np.int64).T)]
         return pa.table(list(map(list, zip(*out, strict=True))) if out else [[], [], [], []], schema=step_schema)
 
     gone_schema = pa.schema([("bucket", pa.int32()), ("gone", pa.binary())])
@@ -405,25 +422,33 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
                 continue
             contents, *numbers = unpacked(strings)
             contents, size = bytes(contents), length + 1
-            for k, (did, mark, own, start) in enumerate(zip(*(np.frombuffer(x, np.int64).tolist() for x in numbers), strict=True)):
+            for k, (did, mark, start) in enumerate(zip(*(unplaned(x).tolist() for x in numbers), strict=True)):
                 content = contents[k * size:(k + 1) * size]
                 first[content] = min(first.get(content, (did, start)), (did, start))
-                entries.append((content, did, mark, own, start))
-        spans: dict[int, list] = {}
-        for content, did, mark, own, start in entries:
-            if first[content] < (did, start):
-                spans.setdefault(own, []).append((did, mark, start, start + length))
-        for own, found in spans.items():
-            out.append((own, packed(*(np.array(x, np.int64) for x in zip(*found, strict=True)))))
+                entries.append((content, did, mark, start))
+        repeats = [(did, mark, start, start + length) for content, did, mark, start in entries if first[content] < (did, start)]
+        if repeats:
+            out += by_home(*np.array(repeats, np.int64).T)
         return pa.table(list(map(list, zip(*out, strict=True))) if out else [[], []], schema=gone_schema)
 
+    docs_schema = pa.schema([("bucket", pa.int32()), ("docs", pa.binary())])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents by bucket, a few megabytes compressed together."""
+        for b in steps(batches, RUN_BYTES):
+            did, mark = (b.column(n).to_numpy() for n in ("did", "mark"))
+            texts, home, out = texts_of(b), (did ^ mark) % buckets, []
+            for own in np.split(order := np.argsort(home, kind="stable"), np.flatnonzero(np.diff(home[order])) + 1):
+                mine = [texts[i] for i in own.tolist()]
+                out.append((int(home[own[0]]), packed(planes(did[own]), planes(mark[own]), planes(np.array(list(map(len, mine)))), b"".join(mine))))
+            yield batch(docs_schema, *zip(*out, strict=True))
+
     result_schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cover(docs: pa.Table, gone: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table([[] for _ in result_schema], schema=result_schema)
-        docs = ordered(docs)
-        lists = [[np.frombuffer(x, np.int64) for x in unpacked(b)] for b in gone.column("gone").to_pylist()]
+        lists = [list(map(unplaned, unpacked(b))) for b in gone.column("gone").to_pylist()]
         did, mark, start, end = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in lists)]) for i in range(4))
         order = np.lexsort((start, mark, did))
         spans: dict[tuple[int, int], list] = {}
@@ -434,16 +459,21 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
             else:
                 own.append([s, e])
         out = []
-        for given, d, m, text in zip(*(docs.column(n).to_pylist() for n in ("id", "did", "mark")), texts_of(docs), strict=True):
-            own = spans.get((d, m), ())
-            edges = [0, *(x for span in own for x in span), len(text)]
-            kept = b"".join([text[edges[k]:edges[k + 1]] for k in range(0, len(edges), 2)])
-            out.append((given, len(text), len(text) - len(kept), len(own), kept))
+        for blob in docs.column("docs").to_pylist():
+            *numbers, plain = unpacked(blob)
+            did, mark, sizes = map(unplaned, numbers)
+            ends = np.cumsum(sizes)
+            for d, m, s, e in zip(did.tolist(), mark.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                text, own = bytes(plain[s:e]), spans.get((d, m), ())
+                edges = [0, *(x for span in own for x in span), len(text)]
+                kept = b"".join([text[edges[k]:edges[k + 1]] for k in range(0, len(edges), 2)])
+                out.append((None if d == NO_ID else d, len(text), len(text) - len(kept), len(own), kept))
         return pa.table(list(map(list, zip(*out, strict=True))), schema=result_schema)
 
-    sorted_runs = rows.select("did", "mark", "bucket", "text").mapInArrow(runs, "range int, bucket int, run binary, gone binary")
+    sorted_runs = rows.select("did", "mark", "text").mapInArrow(runs, "range int, bucket int, run binary, gone binary")
     found = sorted_runs.repartition(buckets, "range").groupBy("range").applyInArrow(
         merge, "part int, bucket int, strings binary, gone binary")
     gone = found.repartition(buckets, "part").groupBy("part").applyInArrow(decide, "bucket int, gone binary")
-    return bucketed(docs, buckets).groupBy("bucket").cogroup(gone.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(
+    texts = rows.select("did", "mark", "text").mapInArrow(dealt, "bucket int, docs binary").repartition(buckets, "bucket")
+    return texts.groupBy("bucket").cogroup(gone.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(
         cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
