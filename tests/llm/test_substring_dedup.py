@@ -36,6 +36,11 @@ def test_same_as_all_windows(spark, monkeypatch, size, bits):
     assert any(r[2] for r in got)
 
 
+def test_buckets_without_windows(spark):
+    given = [(i, "few words" if i % 2 else None, None, None, None) for i in range(9)]
+    assert sorted(map(tuple, sd.substring_dedup(spark.createDataFrame(given, SCHEMA)).collect()), key=repr) == plain(given, 20)
+
+
 def test_empty_table(spark):
     assert sd.substring_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 

@@ -78,7 +78,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_column: str = "doc_
             of = every[order]
             cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
             numbers, lists = [DOCUMENTS], [packed(b.column("did").to_numpy(), np.array(starts, np.int64), np.array(sizes, np.int64))]
-            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True):
+            for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)]):
                 numbers.append(int(of[s]))
                 lists.append(np.diff(order[s:e], prepend=0).astype(np.uint32).tobytes())
             shard = TaskContext.get().partitionId() << 32 | number

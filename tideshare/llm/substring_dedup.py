@@ -105,7 +105,7 @@ def by_slice(sorted_cells: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Slice, first and last place of each run of a slice."""
     part = (sorted_cells >> np.uint64(CELL_BITS)).astype(np.int64)
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    yield from zip(part[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True)
+    yield from zip(part[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(part)])
 
 
 def gaps(rising: np.ndarray) -> list[bytes]:
