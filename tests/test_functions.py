@@ -50,7 +50,7 @@ def test_weight_column_equals_scalar(spark):
     for c in (0.3, 1.0, 1.7):
         column = value(spark, G.gamma_weights(4.109, 0.73, F.lit(c), 8, 2))
         assert column == pytest.approx(G.weights_value(4.109, 0.73, 8, 2, c), abs=1e-13)
-    assert value(spark, G.truncation_days(4.109, F.lit(0.73), 30)) == 8
+    assert value(spark, G.truncation_days(4.109, F.lit(0.73))) == 8
 
 
 @pytest.mark.parametrize("df,expected", [(1, 3.841459), (8, 15.507313), (36, 50.998460)])
@@ -110,3 +110,17 @@ def test_length_mismatch_fails(spark):
 
 def test_brute_relabel():
     assert relabel([7, 3, 7]) == [0, 1, 0]
+
+
+def test_gamma_cdf_needs_many_terms(spark):
+    """Large shapes, near the mean and far above it."""
+    import numpy as np
+
+    from tideshare.functions.renewal import gamma_cdf as batch_cdf
+
+    for shape, x in ((200.0, 499.0), (300.0, 699.0), (300.0, 300.0), (4.1, 3.0)):
+        want = G.gamma_cdf_value(x, shape)
+        assert abs(value(spark, G.gamma_cdf(F.lit(x), shape, 1.0)) - want) < 1e-9
+        assert abs(float(batch_cdf(np.array([x]), shape)[0]) - want) < 1e-9
+    assert value(spark, G.truncation_days(4.109, F.lit(20 * 0.73))) == next(
+        m for m in range(1, 10_000) if G.gamma_cdf_value(m, 4.109, 20 * 0.73) >= 0.99)

@@ -13,7 +13,6 @@ from tideshare.functions.numbers import array_sum, col, let
 DEFAULT_ALPHA = 2.03
 DEFAULT_THETA = 2.32
 TRUNCATION = 0.99
-SERIES_TERMS = 300
 
 
 def gamma_cdf_value(x: float, alpha: float, theta: float = 1.0) -> float:
@@ -60,12 +59,16 @@ def chi2_quantile(df: int, p: float = 0.95) -> float:
 
 
 def gamma_cdf(x: Column | str, alpha: float, theta: Column | str | float) -> Column:
-    """Regularised lower incomplete gamma function as a fold over the power series."""
+    """Regularised lower incomplete gamma function as a fold over the power series.
+
+    Terms fall from n = z - alpha on; twelve square roots of z later they no longer count.
+    """
     theta = F.lit(theta) if isinstance(theta, (int, float)) else col(theta)
 
     def series(z: Column) -> Column:
+        reach = F.greatest(F.lit(1.0), F.least(z, F.lit(100 + 2 * alpha)))
         total = F.aggregate(
-            F.sequence(F.lit(1), F.lit(SERIES_TERMS)),
+            F.sequence(F.lit(1), F.ceil(reach + 12 * F.sqrt(reach) + 60).cast("int")),
             F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
             lambda acc, n: let(
                 acc["term"] * z / (n + alpha),
@@ -97,11 +100,16 @@ def gamma_weights(alpha: float, theta: float, c: Column | str, length: int, divi
     )
 
 
-def truncation_days(alpha: float, theta: Column | str, max_days: int) -> Column:
-    """Smallest whole day m <= max_days with CDF(m) >= 99 %, NULL if there is none."""
+def truncation_days(alpha: float, theta: Column | str) -> Column:
+    """Smallest whole day m with CDF(m) >= 99 %.
+
+    No quantile of 99 % lies more than the square root of 99 standard deviations above the mean, so the
+    days up to there hold it, whatever the scale.
+    """
+    theta = col(theta)
+    last = F.greatest(F.lit(1), F.ceil(theta * (alpha + math.sqrt(99 * alpha))).cast("int"))
     return F.try_element_at(
-        F.filter(F.sequence(F.lit(1), F.lit(max_days)),
-                 lambda m: gamma_cdf(m.cast("double"), alpha, theta) >= TRUNCATION),
+        F.filter(F.sequence(F.lit(1), last), lambda m: gamma_cdf(m.cast("double"), alpha, theta) >= TRUNCATION),
         F.lit(1),
     )
 

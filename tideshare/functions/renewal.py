@@ -47,7 +47,8 @@ def gamma_cdf(z: np.ndarray, alpha: float) -> np.ndarray:
     x = np.where(inside, z, 1.0)
     term = np.ones_like(x)
     total = np.ones_like(x)
-    for n in range(1, 301):
+    last = float(x.max(initial=1.0))
+    for n in range(1, math.ceil(last + 12 * math.sqrt(last) + 60)):
         term = term * x / (alpha + n)
         total += term
     value = np.exp(alpha * np.log(x) - x - math.lgamma(alpha + 1)) * total

@@ -195,10 +195,10 @@ def lookup_index(df: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def first_appearance_id(df: DataFrame, value: str, pos: str, keys: list[str]) -> DataFrame:
-    """Number the values 0, 1, .. by first position within ``keys``.
+    """Number the values 0, 1, .. by first position within ``keys``, then by value.
 
     The minimum per value is a partial aggregate, so the window only sees one row per value.
     """
     first = df.groupBy(*keys, value).agg(F.min(pos).alias("_first"))
-    w = W.partitionBy(*keys).orderBy("_first")
-    return first.withColumn("label", (F.dense_rank().over(w) - 1).cast("int")).drop("_first")
+    w = W.partitionBy(*keys).orderBy("_first", value)
+    return first.withColumn("label", (F.row_number().over(w) - 1).cast("int")).drop("_first")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideshare.functions.gamma import chi2_quantile, weights_value
@@ -77,13 +77,19 @@ def fixed_start(series: DataFrame) -> DataFrame:
 
 
 def named_start(series: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Lean series rows with the earlier ``(series_id, variant, k, qt)``, matched by name."""
+    """Lean series rows with the earlier ``(series_id, variant, k, qt)``, matched by name.
+
+    A category without an earlier estimate has the fixed start values, and so has a whole series.
+    """
     packed = estimates.groupBy("series_id").agg(
         F.map_from_entries(F.collect_list(F.struct("variant", F.struct("k", "qt")))).alias("m")
     )
-    rows = lean(series, "subjects").join(packed, "series_id")
-    found = {f: F.transform("subjects", lambda v: F.element_at("m", v)["k" if f == "k" else "qt"])
-             for f in ("k", "qt")}
+    rows = lean(series, "subjects").join(packed, "series_id", "left")
+
+    def value(field: str, fixed: float) -> Column:
+        return F.transform("subjects", lambda v: F.coalesce(F.try_element_at("m", v)[field], F.lit(fixed)))
+
+    found = {"k": value("k", START_RATE), "qt": value("qt", START_SHARE)}
     return rows.withColumns(found).drop("m", "subjects")
 
 

@@ -6,8 +6,6 @@ bins x categories numbers, however many raw rows the series has.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,20 +89,11 @@ def series_arrays(counts: DataFrame, baseline: str, start: Column | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; a cluster must name one,
-    because a folder of one machine is lost with that machine.
-    """
+    """Use the shared folder named in ``spark.checkpoint.dir``, or one below the warehouse, which is shared too."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="tideshare-checkpoint-")
-    sc.setCheckpointDir(named)
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
 def materialise(df: DataFrame) -> DataFrame:

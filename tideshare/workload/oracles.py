@@ -335,7 +335,7 @@ ORACLES = {
                           "t as (select variant, cast(sum(n) as double) as s from counts group by 1) "
                           "select 'params' as source, variant, round(qt, 6) as value from ss union all "
                           "select 'estimates', variant, round(qt, 6) from ss union all "
-                          "select 'scores', cast(cast(s as bigint) as varchar), round(-2 * s + 2 * s, 6) from t",
+                          "select 'scores', cast(cast(s as bigint) as varchar), round(2.5 * s + 2 * s, 6) from t",
     "variant_violations": "select distinct l_returnflag as series_id, p_brand as variant from lineitem "
                           "join part on l_partkey = p_partkey where p_brand not in (select p_type from part)",
     "window_violations": f"""with d as ({RAW['user']}), s as (select series_id, min(d) = date '2024-01-01' as has_start,
@@ -373,7 +373,7 @@ ORACLES = {
                       "round(n / nullif(sum(n) over (partition by series_id, date_from), 0), 6) as share from counts",
     "start_share": f"with {counts('user', 'day')}, {shares(BASELINE)} select series_id, variant, round(qt, 6) as qt from ss",
     "first_appearance": """with f as (select user_id as series_id, event_type, min(ts) as m from events group by all)
-      select series_id, event_type, dense_rank() over (partition by series_id order by m) - 1 as label from f""",
+      select series_id, event_type, row_number() over (partition by series_id order by m, event_type) - 1 as label from f""",
     "log_gamma_values": f"""with {counts('segment', 'day')}, s as (select *, n / sum(n) over (
         partition by series_id, date_from) as share from counts)
       select series_id, cast(date_from as varchar) as date_from, variant, round(lgamma(n + 1), 6) as ln_factorial,
@@ -392,8 +392,11 @@ ORACLES = {
     "normalised_shares": f"""with {RATES_SQL} select series_id, variant,
       round(k / sum(k) over (partition by series_id), 6) as share from rates""",
     "truncation": f"""with {RATES_SQL},
-      z as (select series_id, variant, m, m / (k * {THETA}) as z from rates, (select unnest(range(1, 41)) as m))
-      select series_id, variant, cast(min(m) as bigint) as days from z where {GAMMA_CDF} >= 0.99 group by all""",
+      z as (select series_id, variant, m, m / (k * {THETA}) as z from rates, (select unnest(range(1, 100)) as m)),
+      y as (select series_id, variant, m, m / (k * {20 * THETA}) as z from rates, (select unnest(range(1, 2000)) as m)),
+      a as (select series_id, variant, cast(min(m) as bigint) as days from z where {GAMMA_CDF} >= 0.99 group by all),
+      b as (select series_id, variant, cast(min(m) as bigint) as long_days from y where z < 40 and {GAMMA_CDF} >= 0.99 group by all)
+      select * from a join b using (series_id, variant)""",
     "labels_to_partition": f"""{PARTS} select series_id, {key('by_orders')} as rgs_key, sha1({key('by_orders')}) as sha1,
       true as ok, cast(list_max(by_orders) as bigint) as blocks from part_of""",
     "labels_to_long": f"""with {LABELS}, f as (select series_id, orders, min(variant) as v from lab group by all),

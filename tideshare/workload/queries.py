@@ -99,8 +99,8 @@ def read_write_reports(spark, sf):
     params = shares.select("variant", F.col("first_date").alias("date"), F.lit(1.0).alias("c"),
                            F.lit(1.0).alias("k"), "qt")
     totals = counts.groupBy("variant").agg(F.sum("n").alias("num_pars")).select(
-        F.col("num_pars").cast("double").alias("maxll"), "num_pars",
-        num.aic(F.col("num_pars").cast("double"), "num_pars").alias("AIC"))
+        (F.col("num_pars") * -1.25).alias("maxll"), "num_pars",
+        num.aic(F.col("num_pars") * -1.25, "num_pars").alias("AIC"))
     path = work_path(spark)
     p = tb.read_params(spark, tb.write_table(params, path, "parameters", "csv"))
     s = tb.read_scores(spark, tb.write_table(totals, path, "loglikelihood", "csv"))
@@ -113,8 +113,9 @@ def read_write_reports(spark, sf):
 
 
 def variant_violations(spark, sf):
-    """Part brands of each return flag, asked of the counts by part type."""
-    wanted = b.part_rows(spark, sf).select(F.col("l_returnflag").alias("series_id"), F.col("p_brand").alias("variant")).distinct()
+    """Part brands and types of each return flag, asked of the counts by part type: only brands are missing."""
+    names = F.explode(F.array("p_brand", "p_type"))
+    wanted = b.part_rows(spark, sf).select(F.col("l_returnflag").alias("series_id"), names.alias("variant")).distinct()
     return ck.variant_violations(b.part_counts(spark, sf), wanted)
 
 
@@ -239,10 +240,11 @@ def normalised_shares(spark, sf):
 
 
 def truncation(spark, sf):
-    """Days that hold 99 % of the generation time for those time scales."""
+    """Days that hold 99 % of the generation time for those time scales, and for one 20 times as long."""
     rates = b.segment_rates(spark, sf)
     return rates.select("series_id", "variant",
-                        truncation_days(ALPHA, F.col("k") * THETA, 40).cast("bigint").alias("days"))
+                        truncation_days(ALPHA, F.col("k") * THETA).cast("bigint").alias("days"),
+                        truncation_days(ALPHA, F.col("k") * (20 * THETA)).cast("bigint").alias("long_days"))
 
 
 # --- partitions --------------------------------------------------------------------------
