@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 #: Pieces that a Python worker remembers in its newer and in its older half.
-REMEMBERED = 350_000
+REMEMBERED = 100_000
 
 WHITE = r"\s\x85\xa0"
 JOINT = re.compile(r"(?<=[^" + WHITE + r"])(?=[ \n][^" + WHITE + r"])")
