@@ -211,9 +211,20 @@ class Coder:
                 start = end
         return [" ".join([done[w] for w in words]) for words in cut]
 
-    def encode(self, texts: list[str]) -> list[str]:
+    def encode(self, texts: list[str]) -> Iterator[str]:
         """The ids of each text, in decimal with single spaces."""
-        return list(map(" ".join, self.memory.results(texts)))
+        return map(" ".join, self.memory.results(texts))
+
+    def digests(self, found: list[str], most: int = 1 << 13) -> tuple[int, str, str]:
+        """Number of ids, digest of the ids and of the decoded bytes, ``most`` pieces at a time."""
+        n, written, back = 0, hashlib.sha256(), hashlib.sha256()
+        for at in range(0, len(found), most):
+            text = " ".join(found[at:at + most])
+            written.update(b" " * (at > 0) + text.encode())
+            ids = text.split()
+            n += len(ids)
+            back.update(self.decode(ids))
+        return n, written.hexdigest(), back.hexdigest()
 
     def decode(self, ids: list[str]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -260,12 +271,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_column: str =
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
         use = coder(ranks_path, pattern)
         for b in steps(batches):
-            n, written, back = [], [], []
-            for text in use.encode(b.column("text").to_pylist()):
-                ids = text.split()
-                n.append(len(ids))
-                written.append(hashlib.sha256(text.encode()).hexdigest())
-                back.append(hashlib.sha256(use.decode(ids)).hexdigest())
-            yield batch(schema, b.column("doc_id"), n, written, back)
+            done = map(use.digests, use.memory.results(b.column("text").to_pylist()))
+            yield batch(schema, b.column("doc_id"), *zip(*done, strict=True))
 
     return _rows(docs, id_column, text_column).mapInArrow(go, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

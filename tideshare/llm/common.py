@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -92,6 +94,16 @@ def steps(batches: Iterator[pa.RecordBatch], most: int = STEP_BYTES, column: str
             till = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, till - at)
             at, done = till, int(ends[till - 1])
+    released()
+
+
+def released() -> None:
+    """Give memory that this Python worker no longer needs back; the worker lives on for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

@@ -7,7 +7,7 @@ pattern crosses it from the left and none looks behind. Pieces cut there can be
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: Pieces that a Python worker remembers in its newer and in its older half.
 REMEMBERED = 100_000
@@ -27,15 +27,16 @@ class Memory:
     def __init__(self, learn: Callable[[list[str]], list]):
         self.learn, self.new, self.old = learn, {}, {}
 
-    def results(self, texts: list[str], most: int = 4 << 20) -> list[list]:
-        """The result of each piece of each text.
+    def results(self, texts: list[str], most: int = 1 << 20) -> Iterator[list]:
+        """The result of each piece of each text, text by text.
 
         ``learn`` gets unknown pieces, about ``most`` characters at a time, so that a batch is
-        bounded by its bytes and not by its rows.
+        bounded by its bytes and not by its rows. Equal pieces of a batch are one object.
         """
-        cut = [pieces(t) for t in texts]
+        same: dict[str, str] = {}
+        cut = [list(map(same.setdefault, p, p)) for p in map(pieces, texts)]
         unknown, size = [], 0
-        for p in {p for c in cut for p in c}.difference(self.new):
+        for p in same.keys() - self.new.keys():
             if (r := self.old.get(p)) is not None:
                 self.new[p] = r
                 continue
@@ -46,7 +47,8 @@ class Memory:
                 unknown, size = [], 0
         if unknown:
             self.new.update(zip(unknown, self.learn(unknown), strict=True))
-        out = [list(map(self.new.__getitem__, c)) for c in cut]
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
-        return out
+        found = self.new
+        if len(found) > REMEMBERED:
+            self.old, self.new = found, {}
+        for c in cut:
+            yield list(map(found.__getitem__, c))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideshare.llm.common import batch, checkpointed, steps
+from tideshare.llm.common import batch, checkpointed, released, steps
 
 #: Neutral names of groups that may be swapped for each other, by kind. Any table of this form can be given.
 IDENTITY_TERMS = (
@@ -176,6 +176,7 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score", text_column:
             texts = b.column(text_column).cast(pa.large_binary())
             scores = [model.scores([texts[i].as_py() or b""])[0] for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
+        released()
 
     return docs.mapInArrow(judge, schema)
 
