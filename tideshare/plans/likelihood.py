@@ -138,22 +138,47 @@ def rate_grid(series: DataFrame, rates: list[float], splits: int = 32) -> DataFr
 
 
 def grid_scores(series: DataFrame, rates: list[float], alpha: float, theta: float,
-                constant: bool = False, future: int = 0, keep_traj: bool = False) -> DataFrame:
+                constant: bool = False) -> DataFrame:
     """``ll`` of every grid point. ``series`` carries the start shares in ``qt``."""
-    scored = loglik(with_trajectory(rate_grid(series, rates), alpha, theta, future=future),
-                    constant=constant)
-    keep = ["series_id", "candidate_id", "subjects", "baseline", "k", "qt", "ll"]
-    return scored.select(*keep, *(["t_start", "traj"] if keep_traj else []))
+    scored = loglik(with_trajectory(rate_grid(series, rates), alpha, theta), constant=constant)
+    return scored.select("series_id", "candidate_id", "subjects", "baseline", "k", "qt", "ll")
 
 
-def likelihood_region(scores: DataFrame, df: int) -> DataFrame:
+def likelihood_region(scores: DataFrame, df: int | None = None) -> DataFrame:
     """Points within chi2(df)/2 of the best one of their series.
 
-    The scores are used twice, so they are written to the checkpoint folder first.
+    Without ``df`` it is two per subject of the series (rate and start share): the joint region.
+    The scores are used twice, so they are written to the checkpoint folder first; they hold
+    parameters and likelihoods only.
     """
     scores = materialise(scores)
     top = scores.groupBy("series_id").agg(F.max("ll").alias("top"))
-    return scores.join(top, "series_id").filter(F.col("ll") >= F.col("top") - chi2_quantile(df) / 2)
+    if df is not None:
+        cut = F.lit(chi2_quantile(df) / 2)
+    else:
+        subjects = F.size("subjects")
+        widest = scores.agg(F.coalesce(F.max(subjects), F.lit(0))).first()[0]
+        known = [F.when(subjects == s, F.lit(chi2_quantile(2 * s) / 2)) for s in range(1, widest + 1)]
+        cut = F.coalesce(*known, F.lit(0.0))
+    return scores.join(top, "series_id").filter(F.col("ll") >= F.col("top") - cut).drop("top")
+
+
+def extreme_points(region: DataFrame) -> DataFrame:
+    """``(series_id, candidate_id, k)``: the best point of each series, and per subject those of its
+    lowest and highest rate inside the region.
+
+    Of equal rates the point of higher likelihood counts, then the lower number. A point that is
+    extreme in several ways comes once. Two aggregates with map-side combine, no sort of points.
+    """
+    point = F.struct("candidate_id", "k")
+    cells = region.select("series_id", "candidate_id", "k", "ll", F.posexplode("k").alias("place", "rate"))
+
+    def nearest(rate: Column) -> Column:
+        return F.min_by(point, F.struct(rate.alias("rate"), (-F.col("ll")).alias("loss"), F.col("candidate_id")))
+
+    ends = cells.groupBy("series_id", "place").agg(F.array(nearest(F.col("rate")), nearest(-F.col("rate"))).alias("ends"))
+    found = ends.select("series_id", F.explode("ends").alias("p")).select("series_id", "p.candidate_id", "p.k")
+    return found.unionByName(best_point(region).select("series_id", "candidate_id", "k")).distinct()
 
 
 def best_point(scores: DataFrame) -> DataFrame:

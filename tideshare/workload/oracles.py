@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tideshare.functions.gamma import chi2_quantile, weights_value
+from tideshare.functions.gamma import weights_value
 from tideshare.workload.bindings import ALPHA, BASELINE, PRIORITY_BASELINE, RATES, THETA
 
 W = weights_value(ALPHA, THETA)
+# 95 % points of the chi-square distribution by degrees of freedom.
+CHI2 = {1: 3.841458820694124, 2: 5.991464547107979, 4: 9.487729036781154, 6: 12.591587243743977, 8: 15.507313055865453}
 NAMES = ["click", "error", "purchase", "signup", "view"]
 
 RAW = {
@@ -148,7 +150,7 @@ gp as (select s.series_id, s.candidate_id, subjects[j] as variant, k[j] as k, qt
 
 ESTIMATES = f"""{GRID},
 inside as (select g.series_id, g.candidate_id from grid g join top t on g.series_id = t.series_id
-  where ll >= t.top - {chi2_quantile(1) / 2!r}),
+  where ll >= t.top - {CHI2[1] / 2!r}),
 rng as (select gp.series_id, gp.variant, min(k) as k_lb, max(k) as k_ub, min(qt) as qt_lb, max(qt) as qt_ub
   from gp join inside i on gp.series_id = i.series_id and gp.candidate_id = i.candidate_id group by all),
 est as (
@@ -312,7 +314,7 @@ side as (select series_id, variant, n, total, n / total as q, unnest([-1, 1]) as
 step as (select *, 0 as i, case when s < 0 then 1e-12 else q end as lo, case when s < 0 then q else 1 - 1e-12 end as hi from side
   union all select series_id, variant, n, total, q, s, i + 1,
     case when (g >= 0) = (s > 0) then mid else lo end, case when (g >= 0) = (s > 0) then hi else mid end
-  from (select *, n * ln(mid / q) + (total - n) * ln((1 - mid) / (1 - q)) + {chi2_quantile(df) / 2!r} as g
+  from (select *, n * ln(mid / q) + (total - n) * ln((1 - mid) / (1 - q)) + {CHI2[df] / 2!r} as g
     from (select *, (lo + hi) / 2 as mid from step where i < 70))),
 e as (select *, (lo + hi) / 2 as x from step where i = 70),
 both_ends as (select series_id, variant, q, x from e union all
@@ -508,10 +510,17 @@ ORACLES = {
                 "and gp.candidate_id = b.candidate_id",
     "grid_loglik": f"{GRID} select series_id, candidate_id, round(ll, 4) as ll from grid",
     "profile_ci_grid": f"{ESTIMATES} select series_id, variant, k_lb, k_ub from rng",
-    "region_bands_grid": f"""{GRID}, inside as (select g.series_id, g.candidate_id from grid g join top t on g.series_id = t.series_id
-        where ll >= t.top - {chi2_quantile(8) / 2!r}),
+    "region_bands_grid": f"""{GRID}, inside as (select g.* from grid g join top t on g.series_id = t.series_id
+        join arr a on a.series_id = g.series_id
+        where ll >= t.top - ({numbers(CHI2[2 * n] / 2 for n in (1, 2, 3, 4))})[len(subjects)]),
+      ranked as (select gp.series_id, gp.candidate_id,
+        row_number() over (partition by gp.series_id, j order by k, ll desc, gp.candidate_id) as low,
+        row_number() over (partition by gp.series_id, j order by k desc, ll desc, gp.candidate_id) as high
+        from gp join inside i on gp.series_id = i.series_id and gp.candidate_id = i.candidate_id),
+      chosen as (select series_id, candidate_id from ranked where low = 1 or high = 1
+        union select series_id, candidate_id from best),
       x as (select l.*, case when l.variant = '{BASELINE}' then 1.0 else s.k[l.j] end as kj from long l
-        join inside i on l.series_id = i.series_id and l.candidate_id = i.candidate_id
+        join chosen i on l.series_id = i.series_id and l.candidate_id = i.candidate_id
         join src s on s.series_id = l.series_id and s.candidate_id = l.candidate_id),
       m as (select series_id, candidate_id, date, sum(q * kj) as a from x group by all),
       mb as (select series_id, date, min(a) as lo, max(a) as hi from m group by all)

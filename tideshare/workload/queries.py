@@ -127,7 +127,7 @@ def window_violations(spark, sf):
 
 def bin_width_violations(spark, sf):
     counts = b.segment_counts(spark, sf, "week").unionByName(b.region_counts(spark, sf))
-    return ck.bin_width_violations(materialise(counts)).withColumn("max_width", F.col("max_width").cast("bigint"))
+    return ck.bin_width_violations(counts).withColumn("max_width", F.col("max_width").cast("bigint"))
 
 
 def block_violations(spark, sf):
@@ -139,7 +139,7 @@ def block_violations(spark, sf):
 
 
 def keep_subjects(spark, sf):
-    kept = ct.keep_subjects(materialise(b.segment_counts(spark, sf)), ["click", "purchase"], BASELINE)
+    kept = ct.keep_subjects(b.segment_counts(spark, sf), ["click", "purchase"], BASELINE)
     return dated(ct.drop_baseline(kept, BASELINE), "date_from", "date_till")
 
 
@@ -344,8 +344,7 @@ def enumerate_at_most(spark, sf):
 
 
 def enumerate_exactly(spark, sf):
-    used = _used(spark, sf).filter("n >= 2")
-    return rgs_text(pt.enumerate_partitions(used, "n", 5, exactly=F.lit(2)), "rgs")
+    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", 5, exactly=F.lit(2)), "rgs")
 
 
 def enumerate_reverse(spark, sf):
@@ -539,11 +538,11 @@ def profile_ci_grid(spark, sf):
 
 
 def region_bands_grid(spark, sf):
-    """Bands of shares and mean rate over the joint region of the grid."""
-    grid = lk.grid_scores(b.segment_series(spark, sf), RATES, ALPHA, THETA, keep_traj=True)
-    inside = lk.likelihood_region(grid, 2 * 4)
-    ones = F.transform("k", lambda x: F.lit(1.0))
-    out = rp.bands(tr.explode_trajectory(inside.withColumn("c", ones), means=True))
+    """Bands of shares and mean rate over the best grid point and the extreme points of the joint region."""
+    series = b.segment_series(spark, sf)
+    points = lk.extreme_points(lk.likelihood_region(lk.grid_scores(series, RATES, ALPHA, THETA)))
+    rows = attach_series(points, series.drop("bins")).withColumn("c", F.transform("k", lambda x: F.lit(1.0)))
+    out = rp.bands(tr.explode_trajectory(tr.with_trajectory(rows, ALPHA, THETA), means=True))
     cols = ["q_lb", "q_ub", "average_k_lb", "average_k_ub"]
     return dated(out.withColumns({c: r6(c) for c in cols}).drop("average_c_lb", "average_c_ub"), "date")
 
