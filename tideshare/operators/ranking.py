@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,8 +51,15 @@ def best_partition(scores: DataFrame) -> DataFrame:
     ).select("series_id", "b.rgs", "b.AIC")
 
 
+def with_place(rows: DataFrame, *order: Column | str, keys=("series_id",)) -> DataFrame:
+    """Position ``place`` from 1 in the given order. A window sees one row per category or grouping of its key."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("place", place.cast("bigint"))
+
+
 def order_by_rate(estimates: DataFrame) -> DataFrame:
-    return estimates.orderBy(F.desc("k"), "variant")
+    """Highest rate first, with the position inside the series."""
+    return with_place(estimates, F.desc("k"), "variant").orderBy(F.desc("k"), "variant")
 
 
 def level_summary(scores: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideshare.functions.numbers import floor3, interval_label
 from tideshare.operators.counts import observed_share, to_wide
+from tideshare.operators.ranking import with_place
 from tideshare.operators.shares import (
     baseline_range,
     baseline_share,
@@ -107,21 +108,22 @@ def frequency_report(traj: DataFrame, variants: list[str], ranges: DataFrame | N
 
 
 def group_report(estimates: DataFrame) -> DataFrame:
-    """Categories with equal (cut) rate and interval in one row, highest rate first."""
+    """Categories with equal (cut) rate and interval in one row, highest rate first; ``place`` counts from 1."""
     cut = estimates.select(
         "series_id", "variant", floor3("k").alias("k"),
         interval_label(floor3("k_lb"), floor3("k_ub")).alias("k_ci_95"),
     )
     groups = concat_names(cut, ["series_id", "k", "k_ci_95"], "variant")
-    return groups.select("series_id", "variant", "k", "k_ci_95").orderBy("series_id", F.desc("k"), "variant")
+    rows = groups.select("series_id", "variant", "k", "k_ci_95")
+    return with_place(rows, F.desc("k"), "variant").orderBy("series_id", "place")
 
 
 def rate_report(estimates: DataFrame) -> DataFrame:
-    """One row per category, highest rate first."""
-    ordered = estimates.orderBy("series_id", F.desc("k"), "variant")
+    """One row per category, highest rate first; ``place`` counts from 1."""
+    ordered = with_place(estimates, F.desc("k"), "variant").orderBy("series_id", "place")
     return ordered.select(
         "series_id", "variant", floor3("k").alias("k"),
-        interval_label(floor3("k_lb"), floor3("k_ub")).alias("k_ci_95"),
+        interval_label(floor3("k_lb"), floor3("k_ub")).alias("k_ci_95"), "place",
     )
 
 

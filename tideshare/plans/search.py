@@ -33,7 +33,7 @@ def grid_scorer(patterns: DataFrame, max_blocks: int) -> Scorer:
 
 
 def fit_scorer(series: DataFrame, options: Options, estimates: DataFrame | None = None) -> Scorer:
-    """Score by a continuous fit, one row per candidate.
+    """Score by a continuous fit, one row per candidate, with the flag ``converged``.
 
     ``estimates`` ``(series_id, variant, k, qt)`` of an earlier fit give the start values.
     """
@@ -42,7 +42,7 @@ def fit_scorer(series: DataFrame, options: Options, estimates: DataFrame | None
 
     def score(candidates: DataFrame) -> DataFrame:
         rows = warm_start(candidates, started, small)
-        return scored(fit(rows, options), options).select(*SCORE_COLUMNS)
+        return scored(fit(rows, options), options).select(*SCORE_COLUMNS, "converged")
 
     return score
 
@@ -64,7 +64,7 @@ def score_candidates(candidates: DataFrame, scorer: Scorer, stored: DataFrame |
     keyed = candidates.withColumn("config_hash", F.lit(config_hash)).withColumn("sha1", rgs_digest("rgs"))
     known = keyed.join(stored, ["series_id", "config_hash", "sha1"]).select(*SCORE_COLUMNS)
     todo = pending(keyed, stored).select("series_id", "rgs")
-    return scorer(todo).unionByName(known)
+    return scorer(todo).unionByName(known, allowMissingColumns=True)
 
 
 def pending(candidates: DataFrame, stored: DataFrame) -> DataFrame:
@@ -74,12 +74,16 @@ def pending(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def flag(scores: DataFrame, best: DataFrame) -> DataFrame:
-    """Add the bound and whether any coarsening can still win against ``best_AIC``."""
+    """Add the bound and whether any coarsening can still win against ``best_AIC``.
+
+    A fit that has not converged may score too low, so its bound rules nothing out.
+    """
+    unsettled = ~F.coalesce("converged", F.lit(True)) if "converged" in scores.columns else F.lit(False)
     bound = coarsening_bound("AIC", block_count("rgs"))
     return (
         scores.join(best, "series_id")
         .withColumn("lb_agg_AIC", bound)
-        .withColumn("has_chance", ~(F.col("lb_agg_AIC") > F.col("best_AIC") + PRUNE_MARGIN))
+        .withColumn("has_chance", unsettled | ~(F.col("lb_agg_AIC") > F.col("best_AIC") + PRUNE_MARGIN))
     )
 
 
@@ -118,7 +122,8 @@ def search_partitions(finest: DataFrame, scorer: Scorer, width: int = 1, max_lev
         level = F.lit(len(levels) + 1).cast("bigint")
         levels.append(materialise(flag(scores, best).withColumn("level", level)))
         survivors = beam(levels[-1].filter("has_chance"), width)
-    columns = ["series_id", "level", *SCORE_COLUMNS[1:], "lb_agg_AIC", "has_chance"]
+    flags = [c for c in ("converged",) if c in first.columns]
+    columns = ["series_id", "level", *SCORE_COLUMNS[1:], "lb_agg_AIC", "has_chance", *flags]
     return union(levels).select(*columns), union([prune(f) for f in levels])
 
 
@@ -131,4 +136,5 @@ def ledger(scores: DataFrame) -> DataFrame:
     return rank_scores(scores).select(
         "series_id", "level", rgs_key("rgs").alias("rgs"), rgs_digest("rgs").alias("sha1"),
         "ll", "num_pars", "AIC", "lb_agg_AIC", "has_chance",
+        *[c for c in ("converged",) if c in scores.columns],
     )

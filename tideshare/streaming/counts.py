@@ -11,14 +11,17 @@ from tideshare.functions.numbers import col
 
 def stream_counts(rows: DataFrame, ts: str, variant: Column | str, series: Column | str,
                   lateness: str = "2 days") -> DataFrame:
-    """Count table of a stream: a day is final once the watermark has passed it."""
+    """Count table of a stream: a day is final once the watermark has passed its end.
+
+    Days are cut in the time zone of the session, as in the batch counts. The watermark stands on
+    the start of the day, so the day itself is added to the lateness.
+    """
     return (
-        rows.withColumn(ts, F.col(ts).cast("timestamp"))
-        .withWatermark(ts, lateness)
-        .groupBy(F.window(ts, "1 day").alias("w"), col(series).cast("string").alias("series_id"), col(variant).alias("variant"))
+        rows.withColumn("_day", F.date_trunc("day", F.col(ts).cast("timestamp")))
+        .withWatermark("_day", f"{lateness} 24 hours")
+        .groupBy("_day", col(series).cast("string").alias("series_id"), col(variant).alias("variant"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("series_id", F.to_date("w.start").alias("date_from"),
-                F.to_date("w.start").alias("date_till"), "variant", "n")
+        .select("series_id", F.to_date("_day").alias("date_from"), F.to_date("_day").alias("date_till"), "variant", "n")
     )
 
 

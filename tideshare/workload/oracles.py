@@ -437,7 +437,8 @@ ORACLES = {
     "enumerate_exactly": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs from used "
                          "join rgs on rgs.n = used.n where list_max(a) = 1",
     "enumerate_reverse": f"with recursive {all_rgs(5)}, {USED}, c as (select n, count(*) as customers from used group by 1) "
-                         f"select c.n, customers, {key('a')} as rgs from c join rgs on rgs.n = c.n",
+                         f"select c.n, customers, {key('a')} as rgs, row_number() over (partition by c.n order by a desc) as place "
+                         "from c join rgs on rgs.n = c.n",
     "drop_dominated": f"""{PARTS}, x as (select series_id, by_both as v, by_orders from part_of),
       c as (select distinct series_id, by_orders, child from {children('x', 'v')})
       select series_id, {key('child')} as rgs from c where not {coarser('child', 'by_orders')}""",
@@ -543,10 +544,13 @@ ORACLES = {
       from blk join rates on blk.series_id = rates.series_id and blk.variant = rates.variant""",
     "estimates_report": f"{ESTIMATES} select series_id, variant, cast(date as varchar) as date, c, c_lb, c_ub, k, k_lb, k_ub, "
                         "round(qt, 6) as qt, round(qt_lb, 6) as qt_lb, round(qt_ub, 6) as qt_ub from est",
-    "group_report": f"{ESTIMATES} select series_id, string_agg(variant, ',' order by variant) as variant, {floor3('k')} as k, "
-                    f"{CI_LABEL} as k_ci_95 from est group by series_id, {floor3('k')}, {CI_LABEL}",
-    "rate_report": f"{ESTIMATES} select series_id, variant, {floor3('k')} as k, {CI_LABEL} as k_ci_95 from est",
-    "order_by_rate": f"with {RATES_SQL} select series_id || ':' || variant as variant, round(k, 6) as k from rates order by 2 desc, 1",
+    "group_report": f"{ESTIMATES} select *, row_number() over (partition by series_id order by k desc, variant) as place from ("
+                    f"select series_id, string_agg(variant, ',' order by variant) as variant, {floor3('k')} as k, "
+                    f"{CI_LABEL} as k_ci_95 from est group by series_id, {floor3('k')}, {CI_LABEL})",
+    "rate_report": f"{ESTIMATES} select series_id, variant, {floor3('k')} as k, {CI_LABEL} as k_ci_95, "
+                   "row_number() over (partition by series_id order by est.k desc, variant) as place from est",
+    "order_by_rate": f"with {RATES_SQL} select series_id || ':' || variant as variant, round(k, 6) as k, "
+                     "row_number() over (partition by series_id order by round(rates.k, 6) desc, rates.variant) as place from rates",
     "score_report": f"""{GRID} select b.series_id, round(ll, 4) as maxll, cast(2 * len(subjects) as bigint) as num_pars,
       round(-2 * ll + 4 * len(subjects), 4) as AIC from best b join arr on b.series_id = arr.series_id""",
     "frequency_report": f"""{GRID} select l.series_id, cast(date as varchar) as date, """ + ", ".join(

@@ -350,8 +350,8 @@ def enumerate_exactly(spark, sf):
 def enumerate_reverse(spark, sf):
     """Partitions of the used priorities by number of priorities, last one first."""
     sizes = _used(spark, sf).groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
-    out = pt.enumerate_partitions(sizes, "n", 5)
-    return rgs_text(out.orderBy("n", F.desc("rgs")), "rgs")
+    out = rk.with_place(pt.enumerate_partitions(sizes, "n", 5), F.desc("rgs"), keys=("n",))
+    return rgs_text(out.orderBy("n", "place"), "rgs")
 
 
 def drop_dominated(spark, sf):
