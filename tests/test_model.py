@@ -321,3 +321,17 @@ def test_group_report_merges_equal_rows(spark):
     assert [(r.variant, r.k, r.k_ci_95) for r in rp.group_report(est).collect()] == [
         ("c", 1.2, "1.100—1.300"), ("a,b", 1.05, "1.040—1.060")]
     assert [r.variant for r in rp.rate_report(est).collect()] == ["c", "a", "b"]
+
+
+def test_extreme_points_of_a_region(spark):
+    rows = [("s", 0, [1.0, 3.0], -5.0), ("s", 1, [1.0, 2.0], -4.0), ("s", 2, [2.0, 2.0], -1.0),
+            ("s", 3, [3.0, 2.0], -4.0), ("s", 4, [2.0, 1.0], -3.0), ("s", 5, [2.0, 2.5], -2.0), ("t", 7, [1.5], -9.0)]
+    region = spark.createDataFrame(rows, "series_id string, candidate_id long, k array<double>, ll double").withColumns({
+        "qt": F.col("k"), "subjects": F.transform("k", lambda x: x.cast("string")), "baseline": F.lit("b")})
+    got = lk.extreme_points(region).collect()
+    # of the two points with the lowest first rate the likelier one; nothing twice; 5 is extreme nowhere
+    assert sorted((r.series_id, r.candidate_id) for r in got) == [("s", 0), ("s", 1), ("s", 2), ("s", 3), ("s", 4), ("t", 7)]
+    inside = lk.likelihood_region(region.drop("top"))
+    # cuts of 4.74 for two subjects and 3.0 for one
+    assert {r.candidate_id for r in inside.collect()} == {0, 1, 2, 3, 4, 5, 7}
+    assert {r.candidate_id for r in lk.likelihood_region(region, 1).collect()} == {2, 5, 7}

@@ -95,3 +95,13 @@ def test_candidates_of_one_series_use_many_tasks(spark, planted):
     many = spark.createDataFrame([("s", list(x)) for x in partitions(5)], "series_id string, rgs array<int>")
     tasks = ss.attach_series(many, planted.select("series_id", "intro")).select(F.spark_partition_id().alias("p"))
     assert tasks.distinct().count() > 1
+
+
+def test_unsettled_fit_prunes_nothing(spark):
+    scores = spark.createDataFrame(
+        [("s", [0, 1, 2], 900.0, True), ("s", [0, 1, 1], 900.0, False), ("s", [0, 0, 1], 900.0, None)],
+        "series_id string, rgs array<int>, AIC double, converged boolean")
+    best = spark.createDataFrame([("s", 100.0)], "series_id string, best_AIC double")
+    flagged = se.flag(scores, best)
+    assert {tuple(r.rgs) for r in se.prune(flagged).collect()} == {(0, 1, 2), (0, 0, 1)}
+    assert se.prune(se.flag(scores.drop("converged"), best)).count() == 3

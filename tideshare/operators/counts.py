@@ -115,6 +115,11 @@ def to_wide(df: DataFrame, keys: list[str], values: dict[str, str], variants: li
     return df.groupBy(*keys).agg(*cells)
 
 
+def category_names(counts: DataFrame) -> list[str]:
+    """Names of all categories in order, for tables with one column per category."""
+    return sorted(r[0] for r in counts.select("variant").distinct().collect())
+
+
 def day_bins(df: DataFrame, date: str = "date") -> DataFrame:
     """Point dates to one-day bins."""
     return df.withColumn("date_from", F.col(date)).withColumn("date_till", F.col(date)).drop(date)

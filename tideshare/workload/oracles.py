@@ -322,6 +322,22 @@ both_ends as (select series_id, variant, q, x from e union all
   join p b on e.series_id = b.series_id and b.variant = '{BASELINE}')"""
 
 
+# the best point and the extreme ones of the joint region, with their shares and mean rates
+REGION = f"""{GRID}, inside as (select g.* from grid g join top t on g.series_id = t.series_id
+        join arr a on a.series_id = g.series_id
+        where ll >= t.top - ({numbers(CHI2[2 * n] / 2 for n in (1, 2, 3, 4))})[len(subjects)]),
+      ranked as (select gp.series_id, gp.candidate_id,
+        row_number() over (partition by gp.series_id, j order by k, ll desc, gp.candidate_id) as low,
+        row_number() over (partition by gp.series_id, j order by k desc, ll desc, gp.candidate_id) as high
+        from gp join inside i on gp.series_id = i.series_id and gp.candidate_id = i.candidate_id),
+      chosen as (select series_id, candidate_id from ranked where low = 1 or high = 1
+        union select series_id, candidate_id from best),
+      x as (select l.*, case when l.variant = '{BASELINE}' then 1.0 else s.k[l.j] end as kj from long l
+        join chosen i on l.series_id = i.series_id and l.candidate_id = i.candidate_id
+        join src s on s.series_id = l.series_id and s.candidate_id = l.candidate_id),
+      m as (select series_id, candidate_id, date, sum(q * kj) as a from x group by all),
+      mb as (select series_id, date, min(a) as lo, max(a) as hi from m group by all)"""
+
 ORACLES = {
     "daily_counts": f"with {counts('segment', 'day')} select {TEXT_BIN}, variant, n from counts",
     "weekly_counts": f"with {counts('user', 'week')} select {TEXT_BIN}, variant, n from counts",
@@ -340,8 +356,9 @@ ORACLES = {
                           "select 'scores', cast(cast(s as bigint) as varchar), round(2.5 * s + 2 * s, 6) from t",
     "variant_violations": "select distinct l_returnflag as series_id, p_brand as variant from lineitem "
                           "join part on l_partkey = p_partkey where p_brand not in (select p_type from part)",
-    "window_violations": f"""with d as ({RAW['user']}), s as (select series_id, min(d) = date '2024-01-01' as has_start,
-        max(d) = date '2024-01-30' as has_end, true as ordered from d group by 1)
+    "window_violations": f"""with d as ({RAW['user']}), t as (select min(d) as lo, max(d) as hi from d),
+      s as (select series_id, min(d) = (select lo from t) as has_start, max(d) = (select hi from t) as has_end,
+        true as ordered from d group by 1)
       select * from s where not (has_start and has_end)""",
     "bin_width_violations": f"""with {counts('segment', 'week')}, {counts('region', 'month', 'm')},
       u as (select * from counts union all select * from mcounts)
@@ -465,7 +482,7 @@ ORACLES = {
         round(sum(q * case when l.variant = '{BASELINE}' then 1 else r.k end), 6) as average_k
       from long l join rates r on l.series_id = r.series_id and l.variant = r.variant group by all""",
     "scenario_trajectory": f"""with recursive {counts('user', 'day')}, {shares(BASELINE)},
-      src as (select * exclude (n_days), datediff('day', t_start, date '2024-01-30') + 1 as n_days, 0 as candidate_id,
+      src as (select * exclude (n_days), datediff('day', t_start, (select max(cast(ts as date)) from events)) + 1 as n_days, 0 as candidate_id,
         list_transform(subjects, lambda v: 1.0 + cast(len(v) as double) / 100) as k from arr), {model(BASELINE)}
       select series_id, cast(date as varchar) as date, variant, round(q, 6) as q, round(1000 * q, 6) as expected from long""",
     "bin_share": f"""with recursive {counts('region', 'month')}, {shares(PRIORITY_BASELINE)}, {length_rate(10000)}, {model(PRIORITY_BASELINE)}
@@ -511,23 +528,22 @@ ORACLES = {
                 "and gp.candidate_id = b.candidate_id",
     "grid_loglik": f"{GRID} select series_id, candidate_id, round(ll, 4) as ll from grid",
     "profile_ci_grid": f"{ESTIMATES} select series_id, variant, k_lb, k_ub from rng",
-    "region_bands_grid": f"""{GRID}, inside as (select g.* from grid g join top t on g.series_id = t.series_id
-        join arr a on a.series_id = g.series_id
-        where ll >= t.top - ({numbers(CHI2[2 * n] / 2 for n in (1, 2, 3, 4))})[len(subjects)]),
-      ranked as (select gp.series_id, gp.candidate_id,
-        row_number() over (partition by gp.series_id, j order by k, ll desc, gp.candidate_id) as low,
-        row_number() over (partition by gp.series_id, j order by k desc, ll desc, gp.candidate_id) as high
-        from gp join inside i on gp.series_id = i.series_id and gp.candidate_id = i.candidate_id),
-      chosen as (select series_id, candidate_id from ranked where low = 1 or high = 1
-        union select series_id, candidate_id from best),
-      x as (select l.*, case when l.variant = '{BASELINE}' then 1.0 else s.k[l.j] end as kj from long l
-        join chosen i on l.series_id = i.series_id and l.candidate_id = i.candidate_id
-        join src s on s.series_id = l.series_id and s.candidate_id = l.candidate_id),
-      m as (select series_id, candidate_id, date, sum(q * kj) as a from x group by all),
-      mb as (select series_id, date, min(a) as lo, max(a) as hi from m group by all)
+    "region_bands_grid": f"""{REGION}
       select x.series_id, cast(x.date as varchar) as date, variant, round(min(q), 6) as q_lb, round(max(q), 6) as q_ub,
         round(any_value(lo), 6) as average_k_lb, round(any_value(hi), 6) as average_k_ub
       from x join mb on x.series_id = mb.series_id and x.date = mb.date group by all""",
+    "frequency_report_bounds": f"""{REGION},
+      band as (select series_id, date, variant, min(q) as lo, max(q) as hi from x group by all)
+      select l.series_id, cast(l.date as varchar) as date, """ + ", ".join(
+        f"round(max(l.q) filter (where l.variant = '{v}'), 6) as {v}, round(max(band.lo) filter (where l.variant = '{v}'), 6) as {v}_lb, "
+        f"round(max(band.hi) filter (where l.variant = '{v}'), 6) as {v}_ub" for v in NAMES) + f""",
+      cast(1 as double) as average_c, cast(1 as double) as average_c_lb, cast(1 as double) as average_c_ub,
+      round(sum(l.q * case when l.variant = '{BASELINE}' then 1.0 else s.k[l.j] end), 6) as average_k,
+      round(any_value(mb.lo), 6) as average_k_lb, round(any_value(mb.hi), 6) as average_k_ub
+      from long l join best b on l.series_id = b.series_id and l.candidate_id = b.candidate_id
+      join src s on s.series_id = l.series_id and s.candidate_id = l.candidate_id
+      join band on band.series_id = l.series_id and band.date = l.date and band.variant = l.variant
+      join mb on mb.series_id = l.series_id and mb.date = l.date group by l.series_id, l.date""",
     "baseline_range_grid": f"""with {counts('user', 'week')}, t as (select series_id, date_from, sum(n) as s, from counts group by all),
       f as (select series_id, variant, min(date_from) filter (where n > 0) as fd from counts group by all),
       b as (select series_id, min(date_from) as t0 from counts group by 1),

@@ -76,14 +76,14 @@ def day_bins(spark, sf):
 
 
 def wide_counts(spark, sf):
-    names = ["click", "error", "purchase", "signup", "view"]
-    return dated(ct.to_wide(b.segment_counts(spark, sf), ct.BIN, {"n": ""}, names), "date_from", "date_till")
+    counts = b.segment_counts(spark, sf)
+    return dated(ct.to_wide(counts, ct.BIN, {"n": ""}, ct.category_names(counts)), "date_from", "date_till")
 
 
 def read_write_counts(spark, sf):
     """Wide table to CSV and Parquet and back to long counts, one series per format."""
-    names = ["click", "error", "purchase", "signup", "view"]
-    wide = ct.to_wide(b.all_counts(spark, sf), ["date_from", "date_till"], {"n": ""}, names)
+    counts = b.all_counts(spark, sf)
+    wide = ct.to_wide(counts, ["date_from", "date_till"], {"n": ""}, ct.category_names(counts))
     path, out = work_path(spark), []
     for fmt in ("csv", "parquet"):
         target = tb.write_table(wide, path, f"counts_{fmt}", fmt)
@@ -119,10 +119,16 @@ def variant_violations(spark, sf):
     return ck.variant_violations(b.part_counts(spark, sf), wanted)
 
 
+def _window(spark, sf) -> tuple:
+    """First and last day of the events: two values."""
+    day = F.col("ts").cast("date")
+    return tuple(b.table(spark, sf, "events").agg(F.min(day), F.max(day)).first())
+
+
 def window_violations(spark, sf):
     """Users whose rows do not start and end with the window of the whole table."""
-    counts = b.user_counts(spark, sf)
-    return ck.window_violations(counts, F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+    first, last = _window(spark, sf)
+    return ck.window_violations(b.user_counts(spark, sf), F.lit(first), F.lit(last))
 
 
 def bin_width_violations(spark, sf):
@@ -424,7 +430,7 @@ def scenario_trajectory(spark, sf):
         "series_id", "variant", F.col("first_date").alias("date"), F.lit(1.0).alias("c"),
         (1.0 + F.length("variant") / 100).alias("k"), "qt")
     rows = tr.with_trajectory(
-        tr.scenario_arrays(params, BASELINE, F.lit("2024-01-30").cast("date")), ALPHA, THETA)
+        tr.scenario_arrays(params, BASELINE, F.lit(_window(spark, sf)[1])), ALPHA, THETA)
     long = tr.explode_trajectory(rows)
     return dated(long.select("series_id", "date", "variant", r6("q").alias("q"),
                              r6(1000 * F.col("q")).alias("expected")), "date")
@@ -537,12 +543,17 @@ def profile_ci_grid(spark, sf):
     return sh.param_range(_grid_params(lk.likelihood_region(_grid(spark, sf), 1)), "k")
 
 
+def _point_shares(points: DataFrame, series: DataFrame) -> DataFrame:
+    """Daily shares and means of grid points ``(series_id, candidate_id, k)``, folded again from the series."""
+    rows = attach_series(points, series.drop("bins")).withColumn("c", F.transform("k", lambda x: F.lit(1.0)))
+    return tr.explode_trajectory(tr.with_trajectory(rows, ALPHA, THETA), means=True)
+
+
 def region_bands_grid(spark, sf):
     """Bands of shares and mean rate over the best grid point and the extreme points of the joint region."""
     series = b.segment_series(spark, sf)
     points = lk.extreme_points(lk.likelihood_region(lk.grid_scores(series, RATES, ALPHA, THETA)))
-    rows = attach_series(points, series.drop("bins")).withColumn("c", F.transform("k", lambda x: F.lit(1.0)))
-    out = rp.bands(tr.explode_trajectory(tr.with_trajectory(rows, ALPHA, THETA), means=True))
+    out = rp.bands(_point_shares(points, series))
     cols = ["q_lb", "q_ub", "average_k_lb", "average_k_ub"]
     return dated(out.withColumns({c: r6(c) for c in cols}).drop("average_c_lb", "average_c_ub"), "date")
 
@@ -625,13 +636,21 @@ def frequency_report(spark, sf):
     """Wide daily shares with population means, best grid point."""
     series = b.segment_series(spark, sf)
     best = lk.best_point(lk.grid_scores(series, RATES, ALPHA, THETA))
-    rows = attach_series(best.select("series_id", "k"), series.drop("bins"))
-    rows = rows.withColumn("c", F.transform("k", lambda x: F.lit(1.0)))
-    names = ["click", "error", "purchase", "signup", BASELINE]
-    out = rp.frequency_report(tr.explode_trajectory(tr.with_trajectory(rows, ALPHA, THETA), means=True), names)
+    names = ct.category_names(b.segment_counts(spark, sf))
+    out = rp.frequency_report(_point_shares(best.select("series_id", "k"), series), names)
     return dated(out.withColumns({c: r6(c) for c in [*names, "average_c", "average_k"]}), "date")
 
 
+def frequency_report_bounds(spark, sf):
+    """The same with the bands of the shares and means over the joint region."""
+    series = b.segment_series(spark, sf)
+    region = materialise(lk.likelihood_region(lk.grid_scores(series, RATES, ALPHA, THETA)))
+    ranges = rp.bands(_point_shares(lk.extreme_points(region), series))
+    best = _point_shares(lk.best_point(region).select("series_id", "k"), series)
+    out = rp.frequency_report(best, ct.category_names(b.segment_counts(spark, sf)), ranges)
+    return dated(out.withColumns({c: r6(f"`{c}`") for c in out.columns if c not in ("series_id", "date")}), "date")
+
+
 # --- search ------------------------------------------------------------------------------
 
 def _patterns(spark, sf) -> DataFrame:
@@ -832,7 +851,7 @@ NAMES = [
     chart_table, loglik_multinomial, loglik_dirichlet, loglik_dirichlet_terms,
     loglik_zero_probability, fit_grid, grid_loglik, profile_ci_grid, region_bands_grid,
     baseline_range_grid, blocks_report, warm_start, shared_rates, estimates_report, group_report,
-    rate_report, order_by_rate, score_report, frequency_report, partition_scores, beam,
+    rate_report, order_by_rate, score_report, frequency_report, frequency_report_bounds, partition_scores, beam,
     running_best, best_partition, search_grid, pruned_grid, level_summary, pending_candidates,
     fit_constant, profile_ci_constant, region_bands_constant, fit, fit_users, fit_parts, fit_shared,
     fit_time_scale, fit_dirichlet, profile_ci, region_bands, search_fit,
