@@ -335,3 +335,11 @@ def test_extreme_points_of_a_region(spark):
     # cuts of 4.74 for two subjects and 3.0 for one
     assert {r.candidate_id for r in inside.collect()} == {0, 1, 2, 3, 4, 5, 7}
     assert {r.candidate_id for r in lk.likelihood_region(region, 1).collect()} == {2, 5, 7}
+
+
+def test_time_scales_need_narrow_bins(spark):
+    table = expected_counts([1.05], [0.2], days=24, total=200)
+    options = ft.Options(ALPHA, THETA, time_scale=True)
+    with pytest.raises(Exception, match="too wide"):
+        fitted(spark, counts_of(spark, table, width=8), options, undetected=True)[1].collect()
+    assert len(fitted(spark, counts_of(spark, table, width=7), options, undetected=True)[1].collect()) == 1

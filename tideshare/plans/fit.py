@@ -27,6 +27,7 @@ from tideshare.functions.renewal import (
     Fits,
 )
 from tideshare.plans.series import attach_series, spread
+from tideshare.sources.checks import MAX_TIME_SCALE_BIN
 
 FIT_SCHEMA = (
     "series_id string, rgs array<int>, ll double, k array<double>, qt array<double>, "
@@ -157,8 +158,13 @@ def result(keys: pd.DataFrame, f: Fits, par: np.ndarray, ll: np.ndarray) -> pd.D
 def fit(started: DataFrame, options: Options) -> DataFrame:
     """Fit every row of ``started`` (see ``default_start`` and ``warm_start``).
 
-    ``d`` is NaN without a concentration.
+    ``d`` is NaN without a concentration. Time scales cannot be told from wide bins: with them a bin
+    of more than seven days ends the job.
     """
+    if options.time_scale:
+        wide = F.exists(F.zip_with("d1", "d2", lambda a, b: b - a), lambda days: days >= MAX_TIME_SCALE_BIN)
+        checked = F.when(wide, F.raise_error(F.lit("a bin is too wide to estimate time scales")).cast("int"))
+        started = started.withColumn("n_days", checked.otherwise(F.col("n_days")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -232,5 +238,5 @@ def array_params(fits: DataFrame, series: DataFrame) -> DataFrame:
 
 def fit_summary(fits: DataFrame, options: Options) -> DataFrame:
     return scored(fits, options).select(
-        "series_id", rgs_key("rgs").alias("rgs"), F.col("ll").alias("maxll"), "num_pars", "AIC"
+        "series_id", rgs_key("rgs").alias("rgs"), F.col("ll").alias("maxll"), "num_pars", "AIC", "converged"
     )
