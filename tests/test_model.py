@@ -343,3 +343,33 @@ def test_time_scales_need_narrow_bins(spark):
     with pytest.raises(Exception, match="too wide"):
         fitted(spark, counts_of(spark, table, width=8), options, undetected=True)[1].collect()
     assert len(fitted(spark, counts_of(spark, table, width=7), options, undetected=True)[1].collect()) == 1
+    arrays = ss.series_arrays(counts_of(spark, table, width=8), "base", undetected=True).withColumn("qt", F.array(F.lit(0.2)))
+    with pytest.raises(Exception, match="too wide"):
+        lk.grid_scores(arrays, [1.0, 1.1], ALPHA, THETA, time_scales=[0.8, 1.0]).collect()
+
+
+def test_grid_options_against_the_fold(spark):
+    table = expected_counts([1.05, 0.95], [0.2, 0.1], days=20, total=100)
+    series = ss.series_arrays(counts_of(spark, table), "base", undetected=True).withColumn("qt", F.array(F.lit(0.2), F.lit(0.1)))
+    rates = [0.9, 1.0, 1.1]
+    scaled = lk.grid_scores(series, rates, ALPHA, THETA, division=2, time_scales=[0.8, 1.25]).collect()
+    assert len(scaled) == 18 and len({r.candidate_id for r in scaled}) == 18
+    assert {(tuple(r.k), tuple(r.c)) for r in scaled} == {((a, b), (c, c)) for a in rates for b in rates for c in (0.8, 1.25)}
+    again = spark.createDataFrame([(r.candidate_id, r.k, r.c) for r in scaled], "candidate_id long, k array<double>, c array<double>")
+    rows = again.crossJoin(series.drop("k", "c"))
+    want = {r.candidate_id: r.ll for r in lk.loglik(tr.with_trajectory(rows, ALPHA, THETA, division=2, time_scale=True), constant=False).collect()}
+    assert {r.candidate_id: r.ll for r in scaled} == pytest.approx(want)
+    tried = {d: {r.candidate_id: r.ll for r in lk.grid_scores(series, rates, ALPHA, THETA, concentrations=[d]).collect()}
+             for d in (5.0, 500.0)}
+    for r in lk.grid_scores(series, rates, ALPHA, THETA, concentrations=[5.0, 500.0]).collect():
+        assert r.ll == pytest.approx(max(t[r.candidate_id] for t in tried.values()))
+        assert tried[r.d][r.candidate_id] == r.ll
+
+
+def test_points_within_a_grouping(spark):
+    rows = [("s", 0, [1.1, 1.1]), ("s", 1, [1.0, 1.1]), ("s", 2, [1.1, 1.0]), ("s", 3, [1.0, 1.0]), ("t", 4, [1.2, 1.1]), ("u", 5, [1.0, 1.0])]
+    points = spark.createDataFrame(rows, "series_id string, candidate_id long, k array<double>")
+    groupings = spark.createDataFrame([("s", [0, 1, 1]), ("t", [0, 0, 1])], "series_id string, rgs array<int>")
+    assert {r.candidate_id for r in lk.within_grouping(points, groupings).collect()} == {0, 3}
+    other = spark.createDataFrame([("s", [0, 0, 1]), ("t", [0, 1, 2])], "series_id string, rgs array<int>")
+    assert {r.candidate_id for r in lk.within_grouping(points, other).collect()} == {1, 3, 4}

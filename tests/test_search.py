@@ -105,3 +105,19 @@ def test_unsettled_fit_prunes_nothing(spark):
     flagged = se.flag(scores, best)
     assert {tuple(r.rgs) for r in se.prune(flagged).collect()} == {(0, 1, 2), (0, 0, 1)}
     assert se.prune(se.flag(scores.drop("converged"), best)).count() == 3
+
+
+def test_a_search_reads_the_ledger_of_another(spark, planted):
+    one = planted.filter("series_id = 's'")
+    scorer = se.fit_scorer(one, OPTIONS)
+    earlier, _ = se.search_partitions(finest(one), scorer, 1)
+    asked = []
+
+    def counting(candidates):
+        asked.append(candidates.count())
+        return scorer(candidates)
+
+    stored = se.ledger(earlier).withColumn("config_hash", F.lit("h"))
+    again, _ = se.search_partitions(finest(one), counting, 1, stored=stored, config_hash="h")
+    assert asked and sum(asked) == 0
+    assert sorted((r.rgs, r.ll) for r in se.ledger(again).collect()) == sorted((r.rgs, r.ll) for r in stored.collect())

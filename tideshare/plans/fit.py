@@ -26,8 +26,7 @@ from tideshare.functions.renewal import (
     START_SHARE,
     Fits,
 )
-from tideshare.plans.series import attach_series, spread
-from tideshare.sources.checks import MAX_TIME_SCALE_BIN
+from tideshare.plans.series import attach_series, narrow_bins, spread
 
 FIT_SCHEMA = (
     "series_id string, rgs array<int>, ll double, k array<double>, qt array<double>, "
@@ -162,9 +161,7 @@ def fit(started: DataFrame, options: Options) -> DataFrame:
     of more than seven days ends the job.
     """
     if options.time_scale:
-        wide = F.exists(F.zip_with("d1", "d2", lambda a, b: b - a), lambda days: days >= MAX_TIME_SCALE_BIN)
-        checked = F.when(wide, F.raise_error(F.lit("a bin is too wide to estimate time scales")).cast("int"))
-        started = started.withColumn("n_days", checked.otherwise(F.col("n_days")))
+        started = started.withColumn("n_days", F.when(narrow_bins(F.col("d1"), F.col("d2")), F.col("n_days")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,7 +191,7 @@ def interval_solutions(fits: DataFrame, series: DataFrame, options: Options,
         "series_id", "rgs", F.col("ll").alias("ll_max"), "k", "qt", "c", "d",
         F.explode(F.sequence(F.lit(0), free - 1)).alias("param"),
     ).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
-    joined = attach_series(ends, lean(series), splits=16)
+    joined = attach_series(ends, lean(series))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

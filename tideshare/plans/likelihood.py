@@ -17,7 +17,7 @@ from tideshare.functions.numbers import (
 )
 from tideshare.functions.partitions import to_rgs
 from tideshare.operators.partitions import all_coarsenings
-from tideshare.plans.series import materialise, spread
+from tideshare.plans.series import materialise, narrow_bins, spread
 from tideshare.plans.trajectory import with_trajectory
 
 
@@ -105,29 +105,26 @@ def positive_prob(bins_p: DataFrame) -> DataFrame:
     return bins_p.filter(F.col("p") != 0)
 
 
-def rate_grid(series: DataFrame, rates: list[float], splits: int = 32) -> DataFrame:
+def rate_grid(series: DataFrame, rates: list[float]) -> DataFrame:
     """Every combination of ``rates`` over the subjects of each series as ``candidate_id, k``.
 
     The points are digits of a number, so they are generated from the series row in place: no
-    join with a candidate table. The number range is cut into ``splits`` pieces that are spread
-    first, so one series does not stay in one task.
+    join with a candidate table. About the root of their number of pieces is spread first and each
+    holds as many points, so one series does not stay in one task and no row holds a long array.
     """
     base = len(rates)
     size = F.pow(F.lit(base), F.size("subjects")).cast("bigint")
     values = F.array(*[F.lit(float(r)) for r in rates])
+    count = F.ceil(F.sqrt("_size")).cast("bigint")
+    sized = series.withColumn("_size", size).withColumn("_count", count)
     pieces = spread(
-        series.withColumn("_size", size).withColumn(
-            "_piece", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
-        ),
+        sized.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_count") - 1))),
         "series_id",
         "_piece",
     )
-    # piece i holds i, i + splits, ..; a piece beyond the last point is empty
-    numbers = F.when(
-        F.col("_piece") < F.col("_size"),
-        F.sequence(F.col("_piece").cast("bigint"), F.col("_size") - 1, F.lit(splits).cast("bigint")),
-    )
-    points = pieces.withColumn("candidate_id", F.explode(numbers)).drop("_size", "_piece")
+    # piece i holds i, i + count, ..; a piece beyond the last point is empty
+    numbers = F.when(F.col("_piece") < F.col("_size"), F.sequence("_piece", F.col("_size") - 1, "_count"))
+    points = pieces.withColumn("candidate_id", F.explode(numbers)).drop("_size", "_count", "_piece")
     subject = F.sequence(F.lit(1), F.size("subjects"))
     digit = lambda j: (
         F.floor(F.col("candidate_id") / F.pow(F.lit(base), F.size("subjects") - j)) % base
@@ -137,11 +134,35 @@ def rate_grid(series: DataFrame, rates: list[float], splits: int = 32) -> DataFr
     )
 
 
-def grid_scores(series: DataFrame, rates: list[float], alpha: float, theta: float,
-                constant: bool = False) -> DataFrame:
-    """``ll`` of every grid point. ``series`` carries the start shares in ``qt``."""
-    scored = loglik(with_trajectory(rate_grid(series, rates), alpha, theta), constant=constant)
-    return scored.select("series_id", "candidate_id", "subjects", "baseline", "k", "qt", "ll")
+def grid_scores(series: DataFrame, rates: list[float], alpha: float, theta: float, constant: bool = False,
+                division: int = 1, time_scales: list[float] | None = None,
+                concentrations: list[float] | None = None) -> DataFrame:
+    """``ll`` of every grid point. ``series`` carries the start shares in ``qt``.
+
+    ``division`` is the number of steps a day. With ``time_scales`` every point is tried with each
+    of these ratios, which all subjects share; ``candidate_id`` numbers the pairs and bins of more
+    than seven days end the job. With ``concentrations`` the likelihood is the Dirichlet-multinomial
+    one and ``d`` the best of them; the trajectory of a point is folded once for all.
+    """
+    points, more = rate_grid(series, rates), []
+    if time_scales is not None:
+        more.append("c")
+        places = F.posexplode(F.array(*[F.lit(float(x)) for x in time_scales])).alias("_place", "_ratio")
+        first, last = F.transform("bins", lambda x: x["d1"]), F.transform("bins", lambda x: x["d2"])
+        points = points.select("*", places).withColumns({
+            "candidate_id": F.col("candidate_id") * len(time_scales) + F.col("_place"),
+            "c": F.when(narrow_bins(first, last), F.transform("subjects", lambda v: F.col("_ratio"))),
+        })
+    rows = with_trajectory(points, alpha, theta, division=division, time_scale=time_scales is not None)
+    if concentrations is None:
+        scored = loglik(rows, constant=constant)
+    else:
+        more.append("d")
+        tried = [F.struct(dirichlet_ll("traj", "bins", F.lit(float(d))).alias("ll"), F.lit(float(d)).alias("d"))
+                 for d in concentrations]
+        best = rows.withColumn("_best", F.array_max(F.array(*tried)))
+        scored = best.withColumns({"ll": F.col("_best.ll"), "d": F.col("_best.d")})
+    return scored.select("series_id", "candidate_id", "subjects", "baseline", "k", "qt", "ll", *more)
 
 
 def likelihood_region(scores: DataFrame, df: int | None = None) -> DataFrame:
@@ -183,12 +204,24 @@ def extreme_points(region: DataFrame) -> DataFrame:
 
 def best_point(scores: DataFrame) -> DataFrame:
     """Point of highest log-likelihood per series, lowest number on ties."""
+    cols = [c for c in scores.columns if c != "series_id"]
     return scores.groupBy("series_id").agg(
-        F.max_by(F.struct("candidate_id", "k", "qt", "subjects", "baseline", "ll"),
-                 F.struct(F.col("ll"), -F.col("candidate_id"))).alias("b")
+        F.max_by(F.struct(*cols), F.struct(F.col("ll"), -F.col("candidate_id"))).alias("b")
     ).select("series_id", "b.*")
 
 
+def within_grouping(scores: DataFrame, groupings: DataFrame) -> DataFrame:
+    """Grid points that respect the grouping ``(series_id, rgs)`` of their series.
+
+    All categories of a block have the rate of its first one, those with the baseline rate 1.
+    ``groupings`` holds one row per series.
+    """
+    rates = F.concat(F.array(F.lit(1.0)), F.col("k"))
+    pairs = F.arrays_zip(F.col("rgs").alias("b"), rates.alias("x"))
+    same = F.forall(pairs, lambda p: p["x"] == F.element_at(rates, F.array_position("rgs", p["b"]).cast("int")))
+    return scores.join(groupings.select("series_id", "rgs"), "series_id").filter(same).drop("rgs")
+
+
 def point_partition_scores(scores: DataFrame) -> DataFrame:
     """Highest ``ll`` per equality pattern of the rates (baseline rate 1 first)."""
     pattern = to_rgs(F.concat(F.array(F.lit(1.0)), F.col("k")))

@@ -56,13 +56,16 @@ def score_candidates(candidates: DataFrame, scorer: Scorer, stored: DataFrame |
                      config_hash: str = "") -> DataFrame:
     """Score candidates ``(series_id, rgs)``; those in ``stored`` are read instead.
 
-    ``stored`` is ``(series_id, config_hash, sha1, ll, num_pars, AIC)``; ``config_hash`` names the
-    data and options, so that scores of another run are not taken for this one.
+    ``stored`` is ``(series_id, config_hash, sha1, ll, num_pars, AIC[, converged])``, a ledger for
+    example; ``config_hash`` names the data and options, so that scores of another run are not taken
+    for this one.
     """
     if stored is None:
         return scorer(candidates)
     keyed = candidates.withColumn("config_hash", F.lit(config_hash)).withColumn("sha1", rgs_digest("rgs"))
-    known = keyed.join(stored, ["series_id", "config_hash", "sha1"]).select(*SCORE_COLUMNS)
+    keys = ["series_id", "config_hash", "sha1"]
+    flags = [c for c in ("converged",) if c in stored.columns]
+    known = keyed.join(stored.select(*keys, "ll", "num_pars", "AIC", *flags), keys).select(*SCORE_COLUMNS, *flags)
     todo = pending(keyed, stored).select("series_id", "rgs")
     return scorer(todo).unionByName(known, allowMissingColumns=True)
 

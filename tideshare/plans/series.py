@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideshare.functions.numbers import array_sum, let, log_factorial
 from tideshare.operators.counts import clip_window
+from tideshare.sources.checks import MAX_TIME_SCALE_BIN
 
 BROADCAST_CELLS = 1_000_000  # eight bytes each
 
@@ -116,19 +117,27 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(spread_count(df.sparkSession), *keys)
 
 
+def narrow_bins(first: Column, last: Column) -> Column:
+    """Time scales cannot be told from wide bins: whether all bins span at most seven days, else an error."""
+    wide = F.exists(F.zip_with(first, last, lambda a, b: b - a), lambda days: days >= MAX_TIME_SCALE_BIN)
+    return F.when(wide, F.raise_error(F.lit("a bin is too wide to estimate time scales")).cast("boolean")).otherwise(F.lit(True))
+
+
 def is_small(rows: DataFrame) -> bool:
     """Whether the count arrays of materialised rows are small enough to broadcast: one sum."""
     cells = rows.agg(F.coalesce(F.sum(F.size("flat")), F.lit(0))).first()[0]
     return cells <= BROADCAST_CELLS
 
 
-def attach_series(candidates: DataFrame, series: DataFrame, splits: int = 8, small: bool = False) -> DataFrame:
+def attach_series(candidates: DataFrame, series: DataFrame, splits: int | None = None, small: bool = False) -> DataFrame:
     """Join candidates to the arrays of their series.
 
     With ``small`` (see ``is_small``) the arrays are broadcast and the candidates dealt out evenly.
-    Otherwise candidates of one series go to ``splits`` keys and the one array row of the series
-    is copied to each, so a series with most of the candidates keeps many tasks busy.
+    Otherwise candidates of one series go to ``splits`` keys (as many as there are tasks) and the one
+    array row of the series is copied to each, so a series with most of the candidates keeps all
+    tasks busy.
     """
+    splits = splits or spread_count(candidates.sparkSession)
     if small:
         return spread(candidates).join(F.broadcast(series), "series_id")
     salt = F.pmod(F.xxhash64(*candidates.columns), F.lit(splits)).cast("int")
@@ -137,8 +146,9 @@ def attach_series(candidates: DataFrame, series: DataFrame, splits: int = 8, sma
     return left.join(spread(copies, "series_id", "_salt"), ["series_id", "_salt"]).drop("_salt")
 
 
-def params_to_arrays(params: DataFrame, series: DataFrame, splits: int = 8) -> DataFrame:
+def params_to_arrays(params: DataFrame, series: DataFrame, splits: int | None = None) -> DataFrame:
     """Long ``(series_id, candidate_id, variant, c, k, qt)`` to arrays in subject order."""
+    splits = splits or spread_count(params.sparkSession)
     packed = params.groupBy("series_id", "candidate_id").agg(
         F.map_from_entries(F.collect_list(F.struct("variant", F.struct("c", "k", "qt")))).alias("m")
     )

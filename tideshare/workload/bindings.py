@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,9 @@ from tideshare.plans.series import series_arrays
 ALPHA, THETA = 4.109, 0.73
 BASELINE = "view"
 RATES = [0.98, 0.99, 1.0, 1.01, 1.02]
+COARSE_RATES = [0.98, 1.0, 1.02]
+RATIOS = [0.8, 1.0, 1.25]
+CONCENTRATIONS = [10.0, 100.0, 1000.0]
 PRIORITY_BASELINE = "5-LOW"
 TYPE_BASELINE = "STANDARD"
 
@@ -81,9 +84,10 @@ def segment_series(spark: SparkSession, sf: str, grain: str = "day") -> DataFram
     return series_with_shares(segment_counts(spark, sf, grain), BASELINE)
 
 
-def series_with_shares(counts: DataFrame, baseline: str) -> DataFrame:
+def series_with_shares(counts: DataFrame, baseline: str, start: Column | None = None,
+                       end: Column | None = None) -> DataFrame:
     """Series arrays with the observed start shares as ``qt``."""
-    return start_share_arrays(series_arrays(counts, baseline), start_share(counts))
+    return start_share_arrays(series_arrays(counts, baseline, start, end), start_share(counts))
 
 
 def segment_rates(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tideshare.functions.gamma import weights_value
-from tideshare.workload.bindings import ALPHA, BASELINE, PRIORITY_BASELINE, RATES, THETA
+from tideshare.workload.bindings import ALPHA, BASELINE, COARSE_RATES, CONCENTRATIONS, PRIORITY_BASELINE, RATES, RATIOS, THETA
 
 W = weights_value(ALPHA, THETA)
 # 95 % points of the chi-square distribution by degrees of freedom.
@@ -13,6 +13,9 @@ NAMES = ["click", "error", "purchase", "signup", "view"]
 RAW = {
     "segment": "select c_mktsegment as series_id, cast(ts as date) as d, event_type as variant "
                "from events join customer on user_id = c_custkey",
+    "listed": "select c_mktsegment as series_id, cast(ts as date) as d, event_type as variant from events "
+              "join customer on user_id = c_custkey where event_type in ('click', 'purchase', 'view') and cast(ts as date) between "
+              "(select min(cast(ts as date)) from events) + 7 and (select max(cast(ts as date)) from events) - 7",
     "user": "select cast(user_id as varchar) as series_id, cast(ts as date) as d, event_type as variant from events",
     "all": "select 'all' as series_id, cast(ts as date) as d, event_type as variant from events",
     "region": "select r_name as series_id, cast(o_orderdate as date) as d, o_orderpriority as variant "
@@ -131,32 +134,54 @@ def length_rate(scale: int) -> str:
 
 # --- grid --------------------------------------------------------------------------------
 
-GRID = f"""with recursive {counts('segment', 'day')}, {shares(BASELINE)},
+def grid_points(rates) -> str:
+    return f"""
 src as (select a.*, p as candidate_id, list_transform(range(1, len(subjects) + 1), lambda j:
-    ({numbers(RATES)})[cast((p // cast(pow({len(RATES)}, len(subjects) - j) as bigint)) % {len(RATES)} as bigint) + 1]) as k
-  from (select *, unnest(range(0, cast(pow({len(RATES)}, len(subjects)) as bigint))) as p from arr) a),
-{model(BASELINE)},
+    ({numbers(rates)})[cast((p // cast(pow({len(rates)}, len(subjects) - j) as bigint)) % {len(rates)} as bigint) + 1]) as k
+  from (select *, unnest(range(0, cast(pow({len(rates)}, len(subjects)) as bigint))) as p from arr) a)"""
+
+
+POINT_TERM = "case when n[j] = 0 then 0.0 else n[j] * ln(greatest(q[j], 1e-300)) end"
+
+
+def grid_fit(division: int = 1, term: str = f"list_sum(list_transform(range(1, len(n) + 1), lambda j: {POINT_TERM}))") -> str:
+    """CTEs from the fold ``r`` to the best point and its parameters."""
+    return f"""
 obs as (select c.series_id, datediff('day', t_start, date_from) + 1 as day,
     list(n order by case when c.variant = '{BASELINE}' then 1 else 0 end, c.variant) as n
   from counts c join ser on c.series_id = ser.series_id group by all),
-grid as (select r.series_id, r.candidate_id, sum(list_sum(list_transform(range(1, len(n) + 1),
-    lambda j: case when n[j] = 0 then 0.0 else n[j] * ln(greatest(q[j], 1e-300)) end))) as ll
-  from r join obs on r.series_id = obs.series_id and r.i = obs.day group by all),
+grid as (select r.series_id, r.candidate_id, sum({term}) as ll
+  from r join obs on r.series_id = obs.series_id and r.i = (obs.day - 1) * {division} + 1 group by all),
 top as (select series_id, max(ll) as top from grid group by 1),
 best as (select g.series_id, min(g.candidate_id) as candidate_id, any_value(g.ll) as ll
   from grid g join top t on g.series_id = t.series_id and g.ll = t.top group by 1),
 gp as (select s.series_id, s.candidate_id, subjects[j] as variant, k[j] as k, qt[j] as qt, j
   from (select *, unnest(range(1, len(k) + 1)) as j from src) s)"""
 
-ESTIMATES = f"""{GRID},
-inside as (select g.series_id, g.candidate_id from grid g join top t on g.series_id = t.series_id
+
+# one bin of the Dirichlet-multinomial with concentration d; categories of share 0 left out
+KEPT = "list_filter(range(1, len(n) + 1), lambda j: q[j] > 0)"
+DIRICHLET_BIN = f"""case when list_sum(list_transform({KEPT}, lambda j: n[j])) = 0 then 0.0 else
+  lgamma(list_sum(list_transform({KEPT}, lambda j: n[j])) + 1) + lgamma(list_sum(list_transform({KEPT}, lambda j: q[j] * d)))
+  - lgamma(list_sum(list_transform({KEPT}, lambda j: n[j] + q[j] * d)))
+  + list_sum(list_transform({KEPT}, lambda j: lgamma(n[j] + q[j] * d) - lgamma(q[j] * d) - lgamma(n[j] + 1))) end"""
+
+SEGMENTS = f"with recursive {counts('segment', 'day')}, {shares(BASELINE)}"
+GRID = f"{SEGMENTS}, {grid_points(RATES)}, {model(BASELINE)}, {grid_fit()}"
+BEST_RATES = ("gp.series_id, round(ll, 4) as ll, variant, gp.k from gp join best b on gp.series_id = b.series_id "
+              "and gp.candidate_id = b.candidate_id")
+
+def report(grid: str = "grid", top: str = "top", best: str = "best") -> str:
+    """CTEs ending in ``est``, the estimates report of a grid fit."""
+    return f"""
+inside as (select g.series_id, g.candidate_id from {grid} g join {top} t on g.series_id = t.series_id
   where ll >= t.top - {CHI2[1] / 2!r}),
 rng as (select gp.series_id, gp.variant, min(k) as k_lb, max(k) as k_ub, min(qt) as qt_lb, max(qt) as qt_ub
   from gp join inside i on gp.series_id = i.series_id and gp.candidate_id = i.candidate_id group by all),
 est as (
   select gp.series_id, gp.variant, fd as date, cast(1 as double) as c, cast(1 as double) as c_lb,
     cast(1 as double) as c_ub, gp.k, k_lb, k_ub, gp.qt, qt_lb, qt_ub
-  from gp join best b on gp.series_id = b.series_id and gp.candidate_id = b.candidate_id
+  from gp join {best} b on gp.series_id = b.series_id and gp.candidate_id = b.candidate_id
   join rng on rng.series_id = gp.series_id and rng.variant = gp.variant
   join fs on fs.series_id = gp.series_id and fs.variant = gp.variant
   union all
@@ -167,6 +192,9 @@ est as (
   on ser.series_id = x.series_id)"""
 
 
+ESTIMATES = f"{GRID}, {report()}"
+
+
 def floor3(x: str) -> str:
     return f"floor(({x}) * 1000) / 1000"
 
@@ -186,6 +214,10 @@ pattern as (select series_id, ['{BASELINE}'] || subjects as names, [cast(1 as do
 blk as (select series_id, names[j] as variant, {first_label('ks', 'range(1, len(ks) + 1)')}[j] as block
   from (select *, unnest(range(1, len(ks) + 1)) as j from pattern))"""
 
+GROUPED = ("select *, row_number() over (partition by series_id order by k desc, variant) as place from ("
+           f"select series_id, string_agg(variant, ',' order by variant) as variant, {floor3('k')} as k, "
+           f"{CI_LABEL} as k_ci_95 from est group by series_id, {floor3('k')}, {CI_LABEL})")
+
 # --- partitions --------------------------------------------------------------------------
 
 LABELS = """
@@ -524,8 +556,26 @@ ORACLES = {
       y as (select series_id, max(n) filter (where variant = 'signup') > 0 as impossible from counts group by 1)
       select x.series_id, coalesce(impossible, false) as impossible, round(ll, 4) as ll_dirichlet
       from x join y on x.series_id = y.series_id""",
-    "fit_grid": f"{GRID} select gp.series_id, round(ll, 4) as ll, variant, k from gp join best b on gp.series_id = b.series_id "
-                "and gp.candidate_id = b.candidate_id",
+    "fit_grid": f"{GRID} select {BEST_RATES}",
+    "fit_grid_window": f"""with recursive {counts('listed', 'day')}, {shares(BASELINE)}, {grid_points(RATES)}, {model(BASELINE)}, {grid_fit()}
+      select {BEST_RATES}""",
+    "fit_grid_substep": f"""{SEGMENTS}, {grid_points(COARSE_RATES)},
+      {model(BASELINE, numbers(weights_value(ALPHA, THETA, None, 2)), 2 * len(W), 2)}, {grid_fit(2)} select {BEST_RATES}""",
+    "fit_grid_time_scale": f"""{SEGMENTS}, {grid_points(COARSE_RATES).replace('src as', 'src0 as', 1)},
+      ratio as (select unnest({numbers(RATIOS)}) as c, unnest(range(0, {len(RATIOS)})) as place),
+      ww as (select c, place, list_transform(range(1, {len(W) + 1}), lambda m: (f[m + 1] - f[m]) / f[{len(W) + 1}]) as w
+        from (select c, place, list({GAMMA_CDF} order by m) as f from
+          (select c, place, m, m / (c * {THETA}) as z from ratio, (select unnest(range(0, {len(W) + 1})) as m)) group by all)),
+      one as (select w as w1 from ww where c = 1.0),
+      src as (select src0.* replace (candidate_id * {len(RATIOS)} + place as candidate_id), c,
+        list_append(list_transform(subjects, lambda v: w), w1) as w from src0, ww, one),
+      {model(BASELINE, per_variant=True)}, {grid_fit()}
+      select s.c, {BEST_RATES} join src s on s.series_id = b.series_id and s.candidate_id = b.candidate_id""",
+    "fit_grid_dirichlet": f"""{SEGMENTS}, {grid_points(COARSE_RATES).replace('src as', 'src0 as', 1)},
+      src as (select * replace (candidate_id * {len(CONCENTRATIONS)} + place as candidate_id), d from src0,
+        (select unnest({numbers(CONCENTRATIONS)}) as d, unnest(range(0, {len(CONCENTRATIONS)})) as place)),
+      {model(BASELINE).replace('qt, kk,', 'qt, d, kk,')}, {grid_fit(term=DIRICHLET_BIN)}
+      select s.d as "D", {BEST_RATES} join src s on s.series_id = b.series_id and s.candidate_id = b.candidate_id""",
     "grid_loglik": f"{GRID} select series_id, candidate_id, round(ll, 4) as ll from grid",
     "profile_ci_grid": f"{ESTIMATES} select series_id, variant, k_lb, k_ub from rng",
     "region_bands_grid": f"""{REGION}
@@ -560,9 +610,7 @@ ORACLES = {
       from blk join rates on blk.series_id = rates.series_id and blk.variant = rates.variant""",
     "estimates_report": f"{ESTIMATES} select series_id, variant, cast(date as varchar) as date, c, c_lb, c_ub, k, k_lb, k_ub, "
                         "round(qt, 6) as qt, round(qt_lb, 6) as qt_lb, round(qt_ub, 6) as qt_ub from est",
-    "group_report": f"{ESTIMATES} select *, row_number() over (partition by series_id order by k desc, variant) as place from ("
-                    f"select series_id, string_agg(variant, ',' order by variant) as variant, {floor3('k')} as k, "
-                    f"{CI_LABEL} as k_ci_95 from est group by series_id, {floor3('k')}, {CI_LABEL})",
+    "group_report": f"{ESTIMATES} {GROUPED}",
     "rate_report": f"{ESTIMATES} select series_id, variant, {floor3('k')} as k, {CI_LABEL} as k_ci_95, "
                    "row_number() over (partition by series_id order by est.k desc, variant) as place from est",
     "order_by_rate": f"with {RATES_SQL} select series_id || ':' || variant as variant, round(k, 6) as k, "
@@ -586,6 +634,17 @@ ORACLES = {
     "pruned_grid": f"{search(2)} select series_id, {key('a')} as rgs from pruned",
     "level_summary": f"{search(2)} select series_id, level, count(*) as analysed, count(*) filter (where chance) as with_chance "
                      "from ledger group by all",
+    "search_stored": f"{search(2)} select {COLS_LEDGER} from ledger",
+    "refit_report": f"""{search(1)},
+      chosen as (select series_id, a from (select *, row_number() over (partition by series_id order by AIC, {key('a')}) as rn
+        from ledger) where rn = 1),
+      grid2 as (select g.* from grid g join src s on g.series_id = s.series_id and g.candidate_id = s.candidate_id
+        join chosen c on c.series_id = g.series_id where not list_contains(list_transform(range(1, len(a) + 1),
+          lambda j: ([cast(1 as double)] || k)[j] = ([cast(1 as double)] || k)[list_position(a, a[j])]), false)),
+      top2 as (select series_id, max(ll) as top from grid2 group by 1),
+      best2 as (select g.series_id, min(g.candidate_id) as candidate_id from grid2 g
+        join top2 t on g.series_id = t.series_id and g.ll = t.top group by 1),
+      {report('grid2', 'top2', 'best2')} {GROUPED}""",
     "pending_candidates": f"""{PARTS} select series_id, 'run' as config_hash, sha1({key('by_orders')}) as sha1, {key('by_orders')} as rgs
       from part_of where {key('by_orders')} <> {key('by_status')}""",
     "fit_constant": f"""{CONSTANT}

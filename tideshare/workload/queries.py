@@ -29,10 +29,20 @@ from tideshare.plans.series import (
 from tideshare.sources import checks as ck
 from tideshare.sources import tables as tb
 from tideshare.workload import bindings as b
-from tideshare.workload.bindings import ALPHA, BASELINE, RATES, THETA
+from tideshare.workload.bindings import ALPHA, BASELINE, COARSE_RATES, CONCENTRATIONS, RATES, RATIOS, THETA
 
 LAGS = truncation_length(ALPHA, THETA)
-MAX_CATEGORIES = 8
+#: Categories of the reports and grids that are restricted to some.
+LISTED = ["click", "purchase"]
+
+
+def _values(spark, sf, name: str, column: str) -> int:
+    """Number of distinct values: the size that enumerations of them need."""
+    return b.table(spark, sf, name).agg(F.count_distinct(F.coalesce(column, F.lit("")))).first()[0]
+
+
+def _types(spark, sf) -> int:
+    return _values(spark, sf, "events", "event_type")
 
 
 def r6(c: Column | str, places: int = 6) -> Column:
@@ -145,7 +155,7 @@ def block_violations(spark, sf):
 
 
 def keep_subjects(spark, sf):
-    kept = ct.keep_subjects(b.segment_counts(spark, sf), ["click", "purchase"], BASELINE)
+    kept = ct.keep_subjects(b.segment_counts(spark, sf), LISTED, BASELINE)
     return dated(ct.drop_baseline(kept, BASELINE), "date_from", "date_till")
 
 
@@ -317,7 +327,7 @@ def merge_once(spark, sf):
 
 def all_coarsenings(spark, sf):
     """Every coarsening of every distinct partition, weighted by its customers."""
-    out = pt.all_coarsenings(distinct_groupings(spark, sf), 5)
+    out = pt.all_coarsenings(distinct_groupings(spark, sf), _values(spark, sf, "orders", "o_orderpriority"))
     return rgs_text(out.groupBy("coarser").agg(F.sum("customers").alias("customers"),
                                                F.count(F.lit(1)).alias("finer")), "coarser")
 
@@ -342,21 +352,21 @@ def _used(spark, sf):
 
 def enumerate_all(spark, sf):
     """All partitions of the priorities each customer uses."""
-    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", 5), "rgs")
+    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", _values(spark, sf, "orders", "o_orderpriority")), "rgs")
 
 
 def enumerate_at_most(spark, sf):
-    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", 5, at_most=F.lit(3)), "rgs")
+    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", _values(spark, sf, "orders", "o_orderpriority"), at_most=F.lit(3)), "rgs")
 
 
 def enumerate_exactly(spark, sf):
-    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", 5, exactly=F.lit(2)), "rgs")
+    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", _values(spark, sf, "orders", "o_orderpriority"), exactly=F.lit(2)), "rgs")
 
 
 def enumerate_reverse(spark, sf):
     """Partitions of the used priorities by number of priorities, last one first."""
     sizes = _used(spark, sf).groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
-    out = rk.with_place(pt.enumerate_partitions(sizes, "n", 5), F.desc("rgs"), keys=("n",))
+    out = rk.with_place(pt.enumerate_partitions(sizes, "n", _values(spark, sf, "orders", "o_orderpriority")), F.desc("rgs"), keys=("n",))
     return rgs_text(out.orderBy("n", "place"), "rgs")
 
 
@@ -520,11 +530,40 @@ def _best(spark, sf) -> DataFrame:
     return lk.best_point(_grid(spark, sf))
 
 
+def _best_rates(x: DataFrame, *more: str) -> DataFrame:
+    cells = x.select("series_id", r6("ll", 4).alias("ll"), *more, F.explode(F.arrays_zip("subjects", "k")).alias("x"))
+    return cells.select("series_id", "ll", *more, F.col("x.subjects").alias("variant"), F.col("x.k").alias("k"))
+
+
 def fit_grid(spark, sf):
     """Best of all rate combinations per segment."""
-    x = _best(spark, sf)
-    cells = x.select("series_id", r6("ll", 4).alias("ll"), F.explode(F.arrays_zip("subjects", "k")).alias("x"))
-    return cells.select("series_id", "ll", F.col("x.subjects").alias("variant"), F.col("x.k").alias("k"))
+    return _best_rates(_best(spark, sf))
+
+
+def fit_grid_window(spark, sf):
+    """The same for listed event types, without the first and the last week of the table."""
+    first, last = _window(spark, sf)
+    start, end = F.date_add(F.lit(first), 7), F.date_sub(F.lit(last), 7)
+    counts = ct.clip_window(ct.keep_subjects(b.segment_counts(spark, sf), LISTED, BASELINE), start, end)
+    series = b.series_with_shares(counts, BASELINE, start, end)
+    return _best_rates(lk.best_point(lk.grid_scores(series, RATES, ALPHA, THETA)))
+
+
+def fit_grid_substep(spark, sf):
+    """Two steps of the model per day."""
+    return _best_rates(lk.best_point(lk.grid_scores(b.segment_series(spark, sf), COARSE_RATES, ALPHA, THETA, division=2)))
+
+
+def fit_grid_time_scale(spark, sf):
+    """Rates and one common time-scale ratio per segment."""
+    scores = lk.grid_scores(b.segment_series(spark, sf), COARSE_RATES, ALPHA, THETA, time_scales=RATIOS)
+    return _best_rates(lk.best_point(scores).withColumn("c", F.col("c")[0]), "c")
+
+
+def fit_grid_dirichlet(spark, sf):
+    """Rates and the concentration of the Dirichlet-multinomial per segment."""
+    scores = lk.grid_scores(b.segment_series(spark, sf), COARSE_RATES, ALPHA, THETA, concentrations=CONCENTRATIONS)
+    return _best_rates(lk.best_point(scores).withColumnRenamed("d", "D"), "D")
 
 
 def grid_loglik(spark, sf):
@@ -597,10 +636,13 @@ def shared_rates(spark, sf):
 
 
 def _grid_estimates(spark, sf) -> DataFrame:
-    """Estimates report of the grid fit: best point, ranges over the region, baseline row."""
     counts = b.segment_counts(spark, sf)
+    return _grid_report(counts, materialise(lk.grid_scores(b.series_with_shares(counts, BASELINE), RATES, ALPHA, THETA)))
+
+
+def _grid_report(counts: DataFrame, grid: DataFrame) -> DataFrame:
+    """Estimates report of a grid fit: best point, ranges over the region, baseline row."""
     first = ct.first_seen(counts).withColumnRenamed("first_date", "date")
-    grid = materialise(lk.grid_scores(b.series_with_shares(counts, BASELINE), RATES, ALPHA, THETA))
     params = _grid_params(lk.best_point(grid)).join(first, ["series_id", "variant"])
     inside = _grid_params(lk.likelihood_region(grid, 1)).join(first, ["series_id", "variant"])
     return rp.estimates_report(params, ct.date_bounds(counts), BASELINE, inside)
@@ -665,8 +707,8 @@ def _finest(spark, sf) -> DataFrame:
 def _every_grouping(spark, sf) -> DataFrame:
     """All groupings of the event types of a segment, scored on the grid."""
     every = pt.enumerate_partitions(
-        _finest(spark, sf).select("series_id", F.size("rgs").alias("n")), "n", MAX_CATEGORIES).drop("n")
-    scorer = se.grid_scorer(_patterns(spark, sf), MAX_CATEGORIES)
+        _finest(spark, sf).select("series_id", F.size("rgs").alias("n")), "n", _types(spark, sf)).drop("n")
+    scorer = se.grid_scorer(_patterns(spark, sf), _types(spark, sf))
     return pt.with_level(scorer(every))
 
 
@@ -699,9 +741,10 @@ def best_partition(spark, sf):
     return _rounded(best.join(low, "series_id"))
 
 
-def _search(spark, sf, width: int = 1) -> tuple[DataFrame, DataFrame]:
-    patterns = materialise(_patterns(spark, sf))
-    return se.search_partitions(_finest(spark, sf), se.grid_scorer(patterns, MAX_CATEGORIES), width)
+def _search(spark, sf, width: int = 1, grid: DataFrame | None = None, **stored) -> tuple[DataFrame, DataFrame]:
+    patterns = materialise(lk.point_partition_scores(_grid(spark, sf) if grid is None else grid))
+    scorer = se.grid_scorer(patterns, _types(spark, sf))
+    return se.search_partitions(_finest(spark, sf), scorer, width, **stored)
 
 
 def search_grid(spark, sf):
@@ -715,6 +758,24 @@ def pruned_grid(spark, sf):
     return rgs_text(pruned, "rgs")
 
 
+def search_stored(spark, sf):
+    """A wider search that reads the scores of an earlier one from the table they were written to."""
+    earlier, _ = _search(spark, sf)
+    stored = tb.read_estimates(spark, tb.write_table(
+        se.ledger(earlier).withColumn("config_hash", F.lit("grid")), work_path(spark), "scores"), "parquet")
+    scores, _ = _search(spark, sf, 2, stored=stored, config_hash="grid")
+    return _rounded(se.ledger(scores))
+
+
+def refit_report(spark, sf):
+    """From counts to the report of the best grouping: search, refit with that grouping, ranges, shared rows."""
+    grid = materialise(_grid(spark, sf))
+    scores, _ = _search(spark, sf, grid=grid)
+    best = rk.best_partition(rgs_text(scores, "rgs"))
+    inside = materialise(lk.within_grouping(grid, best.withColumn("rgs", F.split("rgs", "-").cast("array<int>"))))
+    return rp.group_report(_grid_report(b.segment_counts(spark, sf), inside))
+
+
 def level_summary(spark, sf):
     scores, _ = _search(spark, sf, 2)
     return rk.level_summary(scores)
@@ -849,10 +910,11 @@ NAMES = [
     enumerate_reverse, drop_dominated, trajectory, trajectory_late, trajectory_substep,
     trajectory_time_scale, forecast, population_mean, scenario_trajectory, bin_share, lag_sum,
     chart_table, loglik_multinomial, loglik_dirichlet, loglik_dirichlet_terms,
-    loglik_zero_probability, fit_grid, grid_loglik, profile_ci_grid, region_bands_grid,
+    loglik_zero_probability, fit_grid, fit_grid_window, fit_grid_substep, fit_grid_time_scale, fit_grid_dirichlet, grid_loglik, profile_ci_grid, region_bands_grid,
     baseline_range_grid, blocks_report, warm_start, shared_rates, estimates_report, group_report,
     rate_report, order_by_rate, score_report, frequency_report, frequency_report_bounds, partition_scores, beam,
-    running_best, best_partition, search_grid, pruned_grid, level_summary, pending_candidates,
+    running_best, best_partition, search_grid, pruned_grid, level_summary, search_stored, refit_report,
+    pending_candidates,
     fit_constant, profile_ci_constant, region_bands_constant, fit, fit_users, fit_parts, fit_shared,
     fit_time_scale, fit_dirichlet, profile_ci, region_bands, search_fit,
 ]
