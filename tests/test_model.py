@@ -15,6 +15,7 @@ from tideshare.plans import reports as rp
 from tideshare.plans import search as se
 from tideshare.plans import series as ss
 from tideshare.plans import trajectory as tr
+from tideshare.workload.bindings import BASELINE, user_counts
 
 ALPHA, THETA = 4.109, 0.73
 W = weights_value(ALPHA, THETA)
@@ -373,3 +374,35 @@ def test_points_within_a_grouping(spark):
     assert {r.candidate_id for r in lk.within_grouping(points, groupings).collect()} == {0, 3}
     other = spark.createDataFrame([("s", [0, 0, 1]), ("t", [0, 1, 2])], "series_id string, rgs array<int>")
     assert {r.candidate_id for r in lk.within_grouping(points, other).collect()} == {1, 3, 4}
+
+
+def test_restarts_find_nothing_better(spark):
+    """Other start points than those of the fit, on all users; maxima on the edge of rescaled shares differ a little."""
+    series = ss.series_arrays(user_counts(spark, "/root/testdata/sf0.01"), BASELINE)
+    started = ss.materialise(ft.finest_start(series))
+    best = {r.series_id: r.ll for r in ft.fit(started, OPTIONS).collect()}
+    rng = np.random.default_rng(7)
+    points = spark.createDataFrame([(float(k), float(q)) for k, q in zip(rng.uniform(0.5, 2, 8), 10 ** rng.uniform(-3, -0.7, 8))], "f double, s double")
+    again = started.crossJoin(points).withColumns({
+        "k": F.transform("k", lambda x: x * F.col("f")), "qt": F.transform("qt", lambda x: F.col("s"))})
+    alone = again.select("series_id", "rgs", "k", "qt", *ft.ARRAYS).withColumn("start", F.lit(0))
+    found = ft.fit_rows(alone, OPTIONS).groupBy("series_id").agg(F.max("ll").alias("ll")).collect()
+    assert len(best) == len(found) > 100
+    assert max(r.ll - best[r.series_id] for r in found) < 0.01
+
+
+def test_start_out_of_reach_and_best_of_several(spark):
+    table = expected_counts([1.05, 0.95], [0.2, 0.1], days=24, total=200)
+    series = ss.series_arrays(counts_of(spark, table), "base", undetected=True)
+    far = ft.finest_start(series).withColumn("qt", F.array(F.lit(0.7), F.lit(0.6)))
+    near = ft.fit(ft.finest_start(series), OPTIONS).first()
+    got = ft.fit(far, OPTIONS).first()
+    assert got.converged and got.ll == pytest.approx(near.ll, abs=1e-6)
+    own = ft.with_starts(far).filter("start = 0").first()
+    assert sum(own.qt) == pytest.approx(ft.HIGHEST_START) and own.qt[0] / own.qt[1] == pytest.approx(7 / 6)
+    rows = spark.createDataFrame(
+        [("s", [0, 1], 0, -5.0, False), ("s", [0, 1], 1, -5.0 - 1e-9, True), ("s", [0, 1], 2, float("-inf"), False),
+         ("t", [0, 1], 0, -3.0, True), ("t", [0, 1], 1, -3.0, True), ("u", [0, 1], 0, float("-inf"), False)],
+        "series_id string, rgs array<int>, start int, ll double, converged boolean")
+    kept = {r.series_id: (r.ll, r.converged) for r in ft.best_start(rows).collect()}
+    assert kept == {"s": (-5.0 - 1e-9, True), "t": (-3.0, True), "u": (float("-inf"), False)}

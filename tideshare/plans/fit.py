@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideshare.functions.gamma import chi2_quantile, weights_value
-from tideshare.functions.numbers import aic, num_parameters
+from tideshare.functions.numbers import aic, array_sum, num_parameters
 from tideshare.functions.partitions import rgs_key
 from tideshare.functions.renewal import (
     MEMORY,
@@ -36,6 +36,10 @@ SOLUTION_SCHEMA = (
     "series_id string, rgs array<int>, param int, side int, ll double, k array<double>, "
     "qt array<double>, c array<double>, d double"
 )
+#: Further starts of a fit: factor of the rates, share of every subject.
+OTHER_STARTS = [(factor, share) for factor in (0.6, 0.8, 1.25, 1.7) for share in (0.002, 0.02, 0.2)]
+#: Start shares of the subjects together are at most this.
+HIGHEST_START = 0.9
 ARRAYS = ["intro", "n_days", "d1", "d2", "flat"]
 
 
@@ -154,23 +158,58 @@ def result(keys: pd.DataFrame, f: Fits, par: np.ndarray, ll: np.ndarray) -> pd.D
     return keys.assign(ll=ll, k=list(k), qt=list(qt), c=list(c), d=np.full(f.b, np.nan) if d is None else d)
 
 
+def scaled_by(values: Column, factor: Column | float) -> Column:
+    return F.transform(values, lambda x: x * factor)
+
+
+def with_starts(started: DataFrame) -> DataFrame:
+    """Rows with their own start and those of ``OTHER_STARTS``, numbered in ``start``.
+
+    Start shares that leave nothing to the baseline are out of reach of a fit and are scaled down.
+    """
+    k, qt = F.col("k"), F.col("qt")
+    tried = [F.struct(k.alias("k"), qt.alias("qt"))]
+    for factor, share in OTHER_STARTS:
+        tried.append(F.struct(scaled_by(k, factor).alias("k"), F.transform(qt, lambda x: F.lit(share)).alias("qt")))
+    rows = started.select("*", F.posexplode(F.array(*tried)).alias("start", "_from"))
+    total = array_sum(F.col("_from.qt"))
+    return rows.withColumns({
+        "k": F.col("_from.k"),
+        "qt": F.when(total > HIGHEST_START, scaled_by(F.col("_from.qt"), HIGHEST_START / total)).otherwise(F.col("_from.qt")),
+    }).drop("_from")
+
+
+def best_start(fits: DataFrame) -> DataFrame:
+    """The likeliest fit of each series and grouping; of equal ones a converged one, then the first start."""
+    values = [c for c in fits.columns if c not in ("series_id", "rgs", "start")]
+    order = F.struct(F.round("ll", 6).alias("ll"), "converged", (-F.col("start")).alias("start"))
+    return fits.groupBy("series_id", "rgs").agg(F.max_by(F.struct(*values), order).alias("b")).select("series_id", "rgs", "b.*")
+
+
 def fit(started: DataFrame, options: Options) -> DataFrame:
-    """Fit every row of ``started`` (see ``default_start`` and ``warm_start``).
+    """Fit every row of ``started`` (see ``default_start`` and ``warm_start``) from several starts.
 
+    The likelihood can have several maxima; the highest that a start leads to is returned. The starts
+    are rows beside each other in one batch, and only their results are exchanged. Without a settled
+    fit ``converged`` is false; where no start has a likelihood, ``ll`` is minus infinity.
     ``d`` is NaN without a concentration. Time scales cannot be told from wide bins: with them a bin
     of more than seven days ends the job.
     """
     if options.time_scale:
         started = started.withColumn("n_days", F.when(narrow_bins(F.col("d1"), F.col("d2")), F.col("n_days")))
+    return best_start(fit_rows(with_starts(started.select("series_id", "rgs", "k", "qt", *ARRAYS)), options))
+
 
+def fit_rows(rows: DataFrame, options: Options) -> DataFrame:
+    """One fit per row and ``start``, from this start only."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows, f in options.batches(batch):
                 scale, d = np.full((f.b, f.s), START_SCALE), np.full(f.b, START_CONCENTRATION)
                 par, ll, ok = f.maximise(f.pack(stack(rows["k"]), stack(rows["qt"]), scale, d))
-                yield result(rows[["series_id", "rgs"]], f, par, ll).assign(converged=ok)
+                yield result(rows[["series_id", "rgs", "start"]], f, par, ll).assign(converged=ok)
 
-    return started.select("series_id", "rgs", "k", "qt", *ARRAYS).mapInPandas(run, FIT_SCHEMA)
+    return rows.mapInPandas(run, f"{FIT_SCHEMA}, start int")
 
 
 def scored(fits: DataFrame, options: Options) -> DataFrame:
