@@ -185,6 +185,26 @@ def test_contamination(spark, given):
     assert contamination(docs.limit(0), bench).collect() == []
 
 
+def test_contamination_in_parts(spark, given):
+    docs = spark.createDataFrame(given, SCHEMA)
+    texts = [r[1] for r in given if r[1]]
+    items = [*enumerate(texts[:30]), (7, texts[9]), (200, texts[3]), (201, " ".join(texts[:40])), (202, " ".join(texts[:40]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = list(map(tuple, contamination(docs, bench).collect()))
+    assert any(r[3] > 3 for r in whole)
+    same(contamination(docs, bench, part_windows=2000, piece_windows=50), whole)
+
+
+def test_large_benchmark(spark):
+    """More text than 64 MB, and still every item is looked up."""
+    passages = [prose(random.Random(k), 30) for k in range(4)]
+    given = [(k, f"{prose(random.Random(9 + k), 50)} {p}") for k, p in enumerate(passages)] + [(9, prose(random.Random(99), 50))]
+    bench = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").selectExpr(
+        "item_id", "text || repeat(' ?!', 8000000) text")
+    found = contamination(spark.createDataFrame(given, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in found} == {*((k, 30, 1, True) for k in range(4)), (9, 0, 0, False)}
+
+
 def test_proximity(spark):
     phrase = "one two three four five six".split()
     given = [(0, "x one two three four five six y"), (1, "one two THREE other five six"), (2, "one two other other five six"), (3, "six five four three two one")]

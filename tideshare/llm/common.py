@@ -40,11 +40,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write as compressed Parquet to the shared folder and read back."""
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write as compressed Parquet to the shared folder and read back; to a given path rows are added."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = path or f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
