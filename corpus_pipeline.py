@@ -8,17 +8,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideshare.llm.bpe import round_trip
-from tideshare.llm.common import stored, table
+from tideshare.llm.common import NO_ID, row_key, stored, table
 from tideshare.llm.decontamination import contamination
 from tideshare.llm.exact_dedup import exact_dedup, normalised
-from tideshare.llm.simhash import near_duplicates
+from tideshare.llm.simhash import first_of_near
 from tideshare.llm.toxicity import with_scores, fit, learnable
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` whose identifier is (``left_semi``) or is not (``left_anti``) in ``ids``."""
-    chosen = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), how)
+def _only(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose identifier and text are (``left_semi``) or are not (``left_anti``) in ``rows(did, mark)``."""
+    did, mark = row_key()
+    keyed = docs.withColumns({"_did": did, "_mark": mark})
+    chosen = rows.select(F.col("did").alias("_did"), F.col("mark").alias("_mark")).distinct()
+    return keyed.join(chosen, ["_did", "_mark"], how).select(*docs.columns, "_did", "_mark")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +39,17 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest identifier; rows that share it stay together."""
-    found = near_duplicates(docs, shingle=3, distance=3)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+    """Of each group of near copies one row, with the smallest identifier; of rows that repeat identifier and text, one."""
+    found = _only(docs, first_of_near(docs, shingle=3, distance=3), "left_semi")
+    same = W.partitionBy("_did", "_mark").orderBy("_did")
+    return found.withColumn("_copy", F.row_number().over(same)).filter("_copy = 1").drop("_copy", "_did", "_mark")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without contamination; of rows that share an identifier all go if one is contaminated."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.filter("contaminated"), "left_anti")
+    """Rows without contamination. Each row is judged by its own text."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), marked=True).filter("contaminated")
+    rows = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "mark")
+    return _only(docs, rows, "left_anti").drop("_did", "_mark")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

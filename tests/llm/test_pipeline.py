@@ -94,6 +94,24 @@ def test_toxic_rows_go(spark, folder):
     assert len(kept & clean) >= 0.97 * len(clean)
 
 
+def test_rows_that_share_an_identifier(spark, folder):
+    """Without identifiers, or with one for all, each row still goes or stays by its own text."""
+    import random
+
+    (passage,) = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r.text]
+    clean = [prose(random.Random(k), 80) for k in range(6)]
+    for i in (None, 5):
+        def given(texts, i=i):
+            return spark.createDataFrame([(i, t, None, None, None) for t in texts], SCHEMA)
+
+        kept = cp.drop_contaminated(spark, given([*clean, f"{passage} {clean[0]}"]), folder)
+        assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+        assert sorted(r.text for r in kept.collect()) == sorted(clean)
+        near = [f" {t.upper()}" for t in clean[:3]]  # the same fingerprints
+        left = [r.text.strip().lower() for r in cp.drop_near_copies(spark, given([*clean, *near, clean[4]]), folder).collect()]
+        assert sorted(left) == sorted(t.lower() for t in clean)
+
+
 def test_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:

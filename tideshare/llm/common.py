@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A row without an identifier is ordered before all others.
@@ -57,6 +57,12 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
+def row_key(id_column: str = "doc_id") -> list[Column]:
+    """``did`` and ``mark``: identifiers with an order, and a mark that tells rows apart that repeat one with another text."""
+    return [F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("did"),
+            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark")]
+
+
 def keyed(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``(id, did, mark, text)``: texts without nulls, identifiers with an order, a mark per text.
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideshare.llm.common import NO_ID, batch, packed, shared_folder, steps, stored, tasks, unpacked
+from tideshare.llm.common import NO_ID, batch, packed, row_key, shared_folder, steps, stored, tasks, unpacked
 
 #: Bytes that no word holds become spaces, A-Z become a-z: words are digits, letters and all above ASCII.
 WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in bytes(range(256)).lower())
@@ -124,13 +124,13 @@ def asked_words(pieces: DataFrame) -> bytes:
     return asked(found.column("hash").to_numpy())
 
 
-def build_index(docs: DataFrame, words: bytes, id_column: str = "doc_id") -> DataFrame:
+def build_index(docs: DataFrame, words: bytes, id_column: str = "doc_id", marked: bool = False) -> DataFrame:
     """``(shard, term, postings)``: word positions of each term in each shard of documents.
 
     A shard is some megabytes of documents, whose words are numbered through, with a gap between two
     documents. ``postings`` are the rising positions of the term as differences; the row of the empty term
-    lists the documents with their first position and number of words. Only terms whose hash
-    has a bit in ``words`` are stored.
+    lists the documents with their first position and number of words, and a hash of their text if ``marked``.
+    Only terms whose hash has a bit in ``words`` are stored.
     """
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int64()), ("term", pa.binary()), ("postings", pa.binary())])
@@ -152,20 +152,21 @@ def build_index(docs: DataFrame, words: bytes, id_column: str = "doc_id") -> Dat
             order = where[np.argsort(every[where], kind="stable")]
             of = every[order]
             cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-            keys, lists = [DOCUMENTS], [packed(b.column("did").to_numpy(), np.array(starts, np.int64), np.array(sizes, np.int64))]
+            keys, lists = [DOCUMENTS], [packed(b.column("did").to_numpy(), np.array(starts, np.int64), np.array(sizes, np.int64),
+                                                *(b.column(n).to_numpy() for n in b.schema.names if n == "mark"))]
             for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)]):
                 keys.append(names[of[s]])
                 lists.append(np.diff(order[s:e], prepend=0).astype(np.uint32).tobytes())
             shard = TaskContext.get().partitionId() << 32 | number
             yield batch(schema, [shard] * len(lists), keys, lists)
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("did"), text.alias("text")).mapInArrow(
+    text = F.coalesce("text", F.lit("")).alias("text")
+    return docs.select(*row_key(id_column)[:1 + marked], text).mapInArrow(
         index, "shard long, term binary, postings binary")
 
 
 def _documents(blob: bytes) -> tuple[np.ndarray, ...]:
-    """Identifiers, first positions and numbers of words of the documents of a shard."""
+    """Identifiers, first positions, numbers of words and, if stored, marks of the documents of a shard."""
     return tuple(np.frombuffer(x, np.int64) for x in unpacked(blob))
 
 
@@ -212,7 +213,7 @@ def _found(table: pa.Table, phrases: Phrases, near: int | None = None) -> tuple[
             documents = _documents(blob)
         elif (number := phrases.terms.get(term)) is not None:
             lists[number] = np.cumsum(np.frombuffer(blob, np.uint32).astype(np.int64))
-    _, starts, sizes = documents
+    _, starts, sizes, *_ = documents
 
     def go() -> Iterator[tuple]:
         for size, rows in phrases.by_size.items():
@@ -245,7 +246,7 @@ def matches(docs: DataFrame, items: list[bytes], window: int = 13, near: int | N
     index = stored(build_index(docs, asked(hashes_of(list(phrases.terms))), id_column))
 
     def search(table: pa.Table) -> pa.Table:
-        (ids, _, sizes), spans = _found(table, phrases, near)
+        (ids, _, sizes, *_), spans = _found(table, phrases, near)
         found = {n: [[] for _ in ids] for n in ("starts", "ends", "exact", "items")}
         for d, a, size, full, owners in spans:
             for item in owners:
@@ -302,12 +303,13 @@ def hits(index: DataFrame, names: list[str], texts: list[bytes], window: int) ->
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_column: str = "doc_id",
-                  part_windows: int = PART_WINDOWS, piece_windows: int = PIECE_WINDOWS) -> DataFrame:
+                  part_windows: int = PART_WINDOWS, piece_windows: int = PIECE_WINDOWS, marked: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)``, one row per row of ``docs``.
 
     A word inside any exact match of a window of an item is hit. A document is contaminated when at least
     one word in ``share`` is. Items without words or identifier match nothing; items that repeat an
-    identifier count once.
+    identifier count once. With ``marked`` there is a last column ``mark``, a hash of the text, which tells
+    rows apart that share an identifier.
 
     The benchmark is looked up in parts of about ``part_windows`` windows, one after the other, in one
     stored index. Driver and tasks hold one part at a time; what the parts find is united per document.
@@ -316,7 +318,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     pieces = stored(item_pieces(benchmark, window, piece_windows))
     weight = pieces.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     parts = -(-weight // part_windows)
-    index = stored(build_index(docs, asked_words(pieces), id_column))
+    index = stored(build_index(docs, asked_words(pieces), id_column, marked))
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     found = spark.createDataFrame([], HITS)
     for part in range(parts):
@@ -329,7 +331,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         items: defaultdict[int, set[str]] = defaultdict(set)
         for blob, place, starts, ends, own in zip(*(table.column(n).to_pylist() for n in ("postings", "place", "starts", "ends", "items")), strict=True):
             if blob is not None:
-                ids, _, sizes = _documents(blob)
+                ids, _, sizes, *marks = _documents(blob)
             else:
                 spans[place] += zip(starts, ends, strict=True)
                 items[place].update(own)
@@ -337,9 +339,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         owners = [sorted(items.get(d, ())) for d in range(len(ids))]
         return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(sizes), pa.array(hit), pa.array(list(map(len, owners)), pa.int64()),
                          pa.array([hashlib.sha256(",".join(o).encode()).hexdigest() for o in owners]),
-                         pa.array((hit > 0) & (share * hit >= sizes))],
-                        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                         pa.array((hit > 0) & (share * hit >= sizes)), *map(pa.array, marks)],
+                        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["mark"] * marked])
 
     documents = index.filter(F.col("term") == F.lit(DOCUMENTS)).select("shard", "postings")
     return _by_shard(documents.unionByName(found, allowMissingColumns=True)).applyInArrow(
-        judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+        judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", mark long" * marked)

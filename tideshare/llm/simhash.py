@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideshare.llm.common import NO_ID, batch, checkpointed, raw_texts, steps, stored, tasks
+from tideshare.llm.common import NO_ID, batch, checkpointed, raw_texts, row_key, steps, stored, tasks
 
 #: Bits of a fingerprint, in bytes that are index positions.
 POSITIONS = 8
@@ -42,17 +42,19 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 LOWER = bytes(range(256)).lower()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id") -> DataFrame:
-    """``(doc_id, did, fp)``: the fingerprint as a signed long; null texts count as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", marked: bool = False) -> DataFrame:
+    """``(doc_id, did, fp)``: the fingerprint as a signed long; null texts count as empty.
+
+    With ``marked`` the rows have ``mark``, a hash of the text, before the fingerprint.
+    """
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("fp", pa.int64())])
         for b in steps(batches):
             found = np.array([fingerprint(t, shingle) for t in raw_texts(b.column("text"))], np.uint64).view(np.int64)
-            yield batch(schema, b.column("doc_id"), b.column("did"), found)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in carried), pa.array(found)], names=[*carried, "fp"])
 
-    own = F.col(id_column).cast("long")
-    rows = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(NO_ID)).alias("did"), "text")
-    return rows.mapInArrow(go, "doc_id long, did long, fp long")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *row_key(id_column)[:1 + marked], "text")
+    carried = rows.columns[:-1]
+    return rows.mapInArrow(go, ", ".join(f"{n} long" for n in [*carried, "fp"]))
 
 
 def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
@@ -170,6 +172,24 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _components_of(rows: DataFrame, least: Column, distance: int) -> DataFrame:
+    """``(fp, component)``: the least value that links reach from each fingerprint, its own included."""
+    own = rows.groupBy("fp").agg(F.min(least).alias("least"))
+    reach = components(links(own.select("fp"), distance))
+    rooted = own.join(reach, own.fp == reach.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rooted.join(smallest, "root").select("fp", "component")
+
+
+def first_of_near(docs: DataFrame, shingle: int = 3, distance: int = 3, id_column: str = "doc_id") -> DataFrame:
+    """``(did, mark)`` of one row of each component: that with the smallest identifier, then mark.
+
+    Rows that share an identifier, or have none, are told apart by their text.
+    """
+    rows = stored(fingerprints(docs, shingle, id_column, marked=True))
+    return _components_of(rows, F.struct("did", "mark"), distance).select("component.*").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_column: str = "doc_id") -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
 
@@ -180,12 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     smallest; repeated rows have equal results; an empty table gives no rows. Other columns are not read.
     """
     rows = stored(fingerprints(docs, shingle, id_column))
-    own = rows.groupBy("fp").agg(F.min("did").alias("least"))
-    reach = components(links(own.select("fp"), distance))
-    rooted = own.join(reach, own.fp == reach.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(smallest, "root").select("fp", "component")
-    return rows.join(named, "fp").select(
+    return rows.join(_components_of(rows, F.col("did"), distance), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
