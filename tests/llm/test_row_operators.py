@@ -240,6 +240,22 @@ def test_toxicity_held_out(spark):
     assert sum(got[i].predicted == dict(labels)[i] for i in held) >= 0.95 * len(held)
 
 
+def test_repeated_identifiers_are_learned_once(spark, monkeypatch):
+    from tideshare.llm import toxicity as module
+
+    texts, labels = labelled(80)
+    hot = labels[0][0]
+    seen = []
+    train = module.train
+    monkeypatch.setattr(module, "train", lambda own, *rest: seen.append(len(own)) or train(own, *rest))
+    docs = [(i, t) for i, t in texts] + [(hot, f"{dict(texts)[hot]} copy {k}") for k in range(100)]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    fit(spark.createDataFrame(docs, "doc_id long, text string"), known, Settings(rows=60, rounds=5))
+    fit(spark.createDataFrame(docs, "doc_id long, text string"), known.filter(f"doc_id <= {hot + 20}"), Settings(rows=60, rounds=5))
+    ids = {i for i, _ in labels if i <= hot + 20}
+    assert seen == [60, len(ids)]
+
+
 def test_swaps_lower_the_weight_of_group_mentions(spark):
     texts, labels = labelled()
     docs = spark.createDataFrame(texts, "doc_id long, text string")

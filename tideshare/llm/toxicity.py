@@ -85,12 +85,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
     and of the same text with its identity terms swapped, so that weight on group mentions costs.
 
     Rows with a null text, identifier or label are left out; an identifier with several labels has
-    the largest. Without rows of both labels every score is the share of the label (0.5 without rows).
+    the largest, one with several texts counts once, with the text of the smallest hash. Without rows
+    of both labels every score is the share of the label (0.5 without rows).
     """
     marks = (labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).alias("label")).dropna()
              .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows))
-    chosen = docs.select(F.col(id_column).alias("doc_id"), "text").dropna().join(marks, "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    chosen = docs.select(F.col(id_column).alias("doc_id"), "text").dropna().join(marks, "doc_id").groupBy("doc_id", "label").agg(
+        first.alias("first")).select("doc_id", "first.text", "label")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("own", pa.list_(pa.binary())), ("swap", pa.list_(pa.binary()))])
