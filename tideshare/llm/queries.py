@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideshare.llm.bpe import round_trip
+from tideshare.llm.collocations import collocations
 from tideshare.llm.common import table
 from tideshare.llm.ctw import score_texts
 from tideshare.llm.decontamination import contamination
@@ -15,8 +16,10 @@ from tideshare.llm.simhash import near_duplicates
 from tideshare.llm.substring_dedup import substring_dedup
 from tideshare.llm.suffix_dedup import suffix_dedup
 from tideshare.llm.token_counts import token_counts
+from tideshare.llm.token_store import read_documents, write_store
 from tideshare.llm.toxicity import toxicity
 from tideshare.llm.url_filter import url_filter
+from tideshare.llm.whitening import whitening
 
 #: host, path, verdict
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -65,7 +68,21 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_substring_dedup, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op8_lm_score, op9_url_filter, op10_token_counts)}
+def op11_token_store(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    store = write_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_documents(store, docs).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents"), sizes=range(2, 4), at_least=10, top=2000, absorbed_percent=50)
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening(table(spark, sf, "embeddings"), count=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_substring_dedup, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op8_lm_score, op9_url_filter, op10_token_counts, op11_token_store, op12_collocations, op13_whitening)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -96,4 +113,41 @@ ORACLES = {
             GROUP BY page_id
         )
         SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN hit USING (page_id)""",
+    "op12_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+        ), total AS (
+            SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang
+        ), g AS (
+            SELECT lang, k AS size, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+            FROM w, (VALUES (1), (2), (3)) AS sizes(k)
+        ), f AS (
+            SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL
+        ), c AS (
+            SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2 AND f >= 10
+        ), longer AS (
+            SELECT lang, part, max(a) AS a
+            FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS part FROM c WHERE size = 3)
+            GROUP BY lang, part
+        ), kept AS (
+            SELECT c.* FROM c LEFT JOIN longer ON c.lang = longer.lang AND c.phrase = longer.part
+            WHERE longer.a IS NULL OR 100 * longer.a < 50 * c.a
+        ), cut AS (
+            SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:size], ' ') AS p2
+            FROM kept, (VALUES (1), (2)) AS cuts(k) WHERE k < size
+        ), scored AS (
+            SELECT cut.lang, cut.phrase, a, k, f1.f AS l, f2.f AS r,
+                   CAST(1000000::HUGEINT * a * a // (f1.f::HUGEINT * f2.f) AS BIGINT) AS score
+            FROM cut JOIN f f1 ON f1.lang = cut.lang AND f1.phrase = p1 JOIN f f2 ON f2.lang = cut.lang AND f2.phrase = p2
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
