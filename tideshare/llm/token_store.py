@@ -18,6 +18,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideshare.llm.common import NO_ID, batch, copy_numbers, process_cache, released, shared_folder, steps, stored, tasks, text_bytes
+from tideshare.llm.common import NO_ID, batch, copy_numbers, process_cache, raw_texts, released, shared_folder, steps, stored, tasks, text_bytes
 
 #: Text that the ids of one shard come from, about. The number of shards follows the size of the input.
 SHARD_BYTES = 64 << 20
@@ -61,8 +62,26 @@ def drops_white_space(path: str) -> bool:
     return bool(split and added and all(p in known for p in parts))
 
 
+#: Bytes by how they cut: 0 white space, 1 letters, 2 marks that no alternative of the pattern joins with
+#: letters, 3 digits, each a match of its own, 4 all else, next to which nothing is cut.
+KIND = np.full(256, 4, np.uint8)
+KIND[list(b" \t\n\x0b\x0c\r")] = 0
+KIND[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = 1
+KIND[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = 2
+KIND[list(b"0123456789")] = 3
+#: Whether a string may be cut between two kinds.
+CUT = np.zeros((5, 5), bool)
+CUT[1, 2] = CUT[2, 1] = True
+CUT[3, 1:4] = CUT[1:4, 3] = True
+
+
 class Encoder:
-    """Texts to ids by the tokenizers library, without added begin or end tokens."""
+    """Texts to ids by the tokenizers library, without added begin or end tokens.
+
+    Where ``drops_white_space`` holds, texts are lower-cased in A-Z and cut where the pattern cuts
+    them anyway, and a string that was encoded before is not encoded again. Texts that hold an added
+    token in some spelling are encoded whole.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,47 +91,71 @@ class Encoder:
         self.model.no_truncation()
         self.model.no_padding()
         self.apart = drops_white_space(path)
+        self.added = [t.content.lower().encode() for t in self.model.get_added_tokens_decoder().values()]
         self.end_id = end_id
         self.dtype = np.dtype("<u2" if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = (np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * self.dtype.itemsize).tolist()
+        raw = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
+        return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
-    def _known(self, words: list[str]) -> list[bytes]:
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.new.get, words))
         unknown = []
-        for w in words:
-            if w not in self.new:
-                if (ids := self.old.get(w)) is None:
-                    unknown.append(w)
-                else:
-                    self.new[w] = ids
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = ids = self.old.get(words[i])
+            if ids is None:
+                unknown.append(i)
+            else:
+                self.new[words[i]] = ids
         for at in range(0, len(unknown), 10_000):
             some = unknown[at:at + 10_000]
-            self.new.update(zip(some, self._ids(some), strict=True))
-        found = self.new
-        if len(found) > REMEMBERED:
-            self.old, self.new = found, {}
-        return [found[w] for w in words]
+            for i, ids in zip(some, self._ids([words[i].decode() for i in some]), strict=True):
+                self.new[words[i]] = found[i] = ids
+        if len(self.new) > REMEMBERED:
+            self.old, self.new = self.new, {}
+        return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Raw ids of each text, the end id last."""
         end = np.array([self.end_id], self.dtype).tobytes()
         if not self.apart:
             return [ids + end for ids in self._ids(texts.to_pylist())]
-        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        coded = words.flatten().dictionary_encode()
+        lower = [t.lower() for t in raw_texts(texts)]  # of bytes, so A-Z only
+        whole = [i for i, t in enumerate(lower) if any(a in t for a in self.added)]
+        for i in whole:
+            lower[i] = b""
+        out = [ids + end for ids in self._cut(lower)]
+        for i, ids in zip(whole, self._ids([texts[i].as_py() for i in whole]) if whole else [], strict=True):
+            out[i] = ids + end
+        return out
+
+    def _cut(self, texts: list[bytes]) -> list[bytes]:
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        raw = np.frombuffer(b"\n".join(texts), np.uint8)
+        kind = KIND[raw]
+        inside = kind > 0
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1] | CUT[kind[:-1], kind[1:]]
+        start = np.flatnonzero(opens)
+        # lengths without white space: bytes inside up to the next start
+        offsets = np.append(np.cumsum(inside)[start] - 1, inside.sum()).astype(np.int64)
+        flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+        coded = flat.dictionary_encode()
         own = self._known(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
-        flat, first = np.frombuffer(b"".join(own), self.dtype), np.cumsum(size) - size
+        count = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
+        ids, first = np.frombuffer(b"".join(own), self.dtype), np.cumsum(count) - count
         code = coded.indices.to_numpy(zero_copy_only=False)
-        length = size[code]
+        length = count[code]
         till = np.cumsum(length)
         at = np.arange(till[-1] if len(till) else 0) + np.repeat(first[code] - (till - length), length)
-        ids = flat[at]
-        ends = np.append(0, till)[np.cumsum(pc.list_value_length(words).to_numpy())]
-        return [ids[s:e].tobytes() + end for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        tokens = ids[at]
+        ends = np.append(0, till)[np.searchsorted(start, np.cumsum(size + 1) - 1)].tolist()
+        return [tokens[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)]
 
 
 # --- minimal perfect hash ---------------------------------------------------------------------
