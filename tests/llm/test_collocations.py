@@ -48,6 +48,7 @@ def given_rows(seed):
 @pytest.mark.parametrize(("at_least", "top", "waiting", "longest"), [(10, 2000, 1 << 22, 3), (2, 25, 50, 4), (1, 7, 1, 3)])
 def test_same_as_all_phrases(spark, monkeypatch, at_least, top, waiting, longest):
     monkeypatch.setattr(co, "WAITING", waiting)
+    monkeypatch.setattr(co, "STEP_TEXT", 1000 if top < 2000 else co.STEP_TEXT)
     given = given_rows(at_least)
     got = co.collocations(spark.createDataFrame(given, SCHEMA), range(2, longest + 1), at_least, top)
     got = got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -56,8 +57,7 @@ def test_same_as_all_phrases(spark, monkeypatch, at_least, top, waiting, longest
 
 def test_colliding_hashes_lose_nothing(spark, monkeypatch):
     """All n-grams in 16 cells of a slice."""
-    sliced = co.sliced
-    monkeypatch.setattr(co, "sliced", lambda h, s: sliced(h, s) & np.uint64(0xFFFFFFFF0000000F))
+    monkeypatch.setattr(co, "CELLS", 15)
     given = given_rows(5)
     got = co.collocations(spark.createDataFrame(given, SCHEMA), at_least=3).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert sorted(map(tuple, got.collect())) == plain(given, 3, 2000)
@@ -101,3 +101,21 @@ def test_texts_are_shuffled_once(spark):
     done.collect()
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("ReusedExchange") == 1
+
+
+def test_long_texts_are_cut_between_pieces(spark):
+    """Steps of 50 bytes see the n-grams that whole texts have."""
+    import pyarrow as pa
+
+    given = given_rows(8)
+    table = pa.table({"lang": ["en"] * len(given), "text": [t for _, t, *_ in given]}).filter(pa.compute.field("text").is_valid())
+
+    def all_grams(most):
+        found = Counter()
+        for words in co.in_steps(table, most):
+            for size in (1, 2, 3):
+                found.update(words.grams(size)[1].tolist())
+        return found
+
+    steps = sum(1 for _ in co.in_steps(table, 50))
+    assert steps > 100 and all_grams(50) == all_grams(1 << 30)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideshare.llm.common import BUCKET_BYTES, copy_numbers, packed, released, stored, tasks, text_bytes, unpacked
+from tideshare.llm.common import BUCKET_BYTES, copy_numbers, packed, raw_texts, released, stored, tasks, text_bytes, unpacked
 from tideshare.llm.substring_dedup import gaps, ungapped
 
 #: Text whose n-grams one slice of the hash space holds, about.
@@ -21,11 +22,16 @@ SLICE_BYTES = 128 << 20
 WAITING = 1 << 22
 #: Lines of the language column that are null count under this name.
 NO_LANG = "und"
+#: Text that a task works on at a time.
+STEP_TEXT = 8 << 20
+#: Cells of a slice less one.
+CELLS = 0xFFFFFFFF
 
 #: Bytes that end a piece, and bytes that end a word but not a piece.
 ENDS_PIECE = b".,;:!?\n\x0b\x0c\r"
 ENDS_WORD = b" \t"
 
+PIECE_END = re.compile(b"[" + re.escape(ENDS_PIECE) + b"]")
 CLASS = np.zeros(256, np.uint8)
 CLASS[list(ENDS_WORD)] = 1
 CLASS[list(ENDS_PIECE)] = 2
@@ -36,10 +42,10 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
 class Words:
     """The words of some texts: codes into a dictionary of words, and the piece that each lies in."""
 
-    def __init__(self, langs: list[str], texts: pa.Array):
-        lower = pc.ascii_lower(texts.cast(pa.large_string())).cast(pa.large_binary())
-        ends = np.cumsum(pc.binary_length(lower).to_numpy())
-        raw = np.frombuffer(b"\n".join(lower.to_pylist()), np.uint8)
+    def __init__(self, langs: list[str], texts: list[bytes]):
+        lower = [t.lower() for t in texts]  # of bytes, so A-Z only
+        ends = np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)))
+        raw = np.frombuffer(b"\n".join(lower), np.uint8)
         kind = CLASS[raw]
         inside = np.concatenate(([False], kind == 0, [False]))
         start = np.flatnonzero(inside[1:] & ~inside[:-1])
@@ -75,10 +81,41 @@ class Words:
         return at, x * FACTORS[0]
 
 
+def in_steps(docs: pa.Table, most: int) -> Iterator[Words]:
+    """The words of a table by about ``most`` bytes of text; a longer text is cut where a piece ends."""
+    langs, texts, size = [], [], 0
+    for batch in docs.select(["lang", "text"]).to_batches(max_chunksize=1024):
+        for lang, text in zip(batch.column("lang").to_pylist(), raw_texts(batch.column("text")), strict=True):
+            at = 0
+            while at < len(text):
+                end = len(text)
+                if end - at > most and (cut := PIECE_END.search(text, at + most)):
+                    end = cut.end()
+                langs.append(lang)
+                texts.append(text[at:end])
+                size, at = size + end - at, end
+                if size >= most:
+                    yield Words(langs, texts)
+                    langs, texts, size = [], [], 0
+    if texts:
+        yield Words(langs, texts)
+
+
+def tallied(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Values, rising, and their counts, from parts that each hold values once."""
+    if len(parts) == 1:
+        return parts[0]
+    values, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def sliced(hashes: np.ndarray, slices: int) -> np.ndarray:
     """Slice in the upper half, cell within the slice in the lower."""
     part = ((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
-    return part << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+    return part << np.uint64(32) | hashes & np.uint64(CELLS)
 
 
 def runs(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -99,12 +136,7 @@ class Summary:
         self.value, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def merge(self, values: np.ndarray, counts: np.ndarray) -> None:
-        both = np.concatenate((self.value, values))
-        many = np.concatenate((self.count, counts))
-        order = np.argsort(both, kind="stable")
-        both, many = both[order], many[order]
-        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
-        self.value, self.count = both[first], np.add.reduceat(many, first) if len(first) else many
+        self.value, self.count = tallied([(self.value, self.count), (values, counts)])
         if len(self.value) > self.capacity:
             cut = int(np.partition(self.count, len(self.count) - self.capacity - 1)[len(self.count) - self.capacity - 1])
             left = self.count > cut
@@ -125,7 +157,8 @@ def phrase_counts(docs: DataFrame, sizes: range, at_least: int, lang_column: str
        A slice merges them into one Misra-Gries summary whose capacity exceeds its mass divided by
        the threshold: no n-gram that reaches the threshold is lost. It answers each bucket with one bit
        per cell: may reach it or not. Colliding hashes add up, which lets more through and loses none.
-    2. Each bucket counts the n-grams of these cells by their words, and the counts are summed by phrase.
+    2. Each bucket counts the n-grams of these cells by their words. The counts go, sorted and compressed, to
+       the part of their phrase and are summed by phrase; a frequent phrase sends one entry per bucket.
 
     Texts are shuffled once; both passes read the same exchange. The driver sees one number of bytes.
     Phrases are words joined by one space. A null text is empty; a null language counts as ``und``.
@@ -148,21 +181,20 @@ def phrase_counts(docs: DataFrame, sizes: range, at_least: int, lang_column: str
     ask_schema = pa.schema([("slice", pa.int32()), ("bucket", pa.int32()), ("size", pa.int32()), ("mass", pa.int64()), ("cells", pa.binary())])
     answer_schema = pa.schema([("bucket", pa.int32()), ("slice", pa.int32()), ("size", pa.int32()), ("hot", pa.binary())])
 
-    def words_of(docs: pa.Table) -> Words:
-        # rows of a bucket come in any order; the answers go by cells, so the order of texts does not matter
-        return Words(docs.column("lang").to_pylist(), docs.column("text").combine_chunks())
+    def cells_of(docs: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Per size the cells of a bucket, rising, and how often each is hit."""
+        parts: dict[int, list] = {size: [] for size in sizes}
+        for words in in_steps(docs, STEP_TEXT):
+            for size in sizes:
+                parts[size].append(np.unique(sliced(words.grams(size)[1], slices), return_counts=True))
+        return {size: tallied(p) for size, p in parts.items()}
 
     def ask(docs: pa.Table) -> pa.Table:
-        bucket = docs.column("bucket")[0].as_py()
-        words, out = words_of(docs), []
-        for size in sizes:
-            cells = np.sort(sliced(words.grams(size)[1], slices))
-            first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(cells)))
-            cells = cells[first]
+        bucket, out = docs.column("bucket")[0].as_py(), []
+        for size, (cells, count) in cells_of(docs).items():
             for part, s, e in runs((cells >> np.uint64(32)).astype(np.int64)):
                 low = cells[s:e] & np.uint64(0xFFFFFFFF)
-                out.append((part, bucket, size, int(count[s:e].sum()), packed(*gaps(low), *gaps_free(count[s:e]))))
+                out.append((part, bucket, size, int(count[s:e].sum()), packed(*gaps(low), *planes_of(count[s:e]))))
         released()
         return pa.table(list(map(list, zip(*out, strict=True))) if out else [[], [], [], [], []], schema=ask_schema)
 
@@ -189,49 +221,82 @@ def phrase_counts(docs: DataFrame, sizes: range, at_least: int, lang_column: str
                         schema=answer_schema)
 
     count_schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
+    part_schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+    parts_of_phrases = 4 * slices
 
     def count(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table([[], [], [], []], schema=count_schema)
-        words = words_of(docs)
-        hot = {(z, s): h for z, s, h in zip(*(answers.column(n).to_pylist() for n in ("size", "slice", "hot")), strict=True)}
-        found = []
-        for size in sizes:
-            at, hashes = words.grams(size)
-            cells = sliced(hashes, slices)
-            order = np.argsort(cells, kind="stable")
-            cells = cells[order]
-            new = np.append(True, cells[1:] != cells[:-1]) if len(cells) else np.zeros(0, bool)
-            flags = [np.unpackbits(np.frombuffer(unpacked(hot[size, part])[0], np.uint8), count=e - s)
-                     for part, s, e in runs((cells[new] >> np.uint64(32)).astype(np.int64))]
-            if not flags:
-                continue
-            chosen = np.concatenate(flags).astype(bool)[np.cumsum(new) - 1]
-            at = at[order[chosen]]
-            # equal n-grams have equal cells, so they follow each other here; where two that differ share
-            # a cell, some counts come in parts, which the sum by phrase adds up
-            same = np.ones(len(at), bool)
-            same[:1] = False
-            for k in range(size):
-                same[1:] &= words.code[at[1:] + k] == words.code[at[:-1] + k]
-            same[1:] &= words.lang[at[1:]] == words.lang[at[:-1]]
-            first = np.flatnonzero(~same)
-            n = np.diff(np.append(first, len(at)))
-            spelled = [words.words.take(pa.array(words.code[at[first] + k])) for k in range(size)]
-            phrase = pc.binary_join_element_wise(*spelled, b" ") if size > 1 else spelled[0]
-            lang = pa.array(words.langs[words.lang[at[first]]], pa.string())
-            found.append(pa.table([lang, phrase.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(n)], schema=count_schema))
+            return pa.table([[], []], schema=part_schema)
+        flags = {(z, s): h for z, s, h in zip(*(answers.column(n).to_pylist() for n in ("size", "slice", "hot")), strict=True)}
+        hot = {}
+        for size, (cells, _) in cells_of(docs).items():
+            own = [np.unpackbits(np.frombuffer(unpacked(flags[size, part])[0], np.uint8), count=e - s)
+                   for part, s, e in runs((cells >> np.uint64(32)).astype(np.int64))]
+            hot[size] = cells[np.concatenate(own).astype(bool)] if own else cells
+        found = [some for words in in_steps(docs, STEP_TEXT) for size in sizes if (some := chosen(words, size, hot[size])) is not None]
+        if not found:
+            return pa.table([[], []], schema=part_schema)
+        counts = summed(found)
+        part = np.fromiter((xxhash.xxh3_64_intdigest(p) % parts_of_phrases for p in counts.column("phrase").cast(pa.binary()).to_pylist()),
+                           np.int32, counts.num_rows)
+        order = np.argsort(part, kind="stable")
+        counts, part = counts.take(pa.array(order)), part[order]
+        out = [(p, shipped(counts.slice(s, e - s))) for p, s, e in runs(part)]
+        released()
+        return pa.table(list(map(list, zip(*out, strict=True))), schema=part_schema)
+
+    def chosen(words: Words, size: int, hot: np.ndarray) -> pa.Table | None:
+        at, hashes = words.grams(size)
+        if not len(at) or not len(hot):
+            return None
+        cells = sliced(hashes, slices)
+        which = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, cells), len(hot) - 1)] == cells)
+        at = at[which[np.argsort(cells[which], kind="stable")]]
+        if not len(at):
+            return None
+        # equal n-grams have equal cells, so they follow each other here; where two that differ share
+        # a cell, some counts come in parts, which are summed by phrase later
+        same = words.lang[at[1:]] == words.lang[at[:-1]]
+        for k in range(size):
+            same &= words.code[at[1:] + k] == words.code[at[:-1] + k]
+        first = np.flatnonzero(np.append(True, ~same))
+        n = np.diff(np.append(first, len(at)))
+        spelled = [words.words.take(pa.array(words.code[at[first] + k])) for k in range(size)]
+        phrase = pc.binary_join_element_wise(*spelled, b" ") if size > 1 else spelled[0]
+        lang = pa.array(words.langs[words.lang[at[first]]], pa.string())
+        return pa.table([lang, phrase.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(n)], schema=count_schema)
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        whole_ = pa.concat_tables(tables).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("f", "sum")])
+        return whole_.rename_columns({"f_sum": "f"}).select(count_schema.names)
+
+    def shipped(counts: pa.Table) -> bytes:
+        """Sorted and compressed: neighbours begin alike."""
+        sink = pa.BufferOutputStream()
+        ordered = counts.sort_by([("lang", "ascending"), ("phrase", "ascending")])
+        coded = ordered.set_column(0, "lang", ordered.column("lang").dictionary_encode())
+        with pa.ipc.new_stream(sink, coded.schema) as writer:
+            writer.write_table(coded)
+        return packed(sink.getvalue().to_pybytes())
+
+    def total(given: pa.Table) -> pa.Table:
+        tables = []
+        for blob in given.column("counts"):
+            with pa.ipc.open_stream(unpacked(blob.as_py())[0]) as reader:
+                t = reader.read_all()
+                tables.append(t.set_column(0, "lang", t.column("lang").cast(pa.string())))
+        done = summed(tables)
         released()
-        return pa.concat_tables(found) if found else pa.table([[], [], [], []], schema=count_schema)
+        return done.filter(pc.greater_equal(done.column("f"), at_least))
 
     asked = own.applyInArrow(ask, "slice int, bucket int, size int, mass long, cells binary")
     # a slice of every size has a summary of its own
     answers = asked.groupBy("slice", "size").applyInArrow(merge, "bucket int, slice int, size int, hot binary")
-    counted = own.cogroup(answers.groupBy("bucket")).applyInArrow(count, "lang string, phrase string, size int, f long")
-    return counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= at_least)
+    counted = own.cogroup(answers.groupBy("bucket")).applyInArrow(count, "part int, counts binary")
+    return counted.groupBy("part").applyInArrow(total, "lang string, phrase string, size int, f long")
 
 
-def gaps_free(counts: np.ndarray) -> list[bytes]:
+def planes_of(counts: np.ndarray) -> list[bytes]:
     """Counts, bytes of equal weight together; all but the lowest are nearly always zero."""
     return [np.ascontiguousarray(p).tobytes() for p in counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T]
 
