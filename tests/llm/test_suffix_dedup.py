@@ -83,3 +83,20 @@ def test_merge_is_sorted_and_knows_prefixes():
 
 def test_empty_table(spark):
     assert sd.suffix_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_whose_marks_agree_in_half(spark):
+    """Two texts without identifier whose hashes share 32 bits: the repeats of one stay out of the other."""
+    import random
+
+    import xxhash
+
+    rnd = random.Random(0)
+    base = "".join(chr(rnd.randrange(97, 123)) for _ in range(240))
+    block = "".join(chr(rnd.randrange(65, 91)) for _ in range(120))
+    half = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) & 0xFFFFFFFF
+    plain_texts = {half(t): t for t in (f"{base}{i}" for i in range(150_000))}
+    pair = next((plain_texts[h], t) for t in (f"{block}{block}{i}" for i in range(200_000)) if (h := half(t)) in plain_texts)
+    df = spark.createDataFrame([(None, t) for t in pair], "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_removed"]) for r in sd.suffix_dedup(df, 100).collect())
+    assert got == sorted([(len(pair[0]), 0), (len(pair[1]), 120)])

@@ -138,7 +138,7 @@ def compared(a: bytes, b: bytes, known: int) -> tuple[int, bool]:
 def decoded(blob: bytes) -> Iterator[tuple[int, bytes, tuple]]:
     """Shared bytes, key and place of each suffix of a run, in order."""
     shared, sizes, rest, doc, at, did, mark = unpacked(blob)
-    docs = list(zip(unplaned(did).tolist(), np.frombuffer(mark, np.uint32).tolist(), strict=True))
+    docs = list(zip(unplaned(did).tolist(), unplaned(mark).tolist(), strict=True))
     rest, place, key = bytes(rest), 0, b""
     for n, size, d, a in zip(bytes(shared), bytes(sizes), unplaned(doc).tolist(), unplaned(at).tolist(), strict=True):
         key = key[:n].ljust(n, b"\0") + rest[place:place + size]
@@ -297,8 +297,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     width, spark = 2 * length - GRAM, docs.sparkSession
     total, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(tasks(spark), -(-total // BUCKET_BYTES))
-    # half a mark is enough to tell the texts of one identifier apart
-    rows = keyed(docs).withColumn("mark", F.col("mark").bitwiseAND((1 << 32) - 1))
+    rows = keyed(docs)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("key", pa.binary())])
@@ -352,7 +351,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
             if s < e:
                 docs, which = np.unique(doc[s:e], return_inverse=True)
                 out.append((r, -1, packed(*front_coded(table[s:e], sizes[s:e]), planes(which), planes(at[s:e]),
-                                          planes(did[docs]), mark[docs].astype(np.uint32)), None))
+                                          planes(did[docs]), planes(mark[docs])), None))
         return list(map(list, zip(*out, strict=True))) if out else [[], [], [], []]
 
     step_schema = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("strings", pa.binary()), ("gone", pa.binary())])
