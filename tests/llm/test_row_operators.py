@@ -124,6 +124,31 @@ def test_exact_dedup_without_python(df):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_url_filter_control_characters(spark):
+    """No character of a host ends a label but the dot; the highest one stays inside the rule's interval."""
+    hosts = ["org\x01x", "x.org\x01", "a\x01.org", "a\x02.org", "\x00.org", "\x02\x04.org", "org\x02\x04", "org\x02", "\U0010ffff.org", "b.org", "org"]
+    given = [(i, f"http://{h}/a") for i, h in enumerate(hosts)] * 30
+    pages = spark.createDataFrame(given, "page_id long, url string")
+    table = spark.createDataFrame([("org", "/", "allow"), ("a\x01.org", "/", "block")], "host string, path string, verdict string")
+    want = [(i, h, "/a", "a\x01.org/" if h == "a\x01.org" else "org/" if h == "org" or h.endswith(".org") else None,
+             "block" if h == "a\x01.org" else "allow") for i, h in enumerate(hosts)] * 30
+    same(url_filter(pages, table), want)
+
+
+def test_url_filter_many_ranges(spark, monkeypatch):
+    """One hot host and pages without identifier over more ranges than tasks."""
+    from tideshare.llm import url_filter as uf
+
+    monkeypatch.setattr(uf, "RANGE_BYTES", 200)
+    given = [(None if i % 3 else i, f"http://{'hot.org' if i % 2 else f'h{i}.com'}/{i % 7}") for i in range(400)]
+    pages = spark.createDataFrame(given, "page_id long, url string")
+    table = spark.createDataFrame([("org", "/", "allow"), ("com", "/3", "block")], "host string, path string, verdict string")
+    got = url_filter(pages, table)
+    want = [(i, u.split("/")[2], "/" + u.split("/")[3], "org/" if "hot" in u else "com/3" if u.endswith("/3") else None,
+             "block" if "com/3" in u else "allow") for i, u in given]
+    same(got, want)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme/a", "http://example.org", "https://EXAMPLE.org/es/x?q#f", "http://a.example.org/es/", "http://notexample.org/es/",
             "ftp://x.com/fr/1", "http://x.com/de/1#x", "http://x.com?/fr/", "http://com/fr/", "a://b://org/en/1", "http://example.org/en/12",

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from tideshare.llm.common import batch, tasks
 
-#: Addresses that are looked at for the splitters, per range.
-SAMPLE_PER_RANGE = 200
-#: Above every character of a key.
-LAST = "\U0010ffff"
+#: Addresses that are looked at for the splitters, per range, about.
+SAMPLE_PER_RANGE = 20
+#: Bytes of addresses in one range, about.
+RANGE_BYTES = 16 << 20
+#: Ends a label in a key, and the character after it.
+END, AFTER = "\x01", "\x02"
 
 
 def host_of(url: Column) -> Column:
@@ -35,11 +37,13 @@ def path_of(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    """Labels from the right, each ended by a control character that sorts below all others.
+    """Labels from the right, each ended by a control character that no label keeps: it is spelled in two there.
 
-    All subdomains of a host start with its key: a rule is the interval [key, key + last character).
+    The keys of a host and all its subdomains start with its key, and no others do: a rule is the interval
+    from its key to the key with the character after the last end.
     """
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
+    spelled = F.replace(F.replace(host, F.lit(AFTER), F.lit(AFTER + "\x03")), F.lit(END), F.lit(AFTER + "\x04"))
+    return F.concat(F.array_join(F.reverse(F.split(spelled, r"\.")), END), F.lit(END))
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column: str = "page_id",
@@ -50,7 +54,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     address starts with that of the rule; the longest rule (host plus path) wins, of equally long
     ones the deeper host. An address without a rule gets ``default``.
 
-    Reversed-host keys are range-partitioned by sampled splitters over (key, path, identifier),
+    Only a sample of addresses, some per range, goes to the driver. Reversed-host keys are range-partitioned by sampled splitters over (key, path, identifier),
     so a hot host spreads over tasks. A rule goes to each range that its interval touches. In a
     range, addresses and rules are swept in key order, with a stack of the rules whose interval is
     open: nested hosts, each with its sorted paths. Null or odd addresses have empty host
@@ -63,9 +67,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     rows = rows.withColumn("key", host_key(F.col("host")))
     tie = F.hex(F.xxhash64("page_id"))
     place = F.concat_ws("\x01", F.concat(F.col("key"), F.lit("\x00")), "path", tie)
-    ranges = tasks(spark)
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key") + F.octet_length("path")), F.lit(0))).first()
+    ranges = max(tasks(spark), -(-size // RANGE_BYTES))
+    # a share of the rows by hash, so that the driver gets as many as the ranges need, whatever the table holds
     share = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1 << 30))
-    looked = rows.orderBy(share).limit(SAMPLE_PER_RANGE * ranges).select(place.alias("place"))
+    looked = rows.filter(share < F.lit(max(1, (SAMPLE_PER_RANGE * ranges << 30) // max(n, 1)))).select(place.alias("place"))
     sample = sorted(r["place"] for r in looked.collect())
     splitters = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else []
 
@@ -84,7 +90,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
         for b in batches:
             out: list[tuple] = []
             for key, *rest in zip(*(b.column(n).to_pylist() for n in schema.names[1:]), strict=True):
-                first, last = bisect_right(splitters, key), bisect_left(splitters, key + LAST)
+                first, last = bisect_right(splitters, key), bisect_left(splitters, key[:-1] + AFTER)
                 out += [(r, key, *rest) for r in range(first, last + 1)]
             yield batch(schema, *(list(zip(*out, strict=True)) or [[]] * 5))
 
