@@ -23,7 +23,9 @@ WAITING = 1 << 22
 #: Lines of the language column that are null count under this name.
 NO_LANG = "und"
 #: Text that a task works on at a time.
-STEP_TEXT = 8 << 20
+STEP_TEXT = 4 << 20
+#: Parts of a slice that phrases are counted in.
+PARTS = 4
 #: Cells of a slice less one.
 CELLS = 0xFFFFFFFF
 
@@ -222,7 +224,6 @@ def phrase_counts(docs: DataFrame, sizes: range, at_least: int, lang_column: str
 
     count_schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
     part_schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
-    parts_of_phrases = 4 * slices
 
     def count(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -237,10 +238,8 @@ def phrase_counts(docs: DataFrame, sizes: range, at_least: int, lang_column: str
         if not found:
             return pa.table([[], []], schema=part_schema)
         counts = summed(found)
-        part = np.fromiter((xxhash.xxh3_64_intdigest(p) % parts_of_phrases for p in counts.column("phrase").cast(pa.binary()).to_pylist()),
-                           np.int32, counts.num_rows)
-        order = np.argsort(part, kind="stable")
-        counts, part = counts.take(pa.array(order)), part[order]
+        counts = counts.sort_by([("part", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+        part, counts = counts.column("part").to_numpy(), counts.drop_columns("part")
         out = [(p, shipped(counts.slice(s, e - s))) for p, s, e in runs(part)]
         released()
         return pa.table(list(map(list, zip(*out, strict=True))), schema=part_schema)
@@ -250,10 +249,12 @@ def phrase_counts(docs: DataFrame, sizes: range, at_least: int, lang_column: str
         if not len(at) or not len(hot):
             return None
         cells = sliced(hashes, slices)
+        part = (cells >> np.uint64(32)).astype(np.int32) * PARTS + (cells % np.uint64(PARTS)).astype(np.int32)
         which = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, cells), len(hot) - 1)] == cells)
-        at = at[which[np.argsort(cells[which], kind="stable")]]
-        if not len(at):
+        which = which[np.argsort(cells[which], kind="stable")]
+        if not len(which):
             return None
+        at, part = at[which], part[which]
         # equal n-grams have equal cells, so they follow each other here; where two that differ share
         # a cell, some counts come in parts, which are summed by phrase later
         same = words.lang[at[1:]] == words.lang[at[:-1]]
@@ -264,17 +265,18 @@ def phrase_counts(docs: DataFrame, sizes: range, at_least: int, lang_column: str
         spelled = [words.words.take(pa.array(words.code[at[first] + k])) for k in range(size)]
         phrase = pc.binary_join_element_wise(*spelled, b" ") if size > 1 else spelled[0]
         lang = pa.array(words.langs[words.lang[at[first]]], pa.string())
-        return pa.table([lang, phrase.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(n)], schema=count_schema)
+        some = pa.table([lang, phrase.cast(pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(n)], schema=count_schema)
+        return some.append_column("part", pa.array(part[first]))
 
     def summed(tables: list[pa.Table]) -> pa.Table:
-        whole_ = pa.concat_tables(tables).group_by(["lang", "phrase", "size"], use_threads=False).aggregate([("f", "sum")])
-        return whole_.rename_columns({"f_sum": "f"}).select(count_schema.names)
+        joined = pa.concat_tables(tables)
+        keys = [n for n in joined.column_names if n != "f"]
+        return joined.group_by(keys, use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(joined.column_names)
 
     def shipped(counts: pa.Table) -> bytes:
-        """Sorted and compressed: neighbours begin alike."""
+        """Compressed; the rows are sorted, so neighbours begin alike."""
         sink = pa.BufferOutputStream()
-        ordered = counts.sort_by([("lang", "ascending"), ("phrase", "ascending")])
-        coded = ordered.set_column(0, "lang", ordered.column("lang").dictionary_encode())
+        coded = counts.set_column(0, "lang", counts.column("lang").combine_chunks().dictionary_encode())
         with pa.ipc.new_stream(sink, coded.schema) as writer:
             writer.write_table(coded)
         return packed(sink.getvalue().to_pybytes())
