@@ -1,3 +1,5 @@
+from tideshare.functions.partitions import finest_common_coarsening
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,32 @@ def test_labels(spark):
     assert [r.label for r in long] == [0, 1, 0, 2]
     assert P.with_level(spark.createDataFrame([([0, 1, 2],), ([0, 0, 0],)], "rgs array<int>")).select(
         rgs_key("rgs").alias("r"), "level").collect() == [("0-1-2", 1), ("0-0-0", 3)]
+
+
+def test_common_coarsening_of_memberships_equals_the_array_form(spark):
+    rnd = random.Random(5)
+    rows, pairs = [], []
+    for i in range(40):
+        a, b = ([rnd.randrange(6) for _ in range(9)] for _ in range(2))
+        pairs.append((str(i), a, b))
+        rows += [(str(i), source, pos, str(x)) for source, labels in (("a", a), ("b", b)) for pos, x in enumerate(labels)]
+    members = spark.createDataFrame(rows, "series_id string, source string, pos int, label string")
+    arrays = spark.createDataFrame(pairs, "series_id string, a array<int>, b array<int>").select(
+        "series_id", finest_common_coarsening("a", "b").alias("rgs"))
+    want = {r.series_id: list(r.rgs) for r in arrays.collect()}
+    got: dict = {}
+    for r in P.common_coarsening(members).collect():
+        got.setdefault(r.series_id, {})[r.pos] = r.block
+    assert {k: [v[p] for p in range(9)] for k, v in got.items()} == want
+
+
+def test_common_coarsening_of_a_long_chain(spark):
+    """Ten thousand elements in three partitions, linked two by two into chains of a thousand."""
+    n = 10_000
+    rows = []
+    for pos in range(n):
+        chain, place = divmod(pos, 1000)
+        rows += [("a", pos, chain * 1000 + place // 2), ("b", pos, chain * 1000 + (place + 1) // 2), ("c", pos, 10**6 + pos)]
+    members = spark.createDataFrame(rows, "source string, pos int, label int").withColumn("series_id", F.lit("s"))
+    got = {r.pos: r.block for r in P.common_coarsening(members).collect()}
+    assert got == {pos: pos // 1000 for pos in range(n)}

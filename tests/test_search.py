@@ -121,3 +121,31 @@ def test_a_search_reads_the_ledger_of_another(spark, planted):
     again, _ = se.search_partitions(finest(one), counting, 1, stored=stored, config_hash="h")
     assert asked and sum(asked) == 0
     assert sorted((r.rgs, r.ll) for r in se.ledger(again).collect()) == sorted((r.rgs, r.ll) for r in stored.collect())
+
+
+def test_fingerprints_follow_counts_and_options(spark):
+    table = expected_counts([1.05], [0.2], total=300, days=10)
+    counts = counts_of(spark, table)
+
+    def key(c, *options):
+        return se.fingerprints(c, *options).first().config_hash
+
+    plain = key(counts, "fit", 1.0)
+    assert plain == key(counts.repartition(5), "fit", 1.0) and len(plain) == 40
+    table[3][0] += 1
+    assert len({plain, key(counts_of(spark, table), "fit", 1.0), key(counts, "fit", 2.0), key(counts.limit(5), "fit", 1.0)}) == 4
+    both = counts.unionByName(counts_of(spark, table, series="t"))
+    assert {r.series_id: r.config_hash for r in se.fingerprints(both, "fit", 1.0).collect()}["s"] == plain
+
+
+def test_a_rerun_adds_nothing_to_the_ledger(spark, planted):
+    one = planted.filter("series_id = 's'")
+    keys = spark.createDataFrame([("s", "k1")], "series_id string, config_hash string")
+    scorer = se.fit_scorer(one, OPTIONS)
+    earlier, _ = se.search_partitions(finest(one), scorer, 1)
+    first = se.new_scores(earlier, None, keys)
+    again, _ = se.search_partitions(finest(one), scorer, 1, stored=first, config_hash=keys)
+    assert se.new_scores(again, first, keys).count() == 0 < first.count()
+    assert first.count() == first.select("series_id", "sha1").distinct().count()
+    other = keys.withColumn("config_hash", F.lit("k2"))
+    assert se.new_scores(again, first, other).count() == first.count()

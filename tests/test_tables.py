@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,33 @@ def test_stream_gives_the_batch_counts(spark, tmp_path):
     assert final >= DAY(2024, 1, 5)
     same = batch.filter(F.col("date_from") <= F.lit(final))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, same.select(*got.columns).collect()))
+
+
+def test_running_best_of_groupings_that_start_alike(spark):
+    """A thousand strings with a long common beginning lie in several tasks."""
+    rnd = random.Random(3)
+    rows = [("s", 1 + i % 2, "-".join(["0"] * 30 + list(f"{i:04d}")), rnd.random()) for i in range(1000)]
+    scores = spark.createDataFrame(rows, "series_id string, level long, rgs string, AIC double")
+    got = R.running_best(scores, 7)
+    low, want = None, {}
+    for _, level, rgs, value in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[level, rgs] = low
+        low = value if low is None else min(low, value)
+    assert {(r.level, r.rgs): r.best_before for r in got.collect()} == want
+    placed = scores.repartitionByRange(7, "series_id", "level", "rgs").groupBy(F.spark_partition_id().alias("p")).count()
+    assert placed.count() > 3
+
+
+def test_lags_are_days_and_not_rows(spark):
+    days = [1, 2, 4, 7]
+    traj = spark.createDataFrame([("s", dt.date(2024, 1, d), "a", float(d)) for d in days], "series_id string, date date, variant string, q double")
+    got = {r.date.day: r.num for r in S.lag_sum(traj, [0.7, 0.3], F.lit(1.0)).collect()}
+    # days before the first count as the first, a missing day adds nothing
+    assert got == pytest.approx({1: 1.0, 2: 0.7 * 1 + 0.3 * 1, 4: 0.3 * 2, 7: 0.0})
+
+
+def test_unlisted_category_fails(spark):
+    long = spark.createDataFrame([("s", "x", 1), ("s", "y", 2)], "series_id string, variant string, n long")
+    assert C.to_wide(long, ["series_id"], {"n": ""}, ["x", "y", "z"]).first().asDict() == {"series_id": "s", "x": 1, "y": 2, "z": None}
+    with pytest.raises(Exception, match="not listed"):
+        C.to_wide(long, ["series_id"], {"n": ""}, ["x"]).collect()

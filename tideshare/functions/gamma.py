@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideshare.functions.numbers import array_sum, col, let
+from tideshare.functions.numbers import array_sum, col, let, log_gamma
 
 # Default shape, scale, and the tail the truncation keeps.
 DEFAULT_ALPHA = 2.03
@@ -58,6 +58,32 @@ def chi2_quantile(df: int, p: float = 0.95) -> float:
     return (lo + hi) / 2
 
 
+def chi2_quantile_column(df: Column | str, p: float = 0.95) -> Column:
+    """The same inside a row, for a column of whole degrees of freedom: halving below a bound of the tail."""
+    half = col(df).cast("double") / 2
+    beyond = col(df) + 2 * F.sqrt(col(df) * math.log(1 / (1 - p))) + 2 * math.log(1 / (1 - p))
+
+    def below(x: Column) -> Column:
+        reach = x / 2
+        total = F.aggregate(
+            F.sequence(F.lit(1), F.ceil(reach + 12 * F.sqrt(reach) + 60).cast("int")),
+            F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+            lambda acc, n: let(
+                acc["term"] * reach / (n + half),
+                lambda t: F.struct(t.alias("term"), (acc["total"] + t).alias("total")),
+            ),
+            lambda acc: acc["total"],
+        )
+        return F.exp(F.ln(reach) * half - reach - log_gamma(half + 1.0)) * total < p
+
+    def halve(s: Column, _: Column) -> Column:
+        return let((s["lo"] + s["hi"]) / 2, lambda m: F.when(below(m), F.struct(m.alias("lo"), s["hi"].alias("hi")))
+                   .otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(0.0).alias("lo"), beyond.alias("hi")), halve,
+                       lambda s: (s["lo"] + s["hi"]) / 2)
+
+
 def gamma_cdf(x: Column | str, alpha: float, theta: Column | str | float) -> Column:
     """Regularised lower incomplete gamma function as a fold over the power series.
 

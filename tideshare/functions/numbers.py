@@ -102,6 +102,22 @@ def log_gamma(x: Column | str) -> Column:
     return F.lit(LOG_SQRT_2PI) + (x + 0.5) * F.ln(t) - t + F.ln(series) - F.ln(x)
 
 
+def digamma(x: Column | str) -> Column:
+    """Derivative of ln Γ(x) for x > 0: eight steps up, then the asymptotic series."""
+
+    def series(y: Column) -> Column:
+        r = 1 / (y * y)
+        return F.ln(y) - 0.5 / y - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
+
+    def steps(y: Column) -> Column:
+        below = F.lit(0.0)
+        for i in range(8):
+            below = below + 1 / (y + float(i))
+        return let(y + 8.0, series) - below
+
+    return let(col(x).cast("double"), steps)
+
+
 def log_factorial(n: Column | str) -> Column:
     """ln n!, with the exact 0 for n = 0 and n = 1."""
     n = col(n).cast("double")

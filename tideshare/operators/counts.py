@@ -105,10 +105,13 @@ def to_long(wide: DataFrame, series_col: str | None = None) -> DataFrame:
 def to_wide(df: DataFrame, keys: list[str], values: dict[str, str], variants: list[str]) -> DataFrame:
     """One column per listed category and value, in one aggregate.
 
-    ``values`` maps value columns to suffixes: ``{"q": "", "q_lb": "_lb"}`` gives ``x`` and ``x_lb``.
+    ``values`` maps value columns to suffixes: ``{"q": "", "q_lb": "_lb"}`` gives ``x`` and ``x_lb``. A category
+    that is not listed fails the job; ``keep_subjects`` drops categories on purpose.
     """
+    unlisted = F.count_if(~F.col("variant").isin(variants))
     cells = [
-        F.first(F.when(F.col("variant") == v, F.col(c)), ignorenulls=True).alias(v + suffix)
+        F.when(unlisted == 0, F.first(F.when(F.col("variant") == v, F.col(c)), ignorenulls=True))
+        .otherwise(F.raise_error(F.lit("a category is not listed"))).alias(v + suffix)
         for c, suffix in values.items()
         for v in variants
     ]

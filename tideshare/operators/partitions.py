@@ -19,6 +19,7 @@ from tideshare.functions.partitions import (
     together_pairs,
 )
 from tideshare.operators.counts import first_appearance_id
+from tideshare.plans.series import materialise
 
 
 def enumerate_partitions(df: DataFrame, n: Column | str, max_n: int, at_most: Column | str | None = None,
@@ -96,6 +97,33 @@ def labels_to_long(params: DataFrame, value: str, pos: str, keys=("series_id",))
     return params.join(labels, [*keys, value])
 
 
+def common_coarsening(members: DataFrame, keys=("series_id",)) -> DataFrame:
+    """Finest partition that coarsens all given ones, in long form: ``(*keys, pos, block)``, blocks by first appearance.
+
+    ``members`` is ``(*keys, source, pos, label)``, one row per element and partition, any number of
+    partitions. Elements and blocks are the nodes of a graph; in each round a block takes the smallest
+    element of its members and an element the smallest of its blocks, and then the one that its
+    element has (pointer jumping), so the rounds follow the logarithm of the longest chain. Each round is cut
+    by a reliable checkpoint. No row holds a partition; the aggregates combine before the exchange, so a
+    block of most elements is no hot key.
+    """
+    keys = list(keys)
+    edges = materialise(members.select(*keys, "source", "label", "pos").distinct())
+    roots = materialise(edges.select(*keys, "pos").distinct().withColumn("root", F.col("pos")))
+    while True:
+        here = edges.join(roots, [*keys, "pos"])
+        lowest = here.groupBy(*keys, "source", "label").agg(F.min("root").alias("low"))
+        joined = edges.join(lowest, [*keys, "source", "label"]).groupBy(*keys, "pos").agg(F.min("low").alias("low"))
+        above = roots.select(*keys, F.col("pos").alias("low"), F.col("root").alias("next"))
+        stepped = roots.join(joined, [*keys, "pos"]).join(above, [*keys, "low"], "left")
+        found = materialise(stepped.select(*keys, "pos", F.col("root").alias("old"), F.least("low", F.coalesce("next", "low")).alias("root")))
+        roots = found.drop("old")
+        if found.filter("old <> root").isEmpty():
+            break
+    labels = first_appearance_id(roots, "root", "pos", keys)
+    return roots.join(labels, [*keys, "root"]).select(*keys, "pos", F.col("label").alias("block"))
+
+
 def drop_dominated(candidates: DataFrame, pruned: DataFrame, keys=("series_id",)) -> DataFrame:
     """Candidates that coarsen no pruned partition.
 

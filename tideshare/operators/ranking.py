@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideshare.plans.series import materialise, spread_count
+
 
 def beam(scores: DataFrame, width: int, keys=("series_id", "level")) -> DataFrame:
     """Rows up to the width-th smallest AIC per level, ties kept.
@@ -16,21 +18,24 @@ def beam(scores: DataFrame, width: int, keys=("series_id", "level")) -> DataFram
     return scores.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= width).drop("_r")
 
 
-def running_best(scores: DataFrame, prefix: int = 13) -> DataFrame:
+def running_best(scores: DataFrame, tasks: int | None = None) -> DataFrame:
     """Lowest AIC among the rows before each row, in the order (level, rgs); NULL for the first.
 
-    ``rgs`` is the label string. Rows are cut into runs by level and the first ``prefix``
-    characters of the string, which keeps the order; the minimum per run is aggregated first, and
-    the rows are windowed inside their run only. So no task holds a whole series or level.
+    ``rgs`` is the label string. A scan in two passes: rows are range-partitioned in that order, which
+    is written down so that both passes see the same runs; the minimum of each run is aggregated and
+    carried to the runs after it, and the rows are windowed inside their run only. So no task holds a
+    whole series or level, however alike its groupings begin.
     """
-    runs = scores.withColumn("_run", F.substring("rgs", 1, prefix))
-    per_run = runs.groupBy("series_id", "level", "_run").agg(F.min("AIC").alias("_low"))
-    before = W.partitionBy("series_id").orderBy("level", "_run").rowsBetween(W.unboundedPreceding, -1)
-    earlier = per_run.select("series_id", "level", "_run", F.min("_low").over(before).alias("_earlier"))
-    inside = W.partitionBy("series_id", "level", "_run").orderBy("rgs").rowsBetween(W.unboundedPreceding, -1)
+    tasks = tasks or spread_count(scores.sparkSession)
+    placed = scores.repartitionByRange(tasks, "series_id", "level", "rgs").withColumn("_run", F.spark_partition_id())
+    runs = materialise(placed)
+    per_run = runs.groupBy("series_id", "_run").agg(F.min("AIC").alias("_low"))
+    before = W.partitionBy("series_id").orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    earlier = per_run.select("series_id", "_run", F.min("_low").over(before).alias("_earlier"))
+    inside = W.partitionBy("series_id", "_run").orderBy("level", "rgs").rowsBetween(W.unboundedPreceding, -1)
     return (
         runs.withColumn("_in", F.min("AIC").over(inside))
-        .join(earlier, ["series_id", "level", "_run"])
+        .join(earlier, ["series_id", "_run"])
         .withColumn("best_before", F.least("_in", "_earlier"))
         .drop("_in", "_earlier", "_run")
     )

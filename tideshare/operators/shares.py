@@ -32,16 +32,20 @@ def apply_blocks(blocks: DataFrame, rates: DataFrame) -> DataFrame:
 def lag_sum(traj: DataFrame, weights: list[float], k: Column | str = "k") -> DataFrame:
     """Weighted sum over the earlier days of each category and its total per day.
 
-    Days before the first count as the first day. One window per (series, candidate, category);
-    nothing is multiplied by the number of lags on the way through the shuffle.
+    A lag counts calendar days: a day without a row adds nothing, and days before the first row count as
+    the first. One window per (series, candidate, category) with a frame per lag; nothing is multiplied by
+    the number of lags on the way through the shuffle.
     """
     group = [c for c in ("series_id", "candidate_id") if c in traj.columns]
-    w = W.partitionBy(*group, "variant").orderBy("date")
-    first = F.first("q").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    days = traj.withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date")))
+    w = W.partitionBy(*group, "variant").orderBy("_day")
+    start = w.rangeBetween(W.unboundedPreceding, W.currentRow)
+    first, begin = F.first("q").over(start), F.first("_day").over(start)
     total = F.lit(0.0)
     for m, g in enumerate(weights, start=1):
-        total = total + F.lit(g) * F.coalesce(F.lag("q", m).over(w), first)
-    out = traj.withColumn("num", col(k) * total)
+        earlier = F.coalesce(F.first("q").over(w.rangeBetween(-m, -m)), F.lit(0.0))
+        total = total + F.lit(g) * F.when(F.col("_day") - m < begin, first).otherwise(earlier)
+    out = days.withColumn("num", col(k) * total).drop("_day")
     return out.withColumn("total", F.sum("num").over(W.partitionBy(*group, "date")))
 
 

@@ -97,9 +97,9 @@ def named_start(series: DataFrame, estimates: DataFrame) -> DataFrame:
     return rows.withColumns(found).drop("m", "subjects")
 
 
-def warm_start(candidates: DataFrame, started: DataFrame, small: bool = False) -> DataFrame:
+def warm_start(candidates: DataFrame, started: DataFrame) -> DataFrame:
     """Candidates with earlier values from ``named_start``: mean rate per block, share per category."""
-    return block_rates(attach_series(candidates, started, small=small))
+    return block_rates(attach_series(candidates, started))
 
 
 def lean(series: DataFrame, *more: str) -> DataFrame:

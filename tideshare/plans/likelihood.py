@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideshare.functions.gamma import chi2_quantile
+from tideshare.functions.gamma import chi2_quantile, chi2_quantile_column
 from tideshare.functions.numbers import (
     array_sum,
     col,
@@ -105,14 +105,16 @@ def positive_prob(bins_p: DataFrame) -> DataFrame:
     return bins_p.filter(F.col("p") != 0)
 
 
-def rate_grid(series: DataFrame, rates: list[float]) -> DataFrame:
+def rate_grid(series: DataFrame, rates: list[float], ratios: list[float] | None = None) -> DataFrame:
     """Every combination of ``rates`` over the subjects of each series as ``candidate_id, k``.
 
+    With ``ratios`` every subject has one of them besides its rate, in ``c``.
+
     The points are digits of a number, so they are generated from the series row in place: no
     join with a candidate table. About the root of their number of pieces is spread first and each
     holds as many points, so one series does not stay in one task and no row holds a long array.
     """
-    base = len(rates)
+    base = len(rates) * len(ratios or [1.0])
     size = F.pow(F.lit(base), F.size("subjects")).cast("bigint")
     values = F.array(*[F.lit(float(r)) for r in rates])
     count = F.ceil(F.sqrt("_size")).cast("bigint")
@@ -129,26 +131,32 @@ def rate_grid(series: DataFrame, rates: list[float]) -> DataFrame:
     digit = lambda j: (
         F.floor(F.col("candidate_id") / F.pow(F.lit(base), F.size("subjects") - j)) % base
     )
-    return points.withColumn(
-        "k", F.transform(subject, lambda j: F.element_at(values, (digit(j) + 1).cast("int")))
-    )
+    if ratios is None:
+        return points.withColumn("k", F.transform(subject, lambda j: F.element_at(values, (digit(j) + 1).cast("int"))))
+    scales = F.array(*[F.lit(float(c)) for c in ratios])
+    return points.withColumns({
+        "k": F.transform(subject, lambda j: F.element_at(values, (F.floor(digit(j) / len(ratios)) + 1).cast("int"))),
+        "c": F.transform(subject, lambda j: F.element_at(scales, (digit(j) % len(ratios) + 1).cast("int")))})
 
 
 def grid_scores(series: DataFrame, rates: list[float], alpha: float, theta: float, constant: bool = False,
                 division: int = 1, time_scales: list[float] | None = None,
-                concentrations: list[float] | None = None) -> DataFrame:
+                concentrations: list[float] | None = None, each: bool = False) -> DataFrame:
     """``ll`` of every grid point. ``series`` carries the start shares in ``qt``.
 
     ``division`` is the number of steps a day. With ``time_scales`` every point is tried with each
-    of these ratios, which all subjects share; ``candidate_id`` numbers the pairs and bins of more
-    than seven days end the job. With ``concentrations`` the likelihood is the Dirichlet-multinomial
+    of these ratios, which all subjects share, or, with ``each``, with every combination of a ratio per
+    subject; ``candidate_id`` numbers them and bins of more than seven days end the job. With ``concentrations`` the likelihood is the Dirichlet-multinomial
     one and ``d`` the best of them; the trajectory of a point is folded once for all.
     """
-    points, more = rate_grid(series, rates), []
-    if time_scales is not None:
+    points, more = rate_grid(series, rates, time_scales if each else None), []
+    first, last = F.transform("bins", lambda x: x["d1"]), F.transform("bins", lambda x: x["d2"])
+    if each:
+        more.append("c")
+        points = points.withColumn("c", F.when(narrow_bins(first, last), F.col("c")))
+    elif time_scales is not None:
         more.append("c")
         places = F.posexplode(F.array(*[F.lit(float(x)) for x in time_scales])).alias("_place", "_ratio")
-        first, last = F.transform("bins", lambda x: x["d1"]), F.transform("bins", lambda x: x["d2"])
         points = points.select("*", places).withColumns({
             "candidate_id": F.col("candidate_id") * len(time_scales) + F.col("_place"),
             "c": F.when(narrow_bins(first, last), F.transform("subjects", lambda v: F.col("_ratio"))),
@@ -173,15 +181,10 @@ def likelihood_region(scores: DataFrame, df: int | None = None) -> DataFrame:
     parameters and likelihoods only.
     """
     scores = materialise(scores)
-    top = scores.groupBy("series_id").agg(F.max("ll").alias("top"))
-    if df is not None:
-        cut = F.lit(chi2_quantile(df) / 2)
-    else:
-        subjects = F.size("subjects")
-        widest = scores.agg(F.coalesce(F.max(subjects), F.lit(0))).first()[0]
-        known = [F.when(subjects == s, F.lit(chi2_quantile(2 * s) / 2)) for s in range(1, widest + 1)]
-        cut = F.coalesce(*known, F.lit(0.0))
-    return scores.join(top, "series_id").filter(F.col("ll") >= F.col("top") - cut).drop("top")
+    top = scores.groupBy("series_id").agg(F.max("ll").alias("top"), F.first(F.size("subjects")).alias("subjects"))
+    half = F.lit(chi2_quantile(df)) if df is not None else chi2_quantile_column(2 * F.col("subjects"))
+    cuts = top.select("series_id", (F.col("top") - half / 2).alias("cut"))
+    return scores.join(cuts, "series_id").filter(F.col("ll") >= F.col("cut")).drop("cut")
 
 
 def extreme_points(region: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideshare.functions.numbers import floor3, interval_label
+from tideshare.functions.gamma import chi2_quantile
+from tideshare.functions.numbers import floor3, interval_label, let
 from tideshare.operators.counts import observed_share, to_wide
 from tideshare.operators.ranking import with_place
 from tideshare.operators.shares import (
@@ -14,7 +15,10 @@ from tideshare.operators.shares import (
     concat_names,
     observed_vs_fitted,
 )
-from tideshare.plans.fit import solution_ids
+from tideshare.plans import scoring
+from tideshare.plans.fit import Options, solution_ids
+from tideshare.plans.likelihood import bin_probabilities
+from tideshare.plans.refine import model_of
 from tideshare.plans.series import attach_series
 from tideshare.plans.trajectory import explode_trajectory, with_trajectory
 
@@ -55,6 +59,15 @@ def dirichlet_report(fits: DataFrame, solutions: DataFrame | None = None) -> Dat
     return out.join(ranges, "series_id")
 
 
+def concentration_report(rows: DataFrame, options: Options) -> DataFrame:
+    """``(series_id, D, D_lb, D_ub)`` for rows with ``traj`` and ``bins``: shares as given, 95 % interval."""
+    model = model_of(options)
+    p = F.transform("bins", lambda b: bin_probabilities(F.col("traj"), b))
+    found = let(p, lambda q: scoring.concentration(model, q, chi2_quantile(1) / 2))
+    return rows.select("series_id", F.inline(F.array(found))).select(
+        "series_id", F.col("d").alias("D"), F.col("d_lb").alias("D_lb"), F.col("d_ub").alias("D_ub"))
+
+
 def blocks_report(params: DataFrame, baseline: str) -> DataFrame:
     """``(series_id, variant, block)`` with the baseline in block 0."""
     base = params.select("series_id").distinct().select(
@@ -70,7 +83,7 @@ def model_rows(fits: DataFrame, series: DataFrame) -> DataFrame:
     return attach_series(fits.select(*keep), light)
 
 
-def fitted_trajectory(fits: DataFrame, series: DataFrame, options, future: int = 0) -> DataFrame:
+def fitted_trajectory(fits: DataFrame, series: DataFrame, options: Options, future: int = 0) -> DataFrame:
     """Long daily shares and means of fitted parameters, ``future`` days past the end."""
     rows = with_trajectory(model_rows(fits, series), options.alpha, options.theta, len(options.weights),
                            future=future, time_scale=options.time_scale)
@@ -84,7 +97,7 @@ def bands(traj: DataFrame) -> DataFrame:
     return traj.groupBy("series_id", "date", "variant").agg(*ends)
 
 
-def region_bands(fits: DataFrame, solutions: DataFrame, series: DataFrame, options,
+def region_bands(fits: DataFrame, solutions: DataFrame, series: DataFrame, options: Options,
                  future: int = 0) -> DataFrame:
     """Bands of the daily shares and of the mean rate and time scale.
 

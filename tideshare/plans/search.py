@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideshare.functions.numbers import aic, coarsening_bound, num_parameters
@@ -14,7 +14,7 @@ from tideshare.operators.partitions import surviving_children
 from tideshare.operators.ranking import beam, rank_scores
 from tideshare.plans.fit import Options, fit, fixed_start, named_start, scored, warm_start
 from tideshare.plans.likelihood import score_on_grid
-from tideshare.plans.series import is_small, materialise
+from tideshare.plans.series import materialise
 
 # Fixed value: a bound must beat the best AIC by this much, since fits are not exact.
 PRUNE_MARGIN = 1e-6
@@ -38,10 +38,9 @@ def fit_scorer(series: DataFrame, options: Options, estimates: DataFrame | None
     ``estimates`` ``(series_id, variant, k, qt)`` of an earlier fit give the start values.
     """
     started = materialise(fixed_start(series) if estimates is None else named_start(series, estimates))
-    small = is_small(started)
 
     def score(candidates: DataFrame) -> DataFrame:
-        rows = warm_start(candidates, started, small)
+        rows = warm_start(candidates, started)
         return scored(fit(rows, options), options).select(*SCORE_COLUMNS, "converged")
 
     return score
@@ -53,16 +52,17 @@ def with_aic(df: DataFrame) -> DataFrame:
 
 
 def score_candidates(candidates: DataFrame, scorer: Scorer, stored: DataFrame | None = None,
-                     config_hash: str = "") -> DataFrame:
+                     config_hash: str | DataFrame = "") -> DataFrame:
     """Score candidates ``(series_id, rgs)``; those in ``stored`` are read instead.
 
     ``stored`` is ``(series_id, config_hash, sha1, ll, num_pars, AIC[, converged])``, a ledger for
-    example; ``config_hash`` names the data and options, so that scores of another run are not taken
-    for this one.
+    example; ``config_hash`` names the data and options, as a word or by series (see ``fingerprints``), so that
+    scores of another run are not taken for this one.
     """
     if stored is None:
         return scorer(candidates)
-    keyed = candidates.withColumn("config_hash", F.lit(config_hash)).withColumn("sha1", rgs_digest("rgs"))
+    named = candidates.withColumn("config_hash", F.lit(config_hash)) if isinstance(config_hash, str) else candidates.join(config_hash, "series_id")
+    keyed = named.withColumn("sha1", rgs_digest("rgs"))
     keys = ["series_id", "config_hash", "sha1"]
     flags = [c for c in ("converged",) if c in stored.columns]
     known = keyed.join(stored.select(*keys, "ll", "num_pars", "AIC", *flags), keys).select(*SCORE_COLUMNS, *flags)
@@ -70,6 +70,28 @@ def score_candidates(candidates: DataFrame, scorer: Scorer, stored: DataFrame |
     return scorer(todo).unionByName(known, allowMissingColumns=True)
 
 
+def fingerprints(counts: DataFrame, *options: object) -> DataFrame:
+    """``(series_id, config_hash)``: a key of the counts of a series and the options of a run.
+
+    The digest sums hashes of the cells, so it depends on every cell and on no order; two sums of 64 bits
+    and the number of cells make it up. Other counts or options give another key.
+    """
+    named = F.lit("|".join(map(repr, options)))
+
+    def part(seed: int) -> Column:
+        bits = F.xxhash64(F.lit(seed), "date_from", "date_till", "variant", "n")
+        return F.sum(bits.cast("decimal(20)"))
+
+    sums = counts.groupBy("series_id").agg(part(1).alias("a"), part(2).alias("b"), F.count(F.lit(1)).alias("cells"))
+    return sums.select("series_id", F.sha1(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"), "cells", named)).alias("config_hash"))
+
+
+def new_scores(scores: DataFrame, stored: DataFrame | None, keys: DataFrame) -> DataFrame:
+    """Rows of a ledger that ``stored`` lacks, with the key of their series: what a rerun has to add."""
+    rows = ledger(scores).join(keys, "series_id")
+    return rows if stored is None else pending(rows, stored)
+
+
 def pending(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """Candidates without a stored score."""
     keys = ["series_id", "config_hash", "sha1"]
@@ -96,7 +118,7 @@ def prune(flagged: DataFrame) -> DataFrame:
 
 
 def search_partitions(finest: DataFrame, scorer: Scorer, width: int = 1, max_levels: int | None = None,
-                      stored: DataFrame | None = None, config_hash: str = "") -> tuple[DataFrame, DataFrame]:
+                      stored: DataFrame | None = None, config_hash: str | DataFrame = "") -> tuple[DataFrame, DataFrame]:
     """All scored groupings ``(series_id, level, rgs, ll, num_pars, AIC, lb_agg_AIC, has_chance)``
     and the pruned ones ``(series_id, rgs)``.
 

@@ -13,8 +13,6 @@ from tideshare.functions.numbers import array_sum, let, log_factorial
 from tideshare.operators.counts import clip_window
 from tideshare.sources.checks import MAX_TIME_SCALE_BIN
 
-BROADCAST_CELLS = 1_000_000  # eight bytes each
-
 
 def series_arrays(counts: DataFrame, baseline: str, start: Column | None = None,
                   end: Column | None = None, undetected: bool = False) -> DataFrame:
@@ -123,23 +121,13 @@ def narrow_bins(first: Column, last: Column) -> Column:
     return F.when(wide, F.raise_error(F.lit("a bin is too wide to estimate time scales")).cast("boolean")).otherwise(F.lit(True))
 
 
-def is_small(rows: DataFrame) -> bool:
-    """Whether the count arrays of materialised rows are small enough to broadcast: one sum."""
-    cells = rows.agg(F.coalesce(F.sum(F.size("flat")), F.lit(0))).first()[0]
-    return cells <= BROADCAST_CELLS
-
-
-def attach_series(candidates: DataFrame, series: DataFrame, splits: int | None = None, small: bool = False) -> DataFrame:
+def attach_series(candidates: DataFrame, series: DataFrame, splits: int | None = None) -> DataFrame:
     """Join candidates to the arrays of their series.
 
-    With ``small`` (see ``is_small``) the arrays are broadcast and the candidates dealt out evenly.
-    Otherwise candidates of one series go to ``splits`` keys (as many as there are tasks) and the one
-    array row of the series is copied to each, so a series with most of the candidates keeps all
-    tasks busy.
+    Candidates of one series go to ``splits`` keys (as many as there are tasks) and the one array
+    row of the series is copied to each, so a series with most of the candidates keeps all tasks busy.
     """
     splits = splits or spread_count(candidates.sparkSession)
-    if small:
-        return spread(candidates).join(F.broadcast(series), "series_id")
     salt = F.pmod(F.xxhash64(*candidates.columns), F.lit(splits)).cast("int")
     left = spread(candidates.withColumn("_salt", salt), "series_id", "_salt")
     copies = series.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))

@@ -1,7 +1,8 @@
 """Daily shares under the renewal model, as a fold inside the JVM.
 
 A day needs the days before it, so the recursion cannot be a window; it runs inside one row and
-the parallelism is over (series, candidate). The state keeps only the last lags.
+the parallelism is over (series, candidate). The state keeps only the last lags; days that are done
+lie in sealed blocks of about the root of their number.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ def trajectory_column(k: Column | str, qt: Column | str, intro: Column | str, n_
     """
     k, qt, intro, n_days = col(k), col(qt), col(intro), col(n_days)
     subjects = F.size(k)
+    block_days = F.ceil(F.sqrt(n_days)).cast("int")
     rates = F.concat(k, F.array(F.lit(1.0)))
     if isinstance(weights, Column):
         rates = F.zip_with(rates, weights, lambda r, g: F.transform(g, lambda x: x * r))
@@ -77,10 +79,18 @@ def trajectory_column(k: Column | str, qt: Column | str, intro: Column | str, n_
                 state["past"], q,
                 lambda h, x: F.concat(F.array(x), F.slice(h, F.lit(1), F.lit(lags - 1))),
             )
-            read_out = F.concat(state["out"], F.array(q))
+
+            def filed(block: Column) -> Column:
+                # a full block is sealed, so a day copies one block and not all days before it
+                full = F.size(block) >= block_days
+                sealed = F.when(full, F.concat(state["sealed"], F.array(block))).otherwise(state["sealed"])
+                rest = F.when(full, F.slice(block, F.lit(1), F.lit(0))).otherwise(block)
+                return F.struct(past.alias("past"), sealed.alias("sealed"), rest.alias("block"))
+
+            read_out = F.concat(state["block"], F.array(q))
             if division > 1:
-                read_out = F.when((i - 1) % division == 0, read_out).otherwise(state["out"])
-            return F.struct(past.alias("past"), read_out.alias("out"))
+                read_out = F.when((i - 1) % division == 0, read_out).otherwise(state["block"])
+            return let(read_out, filed)
 
         return let(new, lambda num: let(shares(num), lambda raw: let(close_day(raw), push)))
 
@@ -92,10 +102,11 @@ def trajectory_column(k: Column | str, qt: Column | str, intro: Column | str, n_
                 F.sequence(F.lit(2), F.greatest(steps, F.lit(2))),
                 F.struct(
                     F.transform(q1, lambda x: F.array_repeat(x, lags)).alias("past"),
-                    F.array(q1).alias("out"),
+                    F.slice(F.array(F.array(q1)), F.lit(1), F.lit(0)).alias("sealed"),
+                    F.array(q1).alias("block"),
                 ),
                 lambda state, i: next_day(state, i, g, p),
-                lambda state: state["out"],
+                lambda state: F.flatten(F.concat(state["sealed"], F.array(state["block"]))),
             )
         )
 

@@ -16,6 +16,8 @@ ALPHA, THETA = 4.109, 0.73
 BASELINE = "view"
 RATES = [0.98, 0.99, 1.0, 1.01, 1.02]
 COARSE_RATES = [0.98, 1.0, 1.02]
+#: Without 1, at which a time scale has no effect.
+UNEVEN_RATES = [0.985, 1.005, 1.02]
 RATIOS = [0.8, 1.0, 1.25]
 CONCENTRATIONS = [10.0, 100.0, 1000.0]
 PRIORITY_BASELINE = "5-LOW"

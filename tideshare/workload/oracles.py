@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from tideshare.functions.gamma import weights_value
-from tideshare.workload.bindings import ALPHA, BASELINE, COARSE_RATES, CONCENTRATIONS, PRIORITY_BASELINE, RATES, RATIOS, THETA
+import math
+import re
 
-W = weights_value(ALPHA, THETA)
+from tideshare.workload.bindings import ALPHA, BASELINE, COARSE_RATES, CONCENTRATIONS, PRIORITY_BASELINE, RATES, RATIOS, THETA, UNEVEN_RATES
+
+
+
+def lag_weights(division: int = 1, tail: float = 0.99, pieces: int = 2000) -> list[float]:
+    """Weights per lag by Simpson's rule on the gamma density, up to the first day that holds ``1 - tail`` or less beyond it."""
+
+    def density(x: float) -> float:
+        return x ** (ALPHA - 1) * math.exp(-x / THETA) / (math.gamma(ALPHA) * THETA**ALPHA)
+
+    def area(a: float, b: float) -> float:
+        h = (b - a) / pieces
+        inner = sum((4 if i % 2 else 2) * density(a + i * h) for i in range(1, pieces))
+        return (density(a) + inner + density(b)) * h / 3
+
+    days = [area(0, 1)]
+    while sum(days) < tail:
+        days.append(area(len(days), len(days) + 1))
+    steps = [area(m / division, (m + 1) / division) for m in range(len(days) * division)]
+    return [x / sum(steps) for x in steps]
+
+
+W = lag_weights()
 # 95 % points of the chi-square distribution by degrees of freedom.
 CHI2 = {1: 3.841458820694124, 2: 5.991464547107979, 4: 9.487729036781154, 6: 12.591587243743977, 8: 15.507313055865453}
 NAMES = ["click", "error", "purchase", "signup", "view"]
@@ -134,10 +156,12 @@ def length_rate(scale: int) -> str:
 
 # --- grid --------------------------------------------------------------------------------
 
-def grid_points(rates) -> str:
+def grid_points(rates, name: str = "k") -> str:
+    """Every combination of ``rates`` (values or pairs of them) over the subjects."""
+    listed = numbers(rates) if not isinstance(rates[0], tuple) else "[" + ", ".join(numbers(r) for r in rates) + "]"
     return f"""
 src as (select a.*, p as candidate_id, list_transform(range(1, len(subjects) + 1), lambda j:
-    ({numbers(rates)})[cast((p // cast(pow({len(rates)}, len(subjects) - j) as bigint)) % {len(rates)} as bigint) + 1]) as k
+    ({listed})[cast((p // cast(pow({len(rates)}, len(subjects) - j) as bigint)) % {len(rates)} as bigint) + 1]) as {name}
   from (select *, unnest(range(0, cast(pow({len(rates)}, len(subjects)) as bigint))) as p from arr) a)"""
 
 
@@ -370,6 +394,94 @@ REGION = f"""{GRID}, inside as (select g.* from grid g join top t on g.series_id
       m as (select series_id, candidate_id, date, sum(q * kj) as a from x group by all),
       mb as (select series_id, date, min(a) as lo, max(a) as hi from m group by all)"""
 
+# --- one subject against the baseline: zoom search and halving, in lists ----------------------
+
+PAIR = f"""with {counts('segment', 'day')},
+  pair as (select series_id, min(date_from) as t_start, list(n::DOUBLE order by date_from) filter (variant = 'click') as nv,
+    list(n::DOUBLE order by date_from) filter (variant = '{BASELINE}') as nb, count(distinct date_from) as t from counts
+    where variant in ('click', '{BASELINE}') group by 1),
+  con as (select *, list_sum(list_transform(nv, lambda a, i: lgamma(a + nb[i] + 1) - lgamma(a + 1) - lgamma(nb[i] + 1))) as con from pair)"""
+
+
+def rounds(n: int, start: str, step: str) -> str:
+    """``step`` of the list ``c``, ``n`` times from ``start``."""
+    return f"list_reduce(list_prepend({start}, list_transform(range({n}), lambda u: []::DOUBLE[])), lambda c, v: {step})"
+
+
+def pair_days(k: str, q: str, w: str = numbers(W)) -> str:
+    """Daily shares of the subject; days before the first count as the first."""
+    lag = lambda g: f"list_sum(list_transform({g}, lambda g, m: g * h[greatest(len(h) + 1 - m, 1)]))"
+    new = f"list_transform([[{k} * {lag(w)}, 1 - {lag(numbers(W))}]], lambda x: x[1] / (x[1] + x[2]))[1]"
+    return (f"list_reduce(list_prepend([{q}], list_transform(range(t - 1), lambda u: []::DOUBLE[])), "
+            f"lambda h, v: list_append(h, {new}))")
+
+
+def pair_ll(k: str, q: str, w: str = numbers(W)) -> str:
+    return f"(con + list_sum(list_transform({pair_days(k, q, w)}, lambda p, d: nv[d] * ln(p) + nb[d] * ln(1 - p))))"
+
+
+#: From [ln k, ln q, width] to the best of 25 points around, again and again; the width halves where the centre wins.
+PAIR_OFFSETS = str([[i / 2, j / 2] for i in range(-2, 3) for j in range(-2, 3)]) + "::DOUBLE[][]"
+PAIR_TRIED = f"""list_transform({PAIR_OFFSETS}, lambda e: list_transform([[c[1] + c[3] * e[1], least(c[2] + c[3] * e[2], -1e-6)]],
+  lambda x: [{pair_ll('exp(x[1])', 'exp(x[2])')}, if(e[1] = 0 and e[2] = 0, 1, 0), x[1], x[2]])[1])"""
+PAIR_ZOOM = rounds(80, "[0.0::DOUBLE, ln(0.5), 0.5]", f"""list_transform([list_sort({PAIR_TRIED}, 'DESC')[1]],
+  lambda x: [x[3], x[4], if(x[2] = 1, c[3] / 2, c[3])])[1]""")
+PAIR_BEST = f"""{PAIR}, z as materialized (select *, {PAIR_ZOOM} as z from con),
+  pair_best as materialized (select *, {pair_ll('exp(z[1])', 'exp(z[2])')} as top from z)"""
+
+
+def pair_inner(place: int) -> str:
+    """[ll, other] with parameter ``place`` at ``f`` and the other one zoomed in on, from that of the best point."""
+    k, q = ("exp(f)", "exp(y)") if place == 1 else ("exp(y)", "exp(f)")
+    tried = (f"list_transform([-1.0, -1 / 3, 0.0, 1 / 3, 1.0]::DOUBLE[], lambda e: list_transform([least(c[2] + c[3] * e, "
+             f"{'-1e-9' if place == 1 else '5.0'})], lambda y: [{pair_ll(k, q)}, if(e = 0, 1, 0), y])[1])")
+    return rounds(16, f"[0.0::DOUBLE, z[{3 - place}], 0.3]", f"""list_transform([list_sort({tried}, 'DESC')[1]],
+      lambda x: [x[1], x[3], if(x[2] = 1, c[3] / 3, c[3])])[1]""")
+
+
+def pair_ends(half: float) -> str:
+    """CTE ``pe`` (series_id, param, side, f, other): bisection of each parameter where the profile falls by ``half``."""
+    parts = []
+    for place, side, far in ((1, -1, "z[1] - 1"), (1, 1, "z[1] + 1"), (2, -1, "z[2] - 4"), (2, 1, "-1e-7")):
+        middle = "(b[1] + b[2]) / 2"
+        halving = (f"list_reduce(list_prepend([z[{place}], {far}], list_transform(range(26), lambda u: []::DOUBLE[])), lambda b, o: "
+                   f"list_transform([{middle}], lambda f: if({pair_inner(place)}[1] >= top - {half!r}, [f, b[2]], [b[1], f]))[1])")
+        parts.append(f"select *, {place - 1} as param, {side} as side, ({halving})[1] as f from pair_best")
+    inner = f"case when param = 0 then {pair_inner(1)} else {pair_inner(2)} end"
+    return (f"ends as materialized ({' union all '.join(parts)}), "
+            f"pe as materialized (select *, {inner} as o from ends)")
+
+
+# --- concentration of given shares ----------------------------------------------------------
+
+def at_concentration(v: str) -> str:
+    """Log-likelihood of the bins ``bins`` [[counts, shares]] of a series at the logarithm ``v``."""
+    one = DIRICHLET_BIN.replace("q[j] * d", f"q[j] * exp({v})")
+    for name, place in (("n", 1), ("q", 2)):
+        one = re.sub(rf"\b{name}(?=\[|\))", f"b[{place}]", one)
+    return f"list_sum(list_transform(bins, lambda b: {one}))"
+
+
+def concentration_sql(source: str, cut: float) -> str:
+    """Best concentration by zooming in on its logarithm, ends by halving; ``source`` has (series_id, day, variant, n, q)."""
+    low, high = math.log(1e-10), math.log(1e5)
+    tried = (f"list_transform([-1.0, -1 / 3, 0.0, 1 / 3, 1.0]::DOUBLE[], lambda e: list_transform([least(greatest(c[2] + c[3] * e, {low!r}), {high!r})], "
+             f"lambda y: [{at_concentration('y')}, if(e = 0, 1, 0), y])[1])")
+    zoom = rounds(50, "[0.0::DOUBLE, ln(10.0), 3.0]", f"""list_transform([list_sort({tried}, 'DESC')[1]],
+      lambda x: [x[1], x[3], if(x[2] = 1, c[3] / 3, c[3])])[1]""")
+
+    def end(far: float) -> str:
+        halving = (f"list_reduce(list_prepend([z[2], {far!r}], list_transform(range(45), lambda u: []::DOUBLE[])), lambda b0, o: "
+                   f"list_transform([(b0[1] + b0[2]) / 2], lambda f: if({at_concentration('f')} >= top - {cut!r}, [f, b0[2]], [b0[1], f]))[1])[1]")
+        return f"case when {at_concentration(repr(far))} >= top - {cut!r} then {far!r} else {halving} end"
+
+    return f"""cells as (select series_id, day, list(n::DOUBLE order by variant) as n, list(q order by variant) as q from ({source}) group by all),
+      per as (select series_id, list([n, q]) as bins from cells group by 1),
+      dz as materialized (select *, {zoom} as z from per), dt as materialized (select *, {at_concentration('z[2]')} as top from dz)
+      select series_id, round(log10(exp(z[2])), 4) as log10_D, round(log10(exp({end(low)})), 4) as log10_D_lb,
+        round(log10(exp({end(high)})), 4) as log10_D_ub from dt"""
+
+
 ORACLES = {
     "daily_counts": f"with {counts('segment', 'day')} select {TEXT_BIN}, variant, n from counts",
     "weekly_counts": f"with {counts('user', 'week')} select {TEXT_BIN}, variant, n from counts",
@@ -480,6 +592,14 @@ ORACLES = {
       root as (select series_id, i, min(j) as m from reach group by all),
       lbl as (select series_id, i, dense_rank() over (partition by series_id order by m) - 1 as l from root)
       select series_id, string_agg(l, '-' order by i) as rgs from lbl group by 1""",
+    "finest_common_long": """with recursive el as (select o_custkey as series_id, o_orderpriority as pos, count(*) as a,
+        max(o_orderstatus) as b, count(*) > 2 as c from orders group by all),
+      edge as (select x.series_id, x.pos as i, y.pos as j from el x join el y
+        on x.series_id = y.series_id and (x.a = y.a or x.b = y.b or x.c = y.c)),
+      reach as (select series_id, pos as i, pos as j from el union
+        select r.series_id, r.i, e.j from reach r join edge e on r.series_id = e.series_id and r.j = e.i),
+      root as (select series_id, i, min(j) as m from reach group by all)
+      select series_id, i as pos, cast(dense_rank() over (partition by series_id order by m) - 1 as int) as block from root""",
     "enumerate_all": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs from used join rgs on rgs.n = used.n",
     "enumerate_at_most": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs from used "
                          "join rgs on rgs.n = used.n where list_max(a) <= 2",
@@ -494,7 +614,7 @@ ORACLES = {
     "trajectory": f"with recursive {counts('segment', 'day')}, {shares(BASELINE)}, {RATES_SQL}, {SEGMENT_SRC}, {model(BASELINE)} {LONG_OUT}",
     "trajectory_late": f"with recursive {counts('user', 'day')}, {shares(BASELINE)}, {length_rate(100)}, {model(BASELINE)} {LONG_OUT}",
     "trajectory_substep": f"with recursive {counts('user', 'day')}, {shares(BASELINE)}, {length_rate(100)}, "
-                          f"{model(BASELINE, numbers(weights_value(ALPHA, THETA, None, 4)), 4 * len(W), 4)} {LONG_OUT}",
+                          f"{model(BASELINE, numbers(lag_weights(4)), 4 * len(W), 4)} {LONG_OUT}",
     "trajectory_time_scale": f"""with recursive {counts('segment', 'day')}, {shares(BASELINE)}, {RATES_SQL},
       {SEGMENT_SRC.replace('src as', 'src0 as', 1)},
       zz as (select series_id, j, m, m / (case when j <= len(k) then sqrt(k[j]) else 1.0 end * {THETA}) as z from
@@ -529,6 +649,13 @@ ORACLES = {
         where b.variant = a.variant and b.date = greatest(a.d0, a.date - cast(m as integer)) group by all)
       select series_id, cast(date as varchar) as date, variant, round(num, 6) as num,
         round(sum(num) over (partition by date), 6) as total from x""",
+    "lag_sum_gaps": f"""with {counts('all', 'day')}, s as (select series_id, date_from as date, variant,
+        n / sum(n) over (partition by date_from) as q, min(date_from) over () as d0 from counts where dayofweek(date_from) not in (0, 3)),
+      g as (select unnest(range(1, {len(W) + 1})) as m), x as (select a.series_id, a.date, a.variant,
+        sum(1.05 * ({numbers(W)})[m] * coalesce(b.q, 0)) as num from s a cross join g left join s b
+        on b.variant = a.variant and b.date = greatest(a.d0, a.date - cast(m as integer)) group by all)
+      select series_id, cast(date as varchar) as date, variant, round(num, 6) as num,
+        round(sum(num) over (partition by date), 6) as total from x""",
     "chart_table": f"""with recursive {counts('segment', 'day')}, {shares(BASELINE)}, {RATES_SQL}, {SEGMENT_SRC}, {model(BASELINE)}
       select l.series_id, cast(date as varchar) as date, l.variant, round(n / nullif(t.total, 0), 6) as observed, round(q, 6) as fitted
       from long l join counts c on l.series_id = c.series_id and l.date = c.date_from and l.variant = c.variant
@@ -560,7 +687,7 @@ ORACLES = {
     "fit_grid_window": f"""with recursive {counts('listed', 'day')}, {shares(BASELINE)}, {grid_points(RATES)}, {model(BASELINE)}, {grid_fit()}
       select {BEST_RATES}""",
     "fit_grid_substep": f"""{SEGMENTS}, {grid_points(COARSE_RATES)},
-      {model(BASELINE, numbers(weights_value(ALPHA, THETA, None, 2)), 2 * len(W), 2)}, {grid_fit(2)} select {BEST_RATES}""",
+      {model(BASELINE, numbers(lag_weights(2)), 2 * len(W), 2)}, {grid_fit(2)} select {BEST_RATES}""",
     "fit_grid_time_scale": f"""{SEGMENTS}, {grid_points(COARSE_RATES).replace('src as', 'src0 as', 1)},
       ratio as (select unnest({numbers(RATIOS)}) as c, unnest(range(0, {len(RATIOS)})) as place),
       ww as (select c, place, list_transform(range(1, {len(W) + 1}), lambda m: (f[m + 1] - f[m]) / f[{len(W) + 1}]) as w
@@ -571,6 +698,16 @@ ORACLES = {
         list_append(list_transform(subjects, lambda v: w), w1) as w from src0, ww, one),
       {model(BASELINE, per_variant=True)}, {grid_fit()}
       select s.c, {BEST_RATES} join src s on s.series_id = b.series_id and s.candidate_id = b.candidate_id""",
+    "fit_grid_scales": f"""with recursive {counts('listed', 'day')}, {shares(BASELINE)}, {grid_points([(k, c) for k in UNEVEN_RATES for c in RATIOS], 'k0').replace('src as', 'src0 as', 1)},
+      ratio as (select unnest({numbers(RATIOS)}) as c),
+      ww as (select c, list_transform(range(1, {len(W) + 1}), lambda m: (f[m + 1] - f[m]) / f[{len(W) + 1}]) as w
+        from (select c, list({GAMMA_CDF} order by m) as f from
+          (select c, m, m / (c * {THETA}) as z from ratio, (select unnest(range(0, {len(W) + 1})) as m)) group by all)),
+      wl as (select list(c order by c) as cl, list(w order by c) as wl from ww),
+      src as (select src0.* exclude (k0), list_transform(k0, lambda x: x[1]) as k, list_transform(k0, lambda x: x[2]) as c,
+        list_append(list_transform(k0, lambda x: wl[list_position(cl, x[2])]), wl[list_position(cl, 1.0)]) as w from src0, wl),
+      {model(BASELINE, per_variant=True)}, {grid_fit()}
+      select s.c[gp.j] as c, {BEST_RATES} join src s on s.series_id = b.series_id and s.candidate_id = b.candidate_id""",
     "fit_grid_dirichlet": f"""{SEGMENTS}, {grid_points(COARSE_RATES).replace('src as', 'src0 as', 1)},
       src as (select * replace (candidate_id * {len(CONCENTRATIONS)} + place as candidate_id), d from src0,
         (select unnest({numbers(CONCENTRATIONS)}) as d, unnest(range(0, {len(CONCENTRATIONS)})) as place)),
@@ -662,4 +799,19 @@ ORACLES = {
       select cal.series_id, cast(d as varchar) as date, variant, round(lo, 4) as q_lb, round(hi, 4) as q_ub,
         cast(1 as double) as average_k_lb, cast(1 as double) as average_k_ub
       from cal join r on cal.series_id = r.series_id""",
+    "fit_pair": f"""{PAIR_BEST} select series_id, round(exp(z[1]), 4) as k, round(exp(z[2]), 4) as qt, round(top, 4) as maxll,
+      cast(2 as bigint) as num_pars, round(-2 * top + 4, 4) as AIC, true as converged from pair_best""",
+    "profile_ci_pair": f"""{PAIR_BEST}, {pair_ends(CHI2[1] / 2)} select series_id, cast(param as int) as param, cast(side as int) as side,
+      round(exp(f), 3) as value, round(o[1], 3) as ll from pe""",
+    "region_bands_pair": f"""{PAIR_BEST}, {pair_ends(CHI2[2] / 2)},
+      sol as (select series_id, t_start, t, exp(z[1]) as k, exp(z[2]) as q from pair_best union all
+        select series_id, t_start, t, exp(if(param = 0, f, o[2])), exp(if(param = 0, o[2], f)) from pe),
+      path as (select series_id, t_start, unnest({pair_days('k', 'q')}) as q, unnest(range(t)) as i from sol),
+      shown as (select series_id, t_start, i, 'click' as variant, q from path union all select series_id, t_start, i, '{BASELINE}', 1 - q from path)
+      select series_id, cast(t_start + cast(i as int) as varchar) as date, variant, round(min(q), 3) as q_lb, round(max(q), 3) as q_ub
+      from shown group by series_id, t_start, i, variant""",
+    "dirichlet_report": f"""with recursive {counts('segment', 'week')}, {shares(BASELINE)}, {length_rate(100)}, {model(BASELINE)},
+      p as (select c.series_id, c.date_from as day, c.variant, c.n, greatest(0, avg(q)) as q from counts c join long l
+        on c.series_id = l.series_id and c.variant = l.variant and l.date between date_from and date_till group by all),
+      {concentration_sql('select * from p', CHI2[1] / 2)}""",
 }

@@ -16,6 +16,7 @@ from tideshare.operators import ranking as rk
 from tideshare.operators import shares as sh
 from tideshare.plans import fit as ft
 from tideshare.plans import likelihood as lk
+from tideshare.plans import refine as rf
 from tideshare.plans import reports as rp
 from tideshare.plans import search as se
 from tideshare.plans import trajectory as tr
@@ -350,6 +351,15 @@ def _used(spark, sf):
     return b.customer_labels(spark, sf).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def finest_common_long(spark, sf):
+    """Finest common coarsening of three partitions of the order priorities of a customer, as memberships."""
+    items = b.customer_labels(spark, sf).withColumn("half", F.col("orders") > 2)
+    members = items.select("series_id", F.col("variant").alias("pos"), F.explode(F.create_map(
+        F.lit("orders"), F.col("orders").cast("string"), F.lit("status"), F.col("status"), F.lit("half"), F.col("half").cast("string"),
+    )).alias("source", "label"))
+    return pt.common_coarsening(members)
+
+
 def enumerate_all(spark, sf):
     """All partitions of the priorities each customer uses."""
     return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", _values(spark, sf, "orders", "o_orderpriority")), "rgs")
@@ -464,6 +474,14 @@ def lag_sum(spark, sf):
                  "date")
 
 
+def lag_sum_gaps(spark, sf):
+    """The same on a calendar that lacks Sundays and Wednesdays."""
+    shares = ct.observed_share(b.all_counts(spark, sf)).filter(~F.dayofweek("date_from").isin(1, 4)).select(
+        "series_id", F.col("date_from").alias("date"), "variant", F.col("share").alias("q"))
+    out = sh.lag_sum(shares, tr.weights_value(ALPHA, THETA), F.lit(1.05))
+    return dated(out.select("series_id", "date", "variant", r6("num").alias("num"), r6("total").alias("total")), "date")
+
+
 def chart_table(spark, sf):
     """Observed next to fitted shares, per segment and day."""
     counts = b.segment_counts(spark, sf)
@@ -560,6 +578,17 @@ def fit_grid_time_scale(spark, sf):
     return _best_rates(lk.best_point(scores).withColumn("c", F.col("c")[0]), "c")
 
 
+def fit_grid_scales(spark, sf):
+    """Rates and a time-scale ratio of its own per listed event type, without the first and the last week."""
+    first, last = _window(spark, sf)
+    start, end = F.date_add(F.lit(first), 7), F.date_sub(F.lit(last), 7)
+    counts = ct.clip_window(ct.keep_subjects(b.segment_counts(spark, sf), LISTED, BASELINE), start, end)
+    scores = lk.grid_scores(b.series_with_shares(counts, BASELINE, start, end), b.UNEVEN_RATES, ALPHA, THETA, time_scales=RATIOS, each=True)
+    best = lk.best_point(scores)
+    cells = best.select("series_id", r6("ll", 4).alias("ll"), F.explode(F.arrays_zip("subjects", "k", "c")).alias("x"))
+    return cells.select("series_id", "ll", F.col("x.subjects").alias("variant"), F.col("x.k").alias("k"), F.col("x.c").alias("c"))
+
+
 def fit_grid_dirichlet(spark, sf):
     """Rates and the concentration of the Dirichlet-multinomial per segment."""
     scores = lk.grid_scores(b.segment_series(spark, sf), COARSE_RATES, ALPHA, THETA, concentrations=CONCENTRATIONS)
@@ -761,9 +790,9 @@ def pruned_grid(spark, sf):
 def search_stored(spark, sf):
     """A wider search that reads the scores of an earlier one from the table they were written to."""
     earlier, _ = _search(spark, sf)
-    stored = tb.read_estimates(spark, tb.write_table(
-        se.ledger(earlier).withColumn("config_hash", F.lit("grid")), work_path(spark), "scores"), "parquet")
-    scores, _ = _search(spark, sf, 2, stored=stored, config_hash="grid")
+    keys = materialise(se.fingerprints(b.segment_counts(spark, sf), "grid", RATES, ALPHA, THETA))
+    stored = tb.read_estimates(spark, tb.write_table(se.new_scores(earlier, None, keys), work_path(spark), "scores"), "parquet")
+    scores, _ = _search(spark, sf, 2, stored=stored, config_hash=keys)
     return _rounded(se.ledger(scores))
 
 
@@ -790,7 +819,7 @@ def pending_candidates(spark, sf):
     return rgs_text(se.pending(keyed, stored), "rgs")
 
 
-# --- continuous fits (no SQL form) ---------------------------------------------------------
+# --- continuous fits ---------------------------------------------------------------------
 
 OPTIONS = ft.Options(ALPHA, THETA)
 
@@ -800,6 +829,45 @@ def _fits(spark, sf, options=OPTIONS, grain="day") -> tuple[DataFrame, DataFrame
     return series, materialise(ft.scored(ft.fit(ft.finest_start(series), options), options))
 
 
+def _pair_fits(spark, sf, options=OPTIONS) -> tuple[DataFrame, DataFrame]:
+    """One subject against the baseline per segment, both there from the start."""
+    counts = b.segment_counts(spark, sf).filter(F.col("variant").isin(LISTED[0], BASELINE))
+    series = materialise(series_arrays(counts, BASELINE, undetected=True))
+    return series, materialise(ft.scored(rf.fit(rf.finest(series), options), options))
+
+
+def fit_pair(spark, sf):
+    """Continuous fit of one subject per segment: rate, start share, likelihood."""
+    series, fits = _pair_fits(spark, sf)
+    return fits.select("series_id", r6(F.col("k")[0], 4).alias("k"), r6(F.col("qt")[0], 4).alias("qt"),
+                       r6("ll", 4).alias("maxll"), "num_pars", r6("AIC", 4).alias("AIC"), "converged")
+
+
+def profile_ci_pair(spark, sf):
+    """Profile-likelihood intervals of rate and start share of one subject, with the likelihood at each end."""
+    series, fits = _pair_fits(spark, sf)
+    ends = rf.interval_solutions(fits, series, OPTIONS)
+    value = F.when(F.col("param") == 0, F.col("k")[0]).otherwise(F.col("qt")[0])
+    return ends.select("series_id", "param", "side", r6(value, 3).alias("value"), r6("ll", 3).alias("ll"))
+
+
+def region_bands_pair(spark, sf):
+    """Bands of the shares over the extreme solutions of the joint region of one subject."""
+    series, fits = _pair_fits(spark, sf)
+    out = rp.region_bands(fits, rf.interval_solutions(fits, series, OPTIONS, joint=True), series, OPTIONS)
+    return dated(out.select("series_id", "date", "variant", r6("q_lb", 3).alias("q_lb"), r6("q_ub", 3).alias("q_ub")), "date")
+
+
+def dirichlet_report(spark, sf):
+    """Concentration and its interval for weekly bins and rates that follow from the names."""
+    series = b.segment_series(spark, sf, "week")
+    rows = tr.with_trajectory(
+        series.withColumns({"k": F.transform("subjects", lambda v: 1.0 + F.length(v) / 100),
+                            "rgs": F.sequence(F.lit(0), F.size("subjects"))}), ALPHA, THETA)
+    out = rp.concentration_report(rows, ft.Options(ALPHA, THETA, dirichlet=True))
+    return out.select("series_id", *[r6(F.log10(c), 4).alias(f"log10_{c}") for c in ("D", "D_lb", "D_ub")])
+
+
 def fit(spark, sf):
     """Maximum likelihood per segment."""
     series, fits = _fits(spark, sf)
@@ -908,13 +976,14 @@ NAMES = [
     labels_to_long, partition_predicates, partition_blocks, merge_once, all_coarsenings,
     common_children, finest_common, enumerate_all, enumerate_at_most, enumerate_exactly,
     enumerate_reverse, drop_dominated, trajectory, trajectory_late, trajectory_substep,
-    trajectory_time_scale, forecast, population_mean, scenario_trajectory, bin_share, lag_sum,
+    trajectory_time_scale, forecast, population_mean, scenario_trajectory, bin_share, lag_sum, lag_sum_gaps, finest_common_long, fit_grid_scales,
     chart_table, loglik_multinomial, loglik_dirichlet, loglik_dirichlet_terms,
     loglik_zero_probability, fit_grid, fit_grid_window, fit_grid_substep, fit_grid_time_scale, fit_grid_dirichlet, grid_loglik, profile_ci_grid, region_bands_grid,
     baseline_range_grid, blocks_report, warm_start, shared_rates, estimates_report, group_report,
     rate_report, order_by_rate, score_report, frequency_report, frequency_report_bounds, partition_scores, beam,
     running_best, best_partition, search_grid, pruned_grid, level_summary, search_stored, refit_report,
     pending_candidates,
+    fit_pair, profile_ci_pair, region_bands_pair, dirichlet_report,
     fit_constant, profile_ci_constant, region_bands_constant, fit, fit_users, fit_parts, fit_shared,
     fit_time_scale, fit_dirichlet, profile_ci, region_bands, search_fit,
 ]
