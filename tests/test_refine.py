@@ -31,7 +31,7 @@ def drawn(k, qt, days, total, seed, intro=None):
 @pytest.fixture(scope="module")
 def two(spark):
     """Two subjects, one of which enters on the fifth day; the fit and its series."""
-    table = drawn([1.15, 0.92], [0.2, 0.15], 24, 150, 3, [0, 4])
+    table = drawn([1.15, 0.92], [0.2, 0.15], 16, 150, 3, [0, 4])
     series = ss.series_arrays(counts_of(spark, table), "base").persist()
     return table, series, ss.materialise(rf.fit(rf.finest(series), OPTIONS))
 
@@ -103,7 +103,8 @@ def test_brackets_give_the_same_ends(two):
     model = rf.model_of(OPTIONS)
     rows = fits.drop("ll").join(series, "series_id").crossJoin(fits.select("ll")).select(
         "series_id", "rgs", *rf.ARRAYS, F.lit(1).alias("place"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"),
-        model.pack(F.col("k"), F.col("qt")).alias("best"), (F.col("ll") - F.col("ln_coef") - chi2_quantile(1) / 2).alias("cut"))
+        model.pack(F.col("k"), F.col("qt")).alias("best"), (F.col("ll") - F.col("ln_coef")).alias("top"),
+        (F.col("ll") - F.col("ln_coef") - chi2_quantile(1) / 2).alias("cut"))
     got = sc.bracketed(rows, model).select("side", "ok", F.exp(F.col("x")[0]).alias("k"), "ll", "cut").collect()
     assert all(r.ok for r in got) and all(r.ll >= r.cut for r in got)
     assert {r.side: r.k for r in got} == pytest.approx({s: quick[0, s] for s in (-1, 1)}, abs=1e-5)

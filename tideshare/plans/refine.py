@@ -174,6 +174,7 @@ def interval_solutions(fits: DataFrame, series: DataFrame, options: Options, joi
     rows = attach_series(ends, arrays).select(
         *keys, *ARRAYS, (F.col("param") + 1).alias("place"),
         model.pack(F.col("k"), F.col("qt"), F.col("c"), F.col("d")).alias("best"),
+        (F.col("ll_max") - constant_part(options)).alias("top"),
         (F.col("ll_max") - constant_part(options) - F.col("drop")).alias("cut"))
     quick = scoring.extreme(rows, model)
     left = quick.filter("not ok")

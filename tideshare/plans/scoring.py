@@ -41,7 +41,7 @@ STEP = 1e-6
 #: Rounds of a fit, of an interval end, and of bracketing one; a row that has settled takes no more.
 FIT_ROUNDS, END_ROUNDS, BRACKET_ROUNDS = 200, 60, 400
 #: Rounds between two checkpoints.
-ROUNDS_A_JOB = 3
+ROUNDS_A_JOB = 2
 #: Damping of the first step.
 FIRST_DAMP = 1e-4
 #: What a further round may gain in log-likelihood for a fit to count as settled.
@@ -246,21 +246,43 @@ def begun(rows: DataFrame, start: Column) -> DataFrame:
     nothing = F.array().cast("array<double>")
     return rows.withColumn("trial", start).withColumns({
         "x": F.col("trial"), "ll": F.lit(None).cast("double"), "g": nothing, "h": F.array().cast("array<array<double>>"),
-        "damp": F.lit(FIRST_DAMP), "ok": F.lit(False), "done": F.lit(False)})
+        "damp": F.lit(FIRST_DAMP), "boost": F.lit(1.0), "last": F.lit(1e300), "ok": F.lit(False), "done": F.lit(False)})
 
 
-def one_round(rows: DataFrame, model: Model, climbs: bool, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+class Steps:
+    """The projections of a round, one after the other. They are built once and used in every round: putting
+    the expressions together takes longer than analysing them."""
+
+    def __init__(self) -> None:
+        self.columns: list[dict[str, Column]] = []
+
+    def withColumns(self, columns: dict[str, Column]) -> Steps:  # noqa: N802
+        self.columns.append(columns)
+        return self
+
+    def withColumn(self, name: str, column: Column) -> Steps:  # noqa: N802
+        return self.withColumns({name: column})
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """The rows after the round, with the columns they had."""
+        kept = rows.columns
+        for columns in self.columns:
+            rows = rows.withColumns(columns)
+        return rows.select(*kept)
+
+
+def one_round(model: Model, climbs: bool, decide: Callable[[Steps], Steps]) -> Steps:
     """Evaluate the point to try and its neighbours, take it or not, and let ``decide`` give the next.
 
     If the rounds must climb, a point that is not better than the last is given up: the damping grows,
     and the slopes of the last give another step. Columns of rows that are done stay as they are and
     cost nothing. Only projections: the rows stay where they are.
     """
-    more = [c for c in rows.columns]
+    df = Steps()
     open_ = ~F.col("done")
     first = F.col("ll").isNull()
     better = F.col("_t").isNotNull() & (first | (F.col("_t") > F.col("ll"))) if climbs else F.col("_t").isNotNull()
-    df = rows.withColumn("_p", F.when(open_, F.transform(neighbours(model), model.probabilities)))
+    df = df.withColumn("_p", F.when(open_, F.transform(neighbours(model), model.probabilities)))
     df = df.withColumn("_t", F.when(open_, model.loglik(F.col("_p")[0], F.col("trial"))))
     df = df.withColumns({"_better": open_ & F.coalesce(better, F.lit(False)), "_base": F.when(open_, F.flatten(F.col("_p")[0]))})
     df = df.withColumns({"_c": F.when(F.col("_better"), model.cells(F.col("_p")[0], F.col("trial"))),
@@ -275,27 +297,28 @@ def one_round(rows: DataFrame, model: Model, climbs: bool, decide: Callable[[Dat
         F.col("_better"), F.greatest(F.col("damp") / 10, F.lit(1e-8))).otherwise(F.greatest(F.col("damp") * 10, F.lit(FIRST_DAMP)))
     taken = {"x": "trial", "ll": "_t", "g": "_s.g", "h": "_s.h"}
     df = df.withColumns({n: F.when(F.col("_better"), F.col(c)).otherwise(F.col(n)) for n, c in taken.items()} | {"damp": damp, "done": ~open_ | lost})
-    return decide(df).select(*more)
+    return decide(df)
 
 
-def rounds(rows: DataFrame, model: Model, climbs: bool, decide: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+def rounds(rows: DataFrame, model: Model, climbs: bool, decide: Callable[[Steps], Steps], most: int) -> DataFrame:
     """Rounds until every row is done, a checkpoint after every ``ROUNDS_A_JOB``. The driver sees whether rows are open."""
+    steps = one_round(model, climbs, decide)
     for at in range(0, most, ROUNDS_A_JOB):
         for _ in range(min(ROUNDS_A_JOB, most - at)):
-            rows = one_round(rows, model, climbs, decide)
+            rows = steps.of(rows)
         rows = materialise(rows)
         if rows.filter("not done").isEmpty():
             break
     return rows
 
 
-def verdict(df: DataFrame, value: Column) -> DataFrame:
+def verdict(df: Steps, value: Column) -> Steps:
     """Take ``trial, ok, done`` from a struct for the rows that are open."""
     df = df.withColumn("_v", F.when(~F.col("done"), value))
     return df.withColumns({n: F.when(F.col("done"), F.col(n)).otherwise(F.col(f"_v.{n}")) for n in ("trial", "ok", "done")})
 
 
-def scoring_step(df: DataFrame, model: Model, fixed: Column | None = None) -> DataFrame:
+def scoring_step(df: Steps, model: Model, fixed: Column | None = None) -> Steps:
     """Add ``_gain`` and ``_step`` of the damped scoring step at ``x``."""
     free = model.free(F.col("x"), F.col("g"))
     if fixed is not None:
@@ -304,7 +327,17 @@ def scoring_step(df: DataFrame, model: Model, fixed: Column | None = None) -> Da
     df = df.withColumn("_g", F.zip_with("g", "_free", lambda a, on: F.when(on, a).otherwise(F.lit(0.0))))
     solved = first_of(solve(model.system(F.col("h"), F.col("_free"), F.col("damp")), F.transform("_g", lambda v: F.array(v))))
     df = df.withColumn("_step", F.when(~F.col("done"), solved))
-    return df.withColumn("_gain", dot(F.col("_g"), F.col("_step")))
+    df = df.withColumn("_gain", dot(F.col("_g"), F.col("_step")))
+    # gains that hardly fall tell of a parameter on its way to a bound: its steps get longer
+    slow = F.col("_better") & (F.col("_gain") > 0.2 * F.col("last"))
+    return df.withColumn("boost", F.when(F.coalesce(slow, F.lit(False)), F.least(F.col("boost") * 2, F.lit(16.0))).otherwise(F.lit(1.0))).withColumn(
+        "last", F.coalesce("_gain", "last"))
+
+
+def lengthened() -> Column:
+    """The next point of a scoring round."""
+    step = F.transform("_step", lambda v: v * F.col("boost"))
+    return stepped(F.col("x"), step, 3.0 * F.col("boost"))
 
 
 def settled() -> Column:
@@ -319,9 +352,9 @@ def maximise(rows: DataFrame, model: Model, start: Column) -> DataFrame:
     ``ll`` lacks the constant part and is null where the start is out of reach; ``ok`` says whether the fit has
     settled.
     """
-    def decide(df: DataFrame) -> DataFrame:
+    def decide(df: Steps) -> Steps:
         df = scoring_step(df, model).withColumn("_ok", settled())
-        return verdict(df, F.struct(model.clipped(stepped(F.col("x"), F.col("_step"), 3.0)).alias("trial"), F.col("_ok").alias("ok"),
+        return verdict(df, F.struct(model.clipped(lengthened()).alias("trial"), F.col("_ok").alias("ok"),
                                     (F.col("_ok") | (F.col("damp") > 1e8)).alias("done")))
 
     return rounds(begun(rows, start), model, True, decide, FIT_ROUNDS)
@@ -330,12 +363,12 @@ def maximise(rows: DataFrame, model: Model, start: Column) -> DataFrame:
 def extreme(rows: DataFrame, model: Model) -> DataFrame:
     """Add ``x, ll, ok``: smallest (``side`` -1) or largest (+1) value of parameter ``place`` with ll >= ``cut``.
 
-    Rows start at ``best``. Each round solves the quadratic model of the constraint exactly. Not ``ok``
+    Rows start at ``best``, whose value is ``top``. Each round solves the quadratic model of the constraint exactly. Not ``ok``
     where a row runs into the bound of its parameter, leaves the reach of the model or does not settle.
     """
     place, side, cut = F.col("place"), F.col("side"), F.col("cut")
 
-    def decide(df: DataFrame) -> DataFrame:
+    def decide(df: Steps) -> Steps:
         free = F.transform(model.free(F.col("x"), F.col("g")), lambda f, j: f | (j == place - 1))
         df = df.withColumn("_free", F.when(~F.col("done"), free))
         df = df.withColumn("_g", F.zip_with("g", "_free", lambda a, on: F.when(on, a).otherwise(F.lit(0.0))))
@@ -355,25 +388,32 @@ def extreme(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def bracketed(rows: DataFrame, model: Model) -> DataFrame:
-    """The same by steps outwards and halving, the other parameters refitted for each value.
+    """The same by steps outwards and a shrinking bracket, the other parameters refitted for each value.
 
     ``good`` is the last point inside, ``bad`` the nearest value known to be outside. When the refit of a value
-    has settled, the bracket moves and the next value is tried. The bound counts as the end where the
-    likelihood does not fall under the cut before it; ``ok`` unless rounds run out.
+    has settled, the bracket moves and the next value is tried: where the root of the fall below the maximum
+    ``top``, nearly a straight line, meets that of the cut. The bound counts as the end where the likelihood does
+    not fall under the cut before it; ``ok`` unless rounds run out.
     """
     place, side, cut = F.col("place"), F.col("side"), F.col("cut")
     bound = F.element_at(F.when(side < 0, model.bounds(0)).otherwise(model.bounds(1)), place)
 
-    def following(good: Column, bad: Column, width: Column) -> Column:
+    def fall(ll: Column) -> Column:
+        return F.sqrt(F.greatest(F.col("top") - ll, F.lit(0.0)))
+
+    def following(good: Column, good_ll: Column, bad: Column, bad_ll: Column, width: Column) -> Column:
         """The next value to try."""
         own = F.element_at(good, place)
         out = F.when(side < 0, F.greatest(own - width, bound)).otherwise(F.least(own + width, bound))
-        return F.when(bad.isNull(), out).otherwise((own + bad) / 2)
+        # a little beyond the meeting point, so that the bracket closes from both sides
+        part = (fall(cut) - fall(good_ll)) / F.greatest(fall(bad_ll) - fall(good_ll), F.lit(1e-12))
+        between = own + (bad - own) * F.greatest(F.lit(0.02), F.least(F.lit(0.98), F.coalesce(part, F.lit(0.5))))
+        return F.when(bad.isNull(), out).otherwise(between)
 
     def at(x: Column, value: Column) -> Column:
         return F.transform(x, lambda a, j: F.when(j == place - 1, value).otherwise(a))
 
-    def decide(df: DataFrame) -> DataFrame:
+    def decide(df: Steps) -> Steps:
         # a value where the model has no likelihood at all lies outside
         df = df.withColumn("_lost", F.col("done") & F.col("ll").isNull()).withColumn("done", F.col("done") & ~F.col("_lost"))
         df = scoring_step(df, model, place).withColumn("_end", F.col("_lost") | settled() | (F.col("damp") > 1e8))
@@ -381,29 +421,32 @@ def bracketed(rows: DataFrame, model: Model) -> DataFrame:
         df = df.withColumns({"_value": value, "_own": own, "_in": F.coalesce(F.col("ll") >= cut, F.lit(False)) & F.col("_end"),
                              "_out": F.coalesce(F.col("ll") < cut, F.lit(True)) & F.col("_end")})
         last = F.col("_in") & F.col("bad").isNull() & (F.col("_value") == bound)
-        close = F.coalesce(F.abs(F.coalesce(F.when(F.col("_out"), F.col("_value")), F.col("bad"))
-                                 - F.when(F.col("_in"), F.col("_value")).otherwise(F.col("_own"))) <= 1e-7, F.lit(False))
+        narrow = F.coalesce(F.abs(F.coalesce(F.when(F.col("_out"), F.col("_value")), F.col("bad"))
+                                  - F.when(F.col("_in"), F.col("_value")).otherwise(F.col("_own"))) <= 1e-7, F.lit(False))
+        close = narrow | (F.col("_in") & F.coalesce(F.col("ll") - cut < 1e-6, F.lit(False)))
         df = df.withColumn("_closed", F.col("_end") & (last | close))
         open_ = ~F.col("done")
         df = df.withColumns({
             "good": F.when(open_ & F.col("_in"), F.col("x")).otherwise(F.col("good")),
             "good_ll": F.when(open_ & F.col("_in"), F.col("ll")).otherwise(F.col("good_ll")),
             "bad": F.when(open_ & F.col("_out"), F.col("_value")).otherwise(F.col("bad")),
+            "bad_ll": F.when(open_ & F.col("_out"), F.col("ll")).otherwise(F.col("bad_ll")),
             "width": F.when(open_ & F.col("_in"), F.col("width") * 2).otherwise(F.col("width"))})
-        df = df.withColumn("_next", at(F.col("good"), following(F.col("good"), F.col("bad"), F.col("width"))))
-        trial = F.when(F.col("_end"), F.col("_next")).otherwise(model.clipped(stepped(F.col("x"), F.col("_step"), 3.0)))
+        df = df.withColumn("_next", at(F.col("good"), following(F.col("good"), F.col("good_ll"), F.col("bad"), F.col("bad_ll"), F.col("width"))))
+        trial = F.when(F.col("_end"), F.col("_next")).otherwise(model.clipped(lengthened()))
         df = verdict(df, F.struct(trial.alias("trial"), F.col("_closed").alias("ok"), F.col("_closed").alias("done")))
         # a new value starts a fit of its own
         return df.withColumns({"ll": F.when(open_ & F.col("_end"), F.lit(None)).otherwise(F.col("ll")),
                                "damp": F.when(open_ & F.col("_end"), F.lit(FIRST_DAMP)).otherwise(F.col("damp"))})
 
-    first = rows.withColumns({"good": F.col("best"), "good_ll": F.lit(None).cast("double"), "bad": F.lit(None).cast("double"), "width": F.lit(0.05)})
-    begun_ = begun(first, at(F.col("best"), following(F.col("best"), F.lit(None).cast("double"), F.lit(0.05))))
-    done = rounds(begun_, model, True, decide, BRACKET_ROUNDS)
-    return done.withColumns({"x": F.col("good"), "ll": F.coalesce("good_ll", "ll", "cut")})
+    none = F.lit(None).cast("double")
+    first = rows.withColumns({"good": F.col("best"), "good_ll": F.col("top"), "bad": none, "bad_ll": none, "width": F.lit(0.4)})
+    start = at(F.col("best"), following(F.col("best"), F.col("top"), none, none, F.lit(0.4)))
+    done = rounds(begun(first, start), model, True, decide, BRACKET_ROUNDS)
+    return done.withColumns({"x": F.col("good"), "ll": F.col("good_ll")})
 
 
-def stepped(x: Column, step: Column, most: float) -> Column:
+def stepped(x: Column, step: Column, most: Column | float) -> Column:
     """``x`` plus the step, shortened so that no parameter moves by more than ``most``."""
     return let(F.least(F.lit(1.0), most / F.greatest(largest(step), F.lit(1e-300))), lambda r: axpy(r, step, x))
 
