@@ -183,3 +183,4 @@ def test_digamma_and_quantiles(spark):
     dfs = [1, 2, 3, 10, 60]
     found = [r[0] for r in spark.createDataFrame([(d,) for d in dfs], "d int").select(chi2_quantile_column("d")).collect()]
     assert found == pytest.approx([chi2_quantile(d) for d in dfs], rel=1e-10)
+

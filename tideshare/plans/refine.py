@@ -163,7 +163,7 @@ def interval_solutions(fits: DataFrame, series: DataFrame, options: Options, joi
     """
     free = options.num_pars()
     half = (chi2_quantile_column(free) if joint else F.lit(chi2_quantile(1))) / 2
-    sized = fits.withColumns({"drop": half, "free": free.cast("int")})
+    sized = fits.withColumns({"drop": half, "free": free.cast("int")}).filter("free > 0")
     ends = sized.select(
         "series_id", "rgs", F.col("ll").alias("ll_max"), "drop", "k", "qt", "c", "d",
         F.explode(F.sequence(F.lit(0), F.col("free") - 1)).alias("param"),

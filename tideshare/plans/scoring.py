@@ -326,7 +326,8 @@ def scoring_step(df: Steps, model: Model, fixed: Column | None = None) -> Steps:
     df = df.withColumn("_free", F.when(~F.col("done"), free))
     df = df.withColumn("_g", F.zip_with("g", "_free", lambda a, on: F.when(on, a).otherwise(F.lit(0.0))))
     solved = first_of(solve(model.system(F.col("h"), F.col("_free"), F.col("damp")), F.transform("_g", lambda v: F.array(v))))
-    df = df.withColumn("_step", F.when(~F.col("done"), solved))
+    # a row that starts out of reach has no slopes yet
+    df = df.withColumn("_step", F.when(~F.col("done") & (F.size("h") > 0), solved))
     df = df.withColumn("_gain", dot(F.col("_g"), F.col("_step")))
     # gains that hardly fall tell of a parameter on its way to a bound: its steps get longer
     slow = F.col("_better") & (F.col("_gain") > 0.2 * F.col("last"))
@@ -418,8 +419,8 @@ def bracketed(rows: DataFrame, model: Model) -> DataFrame:
         df = df.withColumn("_lost", F.col("done") & F.col("ll").isNull()).withColumn("done", F.col("done") & ~F.col("_lost"))
         df = scoring_step(df, model, place).withColumn("_end", F.col("_lost") | settled() | (F.col("damp") > 1e8))
         value, own = F.element_at("trial", place), F.element_at("good", place)
-        df = df.withColumns({"_value": value, "_own": own, "_in": F.coalesce(F.col("ll") >= cut, F.lit(False)) & F.col("_end"),
-                             "_out": F.coalesce(F.col("ll") < cut, F.lit(True)) & F.col("_end")})
+        df = df.withColumns({"_value": value, "_own": own, "_in": F.coalesce(F.col("ll") >= cut - 5e-7, F.lit(False)) & F.col("_end"),
+                             "_out": F.coalesce(F.col("ll") < cut - 5e-7, F.lit(True)) & F.col("_end")})
         last = F.col("_in") & F.col("bad").isNull() & (F.col("_value") == bound)
         narrow = F.coalesce(F.abs(F.coalesce(F.when(F.col("_out"), F.col("_value")), F.col("bad"))
                                   - F.when(F.col("_in"), F.col("_value")).otherwise(F.col("_own"))) <= 1e-7, F.lit(False))

@@ -430,6 +430,9 @@ PAIR_BEST = f"""{PAIR}, z as materialized (select *, {PAIR_ZOOM} as z from con),
   pair_best as materialized (select *, {pair_ll('exp(z[1])', 'exp(z[2])')} as top from z)"""
 
 
+PAIR_BEST_ALL = PAIR_BEST.replace(counts("segment", "day"), counts("all", "day"))
+
+
 def pair_inner(place: int) -> str:
     """[ll, other] with parameter ``place`` at ``f`` and the other one zoomed in on, from that of the best point."""
     k, q = ("exp(f)", "exp(y)") if place == 1 else ("exp(y)", "exp(f)")
@@ -801,9 +804,9 @@ ORACLES = {
       from cal join r on cal.series_id = r.series_id""",
     "fit_pair": f"""{PAIR_BEST} select series_id, round(exp(z[1]), 4) as k, round(exp(z[2]), 4) as qt, round(top, 4) as maxll,
       cast(2 as bigint) as num_pars, round(-2 * top + 4, 4) as AIC, true as converged from pair_best""",
-    "profile_ci_pair": f"""{PAIR_BEST}, {pair_ends(CHI2[1] / 2)} select series_id, cast(param as int) as param, cast(side as int) as side,
+    "profile_ci_pair": f"""{PAIR_BEST_ALL}, {pair_ends(CHI2[1] / 2)} select series_id, cast(param as int) as param, cast(side as int) as side,
       round(exp(f), 3) as value, round(o[1], 3) as ll from pe""",
-    "region_bands_pair": f"""{PAIR_BEST}, {pair_ends(CHI2[2] / 2)},
+    "region_bands_pair": f"""{PAIR_BEST_ALL}, {pair_ends(CHI2[2] / 2)},
       sol as (select series_id, t_start, t, exp(z[1]) as k, exp(z[2]) as q from pair_best union all
         select series_id, t_start, t, exp(if(param = 0, f, o[2])), exp(if(param = 0, o[2], f)) from pe),
       path as (select series_id, t_start, unnest({pair_days('k', 'q')}) as q, unnest(range(t)) as i from sol),

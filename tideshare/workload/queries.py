@@ -829,31 +829,31 @@ def _fits(spark, sf, options=OPTIONS, grain="day") -> tuple[DataFrame, DataFrame
     return series, materialise(ft.scored(ft.fit(ft.finest_start(series), options), options))
 
 
-def _pair_fits(spark, sf, options=OPTIONS) -> tuple[DataFrame, DataFrame]:
-    """One subject against the baseline per segment, both there from the start."""
-    counts = b.segment_counts(spark, sf).filter(F.col("variant").isin(LISTED[0], BASELINE))
+def _pair_fits(spark, counts: DataFrame, options=OPTIONS) -> tuple[DataFrame, DataFrame]:
+    """One subject against the baseline per series, both there from the start."""
+    counts = counts.filter(F.col("variant").isin(LISTED[0], BASELINE))
     series = materialise(series_arrays(counts, BASELINE, undetected=True))
     return series, materialise(ft.scored(rf.fit(rf.finest(series), options), options))
 
 
 def fit_pair(spark, sf):
     """Continuous fit of one subject per segment: rate, start share, likelihood."""
-    series, fits = _pair_fits(spark, sf)
+    _, fits = _pair_fits(spark, b.segment_counts(spark, sf))
     return fits.select("series_id", r6(F.col("k")[0], 4).alias("k"), r6(F.col("qt")[0], 4).alias("qt"),
                        r6("ll", 4).alias("maxll"), "num_pars", r6("AIC", 4).alias("AIC"), "converged")
 
 
 def profile_ci_pair(spark, sf):
-    """Profile-likelihood intervals of rate and start share of one subject, with the likelihood at each end."""
-    series, fits = _pair_fits(spark, sf)
+    """Profile-likelihood intervals of rate and start share of one subject over all events, with the likelihood at each end."""
+    series, fits = _pair_fits(spark, b.all_counts(spark, sf))
     ends = rf.interval_solutions(fits, series, OPTIONS)
     value = F.when(F.col("param") == 0, F.col("k")[0]).otherwise(F.col("qt")[0])
     return ends.select("series_id", "param", "side", r6(value, 3).alias("value"), r6("ll", 3).alias("ll"))
 
 
 def region_bands_pair(spark, sf):
-    """Bands of the shares over the extreme solutions of the joint region of one subject."""
-    series, fits = _pair_fits(spark, sf)
+    """Bands of the shares over the extreme solutions of the joint region of one subject, all events."""
+    series, fits = _pair_fits(spark, b.all_counts(spark, sf))
     out = rp.region_bands(fits, rf.interval_solutions(fits, series, OPTIONS, joint=True), series, OPTIONS)
     return dated(out.select("series_id", "date", "variant", r6("q_lb", 3).alias("q_lb"), r6("q_ub", 3).alias("q_ub")), "date")
 
