@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tideshare.llm import bpe
 from tideshare.llm.decontamination import contamination, matches
-from tideshare.llm.exact_dedup import exact_dedup
+from tideshare.llm.exact_dedup import exact_dedup, in_runs
 from tideshare.llm.pieces import pieces
 from tideshare.llm.token_counts import token_counts
 from tideshare.llm.toxicity import Settings, fit, swapped, toxicity, with_scores
@@ -103,7 +103,9 @@ def test_token_counts(df, given, name):
 
 # --- exact dedup and address rules -----------------------------------------------------------
 
-def test_exact_dedup(df, given):
+@pytest.mark.parametrize("hot_share", [1, 10000])
+def test_exact_dedup(df, given, hot_share):
+    """With no hot text, and with every repeated text hot."""
     groups = {}
     for i, t, *_ in given:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), -2**63 if i is None else i))
@@ -115,13 +117,36 @@ def test_exact_dedup(df, given):
         want.append((i, None if best[1] == -2**63 else best[1], len(groups[norm]), mine == best and (norm, mine) not in seen,
                      hashlib.sha256(norm.encode()).hexdigest()))
         seen.add((norm, mine))
-    same(exact_dedup(df), want)
+    assert in_runs(df, hot_share=hot_share).filter("hot").isEmpty() == (hot_share == 1)
+    same(exact_dedup(df, hot_share=hot_share), want)
     assert exact_dedup(df.limit(0)).collect() == []
 
 
-def test_exact_dedup_without_python(df):
-    plan = exact_dedup(df)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def test_exact_dedup_moves_texts_once_without_python(df):
+    for frame in (in_runs(df), exact_dedup(df)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+    plan = in_runs(df)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange rangepartitioning", plan)) == 1
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan) == ["hash"]  # of the numbers of rows by hash
+
+
+def test_exact_dedup_of_a_hot_text_is_spread(spark):
+    """Half of all rows are one text; another third share their beginning and differ at the end."""
+    from pyspark.sql import functions as F
+
+    every = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("one text").cast("string"))
+        .when(F.col("id") % 3 == 0, F.concat(F.lit("x" * 200), F.col("id").cast("string")))
+        .otherwise(F.concat(F.col("id") % 500, F.lit(" short"))).alias("text"))
+    got = {r.text_sha256: r for r in exact_dedup(every).filter("kept").collect()}
+    hot = got[hashlib.sha256(b"onetext").hexdigest()]
+    assert (hot.doc_id, hot.keep_id, hot.group_size) == (0, 0, 3000)
+    runs = in_runs(every).filter("hot").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(runs) > 1
+    want = every.groupBy(F.regexp_replace("text", " ", "").alias("norm")).count().count()
+    assert len(got) == want
 
 
 def test_url_filter_control_characters(spark):
