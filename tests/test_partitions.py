@@ -29,6 +29,40 @@ def test_rows_of_different_size(spark):
         P.enumerate_partitions(sizes(spark, 4), "n", 3).count()
 
 
+def test_numbers_of_partitions(spark):
+    """Positions follow the order of the strings in both directions, with limits that differ by row."""
+    given = spark.createDataFrame([(n, k) for n in range(1, 7) for k in range(1, 8)], "n int, k int")
+    every = {n: partitions(n) for n in range(1, 7)}
+    for kind in ("at_most", "exactly"):
+        for reverse in (False, True):
+            out = P.enumerate_partitions(given, "n", position="place", reverse=reverse, **{kind: "k"})
+            got = {}
+            for r in out.collect():
+                got.setdefault((r.n, r.k), {})[r.place] = tuple(r.rgs)
+            for n in every:
+                for k in range(1, 8):
+                    fits = [p for p in every[n] if (max(p) + 1 == k if kind == "exactly" else max(p) < k)]
+                    want = dict(enumerate(sorted(fits, reverse=reverse), 1))
+                    assert got.get((n, k), {}) == want
+
+
+def test_enumeration_is_dealt_evenly(spark):
+    """One row of eleven elements keeps all tasks busy alike."""
+    out = P.enumerate_partitions(sizes(spark, 11), "n", position="place").withColumn("task", F.spark_partition_id())
+    tasks = out.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(rgs_key("rgs")).alias("kinds")).collect()
+    assert sum(r.n for r in tasks) == sum(r.kinds for r in tasks) == 678570
+    assert len(tasks) > 1 and max(r.n for r in tasks) < 1.1 * min(r.n for r in tasks)
+
+
+def test_enumeration_without_elements_and_of_too_many(spark):
+    none = spark.createDataFrame([(0,), (-3,), (None,)], "n int")
+    assert P.enumerate_partitions(none, "n").collect() == []
+    with pytest.raises(Exception, match="64 bits"):
+        P.enumerate_partitions(sizes(spark, 26), "n").count()
+    two = P.enumerate_partitions(sizes(spark, 14), "n", at_most=F.lit(2), position="place")
+    assert two.filter("place = 8192").first().rgs == [0] + [1] * 13
+
+
 def test_all_coarsenings(spark):
     every = partitions(4)
     df = spark.createDataFrame([(list(x),) for x in every], "rgs array<int>")

@@ -30,6 +30,50 @@ def to_rgs(a: Column | str) -> Column:
     )
 
 
+def extension_counts(n: Column | str, at_most: Column | str | None = None, exactly: Column | str | None = None) -> Column:
+    """Entry ``b`` of row ``m``, both from 0: in how many ways ``m`` more elements extend a label string of ``b`` blocks.
+
+    Rows 0 to ``n - 1``; row ``m`` ends at ``n - m`` blocks. The next element joins one of the ``b`` blocks or opens
+    one. Numbers beyond 64 bits are -1.
+    """
+    n = col(n)
+    if exactly is not None:
+        fits = lambda b: b == col(exactly)
+    else:
+        fits = (lambda b: b <= col(at_most)) if at_most is not None else (lambda b: F.lit(True))
+
+    def longer(rows: Column, m: Column) -> Column:
+        def ways(b: Column) -> Column:
+            joins, opens = (F.get(F.element_at(rows, -1), to) for to in (b, b + 1))
+            both = F.try_add(F.try_multiply(b.cast("bigint"), joins), opens)
+            return F.when((joins < 0) | (opens < 0), F.lit(-1).cast("bigint")).otherwise(F.coalesce(both, F.lit(-1).cast("bigint")))
+
+        return F.array_append(rows, F.transform(F.sequence(F.lit(0), n - m), ways))
+
+    none = F.transform(F.sequence(F.lit(0), n), lambda b: fits(b).cast("bigint"))
+    return F.aggregate(F.filter(F.sequence(F.lit(0), n - 1), lambda m: m > 0), F.array(none), longer)
+
+
+def unrank(rank: Column | str, n: Column | str, ways: Column | str) -> Column:
+    """The label string of length ``n`` with the number ``rank`` (from 0, lexicographic); ``ways`` are its ``extension_counts``.
+
+    A label that is taken stands for as many strings as the rest can be extended in, so the number is divided
+    by that; what is beyond all taken labels belongs to the new one.
+    """
+    start = F.struct(col(rank).cast("bigint").alias("left"), F.lit(1).cast("bigint").alias("blocks"), F.array(F.lit(0)).alias("labels"))
+
+    def step(acc: Column, m: Column) -> Column:
+        each = F.get(F.get(col(ways), m - 1), acc["blocks"].cast("int"))
+        taken = F.when(each > 0, F.least(F.call_function("div", acc["left"], each), acc["blocks"])).otherwise(acc["blocks"])
+        return let(taken, lambda label: F.struct(
+            (acc["left"] - label * each).alias("left"),
+            F.greatest(acc["blocks"], label + 1).alias("blocks"),
+            F.array_append(acc["labels"], label.cast("int")).alias("labels")))
+
+    order = F.filter(F.sequence(col(n) - 1, F.lit(0)), lambda m: m > 0)
+    return F.aggregate(order, start, step, lambda acc: acc["labels"])
+
+
 def rgs_to_blocks(a: Column | str) -> Column:
     """One-based positions per label."""
     a = col(a)

@@ -10,6 +10,7 @@ from tideshare.functions.partitions import (
     block_count,
     compose,
     cross_pairs,
+    extension_counts,
     is_coarsening,
     label_pairs,
     merge_labels,
@@ -17,41 +18,49 @@ from tideshare.functions.partitions import (
     star_pairs,
     to_rgs,
     together_pairs,
+    unrank,
 )
 from tideshare.operators.counts import first_appearance_id
-from tideshare.plans.series import materialise
+from tideshare.plans.series import materialise, spread
 
+#: Partitions that one range of numbers holds at least.
+RANGE = 4096
 
-def enumerate_partitions(df: DataFrame, n: Column | str, max_n: int, at_most: Column | str | None = None,
-                         exactly: Column | str | None = None) -> DataFrame:
-    """All label strings of length ``n`` per row (``n`` may differ from row to row).
 
-    ``max_n`` explodes in a row, each adding one label: rows stream through, nothing is
-    collected. A row with ``n > max_n`` fails the job instead of losing partitions.
+def enumerate_partitions(df: DataFrame, n: Column | str, max_n: int | None = None, at_most: Column | str | None = None,
+                         exactly: Column | str | None = None, position: str | None = None, reverse: bool = False,
+                         dealt: bool = True) -> DataFrame:
+    """All label strings of length ``n`` per row (``n`` and the limits may differ from row to row).
+
+    Numbers are made, not strings: a row counts its partitions, its numbers are cut into ranges of equal
+    length, the ranges are dealt to all tasks (if ``dealt``) and each number is turned into its label
+    string on its own. So every task gets the same share, nothing is collected, and the number
+    gives the place: ``position`` names a column that counts from 1 in lexicographic order, or
+    from the last string on with ``reverse``; no sort is needed for it.
+
+    A row with a null ``n`` or one below 1 has no partitions; one with ``n > max_n``, or with more partitions
+    than 64 bits can number (26 elements without a limit), fails the job instead of losing some.
     """
     n = col(n).cast("int")
-    limit = col(at_most) if at_most is not None else None
-    if exactly is not None:
-        limit = col(exactly)
-    checked = F.when(n <= max_n, F.array(F.lit(0))).otherwise(
-        F.raise_error(F.lit(f"more than {max_n} elements"))
-    )
-    out = df.withColumn("rgs", checked)
-    for pos in range(1, max_n):
-        top = F.array_max("rgs") + 1
-        if limit is not None:
-            top = F.least(top, limit.cast("int") - 1)
-        labels = F.sequence(F.lit(0), top)
-        if exactly is not None:
-            # the labels that follow can add one block each
-            labels = F.filter(
-                labels, lambda x: F.greatest(F.array_max("rgs"), x) + (n - pos - 1) >= limit - 1
-            )
-        longer = F.transform(labels, lambda x: F.array_append(F.col("rgs"), x.cast("int")))
-        out = out.withColumn("rgs", F.explode(F.when(n > pos, longer).otherwise(F.array("rgs"))))
-    if exactly is not None:
-        out = out.filter(F.array_max("rgs") == limit - 1)
-    return out
+    if max_n is not None:
+        n = F.when(n > max_n, F.raise_error(F.lit(f"more than {max_n} elements")).cast("int")).otherwise(n)
+    counted = df.withColumn("_n", n).withColumn("_ways", extension_counts("_n", at_most, exactly))
+    first = F.get(F.element_at("_ways", -1), F.lit(1))
+    too_many = F.raise_error(F.lit("more partitions than 64 bits can number")).cast("bigint")
+    total = F.when(F.col("_n") >= 1, F.when(first >= 0, first).otherwise(too_many)).otherwise(F.lit(0).cast("bigint"))
+    counted = counted.withColumn("_total", total)
+    step = F.greatest(F.lit(RANGE), F.ceil(F.sqrt("_total")).cast("bigint"))
+    starts = F.when(F.col("_total") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_total") - 1, step))
+    ranges = counted.withColumn("_step", step).withColumn("_from", F.explode(starts))
+    if dealt:
+        ranges = spread(ranges)
+    till = F.least(F.col("_from") + F.col("_step"), "_total") - 1
+    numbered = ranges.withColumn("_rank", F.explode(F.sequence("_from", till)))
+    rank = F.col("_total") - 1 - F.col("_rank") if reverse else F.col("_rank")
+    out = numbered.withColumn("rgs", unrank(rank, "_n", "_ways"))
+    if position:
+        out = out.withColumn(position, F.col("_rank") + 1)
+    return out.drop("_n", "_ways", "_total", "_step", "_from", "_rank")
 
 
 def block_pairs(df: DataFrame, rgs: str = "rgs") -> DataFrame:
@@ -64,14 +73,14 @@ def merge_once(df: DataFrame, rgs: str = "rgs", out: str = "child") -> DataFrame
     return block_pairs(df, rgs).withColumn(out, merge_labels(rgs, "s", "t"))
 
 
-def all_coarsenings(df: DataFrame, max_blocks: int, rgs: str = "rgs", out: str = "coarser") -> DataFrame:
+def all_coarsenings(df: DataFrame, max_blocks: int | None = None, rgs: str = "rgs", out: str = "coarser") -> DataFrame:
     """The partition itself and every coarsening, each once.
 
     A coarsening is a partition of the blocks, so the enumeration of those gives all of them
     without a loop over levels and without a distinct.
     """
     inner = enumerate_partitions(
-        df.withColumnRenamed(rgs, "_base"), F.array_max("_base") + 1, max_blocks
+        df.withColumnRenamed(rgs, "_base"), F.array_max("_base") + 1, max_blocks, dealt=False
     )
     return inner.withColumn(out, compose("_base", "rgs")).drop("rgs").withColumnRenamed("_base", rgs)
 

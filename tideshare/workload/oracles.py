@@ -282,6 +282,10 @@ def all_rgs(n: int) -> str:
   select list_append(a, x), n + 1 from (select a, n, unnest(range(0, list_max(a) + 2)) as x from rgs where n < {n}))"""
 
 
+#: Position of a label string ``a`` among those of its series.
+PLACE = "row_number() over (partition by series_id order by a) as place"
+
+
 def merged(a: str) -> str:
     return f"list_transform({a}, lambda x: case when x = t then s when x > t then x - 1 else x end)"
 
@@ -603,10 +607,10 @@ ORACLES = {
         select r.series_id, r.i, e.j from reach r join edge e on r.series_id = e.series_id and r.j = e.i),
       root as (select series_id, i, min(j) as m from reach group by all)
       select series_id, i as pos, cast(dense_rank() over (partition by series_id order by m) - 1 as int) as block from root""",
-    "enumerate_all": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs from used join rgs on rgs.n = used.n",
-    "enumerate_at_most": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs from used "
+    "enumerate_all": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs, {PLACE} from used join rgs on rgs.n = used.n",
+    "enumerate_at_most": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs, {PLACE} from used "
                          "join rgs on rgs.n = used.n where list_max(a) <= 2",
-    "enumerate_exactly": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs from used "
+    "enumerate_exactly": f"with recursive {all_rgs(5)}, {USED} select series_id, used.n, {key('a')} as rgs, {PLACE} from used "
                          "join rgs on rgs.n = used.n where list_max(a) = 1",
     "enumerate_reverse": f"with recursive {all_rgs(5)}, {USED}, c as (select n, count(*) as customers from used group by 1) "
                          f"select c.n, customers, {key('a')} as rgs, row_number() over (partition by c.n order by a desc) as place "

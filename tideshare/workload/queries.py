@@ -328,7 +328,7 @@ def merge_once(spark, sf):
 
 def all_coarsenings(spark, sf):
     """Every coarsening of every distinct partition, weighted by its customers."""
-    out = pt.all_coarsenings(distinct_groupings(spark, sf), _values(spark, sf, "orders", "o_orderpriority"))
+    out = pt.all_coarsenings(distinct_groupings(spark, sf))
     return rgs_text(out.groupBy("coarser").agg(F.sum("customers").alias("customers"),
                                                F.count(F.lit(1)).alias("finer")), "coarser")
 
@@ -362,22 +362,21 @@ def finest_common_long(spark, sf):
 
 def enumerate_all(spark, sf):
     """All partitions of the priorities each customer uses."""
-    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", _values(spark, sf, "orders", "o_orderpriority")), "rgs")
+    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", position="place"), "rgs")
 
 
 def enumerate_at_most(spark, sf):
-    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", _values(spark, sf, "orders", "o_orderpriority"), at_most=F.lit(3)), "rgs")
+    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", position="place", at_most=F.lit(3)), "rgs")
 
 
 def enumerate_exactly(spark, sf):
-    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", _values(spark, sf, "orders", "o_orderpriority"), exactly=F.lit(2)), "rgs")
+    return rgs_text(pt.enumerate_partitions(_used(spark, sf), "n", position="place", exactly=F.lit(2)), "rgs")
 
 
 def enumerate_reverse(spark, sf):
     """Partitions of the used priorities by number of priorities, last one first."""
     sizes = _used(spark, sf).groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
-    out = rk.with_place(pt.enumerate_partitions(sizes, "n", _values(spark, sf, "orders", "o_orderpriority")), F.desc("rgs"), keys=("n",))
-    return rgs_text(out.orderBy("n", "place"), "rgs")
+    return rgs_text(pt.enumerate_partitions(sizes, "n", position="place", reverse=True), "rgs")
 
 
 def drop_dominated(spark, sf):
@@ -736,7 +735,7 @@ def _finest(spark, sf) -> DataFrame:
 def _every_grouping(spark, sf) -> DataFrame:
     """All groupings of the event types of a segment, scored on the grid."""
     every = pt.enumerate_partitions(
-        _finest(spark, sf).select("series_id", F.size("rgs").alias("n")), "n", _types(spark, sf)).drop("n")
+        _finest(spark, sf).select("series_id", F.size("rgs").alias("n")), "n").drop("n")
     scorer = se.grid_scorer(_patterns(spark, sf), _types(spark, sf))
     return pt.with_level(scorer(every))
 
