@@ -72,9 +72,12 @@ def given():
 def test_scores(spark, given):
     got = {r.doc_id: r for r in score_texts(spark.createDataFrame(given, SCHEMA)).collect()}
     want = plain_scores(given)
+    sizes = {i: len((t or "").encode()) for i, t, *_ in given}
     assert len(got) == len(given)
     for i, w in want.items():
         assert got[i].score == pytest.approx(w, rel=1e-4, abs=1e-3)
+        assert got[i].n_bytes == sizes[i]
+        assert got[i].bits_per_byte == pytest.approx(-got[i].score / math.log10(2) / (sizes[i] + 1))
         assert got[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)
 
 

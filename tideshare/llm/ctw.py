@@ -147,11 +147,11 @@ class Top:
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row.
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)``, one row per row.
 
     Trained on rows whose crc32 of the identifier as text, mod 7, is not 2. ``score`` is the log10
-    probability of the bytes of the text and of its end. ``base_score`` is that of a smoothed word
-    count model over lower-case words and one end.
+    probability of the bytes of the text and of its end, ``bits_per_byte`` the code length that it stands for, over
+    the bytes and the end. ``base_score`` is that of a smoothed word count model over lower-case words and one end.
 
     Documents lie in buckets of some megabytes. A bucket sends its distinct codes of five bytes and
     its distinct words, with their training counts, to slices; a slice adds up and builds its subtrees.
@@ -267,7 +267,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     answers = gram_asks.cogroup(gram_held).applyInArrow(answer, "bucket int, kind int, slice int, held binary").unionByName(
         merged.filter((F.col("kind") == WORDS) & (F.col("bucket") >= 0)).select("bucket", "kind", "slice", "held"))
     result_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                               ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+                               ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()),
+                               ("bits_per_byte", pa.float64())])
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -283,6 +284,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         count: dict[bytes, int] = {}
         for part, own, _ in word_slices(texts, learned):
             count.update(zip(own, unplaned(unpacked(got[WORDS, part])[0]).tolist(), strict=True))
+        n_bytes = np.fromiter(map(len, texts), np.int64, len(texts))
         known, base, size = [], [], []
         for text in texts:
             c = np.array([*map(count.__getitem__, text.translate(LOWER).split()), ends], np.float64)
@@ -290,7 +292,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
             known.append(int((c > 0).sum()))
             base.append(float(np.log10((c + 1) / whole).sum()))
         return pa.table([docs.column("id").cast(pa.int64()), pa.array(~learned), pa.array(size), pa.array(known),
-                         pa.array(np.full(len(texts), train_tokens)), pa.array(base), pa.array(scores)], schema=result_schema)
+                         pa.array(np.full(len(texts), train_tokens)), pa.array(base), pa.array(scores), pa.array(n_bytes),
+                         pa.array(-scores * np.log2(10) / (n_bytes + 1))], schema=result_schema)
 
     return rows.groupBy("bucket").cogroup(answers.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(
-        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+               "n_bytes long, bits_per_byte double")

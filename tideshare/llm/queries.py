@@ -85,8 +85,51 @@ def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_substring_dedup, op4_bpe_round_trip, op5_decontamination, op6_toxicity, op7_exact_dedup, op8_lm_score, op9_url_filter, op10_token_counts, op11_token_store, op12_collocations, op13_whitening)}
 
 _SPACE = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op3_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), word AS (
+            SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM d
+        ), spot AS (
+            SELECT doc_id, j AS i, string_agg(w, ' ') OVER run AS win, count(*) OVER run AS n
+            FROM word WINDOW run AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+        ), again AS (
+            SELECT doc_id, i FROM spot WHERE n = 20 QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM again
+        ), kept AS (
+            SELECT doc_id, string_agg(w, ' ' ORDER BY j) AS words, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(words, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op5_decontamination": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM documents
+        ), b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS ws FROM benchmark WHERE item_id IS NOT NULL
+        ), sized AS (
+            SELECT item_id, ws, least(13, len(ws)) AS size FROM b WHERE len(ws) > 0
+        ), phrase AS (
+            SELECT DISTINCT item_id, size, array_to_string(ws[i:i + size - 1], ' ') AS w
+            FROM (SELECT *, unnest(range(1, len(ws) - size + 2)) AS i FROM sized)
+        ), place AS (
+            SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM phrase) WHERE len(ws) >= size
+        ), hit AS (
+            SELECT doc_id, i, size, item_id FROM (SELECT doc_id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS w FROM place) JOIN phrase USING (size, w)
+        ), words AS (
+            SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM hit) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op7_exact_dedup": rf"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g') AS norm, length(coalesce(text, '')) AS n
