@@ -270,6 +270,47 @@ def test_derivatives():
             assert grad[j] == pytest.approx(slope, rel=1e-5, abs=1e-4)
 
 
+def small_fits(starts, users=6, days=24):
+    """Every start for every user: sparse counts of two subjects, the second one enters on day 3."""
+    from tideshare.functions.renewal import Fits
+
+    rng = np.random.default_rng(11)
+    q = brute.shares([1.1, 0.9], [0.2, 0.3], [0, 3], days, [W] * 3)
+    n = np.array([[rng.multinomial(3, p) for p in q] for _ in range(users)], dtype=float).repeat(len(starts), axis=0)
+    day = np.repeat(np.arange(1, days + 1)[:, None], len(n), axis=1)
+    block, intro = np.array([[1, 2]]).repeat(len(n), axis=0), np.array([[0, 3]]).repeat(len(n), axis=0)
+    fits = Fits(block, intro, day, day, n.transpose(1, 0, 2), np.array(W), ALPHA, THETA, False, False)
+    rates, shares = np.tile(np.array(starts), (users, 1)).T
+    return fits, fits.pack(rates[:, None].repeat(2, axis=1), shares[:, None].repeat(2, axis=1))
+
+
+def test_starts_that_meet_go_on_once(monkeypatch):
+    """The same best fit of every user, with derivatives for fewer points."""
+    from tideshare.functions.renewal import Fits
+
+    starts = [(ft.START_RATE, ft.START_SHARE), *ft.OTHER_STARTS]
+    fits, par = small_fits(starts)
+    points, whole = [], Fits.evaluate_piece
+    monkeypatch.setattr(Fits, "evaluate_piece", lambda f, x, slopes: points.append(f.b * slopes) or whole(f, x, slopes))
+    _, ll, ok = fits.maximise(par)
+    alone = sum(points)
+    points.clear()
+    _, met_ll, met_ok = fits.maximise(par, problem=np.repeat(np.arange(6), len(starts)))
+    assert sum(points) < 0.85 * alone
+    best, met_best = (v.reshape(6, -1).max(axis=1) for v in (ll, np.where(met_ok, met_ll, -np.inf)))
+    assert ok.reshape(6, -1).any(axis=1).all() and met_best == pytest.approx(best, abs=1e-6)
+
+
+def test_pieces_give_the_same_as_the_whole():
+    fits, par = small_fits([(1.0, 0.01), (1.2, 0.6)])
+    whole = fits.evaluate(par)
+    fits.piece = 1
+    for a, b in zip(fits.evaluate(par), whole):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    some = np.array([7, 2])
+    assert fits.evaluate(par[some], some, slopes=False) == pytest.approx(whole[0][some])
+
+
 def test_dirichlet_and_time_scale_fits(spark):
     rng = np.random.default_rng(7)
     q = np.array(brute.shares([1.1, 0.95], [0.2, 0.3], [0, 0], 40, [W] * 3))

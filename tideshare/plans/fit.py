@@ -19,7 +19,6 @@ from tideshare.functions.gamma import chi2_quantile, weights_value
 from tideshare.functions.numbers import aic, array_sum, num_parameters
 from tideshare.functions.partitions import rgs_key
 from tideshare.functions.renewal import (
-    MEMORY,
     START_CONCENTRATION,
     START_RATE,
     START_SCALE,
@@ -40,6 +39,8 @@ SOLUTION_SCHEMA = (
 OTHER_STARTS = [(factor, share) for factor in (0.6, 0.8, 1.25, 1.7) for share in (0.002, 0.02, 0.2)]
 #: Start shares of the subjects together are at most this.
 HIGHEST_START = 0.9
+#: Bytes of counts and information matrices that fits worked on together may hold.
+BATCH = 256 * 2**20
 ARRAYS = ["intro", "n_days", "d1", "d2", "flat"]
 
 
@@ -127,13 +128,12 @@ class Options:
 
     def batches(self, rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Fits]]:
         """Rows with equally many categories together, sorted by length to save padding, in
-        pieces whose derivatives fit in memory."""
-        lags = len(self.weights)
+        pieces whose counts and information fit in memory."""
         width = rows["rgs"].str.len()
         for s, same in rows.groupby(width, sort=False):
             same = same.sort_values("n_days", kind="stable")
-            per_row = 8 * int(same["n_days"].max() + lags) * s * 3 * s
-            step = max(1, MEMORY // per_row)
+            per_row = 8 * s * (int(same["n_days"].max()) + 4 * 9 * s)
+            step = max(1, BATCH // per_row)
             for at in range(0, len(same), step):
                 piece = same.iloc[at : at + step]
                 yield piece, self.fits(piece, s)
@@ -200,13 +200,21 @@ def fit(started: DataFrame, options: Options) -> DataFrame:
     return best_start(fit_rows(with_starts(started.select("series_id", "rgs", "k", "qt", *ARRAYS)), options))
 
 
+def same_as_before(rows: pd.DataFrame, *names: str) -> np.ndarray:
+    """Numbers that rise where a row differs from the one before it."""
+    keys = [pd.factorize(rows[name].map(tuple) if name == "rgs" else rows[name])[0] for name in names]
+    changes = np.any([np.diff(k, prepend=k[:1]) != 0 for k in keys], axis=0)
+    return np.cumsum(changes)
+
+
 def fit_rows(rows: DataFrame, options: Options) -> DataFrame:
-    """One fit per row and ``start``, from this start only."""
+    """One fit per row and ``start``. Of starts that meet on their way, all but the likeliest end there, unsettled."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows, f in options.batches(batch):
                 scale, d = np.full((f.b, f.s), START_SCALE), np.full(f.b, START_CONCENTRATION)
-                par, ll, ok = f.maximise(f.pack(stack(rows["k"]), stack(rows["qt"]), scale, d))
+                par, ll, ok = f.maximise(f.pack(stack(rows["k"]), stack(rows["qt"]), scale, d),
+                                         problem=same_as_before(rows, "series_id", "rgs"))
                 yield result(rows[["series_id", "rgs", "start"]], f, par, ll).assign(converged=ok)
 
     return rows.mapInPandas(run, f"{FIT_SCHEMA}, start int")
