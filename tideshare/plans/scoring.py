@@ -396,7 +396,8 @@ def bracketed(rows: DataFrame, model: Model) -> DataFrame:
     ``top``, nearly a straight line, meets that of the cut. The bound counts as the end where the likelihood does
     not fall under the cut before it; ``ok`` unless rounds run out.
     """
-    place, side, cut = F.col("place"), F.col("side"), F.col("cut")
+    # aimed at a little above the cut: an end that rounding puts below the aim is still inside
+    place, side, cut = F.col("place"), F.col("side"), F.col("cut") + 5e-7
     bound = F.element_at(F.when(side < 0, model.bounds(0)).otherwise(model.bounds(1)), place)
 
     def fall(ll: Column) -> Column:
