@@ -19,8 +19,8 @@ SCALE_BOUNDS = (1e-10, 10.0)
 CONCENTRATION_BOUNDS = (1e-10, 1e5)
 START_RATE, START_SHARE, START_SCALE, START_CONCENTRATION = 1.0, 0.001, 1.0, 10.0
 
-# Distance of two starts that have met, in log units: always, and at most where they have more to gain.
-MET = (1e-6, 1e-6)
+# Distance of two starts that have met, in log units; 1e-6 changed the fourth decimal of a likelihood.
+MET = 1e-8
 
 MEMORY = 8 * 2**20  # bytes of derivatives that fits evaluated together may hold, about what a core's cache keeps
 
@@ -325,7 +325,7 @@ class Fits:
         ll, grad, info = self.evaluate(x)
         damp = np.full(self.b, 1e-4)
         done = ~np.isfinite(ll)
-        left, last_gain = done.copy(), np.full(self.b, np.inf)
+        left = done.copy()
         for turn in range(rounds):
             free = self.free(x, grad, rows)
             if fixed is not None:
@@ -336,10 +336,8 @@ class Fits:
             settled = np.isfinite(ll) & (((gain < 1e-11) & (damp <= 1e-3)) | ((damp > 1e8) & (gain < 1e-6)))
             done |= settled | (damp > 1e8)
             par[rows], out_ll[rows], ok[rows] = x, ll, settled
-            if problem is not None:
-                last_gain[rows] = gain
-                if turn % 2 == 0 and turn:
-                    self.leave_met(problem, rows, done, left, par, out_ll, ok, last_gain, info)
+            if problem is not None and turn and turn % 2 == 0:
+                self.leave_met(problem, rows, done, left, par, out_ll, ok, info)
             if done.any():
                 keep = np.flatnonzero(~done)
                 rows, done = rows[keep], done[keep]
@@ -358,11 +356,10 @@ class Fits:
         return par, out_ll, ok
 
     @staticmethod
-    def leave_met(problem, rows, done, left, par, ll, ok, gain, info):
+    def leave_met(problem, rows, done, left, par, ll, ok, info):
         """Mark in ``done`` and ``left`` the starts that have met a likelier start of the same problem.
 
-        They have met when the information takes their distance, in log units, for small on its own or
-        beside what both still have to gain.
+        They have met when the information of those still running takes their distance for less than ``MET``.
         """
         place = np.full(len(problem), -1)
         place[rows] = np.arange(len(rows))
@@ -382,8 +379,7 @@ class Fits:
                 known = np.flatnonzero(place[one] >= 0)
                 d = apart[known]
                 far[known] = np.maximum(far[known], np.einsum("bp,bpq,bq->b", d, info[place[one[known]]], d))
-            limit = np.clip(0.1 * np.minimum(gain[a], gain[b]), *MET)
-            met = (far < limit) & (np.abs(apart).max(axis=1) < 1) & (running[a] | running[b])
+            met = (far < MET) & (np.abs(apart).max(axis=1) < 1) & (running[a] | running[b])
             for i, j in zip(a[met], b[met]):
                 low, high = (j, i) if ll[j] <= ll[i] + 1e-9 else (i, j)
                 if running[low] and (running[high] or ok[high]):

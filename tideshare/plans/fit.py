@@ -213,8 +213,9 @@ def fit_rows(rows: DataFrame, options: Options) -> DataFrame:
         for batch in batches:
             for rows, f in options.batches(batch):
                 scale, d = np.full((f.b, f.s), START_SCALE), np.full(f.b, START_CONCENTRATION)
-                par, ll, ok = f.maximise(f.pack(stack(rows["k"]), stack(rows["qt"]), scale, d),
-                                         problem=same_as_before(rows, "series_id", "rgs"))
+                # time scales far below a day change nothing: starts with other scales have not met
+                problem = None if options.time_scale else same_as_before(rows, "series_id", "rgs")
+                par, ll, ok = f.maximise(f.pack(stack(rows["k"]), stack(rows["qt"]), scale, d), problem=problem)
                 yield result(rows[["series_id", "rgs", "start"]], f, par, ll).assign(converged=ok)
 
     return rows.mapInPandas(run, f"{FIT_SCHEMA}, start int")
